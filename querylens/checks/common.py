@@ -9,9 +9,21 @@ from ..functions.sqltext import FEATURE_COLUMNS
 from ..sources.fixtures import with_ctes  # noqa: F401  (re-export)
 
 
-def r6(c) -> Column:
-    """Round a double column to 6 places (oracle hashing)."""
-    return F.round(F.col(c) if isinstance(c, str) else c, 6)
+def r6(c, digits: int = 6) -> Column:
+    """Round half up to ``digits`` places with plain double arithmetic,
+    ``floor(x * 10^d + 0.5) / 10^d``, which DuckDB evaluates bit-identically
+    (see :func:`d6`); values beyond 1e12 are left as they are."""
+    x = F.col(c) if isinstance(c, str) else c
+    scale = float(10 ** digits)
+    rounded = F.floor(x * F.lit(scale) + F.lit(0.5)).cast("double") / F.lit(scale)
+    return F.when(F.isnan(x) | (F.abs(x) > F.lit(1e12)), x).otherwise(rounded)
+
+
+def d6(expr: str, digits: int = 6) -> str:
+    """DuckDB text of :func:`r6`."""
+    scale = f"{float(10 ** digits)!r}"
+    return (f"(CASE WHEN isnan(({expr})::DOUBLE) OR abs({expr}) > 1e12 THEN ({expr})::DOUBLE "
+            f"ELSE floor(({expr})::DOUBLE * {scale} + 0.5) / {scale} END)")
 
 
 def feature_list_sql(prefix: str = "") -> str:

@@ -5,6 +5,7 @@ from __future__ import annotations
 from ..operators import labels as lb
 from ..registry import register
 from ..sources import fixtures as fx
+from .common import d6, r6
 
 _LAB = """q AS (SELECT quantile_cont(runtime_s, 0.5) AS p50, quantile_cont(runtime_s, 0.75) AS p75 FROM query_log),
 lab AS (SELECT l.*, CASE WHEN runtime_s >= p75 THEN 'slow' WHEN runtime_s <= p50 THEN 'fast' ELSE 'mid' END AS label
@@ -24,8 +25,9 @@ register("l2_label_quantile", _ctes("query_log") + _LAB +
 
 register("l12_label_skew", _ctes("query_log") + _LAB + """
 SELECT db_id, count(*)::BIGINT AS n, count(*) FILTER (WHERE label_binary = 0)::BIGINT AS fast,
-  count(*) FILTER (WHERE label_binary = 1)::BIGINT AS slow, round(avg(label_binary) * 100.0, 2) AS pct_slow,
-  round(avg(label_binary), 6) AS slow_rate,
+  count(*) FILTER (WHERE label_binary = 1)::BIGINT AS slow, """ + d6("avg(label_binary) * 100.0") + """ AS pct_slow,
+  """ + d6("avg(label_binary)") + """ AS slow_rate,
   CASE WHEN avg(label_binary) <= 0 OR avg(label_binary) >= 1 THEN 1 ELSE 0 END AS degenerate
 FROM kept GROUP BY db_id""")(
-    lambda spark, sf: lb.label_skew(lb.label_quantile(fx.query_log(spark, sf))))
+    lambda spark, sf: lb.label_skew(lb.label_quantile(fx.query_log(spark, sf))).select(
+        "db_id", "n", "fast", "slow", r6("pct_slow").alias("pct_slow"), r6("slow_rate").alias("slow_rate"), "degenerate"))

@@ -6,8 +6,14 @@ task becomes the job.  The helpers here instead range-partition on the full
 sort key ``(group…, order…, tiebreak)``, so a hot group is spread over many
 range partitions, number rows inside each partition, and add per-(partition,
 group) offsets computed from a small aggregate (at most partitions + groups
-rows).  The same range exchange feeds both branches and is reused by Spark,
-so the data is shuffled once.
+rows).
+
+Two executions of one range exchange may choose different range bounds
+(the bounds come from a sample), so the sorted, id-stamped rows are
+materialised once with a reliable ``checkpoint()`` into the shared folder
+named by ``spark.checkpoint.dir``; every later branch reads those rows, and
+the lineage is cut, so a lost executor cannot make the branches disagree.
+Callers pass narrow frames (keys and the columns they need).
 """
 
 from __future__ import annotations
@@ -17,6 +23,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..session import ensure_checkpoint_dir
+
 
 def _cols(xs) -> list[Column]:
     return [F.col(x) if isinstance(x, str) else x for x in xs]
@@ -47,6 +55,8 @@ def rank_within(df: DataFrame, group_cols: Sequence[str], order: Sequence[Column
                  .sortWithinPartitions(*sort_key)
                  .withColumn("_pid", F.spark_partition_id())
                  .withColumn("_mid", F.monotonically_increasing_id()))
+    ensure_checkpoint_dir(df.sparkSession)
+    base = base.checkpoint(eager=True)
     # per (partition, group): first row id, row count and sums
     part_aggs = [F.min("_mid").alias("_first"), F.count(F.lit(1)).alias("_cnt")]
     part_aggs += [F.sum(c).alias(f"_psum_{c}") for c in sums]

@@ -46,6 +46,13 @@ PLAN_TEMPLATE = [
 ]
 NAMED_TABLES = [("orders", 0, 15000), ("customer", 1, 1500), ("nation", 2, 25),
                 ("part", 3, 2000), ("supplier", 4, 100), ("lineitem", 5, 60000)]
+# Index definitions of the named catalog (table, index name, SQL).
+NAMED_INDEXES = [
+    ("orders", "ix_o_cust", "CREATE INDEX ix_o_cust ON orders(o_custkey)"),
+    ("customer", "ix_c_nation", "CREATE INDEX ix_c_nation ON customer(c_nationkey)"),
+    ("nation", "ix_n", "CREATE INDEX ix_n ON nation (n_nationkey)"),
+    ("lineitem", "ix_l_order", "CREATE INDEX ix_l_order ON lineitem(l_orderkey, l_linenumber)"),
+]
 
 
 def _db(col: str) -> Column:
@@ -146,6 +153,16 @@ def named_tables(spark: SparkSession) -> DataFrame:
     return spark.createDataFrame(NAMED_TABLES, "table_name string, table_pos int, row_count int")
 
 
+def named_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(table_name, col_name) of the named catalog, read from the table schemas."""
+    rows = [(t, f.name) for t, _, _ in NAMED_TABLES for f in read_table(spark, sf_dir, t).schema.fields]
+    return spark.createDataFrame(rows, "table_name string, col_name string")
+
+
+def named_indexes(spark: SparkSession) -> DataFrame:
+    return spark.createDataFrame(NAMED_INDEXES, "table_name string, index_name string, index_sql string")
+
+
 BUILDERS = {
     "query_log": query_log, "run_log": run_log, "predictions": predictions,
     "history": history, "catalog_tables": catalog_tables, "plan_nodes": plan_nodes,
@@ -207,6 +224,10 @@ FROM part WHERE p_partkey % 11 <> 10""",
                   + " UNION ALL ".join(f"SELECT {n} AS node_id, {p} AS parent_id, {_sql_lit(d)} AS detail"
                                        for n, p, d in PLAN_TEMPLATE)
                   + ") n WHERE (o_orderkey + n.node_id) % 4 <> 0",
+    "named_columns": "SELECT table_name, column_name AS col_name FROM information_schema.columns WHERE table_name IN ("
+                     + ", ".join(_sql_lit(t) for t, _, _ in NAMED_TABLES) + ")",
+    "named_indexes": " UNION ALL ".join(f"SELECT {_sql_lit(t)} AS table_name, {_sql_lit(i)} AS index_name, {_sql_lit(q)} AS index_sql"
+                                        for t, i, q in NAMED_INDEXES),
     "named_tables": " UNION ALL ".join(f"SELECT {_sql_lit(t)} AS table_name, {p} AS table_pos, {r} AS row_count"
                                        for t, p, r in NAMED_TABLES),
 }

@@ -123,19 +123,23 @@ def indexed_columns(columns: DataFrame, indexes: DataFrame) -> DataFrame:
 
 def query_table_features(pairs: DataFrame, queries: DataFrame, columns: DataFrame, indexes: DataFrame) -> DataFrame:
     """P7 + P8 per (query, table): referenced-column count (cap 20) and an
-    index on a predicate column."""
+    index on a predicate column.  Both depend only on the SQL text and the
+    table, so they are evaluated once per distinct (sql, table) pair -- query
+    logs repeat the same text many times -- and joined back by key."""
     q = pairs.join(queries, "query_id")
-    qc = q.join(columns, "table_name")
+    texts = q.select("sql", "table_name").distinct()
+    qc = texts.join(columns, "table_name")
     qual = F.concat(F.lit(r"(?i)\b\Q"), F.col("table_name"), F.lit(r"\E\s*\.\s*\Q"), F.col("col_name"), F.lit(r"\E\b"))
     unq = F.concat(F.lit(r"[,\s\(]\Q"), F.col("col_name"), F.lit(r"\E\b"))
     ref = F.rlike(F.col("sql"), qual) | F.rlike(F.lower("sql"), unq)
-    cref = qc.groupBy("query_id", "table_name").agg(F.least(F.count_if(ref), F.lit(20)).alias("cols_ref"))
+    cref = qc.groupBy("sql", "table_name").agg(F.least(F.count_if(ref), F.lit(20)).alias("cols_ref"))
     u = F.upper("sql")
     wp = where_part(u, GLOBAL_PRED_STOPS)
     ic = indexed_columns(columns, indexes)
-    qi = q.join(ic, "table_name").where(_has(u, "WHERE") & F.contains(wp, F.upper("col_name")))
-    hidx = qi.groupBy("query_id", "table_name").agg(F.lit(1.0).alias("has_idx_pred"))
-    return pairs.join(cref, ["query_id", "table_name"], "left").join(hidx, ["query_id", "table_name"], "left")
+    qi = texts.join(ic, "table_name").where(_has(u, "WHERE") & F.contains(wp, F.upper("col_name")))
+    hidx = qi.groupBy("sql", "table_name").agg(F.lit(1.0).alias("has_idx_pred"))
+    per_text = texts.join(cref, ["sql", "table_name"], "left").join(hidx, ["sql", "table_name"], "left")
+    return q.join(per_text, ["sql", "table_name"], "left").select("query_id", "table_name", "cols_ref", "has_idx_pred")
 
 
 def predicate_count(sql) -> Column:

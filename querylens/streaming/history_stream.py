@@ -138,7 +138,20 @@ def incremental_training(stream: DataFrame, stats: DataFrame, table_path: str, n
     return spark.read.parquet(table_path).count()
 
 
-def stage_history_files(history: DataFrame, path: str, n_files: int = 4) -> None:
-    """Write a history table as ``n_files`` parquet files (arrival simulation
-    for tests and the registered streaming queries)."""
-    history.repartition(n_files, "id").write.mode("overwrite").parquet(path)
+def stage_history_files(history: DataFrame, path: str, n_files: int = 4, ts_col: str = "ts") -> None:
+    """Write a history table as ``n_files`` consecutive time slices, one
+    append per slice in event-time order, so a file source sees the log
+    arrive as it was recorded (for tests and the registered streaming
+    queries)."""
+    import time as _time
+
+    ts = F.col(ts_col).cast("timestamp").cast("double")
+    lo, hi = history.agg(F.min(ts), F.max(ts)).first()
+    if lo is None:
+        history.limit(0).write.mode("overwrite").parquet(path)
+        return
+    width = (hi - lo) / n_files or 1.0
+    sl = F.least(F.floor((ts - F.lit(lo)) / F.lit(width)), F.lit(n_files - 1))
+    for i in range(n_files):
+        history.where(sl == i).coalesce(1).write.mode("append" if i else "overwrite").parquet(path)
+        _time.sleep(1.1)  # distinct modification times: the file source orders files by them

@@ -31,5 +31,5 @@ def register(name: str, oracle: str | None = None):
 def load_all() -> None:
     """Import every module that registers queries."""
     from .checks import (  # noqa: F401
-        q_querylog, q_features, q_labels, q_metrics, q_splits, q_catalog_history, q_workload_reports, q_plans, q_models, q_classifiers, q_streaming,
+        q_querylog, q_features, q_labels, q_metrics, q_splits, q_catalog_history, q_workload_reports, q_plans, q_models, q_classifiers, q_streaming, q_io,
     )

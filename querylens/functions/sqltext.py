@@ -92,22 +92,16 @@ def nesting_depth(sql) -> Column:
     return F.aggregate(parens, init, step)["m"]
 
 
-def sql_feature_columns(sql="sql") -> list[Column]:
-    """The 25 SQL-text features (F1-F25), each aliased; empty text gives nulls."""
-    s = _c(sql)
-    u = F.upper(s)
+def _feature_exprs(s: Column, u: Column, wp: Column, n_sel: Column, has_where: Column) -> list[Column]:
     f: dict[str, Column] = {}
     f["n_tokens"] = F.regexp_count(s, F.lit(r"(?U)\S+"))
     f["query_length"] = F.length(s)
     f["n_joins"] = count_substr(u, " JOIN ")
     f["n_tables_approx"] = f["n_joins"] + 1
-    wp = _where_part(u)
-    f["n_where_predicates"] = F.when(F.instr(u, "WHERE") > 0,
-                                     1 + count_substr(wp, " AND ") + count_substr(wp, " OR ")).otherwise(0)
+    f["n_where_predicates"] = F.when(has_where, 1 + count_substr(wp, " AND ") + count_substr(wp, " OR ")).otherwise(0)
     for name, kw in [("has_group_by", "GROUP BY"), ("has_order_by", "ORDER BY"), ("has_having", "HAVING"),
                      ("has_distinct", "DISTINCT"), ("has_limit", "LIMIT"), ("has_union", "UNION")]:
         f[name] = has_substr(u, kw)
-    n_sel = count_substr(u, "SELECT")
     f["n_subqueries"] = F.greatest(F.lit(0), n_sel - 1)
     f["has_subquery"] = (n_sel > 1).cast("int")
     f["max_nesting_depth"] = nesting_depth(s)
@@ -123,6 +117,14 @@ def sql_feature_columns(sql="sql") -> list[Column]:
     return [F.when(empty, F.lit(None).cast("int")).otherwise(f[n].cast("int")).alias(n) for n in FEATURE_COLUMNS]
 
 
+def sql_feature_columns(sql="sql") -> list[Column]:
+    """The 25 SQL-text features (F1-F25) as one list of expressions; empty
+    text gives nulls.  :func:`add_parsed_features` stages the shared parts."""
+    s = _c(sql)
+    u = F.upper(s)
+    return _feature_exprs(s, u, _where_part(u), count_substr(u, "SELECT"), F.instr(u, "WHERE") > 0)
+
+
 def require_columns(df: DataFrame, cols) -> None:
     missing = sorted(set(cols) - set(df.columns))
     if missing:
@@ -130,9 +132,16 @@ def require_columns(df: DataFrame, cols) -> None:
 
 
 def add_parsed_features(df: DataFrame, sql: str = "sql") -> DataFrame:
-    """append the 25 features in one projection (requires db_id, difficulty)."""
+    """append the 25 features (requires db_id, difficulty).  The
+    upper-cased text, its WHERE part and the SELECT count are projected once
+    and shared by all features (two narrow projections, no shuffle)."""
     require_columns(df, ["db_id", "difficulty", sql])
-    return df.select("*", *sql_feature_columns(sql))
+    from ..session import spread
+    staged = spread(df).select("*", F.upper(F.col(sql)).alias("_u"))
+    staged = staged.select("*", _where_part(F.col("_u")).alias("_wp"), count_substr(F.col("_u"), "SELECT").alias("_nsel"),
+                           (F.instr(F.col("_u"), "WHERE") > 0).alias("_hw"))
+    feats = _feature_exprs(F.col(sql), F.col("_u"), F.col("_wp"), F.col("_nsel"), F.col("_hw"))
+    return staged.select(*df.columns, *feats)
 
 
 def fill_missing_features(df: DataFrame, feature_cols=FEATURE_COLUMNS, keep=()) -> DataFrame:

@@ -70,15 +70,16 @@ def where_part(u: Column, stops) -> Column:
 
 def table_of_node(nodes: DataFrame, tables: DataFrame) -> DataFrame:
     """First catalog table (by position) named as a whole word in the
-    node text, case-insensitively.  Word tokens of the text are exploded and
-    equi-joined with lower-cased table names (names are identifiers made of
-    word characters)."""
-    toks = nodes.select("query_id", "node_id", F.explode(F.array_distinct(
+    node text, case-insensitively.  Matching runs once per distinct node
+    text (plan texts repeat across queries): its word tokens are exploded
+    and equi-joined with lower-cased table names (identifiers of word
+    characters), and the text -> table map is joined back."""
+    texts = nodes.select("detail").distinct()
+    toks = texts.select("detail", F.explode(F.array_distinct(
         F.regexp_extract_all(F.lower("detail"), F.lit(r"\w+"), 0))).alias("_tok"))
     t = tables.select(F.lower("table_name").alias("_tok"), "table_name", "table_pos")
-    hit = toks.join(t, "_tok").groupBy("query_id", "node_id").agg(
-        F.min_by("table_name", "table_pos").alias("table_name"))
-    return nodes.join(hit, ["query_id", "node_id"], "left")
+    hit = toks.join(t, "_tok").groupBy("detail").agg(F.min_by("table_name", "table_pos").alias("table_name"))
+    return nodes.join(hit, "detail", "left")
 
 
 def reachable_nodes(nodes: DataFrame) -> DataFrame:

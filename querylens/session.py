@@ -56,3 +56,13 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
         configured = tempfile.mkdtemp(prefix="querylens-ckpt-", dir=os.environ.get("TMPDIR", "/tmp"))
     sc.setCheckpointDir(configured)
     return sc.getCheckpointDir() or configured
+
+
+def spread(df, min_partitions: int | None = None):
+    """Round-robin an input that has fewer partitions than the cluster's
+    parallelism before CPU-heavy per-row work (text features, plan
+    features).  Inputs at scale already have thousands of splits and pass
+    through unchanged, so this adds a shuffle only where it buys cores."""
+    spark = df.sparkSession
+    target = min_partitions or spark.sparkContext.defaultParallelism
+    return df.repartition(target) if df.rdd.getNumPartitions() < target else df

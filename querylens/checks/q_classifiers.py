@@ -129,3 +129,54 @@ def _m27(spark, sf):
 
 register("m27_compare_snapshots")(_m27)
 register("m28_learning_curve")(lambda spark, sf: mo.learning_curve(_table(spark, sf), FEATURE_COLUMNS))
+
+
+def _m6_m8(spark, sf):
+    """M5-M8: all four classifiers on the unseen-database split, one row per model."""
+    t = _table(spark, sf).select("question_id", "db_id", "label_binary", *FEATURE_COLUMNS).checkpoint()
+    h = sp.split_holdout(t, _HOLD)
+    tr, te = h.where(F.col("split") == "train"), h.where(F.col("split") == "test")
+    names = list(mo.CLASSIFIERS)
+
+    def run(name):
+        sc, _, info = mo.fit_and_score(tr, te, FEATURE_COLUMNS, name)
+        return sc.withColumn("model", F.lit(name)).withColumn("fold", F.lit(0))
+
+    scored = mo._union(mo._parallel(names, run))
+    from ..operators import metrics as me
+    return me.binary_metrics(scored, ["model"]).join(me.roc_auc(scored, ["model"]), "model", "left")
+
+
+register("m6_m8_classifier_comparison")(_m6_m8)
+
+
+def _r6(spark, sf):
+    from ..operators import reports as rp
+    return rp.top_features(_m20(spark, sf), 10)
+
+
+register("r6_top_features")(_r6)
+
+
+def _r5(spark, sf):
+    from ..operators import reports as rp
+    t = _table(spark, sf)
+    best = rg.best_per_db(rg.regress_per_db(t, with_trees=False))
+    return rp.coverage_vs_r2(best, ca.schema_stats(fx.catalog_tables(spark, sf)))
+
+
+register("r5_coverage_vs_r2")(_r5)
+
+
+def _emb(spark, sf):
+    """Gram path on a wide input: ridge on the 64 embedding components per label."""
+    from ..sources.tables import read_table
+    e = read_table(spark, sf, "embeddings")
+    n = len(e.first()["embedding"])
+    cols = [F.col("embedding")[i].cast("double").alias(f"e{i}") for i in range(n)]
+    df = e.select("vec_id", (F.col("label") % 2).alias("grp"), F.col("label").cast("double").alias("y"), *cols)
+    fit = li.fit_linear_models(df, [f"e{i}" for i in range(n)], "y", ["grp"], {"Ridge(a=1)": li.LINEAR_MODELS["Ridge(a=1)"]})
+    return fit.coefficients.select("grp", "model", "intercept", F.size("coef").alias("n_coef"), "n_train")
+
+
+register("m3_ridge_embeddings_wide")(_emb)

@@ -13,3 +13,16 @@ register("f0_sql_features", with_ctes(
     f"SELECT question_id, db_id, difficulty, {feature_list_sql()} FROM feat",
     "query_log", extra=[("feat", features_sql_cte("query_log"))]))(
     lambda spark, sf: st.add_parsed_features(fx.query_log(spark, sf)).drop("sql", "runtime_s"))
+
+
+def _docs(spark, sf):
+    from ..sources.tables import read_table
+    d = read_table(spark, sf, "documents", "doc_id", "text", "lang").select(
+        "doc_id", F.col("lang").alias("db_id"), F.lit("doc").alias("difficulty"), F.col("text").alias("sql"))
+    return st.add_parsed_features(d).drop("sql", "difficulty")
+
+
+register("f0_document_text_features", with_ctes(
+    f"SELECT doc_id, db_id, {feature_list_sql()} FROM feat",
+    extra=[("docs", "SELECT doc_id, lang AS db_id, 'doc' AS difficulty, text AS sql FROM documents"),
+           ("feat", features_sql_cte("docs"))]))(_docs)

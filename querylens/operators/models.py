@@ -258,6 +258,6 @@ def learning_curve(table: DataFrame, features: Sequence[str], shares=(0.1, 0.3,
         return (sc_te.withColumn("part", F.lit("validation")).unionByName(sc_tr.withColumn("part", F.lit("train")))
                 .withColumn("share", F.lit(float(share))).withColumn("fold", F.lit(int(f))).withColumn("train_rows", F.lit(cutoff)))
 
-    scored = _union(_parallel(jobs, run))
+    scored = _union(_parallel(jobs, run, workers=4))
     m = binary_metrics(scored, ["share", "fold", "part", "train_rows"])
     return m.groupBy("share", "part").agg(F.avg("train_rows").alias("train_rows"), F.avg("f1").alias("f1")).orderBy("share", "part")

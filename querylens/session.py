@@ -28,6 +28,9 @@ def get_spark(master: str | None = None, shuffle_partitions: int | None = None,
     b = SparkSession.builder.appName(app)
     if master:
         b = b.master(master)
+        if master.startswith("local") and not (extra or {}).get("spark.driver.memory"):
+            # local mode: the driver is the whole cluster (a launcher sets this on a real cluster)
+            b = b.config("spark.driver.memory", "8g")
     for k, v in DEFAULT_CONF.items():
         b = b.config(k, v)
     if shuffle_partitions:

@@ -114,3 +114,20 @@ def test_quality_band(spark):
     got = [r[0] for r in df.select(me.quality_band("r")).collect()]
     assert got == ["strong", "moderate", "weak", "negative", "not enough data"]
     assert not math.isnan(0.0)
+
+
+def test_feature_columns_selection(spark):
+    df = spark.createDataFrame([(1, "d", 2, 3, "x")], "question_id int, db_id string, n_joins int, extra int, sql string")
+    assert ql.feature_columns(df) == ["n_joins", "extra"]
+    assert ql.feature_columns(df, ["n_joins", "missing"]) == ["n_joins"]
+
+
+def test_wilcoxon_statistic_and_exact_p(spark):
+    rows = [("a", f, v) for f, v in enumerate([0.9, 0.8, 0.85, 0.7, 0.95])] + \
+           [("b", f, v) for f, v in enumerate([0.6, 0.82, 0.5, 0.65, 0.9])]
+    df = spark.createDataFrame(rows, "model string, fold int, f1 double")
+    r = me.wilcoxon_top_two(df).first()
+    # d = 0.3, -0.02, 0.35, 0.05, 0.05 -> ranks 4, 1, 5, 2.5, 2.5 -> W- = 1
+    assert r["model_a"] == "a" and r["n"] == 5 and r["statistic"] == pytest.approx(1.0)
+    p = me.wilcoxon_exact_p(4, 0.0, spark)
+    assert p == pytest.approx(2 / 16)

@@ -224,8 +224,8 @@ FROM part WHERE p_partkey % 11 <> 10""",
                   + " UNION ALL ".join(f"SELECT {n} AS node_id, {p} AS parent_id, {_sql_lit(d)} AS detail"
                                        for n, p, d in PLAN_TEMPLATE)
                   + ") n WHERE (o_orderkey + n.node_id) % 4 <> 0",
-    "named_columns": "SELECT table_name, column_name AS col_name FROM information_schema.columns WHERE table_name IN ("
-                     + ", ".join(_sql_lit(t) for t, _, _ in NAMED_TABLES) + ")",
+    "named_columns": " UNION ALL ".join(f"SELECT {_sql_lit(t)} AS table_name, column_name AS col_name FROM (DESCRIBE {t})"
+                                        for t, _, _ in NAMED_TABLES),
     "named_indexes": " UNION ALL ".join(f"SELECT {_sql_lit(t)} AS table_name, {_sql_lit(i)} AS index_name, {_sql_lit(q)} AS index_sql"
                                         for t, i, q in NAMED_INDEXES),
     "named_tables": " UNION ALL ".join(f"SELECT {_sql_lit(t)} AS table_name, {p} AS table_pos, {r} AS row_count"

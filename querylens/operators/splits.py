@@ -90,7 +90,12 @@ def split_within_group(df: DataFrame, group_col: str = "db_id", key_col: str = "
     return out.withColumn("split", F.when(F.col("_small").isNotNull(), "skipped").otherwise(F.col("split"))).drop("_small")
 
 
-def _within_group_stratified_quotas(df, group_col, label_col, test_size):
+def _group_quotas(df: DataFrame, group_col: str, label_col: str, test_size: float) -> DataFrame:
+    """One row per stratum ``(group, _slabel)`` with ``_test_q`` (rows ranked
+    below it are test) and ``_train_first`` (tiny groups: the first
+    ``_train_q`` rows are train).  ``_slabel`` is the label when the group is
+    stratified (two classes, the smaller with at least 2 rows), else null.
+    Sizes are bounded by groups x classes."""
     counts = df.groupBy(group_col, label_col).agg(F.count(F.lit(1)).alias("_n"))
     g = Window.partitionBy(group_col)
     counts = (counts.withColumn("_gn", F.sum("_n").over(g))
@@ -99,36 +104,59 @@ def _within_group_stratified_quotas(df, group_col, label_col, test_size):
     strat = (F.col("_ncls") > 1) & (F.col("_minc") >= 2)
     n_train = F.col("_gn") - F.ceil(F.lit(float(test_size)) * F.col("_gn"))
     q = _largest_remainder(counts, [group_col], label_col, "_n", n_train)
-    return q.withColumn("_strat", strat).withColumn("_test_q", F.col("_n") - F.col("_quota"))
+    per_class = q.where(strat).select(group_col, F.col(label_col).alias("_slabel"),
+                                      (F.col("_n") - F.col("_quota")).alias("_test_q"))
+    plain = (counts.where(~strat).groupBy(group_col).agg(F.first("_gn").alias("_gn"))
+             .select(group_col, F.lit(None).cast(df.schema[label_col].dataType).alias("_slabel"),
+                     F.ceil(F.lit(float(test_size)) * F.col("_gn")).cast("long").alias("_test_q")))
+    return per_class.unionByName(plain)
+
+
+def _assign_groups(df: DataFrame, quotas: DataFrame, group_col: str, label_col: str, key_col: str,
+                   seed: int) -> DataFrame:
+    """One ranking pass over all groups: stratified groups rank inside
+    (group, label), the others inside (group)."""
+    strat_groups = quotas.where(F.col("_slabel").isNotNull()).select(F.col(group_col).alias("_sg")).distinct()
+    # one row per stratified group: bounded by the number of groups
+    x = df.join(F.broadcast(strat_groups), df[group_col] == strat_groups["_sg"], "left")
+    x = x.withColumn("_slabel", F.when(F.col("_sg").isNotNull(), F.col(label_col))).drop("_sg")
+    out = _assign(x, quotas, [group_col, "_slabel"], key_col, seed, "_test_q", "test", "train")
+    return out.drop("_slabel")
 
 
 def split_within_group_stratified(df: DataFrame, group_col: str = "db_id", label_col: str = "label_binary",
                                   key_col: str = "question_id", test_size: float = TEST_SIZE,
                                   seed: int = SEED) -> DataFrame:
     """T4: per group 80/20, stratified by label only when the group has two
-    classes and the smaller has at least 2 rows; otherwise plain."""
-    q = _within_group_stratified_quotas(df, group_col, label_col, test_size)
-    strat_groups = q.where("_strat").select(group_col).distinct()
-    sdf = df.join(F.broadcast(strat_groups), group_col, "left_semi")
-    pdf = df.join(F.broadcast(strat_groups), group_col, "left_anti")
-    s_out = _assign(sdf, q.where("_strat"), [group_col, label_col], key_col, seed, "_test_q", "test", "train")
-    p_counts = pdf.groupBy(group_col).agg(F.count(F.lit(1)).alias("_n"))
-    p_q = p_counts.select(group_col, F.ceil(F.lit(float(test_size)) * F.col("_n")).cast("long").alias("_test_q"))
-    p_out = _assign(pdf, p_q, [group_col], key_col, seed, "_test_q", "test", "train")
-    return s_out.unionByName(p_out)
+    classes and the smaller has at least 2 rows; otherwise plain.  All
+    groups are assigned in one ranking pass."""
+    q = _group_quotas(df, group_col, label_col, test_size)
+    return _assign_groups(df, q, group_col, label_col, key_col, seed)
 
 
 def split_seen_pooled(df: DataFrame, group_col: str = "db_id", label_col: str = "label_binary",
                       key_col: str = "question_id", test_size: float = TEST_SIZE, seed: int = SEED) -> DataFrame:
     """T5: per group; fewer than 5 rows -> the first max(1, round(0.8 n))
-    shuffled rows train, the rest test; otherwise T4.  One job for all groups."""
+    shuffled rows train, the rest test; otherwise T4.  One job for all groups:
+    a tiny group is one unstratified stratum whose test quota is
+    n - max(1, round(0.8 n)), taken from the end of its md5 order."""
+    q = _group_quotas(df, group_col, label_col, test_size)
     sizes = df.groupBy(group_col).agg(F.count(F.lit(1)).alias("_n"))
-    tiny = sizes.where(F.col("_n") < 5)
-    big = df.join(F.broadcast(tiny.select(group_col)), group_col, "left_anti")
-    small = df.join(F.broadcast(tiny.select(group_col)), group_col, "left_semi")
-    tq = tiny.select(group_col, F.greatest(F.lit(1), F.bround(F.col("_n") * 0.8, 0).cast("long")).alias("_train_q"))
-    small_out = _assign(small, tq, [group_col], key_col, seed, "_train_q", "train", "test")
-    return split_within_group_stratified(big, group_col, label_col, key_col, test_size, seed).unionByName(small_out)
+    tiny = sizes.where(F.col("_n") < 5).select(
+        group_col, F.lit(None).cast(df.schema[label_col].dataType).alias("_slabel"),
+        F.greatest(F.lit(1), F.bround(F.col("_n") * 0.8, 0).cast("long")).alias("_train_q"))
+    q = q.join(tiny.select(group_col), group_col, "left_anti").withColumn("_train_q", F.lit(None).cast("long"))
+    q = q.unionByName(tiny.withColumn("_test_q", F.lit(None).cast("long")))
+    strat_groups = q.where(F.col("_slabel").isNotNull()).select(F.col(group_col).alias("_sg")).distinct()
+    x = df.join(F.broadcast(strat_groups), df[group_col] == strat_groups["_sg"], "left")
+    x = x.withColumn("_slabel", F.when(F.col("_sg").isNotNull(), F.col(label_col))).drop("_sg")
+    keyed = x.withColumn("_h", shuffle_key(key_col, seed))
+    r = rank_within(keyed, [group_col, "_slabel"], [F.col("_h").asc()])
+    qq = q.select(F.col(group_col).alias("_qg"), F.col("_slabel").alias("_ql"), "_test_q", "_train_q")
+    j = r.join(F.broadcast(qq), F.col(group_col).eqNullSafe(F.col("_qg")) & F.col("_slabel").eqNullSafe(F.col("_ql")), "left")
+    is_test = F.when(F.col("_train_q").isNotNull(), F.col("_rn") >= F.col("_train_q")).otherwise(
+        F.col("_rn") < F.coalesce(F.col("_test_q"), F.lit(0)))
+    return j.select(*df.columns, F.when(is_test, "test").otherwise("train").alias("split"))
 
 
 def stratified_folds(df: DataFrame, k: int = 5, label_col: str = "label_binary", key_col: str = "question_id",

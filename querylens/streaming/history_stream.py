@@ -40,11 +40,12 @@ def read_history_stream(spark: SparkSession, path: str, schema: StructType, file
 
 def ingest(stream: DataFrame, watermark: str = "1 hour") -> DataFrame:
     """ST1: dedupe on id within the watermark, derive label and timestamp."""
-    # watermarks need TIMESTAMP (parquet may carry TIMESTAMP_NTZ); the session time zone is UTC
-    s = stream.withColumn("ts", F.col("ts").cast("timestamp"))
-    s = s.withWatermark("ts", watermark).dropDuplicatesWithinWatermark(["id"])
+    # watermarks need TIMESTAMP while parquet may carry TIMESTAMP_NTZ: the
+    # watermark runs on a cast copy, the text stamp is formatted from the original
+    s = stream.withColumn("_event_ts", F.col("ts").cast("timestamp"))
+    s = s.withWatermark("_event_ts", watermark).dropDuplicatesWithinWatermark(["id"])
     return (s.withColumn("actual_label", threshold_label(F.col("runtime_s"), F.col("had_error")))
-             .withColumn("timestamp", F.date_format("ts", "yyyy-MM-dd'T'HH:mm:ss")))
+             .withColumn("timestamp", F.date_format("ts", "yyyy-MM-dd'T'HH:mm:ss")).drop("_event_ts"))
 
 
 def running_moments(stream: DataFrame) -> DataFrame:

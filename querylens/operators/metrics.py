@@ -268,7 +268,7 @@ def wilcoxon_top_two(scores: DataFrame, model_col="model", fold_col="fold", valu
     enumerated over all 2^n sign patterns with ``spark.range`` (n = number of
     folds, small); with tied |d| the normal approximation is used."""
     means = scores.groupBy(model_col).agg(F.avg(value).alias("_m"))
-    w = Window.orderBy(F.desc("_m"), model_col)
+    w = Window.orderBy(F.desc("_m"), model_col)  # one row per model
     top = means.withColumn("_r", F.row_number().over(w)).where(F.col("_r") <= 2)
     a = top.where(F.col("_r") == 1).select(F.col(model_col).alias("model_a"))
     b = top.where(F.col("_r") == 2).select(F.col(model_col).alias("model_b"))

@@ -71,7 +71,7 @@ def split_random_stratified(df: DataFrame, label_col: str = "label_binary", key_
     """Stratified test share ``ceil(test_size * n)``; train quotas per
     class by largest remainder, test takes the rest of each class."""
     counts = df.groupBy(label_col).agg(F.count(F.lit(1)).alias("_n"))
-    tot = F.sum("_n").over(Window.partitionBy())
+    tot = F.sum("_n").over(Window.partitionBy())  # one row per class
     n_train = tot - F.ceil(F.lit(float(test_size)) * tot)
     q = _largest_remainder(counts, [], label_col, "_n", n_train)
     q = q.withColumn("_test_q", F.col("_n") - F.col("_quota"))

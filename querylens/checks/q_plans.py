@@ -54,8 +54,9 @@ _BASE = [
     ("top", "SELECT query_id, node_id FROM flag WHERE parent_id IS NULL OR (parent_id = 0 AND NOT pe)"),
     ("roots", """SELECT * FROM top UNION ALL SELECT query_id, min(node_id) FROM plan_nodes
                 WHERE query_id NOT IN (SELECT query_id FROM top) GROUP BY query_id"""),
-    ("r(query_id, node_id, depth)", """SELECT query_id, node_id, 1 FROM roots UNION ALL
-        SELECT n.query_id, n.node_id, r.depth + 1 FROM r JOIN plan_nodes n ON n.query_id = r.query_id AND n.parent_id = r.node_id"""),
+    ("r(query_id, node_id, depth, path)", """SELECT query_id, node_id, 1, [node_id] FROM roots UNION ALL
+        SELECT n.query_id, n.node_id, r.depth + 1, list_append(r.path, n.node_id) FROM r JOIN plan_nodes n
+          ON n.query_id = r.query_id AND n.parent_id = r.node_id WHERE NOT list_contains(r.path, n.node_id)"""),
     ("rn", "SELECT n.*, r.depth FROM plan_nodes n JOIN r ON n.query_id = r.query_id AND n.node_id = r.node_id"),
     ("hit", """SELECT query_id, node_id, arg_min(table_name, table_pos) AS table_name FROM (
                  SELECT query_id, node_id, unnest(list_distinct(regexp_extract_all(lower(detail), '\\w+'))) AS tok FROM rn) x

@@ -88,20 +88,22 @@ def reachable_nodes(nodes: DataFrame) -> DataFrame:
     no node 0 exists; without any top-level node the smallest id is the only
     root.  Nodes below a missing non-zero parent are unreachable."""
     n = nodes.select("query_id", "node_id", "parent_id")
-    ids = n.select(F.col("query_id").alias("_q"), F.col("node_id").alias("_pid_present")).distinct()
-    flagged = n.join(ids, (F.col("query_id") == F.col("_q")) & (F.col("parent_id") == F.col("_pid_present")), "left").select(
-        "query_id", "node_id", "parent_id", F.col("_pid_present").isNotNull().alias("_parent_exists"))
-    top = flagged.where(F.col("parent_id").isNull() | ((F.col("parent_id") == 0) & ~F.col("_parent_exists")))
-    have_top = top.select("query_id").distinct()
-    fallback = (n.join(have_top, "query_id", "left_anti").groupBy("query_id")
-                .agg(F.min("node_id").alias("node_id")))
-    roots = top.select("query_id", "node_id").unionByName(fallback)
+    # one row per query with its node ids: a plan's size is bounded by its SQL text
+    per_q = n.groupBy("query_id").agg(F.collect_list(F.struct("node_id", "parent_id")).alias("_nodes"))
+    ids = F.transform("_nodes", lambda x: x["node_id"])
+    tops = F.filter("_nodes", lambda x: x["parent_id"].isNull()
+                    | ((x["parent_id"] == 0) & ~F.array_contains(ids, F.lit(0))))
+    root_ids = F.when(F.size(tops) > 0, F.transform(tops, lambda x: x["node_id"])).otherwise(F.array(F.array_min(ids)))
+    roots = per_q.select("query_id", F.explode(root_ids).alias("node_id"))
     spark = nodes.sparkSession
-    return spark.sql("""WITH RECURSIVE r(query_id, node_id, depth) AS (
-        SELECT query_id, node_id, 1 FROM {roots}
+    # the path guards against parent cycles (a node is never entered twice);
+    # its length is bounded by the plan depth
+    return spark.sql("""WITH RECURSIVE r(query_id, node_id, depth, path) AS (
+        SELECT query_id, node_id, 1, array(node_id) FROM {roots}
         UNION ALL
-        SELECT n.query_id, n.node_id, r.depth + 1 FROM r JOIN {nodes} n
-          ON n.query_id = r.query_id AND n.parent_id = r.node_id AND NOT (n.parent_id IS NULL))
+        SELECT n.query_id, n.node_id, r.depth + 1, array_append(r.path, n.node_id) FROM r JOIN {nodes} n
+          ON n.query_id = r.query_id AND n.parent_id = r.node_id AND NOT (n.parent_id IS NULL)
+        WHERE NOT array_contains(r.path, n.node_id))
       SELECT query_id, node_id, depth FROM r""", roots=roots, nodes=n)
 
 

@@ -131,3 +131,17 @@ def test_wilcoxon_statistic_and_exact_p(spark):
     assert r["model_a"] == "a" and r["n"] == 5 and r["statistic"] == pytest.approx(1.0)
     p = me.wilcoxon_exact_p(4, 0.0, spark)
     assert p == pytest.approx(2 / 16)
+
+
+def test_plan_reachability_rules(spark):
+    from querylens.plans.plan_tree import reachable_nodes
+    rows = [
+        (1, 2, 0), (1, 5, 2), (1, 9, 7),          # 9 hangs under a missing non-zero parent: dropped
+        (2, 0, None), (2, 3, 0),                 # node 0 exists: 3 is its child, 0 is top (null parent)
+        (3, 4, 6), (3, 6, 4),                    # no top-level node: smallest id (4) is the root
+    ]
+    df = spark.createDataFrame(rows, "query_id long, node_id int, parent_id int")
+    got = {(r["query_id"], r["node_id"]): r["depth"] for r in reachable_nodes(df).collect()}
+    assert got[(1, 2)] == 1 and got[(1, 5)] == 2 and (1, 9) not in got
+    assert got[(2, 0)] == 1 and got[(2, 3)] == 2
+    assert got[(3, 4)] == 1 and got[(3, 6)] == 2 and len([k for k in got if k[0] == 3]) == 2

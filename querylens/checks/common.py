@@ -8,6 +8,22 @@ from pyspark.sql import functions as F
 from ..functions.sqltext import FEATURE_COLUMNS
 from ..sources.fixtures import with_ctes  # noqa: F401  (re-export)
 
+# Intermediates shared by several registered queries within one session
+# (e.g. the labelled training table, one cross-validation run), materialised
+# once.  ``clear_shared()`` drops them; bench.py calls it before each timing.
+_SHARED: dict = {}
+
+
+def shared(spark, sf_dir: str, name: str, build):
+    key = (spark.sparkContext.applicationId, sf_dir, name)
+    if key not in _SHARED:
+        _SHARED[key] = build()
+    return _SHARED[key]
+
+
+def clear_shared() -> None:
+    _SHARED.clear()
+
 
 def r6(c, digits: int = 6) -> Column:
     """Round half up to ``digits`` places with plain double arithmetic,

@@ -15,26 +15,35 @@ from ..operators import splits as sp
 from ..plans import plan_tree as pt
 from ..registry import register
 from ..sources import fixtures as fx
+from .common import shared
 
 _HOLD = ["db_3", "db_7"]
 _CV_MODELS = ["Logistic Regression", "Random Forest"]
 
 
 def _table(spark, sf):
-    return rg.training_table(fx.query_log(spark, sf), ca.schema_stats(fx.catalog_tables(spark, sf)))
+    return shared(spark, sf, "training_table", lambda: rg.training_table(
+        fx.query_log(spark, sf), ca.schema_stats(fx.catalog_tables(spark, sf))).checkpoint())
+
+
+def _cv(spark, sf):
+    def run():
+        scores, scored = mo.cross_validate(_table(spark, sf), FEATURE_COLUMNS, _CV_MODELS)
+        return scores.checkpoint(), scored.checkpoint()
+    return shared(spark, sf, "cross_validation", run)
 
 
 def _m9(spark, sf):
-    return mo.cross_validate(_table(spark, sf), FEATURE_COLUMNS, _CV_MODELS)[0]
+    return _cv(spark, sf)[0]
 
 
 def _m10(spark, sf):
-    scores, _ = mo.cross_validate(_table(spark, sf), FEATURE_COLUMNS, _CV_MODELS)
+    scores, _ = _cv(spark, sf)
     return mo.select_best(mo.cv_summary(scores), _CV_MODELS)
 
 
 def _m11(spark, sf):
-    scores, scored = mo.cross_validate(_table(spark, sf), FEATURE_COLUMNS, _CV_MODELS)
+    scores, scored = _cv(spark, sf)
     best = mo.select_best(mo.cv_summary(scores), _CV_MODELS).select("model")
     return scored.join(best, "model", "left_semi")
 

@@ -9,7 +9,7 @@ from ..operators import linear as li
 from ..operators import regression as rg
 from ..registry import register
 from ..sources import fixtures as fx
-from .common import d6, r6, with_ctes
+from .common import d6, r6, shared, with_ctes
 
 _HOLD = ["db_3", "db_7"]
 
@@ -19,7 +19,8 @@ def _stats(spark, sf):
 
 
 def _table(spark, sf):
-    return rg.training_table(fx.query_log(spark, sf), _stats(spark, sf))
+    return shared(spark, sf, "training_table", lambda: rg.training_table(
+        fx.query_log(spark, sf), ca.schema_stats(fx.catalog_tables(spark, sf))).checkpoint())
 
 
 _KEPT = [("q", "SELECT quantile_cont(runtime_s, 0.5) AS p50, quantile_cont(runtime_s, 0.75) AS p75 FROM query_log"),

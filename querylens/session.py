@@ -16,6 +16,9 @@ DEFAULT_CONF = {
     "spark.sql.execution.arrow.pyspark.enabled": "true",
     # checkpoints written by the ranking helper are removed once unreferenced
     "spark.cleaner.referenceTracking.cleanCheckpoints": "true",
+    # long sessions run many jobs: let the cleaner release shuffles,
+    # broadcasts and checkpoints of finished queries regularly
+    "spark.cleaner.periodicGC.interval": "2min",
 }
 
 

@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import as_text
+from .common import as_text, map_arrow
 
 SHORT_BYTES = 64
 CACHE_PIECES = 300_000
@@ -337,7 +337,7 @@ def encode(docs: DataFrame, path: str, text: str = "text", out: str = "ids", dec
                     names.append(decoded)
                 yield pa.RecordBatch.from_arrays(arrays, names=names)
 
-    return src.mapInArrow(run, ", ".join(fields))
+    return map_arrow(src, run, ", ".join(fields))
 
 
 def decode(rows: DataFrame, path: str, ids: str = "ids", out: str = "text",
@@ -356,7 +356,7 @@ def decode(rows: DataFrame, path: str, ids: str = "ids", out: str = "text",
             yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(texts, pa.string())],
                                              names=[*batch.schema.names[:-1], out])
 
-    return src.mapInArrow(run, ", ".join(fields))
+    return map_arrow(src, run, ", ".join(fields))
 
 
 def round_trip_digest(docs: DataFrame, path: str) -> DataFrame:

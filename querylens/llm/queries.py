@@ -28,3 +28,10 @@ def vocabulary() -> str:
 def op10_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .bpe import round_trip_digest
     return round_trip_digest(read_table(spark, sf_dir, "documents", "doc_id", "text"), vocabulary())
+
+
+@query
+def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .toxicity import toxicity
+    return toxicity(read_table(spark, sf_dir, "documents", "doc_id", "text"),
+                    read_table(spark, sf_dir, "labels", "doc_id", "toxic"))

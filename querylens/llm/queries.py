@@ -35,3 +35,34 @@ def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .toxicity import toxicity
     return toxicity(read_table(spark, sf_dir, "documents", "doc_id", "text"),
                     read_table(spark, sf_dir, "labels", "doc_id", "toxic"))
+
+
+@query
+def op4_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from pyspark.sql import functions as F
+
+    from .substrings import substring_dedup
+    found = substring_dedup(read_table(spark, sf_dir, "documents", "doc_id", "text"))
+    return found.select("doc_id", "n_words", "n_removed", F.sha2("kept_text", 256).alias("kept_sha256"))
+
+
+ORACLES["op4_substring_dedup"] = r"""
+WITH w AS (
+  SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS ws FROM documents),
+win AS (
+  SELECT doc_id, i, md5(array_to_string(ws[i:i + 49], ' ')) AS s
+  FROM (SELECT doc_id, ws, unnest(range(1, len(ws) - 48)) AS i FROM w WHERE len(ws) >= 50)),
+least AS (SELECT s, min(doc_id) AS m FROM win GROUP BY s),
+gone AS (
+  SELECT DISTINCT doc_id, i + j AS p
+  FROM (SELECT win.doc_id, win.i, unnest(range(0, 50)) AS j FROM win JOIN least ON win.s = least.s AND m < win.doc_id)),
+word AS (SELECT doc_id, unnest(ws) AS word, unnest(range(1, len(ws) + 1)) AS p FROM w),
+kept AS (
+  SELECT word.doc_id, string_agg(word.word, ' ' ORDER BY word.p) AS t
+  FROM word LEFT JOIN gone ON gone.doc_id = word.doc_id AND gone.p = word.p
+  WHERE gone.p IS NULL GROUP BY word.doc_id),
+n AS (SELECT doc_id, count(*) AS n FROM gone GROUP BY doc_id)
+SELECT w.doc_id, CAST(len(ws) AS BIGINT) AS n_words, CAST(coalesce(n.n, 0) AS BIGINT) AS n_removed,
+       sha256(coalesce(kept.t, '')) AS kept_sha256
+FROM w LEFT JOIN n ON n.doc_id = w.doc_id LEFT JOIN kept ON kept.doc_id = w.doc_id
+"""

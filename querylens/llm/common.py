@@ -6,8 +6,10 @@ import os
 import tempfile
 import uuid
 import zipfile
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -39,6 +41,69 @@ def map_arrow(df: DataFrame, fn: Callable, schema: str) -> DataFrame:
     return df.mapInArrow(fn, schema)
 
 
+def grouped(df: DataFrame, *keys: str) -> DataFrame:
+    """Rows of one key together and in order within a partition."""
+    n = shuffle_partitions(df.sparkSession)
+    return df.repartition(n, *keys).sortWithinPartitions(*keys)
+
+
+def sorted_groups(batches: Iterator[pa.RecordBatch], *keys: str) -> Iterator[pa.RecordBatch]:
+    """The runs of rows with equal ``keys`` (longs or ints, not null) of a
+    sorted partition, across batch borders."""
+    pending: list[pa.RecordBatch] = []
+    last = None
+
+    def flush():
+        return pending[0] if len(pending) == 1 else pa.concat_batches(pending)
+
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        cols = [batch.column(k).to_numpy() for k in keys]
+        new = np.zeros(batch.num_rows, bool)
+        for c in cols:
+            new[1:] |= c[1:] != c[:-1]
+        cuts = [0, *np.flatnonzero(new).tolist(), batch.num_rows]
+        for a, b in zip(cuts, cuts[1:]):
+            key = tuple(c[a] for c in cols)
+            if pending and key != last:
+                yield flush()
+                pending = []
+            pending.append(batch.slice(a, b - a))
+            last = key
+    if pending:
+        yield flush()
+
+
+def in_blocks(members: DataFrame, size: str, block: int, node: str) -> DataFrame:
+    """Split the members of each bucket (``size`` rows) into blocks of about
+    ``block`` and give every pair of blocks of a bucket its own rows: columns
+    ``bi <= bj`` name the pair and ``own`` the member's block.  Two members of a
+    bucket meet in exactly one pair of blocks, and no task sees more than two
+    blocks."""
+    n = F.ceil(F.col(size) / F.lit(block)).cast("int")
+    own = F.pmod(F.xxhash64(F.col(node)), n.cast("long")).cast("int")
+    return (members.withColumn("own", own).withColumn("_other", F.explode(F.sequence(F.lit(0), n - 1)))
+            .withColumn("bi", F.least("own", "_other")).withColumn("bj", F.greatest("own", "_other")).drop("_other"))
+
+
+def forest(n: int, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Smallest linked index of each of ``n`` items under links a-b."""
+    root = list(range(n))
+
+    def find(i: int) -> int:
+        while root[i] != i:
+            root[i] = root[root[i]]
+            i = root[i]
+        return i
+
+    for i, j in zip(a.tolist(), b.tolist()):
+        i, j = find(i), find(j)
+        if i != j:
+            root[max(i, j)] = min(i, j)
+    return np.array([find(i) for i in range(n)], np.int64)
+
+
 def materialise(df: DataFrame, name: str) -> DataFrame:
     """Write ``df`` once as Parquet into the cluster's shared folder and read
     it back: the lineage ends there, every later branch sees the same rows,

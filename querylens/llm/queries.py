@@ -66,3 +66,31 @@ SELECT w.doc_id, CAST(len(ws) AS BIGINT) AS n_words, CAST(coalesce(n.n, 0) AS BI
        sha256(coalesce(kept.t, '')) AS kept_sha256
 FROM w LEFT JOIN n ON n.doc_id = w.doc_id LEFT JOIN kept ON kept.doc_id = w.doc_id
 """
+
+
+@query
+def op2_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .jaccard import jaccard_links
+    found = jaccard_links(read_table(spark, sf_dir, "documents", "doc_id", "text"))
+    return found.select("doc_id", "class_id", "n_links", "component_id", "kept")
+
+
+ORACLES["op2_jaccard_join"] = r"""
+WITH RECURSIVE w AS (
+  SELECT doc_id, text, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS ws FROM documents),
+sh AS (
+  SELECT DISTINCT doc_id, md5(array_to_string(ws[i:i + 4], ' ')) AS s
+  FROM (SELECT doc_id, ws, unnest(range(1, greatest(len(ws) - 3, 2))) AS i FROM w WHERE len(ws) > 0)),
+n AS (SELECT doc_id, count(*) AS n FROM sh GROUP BY doc_id),
+shared AS (SELECT a.doc_id AS x, b.doc_id AS y, count(*) AS k FROM sh a JOIN sh b ON a.s = b.s AND a.doc_id <> b.doc_id GROUP BY 1, 2),
+link AS (
+  SELECT x, y FROM shared JOIN n nx ON nx.doc_id = x JOIN n ny ON ny.doc_id = y
+  WHERE CAST(k AS DOUBLE) / CAST(nx.n + ny.n - k AS DOUBLE) >= 0.8),
+reach AS (SELECT x, y FROM link UNION SELECT reach.x, link.y FROM reach JOIN link ON reach.y = link.x),
+comp AS (SELECT x, least(x, min(y)) AS c FROM reach GROUP BY x),
+cnt AS (SELECT x, count(*) AS k FROM link GROUP BY x),
+cls AS (SELECT text, min(doc_id) AS m FROM w WHERE len(ws) > 0 GROUP BY text)
+SELECT w.doc_id, coalesce(cls.m, w.doc_id) AS class_id, CAST(coalesce(cnt.k, 0) AS BIGINT) AS n_links,
+       coalesce(comp.c, w.doc_id) AS component_id, coalesce(comp.c, w.doc_id) = w.doc_id AS kept
+FROM w LEFT JOIN cls ON cls.text = w.text LEFT JOIN cnt ON cnt.x = w.doc_id LEFT JOIN comp ON comp.x = w.doc_id
+"""

@@ -31,6 +31,8 @@ SAMPLE_ROWS = 20_000
 FEATURES = 4_096
 BUCKET_BITS = 20
 BUCKETS = 1 << BUCKET_BITS
+RUN_CHARS = 1 << 18
+SAMPLE_TASKS = 16
 NGRAMS = (2, 3, 4, 5)
 
 
@@ -139,22 +141,28 @@ def train(docs: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_ROWS, fe
               .groupBy("doc_id").agg(F.max((F.col("toxic") != 0).cast("int")).alias("_toxic"))
               .orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample_rows))
     # at most sample_rows short rows: safe to broadcast
+    # and the sample is read by a fixed number of tasks
     sample = materialise(docs.select("doc_id", as_text("text").alias("_text")).join(F.broadcast(marked), "doc_id")
-                         .select("_toxic", "_text"), "toxic-sample")
+                         .select("_toxic", "_text"), "toxic-sample").coalesce(SAMPLE_TASKS)
 
     def count(batches):
-        seen = np.zeros((2, BUCKETS), np.int64)
+        seen = np.zeros((2, BUCKETS), np.int32)
         rows = np.zeros(2, np.int64)
+        last = np.zeros(BUCKETS, np.int32)
         for batch in batches:
             toxic = batch.column(0).to_numpy()
-            for first, texts in text_runs(batch.column(1)):
+            for first, texts in text_runs(batch.column(1), RUN_CHARS):
                 y = toxic[first:first + len(texts)]
                 rows += np.bincount(y, minlength=2)
-                keys = [t.astype(np.int64)[ok] * BUCKETS + b[ok] for t, b, ok in gram_buckets(texts)]
-                keys = np.unique(np.concatenate(keys)) if keys else np.zeros(0, np.int64)
-                label = y[keys // BUCKETS]
-                for k in (0, 1):
-                    seen[k] += np.bincount(keys[label == k] % BUCKETS, minlength=BUCKETS)
+                grams = [(t[ok], b[ok]) for t, b, ok in gram_buckets(texts)]
+                cuts = [np.searchsorted(t, np.arange(len(texts) + 1)) for t, _ in grams]
+                for i, label in enumerate(y):
+                    mine = [b[c[i]:c[i + 1]] for (_, b), c in zip(grams, cuts)]
+                    mine = np.concatenate(mine) if mine else np.zeros(0, np.int32)
+                    # one place of each bucket wins the last write
+                    place = np.arange(len(mine), dtype=np.int32)
+                    last[mine] = place
+                    seen[label, mine[last[mine] == place]] += 1
         held = np.flatnonzero(seen.any(axis=0))
         yield pa.RecordBatch.from_arrays([pa.array(np.append(held, -1)), pa.array(np.append(seen[0][held], rows[0])),
                                           pa.array(np.append(seen[1][held], rows[1]))], names=["bucket", "clean", "toxic"])
@@ -180,7 +188,7 @@ def train(docs: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_ROWS, fe
         number = np.full(BUCKETS, -1, np.int16)
         number[buckets] = np.arange(len(buckets), dtype=np.int16)
         for batch in batches:
-            for first, texts in text_runs(batch.column(1)):
+            for first, texts in text_runs(batch.column(1), RUN_CHARS):
                 text, feature = present(texts, number, max(1, len(buckets)))
                 ends = np.searchsorted(text, np.arange(len(texts) + 1))
                 yield pa.RecordBatch.from_arrays(
@@ -210,7 +218,7 @@ def score(docs: DataFrame, model: ToxicityModel, text: str = "text", carry: tupl
         number = model.table()
         for batch in batches:
             last = batch.num_columns - 1
-            for first, texts in text_runs(batch.column(last)):
+            for first, texts in text_runs(batch.column(last), RUN_CHARS):
                 kept = [batch.column(i).slice(first, len(texts)) for i in range(last)]
                 yield pa.RecordBatch.from_arrays([*kept, pa.array(model.score_texts(texts, number), pa.float64())],
                                                  names=[*batch.schema.names[:-1], out])

@@ -94,3 +94,9 @@ SELECT w.doc_id, coalesce(cls.m, w.doc_id) AS class_id, CAST(coalesce(cnt.k, 0)
        coalesce(comp.c, w.doc_id) AS component_id, coalesce(comp.c, w.doc_id) = w.doc_id AS kept
 FROM w LEFT JOIN cls ON cls.text = w.text LEFT JOIN cnt ON cnt.x = w.doc_id LEFT JOIN comp ON comp.x = w.doc_id
 """
+
+
+@query
+def op6_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .secrets import secrets_digest
+    return secrets_digest(read_table(spark, sf_dir, "documents", "doc_id", "text"))

@@ -100,3 +100,10 @@ FROM w LEFT JOIN cls ON cls.text = w.text LEFT JOIN cnt ON cnt.x = w.doc_id LEFT
 def op6_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .secrets import secrets_digest
     return secrets_digest(read_table(spark, sf_dir, "documents", "doc_id", "text"))
+
+
+@query
+def op3_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .mixing import mixed_rates
+    return mixed_rates(read_table(spark, sf_dir, "documents", "doc_id", "text", "lang"),
+                       read_table(spark, sf_dir, "labels", "doc_id"))

@@ -107,3 +107,33 @@ def op3_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .mixing import mixed_rates
     return mixed_rates(read_table(spark, sf_dir, "documents", "doc_id", "text", "lang"),
                        read_table(spark, sf_dir, "labels", "doc_id"))
+
+
+@query
+def op5_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .attribution import token_counts
+    found = token_counts(read_table(spark, sf_dir, "documents", "doc_id", "text"), vocabulary())
+    return found.select("doc_id", "section", "start", "end", "n_tokens", "n_crossing")
+
+
+@query
+def op1_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .conversations import chat_format
+    return chat_format(read_table(spark, sf_dir, "conversations", "conv_id", "turn", "role", "text"))
+
+
+ORACLES["op1_chat_format"] = r"""
+WITH t AS (
+  SELECT DISTINCT conv_id, turn, coalesce(role, 'unknown') AS role, coalesce(text, '') AS text
+  FROM conversations WHERE conv_id IS NOT NULL),
+p AS (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST) AS i,
+             count(*) OVER (PARTITION BY conv_id) AS n FROM t),
+w AS (SELECT conv_id, i, n, '<|im_start|>' || role || chr(10) || text || '<|im_end|>' || chr(10) AS s FROM p),
+pre AS (SELECT a.conv_id, a.i, a.n, string_agg(b.s, '' ORDER BY b.i) AS s
+        FROM w a JOIN w b ON a.conv_id = b.conv_id AND b.i <= a.i GROUP BY a.conv_id, a.i, a.n),
+whole AS (SELECT conv_id, n, s FROM pre WHERE i = n)
+SELECT conv_id, CAST(0 AS INTEGER) AS segment, CAST(n AS BIGINT) AS n_turns, s AS text
+FROM whole
+WHERE NOT EXISTS (SELECT 1 FROM pre WHERE pre.i = whole.n AND pre.s = whole.s
+                  AND (pre.n > whole.n OR (pre.n = whole.n AND pre.conv_id < whole.conv_id)))
+"""

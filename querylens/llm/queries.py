@@ -137,3 +137,29 @@ FROM whole
 WHERE NOT EXISTS (SELECT 1 FROM pre WHERE pre.i = whole.n AND pre.s = whole.s
                   AND (pre.n > whole.n OR (pre.n = whole.n AND pre.conv_id < whole.conv_id)))
 """
+
+
+@query
+def op7_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .vectors import embedding_links
+    return embedding_links(read_table(spark, sf_dir, "embeddings", "vec_id", "embedding"))
+
+
+ORACLES["op7_embedding_dedup"] = r"""
+WITH RECURSIVE c AS (
+  SELECT vec_id, unnest(embedding)::DOUBLE AS x, generate_subscripts(embedding, 1) AS i
+  FROM embeddings WHERE embedding IS NOT NULL),
+norm AS (
+  SELECT vec_id, sqrt(sum(x * x)) AS norm FROM c GROUP BY vec_id
+  HAVING count(x) = count(*) AND bool_and(isfinite(x)) AND sum(x * x) > 0),
+v AS (SELECT e.vec_id, CAST(e.embedding AS DOUBLE[]) AS v, norm FROM embeddings e JOIN norm USING (vec_id)),
+link AS (
+  SELECT a.vec_id AS x, b.vec_id AS y FROM v a JOIN v b ON a.vec_id <> b.vec_id AND len(a.v) = len(b.v)
+  WHERE list_dot_product(a.v, b.v) / (a.norm * b.norm) >= 0.95),
+reach AS (SELECT x, y FROM link UNION SELECT reach.x, link.y FROM reach JOIN link ON reach.y = link.x),
+comp AS (SELECT x, least(x, min(y)) AS c FROM reach GROUP BY x),
+cnt AS (SELECT x, count(*) AS k FROM link GROUP BY x)
+SELECT e.vec_id, CAST(coalesce(k, 0) AS BIGINT) AS n_links, coalesce(c, e.vec_id) AS component_id,
+       coalesce(c, e.vec_id) = e.vec_id AS kept
+FROM embeddings e LEFT JOIN comp ON comp.x = e.vec_id LEFT JOIN cnt ON cnt.x = e.vec_id
+"""

@@ -163,3 +163,23 @@ SELECT e.vec_id, CAST(coalesce(k, 0) AS BIGINT) AS n_links, coalesce(c, e.vec_id
        coalesce(c, e.vec_id) = e.vec_id AS kept
 FROM embeddings e LEFT JOIN comp ON comp.x = e.vec_id LEFT JOIN cnt ON cnt.x = e.vec_id
 """
+
+
+@query
+def op9_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .topk import integer_vectors, top_k
+    vectors = integer_vectors(read_table(spark, sf_dir, "embeddings", "vec_id", "embedding"))
+    return top_k(vectors, vectors.where("vec_id % 50 = 0"), 5)
+
+
+ORACLES["op9_topk"] = r"""
+WITH c AS (
+  SELECT vec_id, unnest(embedding)::DOUBLE AS x, generate_subscripts(embedding, 1) AS i
+  FROM embeddings WHERE embedding IS NOT NULL),
+bad AS (SELECT DISTINCT vec_id FROM c WHERE x IS NULL OR NOT isfinite(x)),
+v AS (SELECT vec_id, i, CAST(floor(256 * x) AS BIGINT) AS x FROM c WHERE vec_id NOT IN (SELECT vec_id FROM bad)),
+s AS (SELECT q.vec_id AS query_id, d.vec_id, CAST(sum(q.x * d.x) AS BIGINT) AS score
+      FROM v q JOIN v d ON q.i = d.i AND q.vec_id <> d.vec_id WHERE q.vec_id % 50 = 0 GROUP BY 1, 2),
+r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank FROM s)
+SELECT query_id, CAST(rank AS INTEGER) AS rank, vec_id, score FROM r WHERE rank <= 5
+"""

@@ -210,18 +210,22 @@ def score(docs: DataFrame, model: ToxicityModel, text: str = "text", carry: tupl
           out: str = "score") -> DataFrame:
     """Columns ``carry`` and ``out``: the probability of label 1 for every
     row and its whole text.  Null and empty texts have no n-grams and score
-    by the intercept.  Other columns are never read."""
+    by the intercept.  Columns outside ``carry`` are never read, and only the
+    text is scored."""
     src = docs.select(*carry, as_text(text).alias("_text"))
-    fields = [f"`{f.name}` {f.dataType.simpleString()}" for f in src.schema[:-1]] + [f"`{out}` double"]
+    if text in carry:      # once is enough
+        src = docs.select(*[c for c in carry if c != text], F.col(text).cast("string").alias(text))
+    kept_fields = src.schema if text in carry else src.schema[:-1]
+    fields = [f"`{f.name}` {f.dataType.simpleString()}" for f in kept_fields] + [f"`{out}` double"]
+    n_kept = len(fields) - 1
 
     def run(batches):
         number = model.table()
         for batch in batches:
-            last = batch.num_columns - 1
-            for first, texts in text_runs(batch.column(last), RUN_CHARS):
-                kept = [batch.column(i).slice(first, len(texts)) for i in range(last)]
+            for first, texts in text_runs(batch.column(batch.num_columns - 1), RUN_CHARS):
+                kept = [batch.column(i).slice(first, len(texts)) for i in range(n_kept)]
                 yield pa.RecordBatch.from_arrays([*kept, pa.array(model.score_texts(texts, number), pa.float64())],
-                                                 names=[*batch.schema.names[:-1], out])
+                                                 names=[*batch.schema.names[:n_kept], out])
 
     return map_arrow(src, run, ", ".join(fields))
 

@@ -36,8 +36,18 @@ def ship(spark: SparkSession) -> None:
     _shipped.add(sc.applicationId)
 
 
+#: Bytes of an Arrow batch sent to a Python worker, where the session keeps
+#: Spark's default of 64 MB; a single longer row is a batch of its own.
+BATCH_BYTES = 8 << 20
+
+
 def map_arrow(df: DataFrame, fn: Callable, schema: str) -> DataFrame:
-    ship(df.sparkSession)
+    """``mapInArrow`` with this package on the workers and small batches, so
+    that a worker holds a few megabytes of texts at a time."""
+    spark = df.sparkSession
+    ship(spark)
+    if spark.conf.get("spark.sql.execution.arrow.maxBytesPerBatch") in ("67108864", "67108864b", "64MB"):
+        spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
     return df.mapInArrow(fn, schema)
 
 

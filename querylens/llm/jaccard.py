@@ -27,8 +27,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import as_text, connected_components, forest, grouped, in_blocks, map_arrow, materialise, sorted_groups
-from .substrings import CLASS, packed, unpacked
+from .common import connected_components, forest, grouped, in_blocks, map_arrow, materialise, sorted_groups
+from .substrings import CLASS, hashed, packed, unpacked
 from .words import Windows, Words, chunks, mix
 
 WORDS = 5
@@ -73,12 +73,11 @@ def signatures(h: np.ndarray, first: np.ndarray) -> np.ndarray:
 
 
 def _signed_rows(docs: DataFrame, text: str) -> DataFrame:
-    src = docs.select(F.col("doc_id").cast("long").alias("doc_id"), as_text(text).alias("_t")).select(
-        "doc_id", F.xxhash64("_t").alias("h1"), F.xxhash64(F.lit(1), "_t").alias("h2"), "_t")
+    src = hashed(docs, text)
 
     def run(batches):
         for batch in batches:
-            for i, j, data, offs in chunks(batch.column(3), 1 << 20):
+            for i, j, data, offs in chunks(batch.column(3)):
                 h, first = shingles(data, offs)
                 sig = signatures(h, first)
                 yield pa.RecordBatch.from_arrays(
@@ -156,7 +155,7 @@ def _verified(rows: DataFrame, depths: list[int], floor: float, threshold: float
         for group in sorted_groups(batches, "g", "tree"):
             node, size = group.column("node").to_numpy(), group.column("size").to_numpy()
             sets = []
-            for _, _, data, offs in chunks(unpacked(group.column("z")), 1 << 20):
+            for _, _, data, offs in chunks(unpacked(group.column("z"))):
                 h, first = shingles(data, offs)
                 sets += [np.unique(h[a:b]) for a, b in zip(first[:-1], first[1:])]
             count = np.array([len(s) for s in sets])

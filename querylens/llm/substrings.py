@@ -38,11 +38,16 @@ CLASS = ["h1", "h2"]
 _SPAN = "struct<start:int,windows:int,offsets:array<int>>"
 
 
+def hashed(docs: DataFrame, text: str = "text") -> DataFrame:
+    """``doc_id, h1, h2, t``: every row with its class key, two 64-bit hashes
+    of the whole text."""
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), as_text(text).alias("t")).select(
+        "doc_id", F.xxhash64("t").alias("h1"), F.xxhash64(F.lit(1), "t").alias("h2"), "t")
+
+
 def packed(docs: DataFrame, text: str = "text") -> DataFrame:
-    """``doc_id, h1, h2, z``: the class key (two 64-bit hashes of the whole
-    text) and the compressed text of every row."""
-    src = docs.select(F.col("doc_id").cast("long").alias("doc_id"), as_text(text).alias("_t")).select(
-        "doc_id", F.xxhash64("_t").alias("h1"), F.xxhash64(F.lit(1), "_t").alias("h2"), "_t")
+    """``doc_id, h1, h2, z``: the class key and the compressed text."""
+    src = hashed(docs, text)
 
     def run(batches):
         codec = pa.Codec("zstd", compression_level=1)
@@ -109,7 +114,7 @@ def _minimizers(rows: DataFrame, window: int) -> DataFrame:
     def run(batches):
         for batch in batches:
             names = batch.schema.names
-            texts = unpacked(batch.column("z"))
+            texts = unpacked(batch.column("z")) if "z" in names else batch.column("t")
             spans = batch.column("spans").to_pylist() if "spans" in names else None
             for i, j, data, offs in chunks(texts):
                 level = _Level(data, offs, window, _inside(spans[i:j], window) if spans else None)
@@ -252,7 +257,7 @@ def substring_dedup(docs: DataFrame, window: int = 50, text: str = "text") -> Da
     an empty table gives no rows.
     """
     texts = packed(docs, text)
-    classes = _classes(texts, window)
+    classes = _classes(hashed(docs, text), window)
     spans = extend(texts, classes, window)
     reps = classes.select("h1", "h2", F.col("doc_id").alias("rep"))
     rows = texts.join(reps.join(spans, CLASS, "left"), CLASS, "left")
@@ -267,7 +272,7 @@ def longest_repeats(docs: DataFrame, window: int = 50, text: str = "text") -> Da
     text counts as far as its own length reaches.  Nulls, empty texts and
     repeated rows as in :func:`substring_dedup`."""
     texts = packed(docs, text)
-    first = materialise(texts.join(_classes(texts, window).select("h1", "h2", F.col("doc_id").alias("rep")), CLASS), "repeat-texts")
+    first = materialise(texts.join(_classes(hashed(docs, text), window).select("h1", "h2", F.col("doc_id").alias("rep")), CLASS), "repeat-texts")
     rows, found, length = first.where("doc_id = rep").drop("rep").dropDuplicates(["doc_id", "h1", "h2"]), [], window
     while True:
         level = materialise(rows.drop("spans").join(extend(rows, _classes(rows, length), length), CLASS), f"repeats-{length}")

@@ -43,19 +43,40 @@ def op4_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     from .substrings import substring_dedup
     found = substring_dedup(read_table(spark, sf_dir, "documents", "doc_id", "text"))
-    return found.select("doc_id", "n_words", "n_removed", F.sha2("kept_text", 256).alias("kept_sha256"))
+    return found.select("doc_id", "n_words", "n_removed", F.sha2("kept_text", 256).alias("kept_sha256"), "longest_repeat")
 
 
+def _repeat_levels(levels: int) -> str:
+    """CTEs ``w0, w1, ...``: windows of 50 * 2 ** j words, from two windows of
+    the level below that are shared by several documents."""
+    parts = []
+    for j in range(1, levels):
+        half = 50 << (j - 1)
+        parts.append(f"""
+c{j} AS (SELECT * FROM w{j - 1} WHERE s IN (SELECT s FROM w{j - 1} GROUP BY s HAVING min(doc_id) < max(doc_id))),
+w{j} AS (SELECT a.doc_id, a.i, md5(a.s || b.s) AS s FROM c{j} a JOIN c{j} b ON a.doc_id = b.doc_id AND b.i = a.i + {half}),""")
+    return "".join(parts)
+
+
+def _repeat_depth(levels: int) -> str:
+    each = " UNION ALL ".join(
+        f"SELECT DISTINCT x.doc_id, {50 << j} AS l FROM w{j} x JOIN (SELECT s, min(doc_id) AS m FROM w{j} GROUP BY s) y "
+        f"ON x.s = y.s AND y.m < x.doc_id" for j in range(levels))
+    return f"depth AS (SELECT doc_id, max(l) AS l FROM ({each}) GROUP BY doc_id),"
+
+
+# levels up to 25 600 words: documents have 20 000 at most
 ORACLES["op4_substring_dedup"] = r"""
 WITH w AS (
   SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS ws FROM documents),
-win AS (
+w0 AS (
   SELECT doc_id, i, md5(array_to_string(ws[i:i + 49], ' ')) AS s
   FROM (SELECT doc_id, ws, unnest(range(1, len(ws) - 48)) AS i FROM w WHERE len(ws) >= 50)),
-least AS (SELECT s, min(doc_id) AS m FROM win GROUP BY s),
+""" + _repeat_levels(10) + _repeat_depth(10) + r"""
+least AS (SELECT s, min(doc_id) AS m FROM w0 GROUP BY s),
 gone AS (
   SELECT DISTINCT doc_id, i + j AS p
-  FROM (SELECT win.doc_id, win.i, unnest(range(0, 50)) AS j FROM win JOIN least ON win.s = least.s AND m < win.doc_id)),
+  FROM (SELECT w0.doc_id, w0.i, unnest(range(0, 50)) AS j FROM w0 JOIN least ON w0.s = least.s AND m < w0.doc_id)),
 word AS (SELECT doc_id, unnest(ws) AS word, unnest(range(1, len(ws) + 1)) AS p FROM w),
 kept AS (
   SELECT word.doc_id, string_agg(word.word, ' ' ORDER BY word.p) AS t
@@ -63,8 +84,8 @@ kept AS (
   WHERE gone.p IS NULL GROUP BY word.doc_id),
 n AS (SELECT doc_id, count(*) AS n FROM gone GROUP BY doc_id)
 SELECT w.doc_id, CAST(len(ws) AS BIGINT) AS n_words, CAST(coalesce(n.n, 0) AS BIGINT) AS n_removed,
-       sha256(coalesce(kept.t, '')) AS kept_sha256
-FROM w LEFT JOIN n ON n.doc_id = w.doc_id LEFT JOIN kept ON kept.doc_id = w.doc_id
+       sha256(coalesce(kept.t, '')) AS kept_sha256, CAST(coalesce(depth.l, 0) AS BIGINT) AS longest_repeat
+FROM w LEFT JOIN n ON n.doc_id = w.doc_id LEFT JOIN kept ON kept.doc_id = w.doc_id LEFT JOIN depth ON depth.doc_id = w.doc_id
 """
 
 

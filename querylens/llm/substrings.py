@@ -2,8 +2,7 @@
 
 Windows of half the length are matched first; only windows repeated at that
 length alone are extended to twice the length, and so on until no candidates
-survive (``longest_repeats``) or the wanted length is reached
-(``substring_dedup``).
+survive.
 
 One level, from length ``half`` to ``window = 2 * half``:
 
@@ -35,7 +34,6 @@ from .common import as_text, map_arrow, materialise
 from .words import Windows, Words, chunks, signed, sliding_min, window_starts
 
 CLASS = ["h1", "h2"]
-_SPAN = "struct<start:int,windows:int,offsets:array<int>>"
 
 
 def hashed(docs: DataFrame, text: str = "text") -> DataFrame:
@@ -82,14 +80,15 @@ class _Level:
         self.start, self.key, self.text = start, key, text
 
 
-def _covers(spans: list, n_words: int, window: int) -> np.ndarray:
-    """Words covered by the windows of a text's spans."""
+def _covers(spans: list, n_words: int, window: int, field: str) -> np.ndarray:
+    """Words covered by the windows of a text's spans; ``field`` names the
+    offsets that count, null meaning all windows."""
     edge = np.zeros(n_words + 1, np.int32)
     for s in spans or ():
-        if s["offsets"] is None:
+        if s[field] is None:
             starts = np.arange(s["start"], s["start"] + s["windows"])
         else:
-            starts = s["start"] + np.asarray(s["offsets"], np.int64)
+            starts = s["start"] + np.asarray(s[field], np.int64)
         np.add.at(edge, starts, 1)
         np.add.at(edge, starts + window, -1)
     return np.cumsum(edge[:-1]) > 0
@@ -103,7 +102,7 @@ def _inside(spans: list, window: int):
         bare = np.zeros(total + 1, np.int64)
         for i, s in enumerate(spans):
             a, b = int(first[i]), int(first[i + 1])
-            bare[a + 1:b + 1] = ~_covers(s, b - a, window // 2)
+            bare[a + 1:b + 1] = ~_covers(s, b - a, window // 2, "shared")
         bare = np.cumsum(bare)
         return bare[start + window] == bare[start]
     return ok
@@ -170,34 +169,41 @@ def _runs(rows: DataFrame, window: int) -> DataFrame:
     return map_arrow(rows, run, _RUN)
 
 
-def extend(texts: DataFrame, keyed: DataFrame, window: int) -> DataFrame:
+def extend(texts: DataFrame, keyed: DataFrame, window: int) -> tuple[DataFrame, DataFrame]:
     """One level.  ``keyed``: ``h1, h2, doc_id, keys``, one row per class with
     its smallest doc_id.  ``texts``: ``doc_id, h1, h2, z`` (and ``spans`` of
-    the level below).  Returns ``h1, h2, spans``: the windows of ``window``
-    words of each class that also start in a class with a smaller doc_id,
-    as runs of window starts (all, or at ``offsets``)."""
+    the level below).  Returns the texts of the classes with candidates, and
+    ``h1, h2, spans``: runs of windows of ``window`` words of each class, and in
+    each run the offsets of windows that also start in a class with a smaller
+    doc_id (``repeats``) or with any other (``shared``), null meaning all."""
     anchors = keyed.select("h1", "h2", "doc_id", F.explode("keys").alias("m"))
     shared = (anchors.groupBy("m").agg(F.min("doc_id").alias("a"), F.max("doc_id").alias("b"))
               .where("a < b").select("m"))
     alive = (anchors.join(shared, "m").groupBy("h1", "h2", F.col("doc_id").alias("rep"))
              .agg(F.collect_list("m").alias("keys")))
-    runs = _runs(texts.join(alive, CLASS).where("doc_id = rep").drop("rep"), window)
-    runs = materialise(runs, "repeat-runs")
+    some = materialise(texts.join(alive, CLASS).where("doc_id = rep").drop("rep"), "repeat-texts")
+    runs = materialise(_runs(some, window), "repeat-runs")
     slim = runs.select("h1", "h2", "doc_id", "m", "k", "start", "windows")
-    kinds = runs.groupBy("m", "k").agg(F.min("doc_id").alias("least"))
+    kinds = materialise(runs.groupBy("m", "k").agg(F.min("doc_id").alias("least"), F.max("doc_id").alias("most")), "repeat-kinds")
     settled = slim.join(kinds, ["m", "k"])
-    whole = settled.where("doc_id > least").select("h1", "h2", "start", "windows", F.lit(None).cast("array<int>").alias("offsets"))
     several = kinds.groupBy("m").agg(F.count(F.lit(1)).alias("n"), F.min("least").alias("a"), F.max("least").alias("b"))
     # runs of one minimizer whose kinds start in different documents
     open_kinds = kinds.join(several.where("n > 1 and a < b").select("m"), "m")
-    opened = (runs.join(open_kinds, ["m", "k"]).where("doc_id = least").dropDuplicates(["m", "k"])
-              .select("m", "k", "doc_id", F.posexplode("hashes").alias("off", "h")))
-    least = (opened.groupBy("m", "h").agg(F.min("doc_id").alias("a"), F.max("doc_id").alias("b"))
-             .where("a < b").select("m", "h", "a"))
-    repeats = (opened.join(least, ["m", "h"]).where("doc_id > a").groupBy("m", "k")
-               .agg(F.collect_list("off").alias("offsets")))
-    parts = settled.where("doc_id = least").join(repeats, ["m", "k"]).select("h1", "h2", "start", "windows", "offsets")
-    return whole.union(parts).groupBy(*CLASS).agg(F.collect_list(F.struct("start", "windows", "offsets")).alias("spans"))
+    opened = materialise(runs.join(open_kinds, ["m", "k"]).where("doc_id = least").dropDuplicates(["m", "k"])
+                         .select("m", "k", "doc_id", F.posexplode("hashes").alias("off", "h")), "repeat-windows")
+    # written, so that the join has exchanges of its own, which Spark can split
+    least = materialise(opened.groupBy("m", "h").agg(F.min("doc_id").alias("a"), F.max("doc_id").alias("b"))
+                        .where("a < b").select("m", "h", "a"), "repeat-least")
+    hits = (opened.join(least, ["m", "h"]).groupBy("m", "k")
+            .agg(F.collect_list("off").alias("any"), F.collect_list(F.when(F.col("doc_id") > F.col("a"), F.col("off"))).alias("later")))
+    none, everything = F.array().cast("array<int>"), F.lit(None).cast("array<int>")
+    whole = settled.where("doc_id > least").select(*CLASS, "start", "windows", everything.alias("repeats"), everything.alias("shared"))
+    first = settled.where("doc_id = least").join(hits, ["m", "k"], "left").select(
+        *CLASS, "start", "windows", F.coalesce("later", none).alias("repeats"),
+        F.when(F.col("most") == F.col("least"), F.coalesce("any", none)).alias("shared"))
+    spans = (whole.union(first.where("shared is null or size(shared) > 0"))
+             .groupBy(*CLASS).agg(F.collect_list(F.struct("start", "windows", "repeats", "shared")).alias("spans")))
+    return some.select("doc_id", "h1", "h2", "z"), materialise(spans, f"repeats-{window}")
 
 
 def _classes(texts: DataFrame, window: int) -> DataFrame:
@@ -207,23 +213,26 @@ def _classes(texts: DataFrame, window: int) -> DataFrame:
 
 
 def _removed(rows: DataFrame, window: int) -> DataFrame:
-    """The kept text of every row, its words and removed word spans."""
+    """The kept text of every row, its words, removed word spans and the
+    longest repeat."""
     def run(batches):
         for batch in batches:
             ids, rep = batch.column("doc_id").to_pylist(), batch.column("rep").to_pylist()
-            spans = batch.column("spans")
+            spans, levels = batch.column("spans"), batch.column("longest").to_pylist()
             for i, j, data, offs in chunks(unpacked(batch.column("z"))):
                 words = Words(data, offs)
-                n_words, n_gone, kept, gone_spans = [], [], [], []
+                n_words, n_gone, longest, kept, gone_spans = [], [], [], [], []
                 blob = data.tobytes()
                 for t in range(j - i):
                     a, b = int(words.first[t]), int(words.first[t + 1])
-                    if rep[i + t] is not None and ids[i + t] is not None and ids[i + t] > rep[i + t]:
-                        gone = np.full(b - a, b - a >= window)
-                    elif rep[i + t] is not None and ids[i + t] == rep[i + t] and spans[i + t].is_valid:
-                        gone = _covers(spans[i + t].as_py(), b - a, window)
-                    else:
-                        gone = np.zeros(b - a, bool)
+                    own, first = ids[i + t], rep[i + t]
+                    gone, reach = np.zeros(b - a, bool), 0
+                    if own is not None and first is not None:
+                        if own > first and b - a >= window:      # a copy repeats as a whole
+                            gone[:] = True
+                            reach = window << ((b - a) // window).bit_length() - 1
+                        elif own == first and spans[i + t].is_valid:
+                            gone, reach = _covers(spans[i + t].as_py(), b - a, window, "repeats"), levels[i + t] or 0
                     stay = a + np.flatnonzero(~gone)
                     if len(stay) == b - a:   # only the separators change
                         kept.append(b" ".join(blob[offs[t]:offs[t + 1]].split()))
@@ -231,14 +240,17 @@ def _removed(rows: DataFrame, window: int) -> DataFrame:
                         kept.append(b" ".join([blob[s:e] for s, e in zip(words.start[stay].tolist(), words.end[stay].tolist())]))
                     n_words.append(b - a)
                     n_gone.append(int(gone.sum()))
+                    longest.append(reach)
                     edge = np.flatnonzero(np.diff(np.concatenate([[False], gone, [False]]).astype(np.int8)))
                     gone_spans.append(edge.reshape(-1, 2).tolist())
                 yield pa.RecordBatch.from_arrays(
                     [batch.column("doc_id").slice(i, j - i), pa.array(n_words, pa.int64()), pa.array(n_gone, pa.int64()),
-                     pa.array(kept, pa.binary()).cast(pa.string()), pa.array(gone_spans, pa.list_(pa.list_(pa.int32())))],
-                    names=["doc_id", "n_words", "n_removed", "kept_text", "removed_spans"])
+                     pa.array(longest, pa.int64()), pa.array(kept, pa.binary()).cast(pa.string()),
+                     pa.array(gone_spans, pa.list_(pa.list_(pa.int32())))],
+                    names=["doc_id", "n_words", "n_removed", "longest_repeat", "kept_text", "removed_spans"])
 
-    return map_arrow(rows, run, "doc_id long, n_words long, n_removed long, kept_text string, removed_spans array<array<int>>")
+    return map_arrow(rows, run, "doc_id long, n_words long, n_removed long, longest_repeat long, kept_text string, "
+                                "removed_spans array<array<int>>")
 
 
 def substring_dedup(docs: DataFrame, window: int = 50, text: str = "text") -> DataFrame:
@@ -246,8 +258,11 @@ def substring_dedup(docs: DataFrame, window: int = 50, text: str = "text") -> Da
     whose word sequence also starts in a document with a smaller doc_id.
 
     Returns one row per input row: ``doc_id, n_words, n_removed, kept_text``
-    (kept words joined by one blank) and ``removed_spans`` (word ranges, end
-    exclusive).  Windows are judged on the input, not on what is left.
+    (kept words joined by one blank), ``removed_spans`` (word ranges, end
+    exclusive) and ``longest_repeat``, the largest of ``window, 2 * window,
+    4 * window, ...`` at which the document holds a window that also starts in
+    one with a smaller doc_id, 0 without any.  Windows are judged on the
+    input, not on what is left.
 
     Null or empty texts have no words.  A row without doc_id keeps all its
     words and is no evidence against others.  Rows with one doc_id are one
@@ -257,40 +272,21 @@ def substring_dedup(docs: DataFrame, window: int = 50, text: str = "text") -> Da
     an empty table gives no rows.
     """
     texts = packed(docs, text)
-    classes = _classes(hashed(docs, text), window)
-    spans = extend(texts, classes, window)
+    classes = materialise(_classes(hashed(docs, text), window), "repeat-classes")
+    some, spans = extend(texts, classes, window)
+    length, level, reached = window, spans, []
+    while not level.isEmpty():
+        later = level.where(F.exists("spans", lambda s: s["repeats"].isNull() | (F.size(s["repeats"]) > 0)))
+        reached.append(later.select(*CLASS, F.lit(length).cast("long").alias("longest")))
+        length *= 2
+        rows = some.join(level, CLASS)
+        some, level = extend(rows, _classes(rows, length), length)
+    found = spans.withColumn("longest", F.lit(None).cast("long"))
+    if reached:
+        every = reached[0]
+        for r in reached[1:]:
+            every = every.union(r)
+        found = spans.join(every.groupBy(*CLASS).agg(F.max("longest").alias("longest")), CLASS, "left")
     reps = classes.select("h1", "h2", F.col("doc_id").alias("rep"))
-    rows = texts.join(reps.join(spans, CLASS, "left"), CLASS, "left")
-    return _removed(rows.select("doc_id", "z", "rep", "spans"), window)
-
-
-def longest_repeats(docs: DataFrame, window: int = 50, text: str = "text") -> DataFrame:
-    """``doc_id, longest``: the largest of ``window, 2 * window, 4 * window,
-    ...`` at which a document still holds a window that also starts in a
-    document with a smaller doc_id.  Levels are extended until no candidates
-    survive; documents without any repeat have no row.  A copy of a whole
-    text counts as far as its own length reaches.  Nulls, empty texts and
-    repeated rows as in :func:`substring_dedup`."""
-    texts = packed(docs, text)
-    first = materialise(texts.join(_classes(hashed(docs, text), window).select("h1", "h2", F.col("doc_id").alias("rep")), CLASS), "repeat-texts")
-    rows, found, length = first.where("doc_id = rep").drop("rep").dropDuplicates(["doc_id", "h1", "h2"]), [], window
-    while True:
-        level = materialise(rows.drop("spans").join(extend(rows, _classes(rows, length), length), CLASS), f"repeats-{length}")
-        if level.isEmpty():
-            break
-        found.append(level.select("doc_id", F.lit(length).cast("long").alias("longest")))
-        rows, length = level, 2 * length
-
-    def count(batches):
-        for batch in batches:
-            for i, j, data, offs in chunks(unpacked(batch.column("z"))):
-                words = Words(data, offs)
-                yield pa.RecordBatch.from_arrays([batch.column("doc_id").slice(i, j - i), pa.array(np.diff(words.first))],
-                                                 names=["doc_id", "n"])
-
-    copies = map_arrow(first.where("doc_id > rep").select("doc_id", "z"), count, "doc_id long, n long").where(F.col("n") >= window)
-    depth = F.floor(F.log2(F.col("n") / F.lit(window)) + 1e-9).cast("int")
-    out = copies.select("doc_id", (F.lit(window) * F.pow(F.lit(2.0), depth)).cast("long").alias("longest"))
-    for f in found:
-        out = out.union(f)
-    return out.groupBy("doc_id").agg(F.max("longest").alias("longest"))
+    rows = texts.join(reps.join(found, CLASS, "left"), CLASS, "left")
+    return _removed(rows.select("doc_id", "z", "rep", "spans", "longest"), window)

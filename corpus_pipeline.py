@@ -49,7 +49,7 @@ def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
 
 def mask_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Every secret found becomes ``[secret]``, and ``n_chars`` follows."""
-    clean = secrets.masked(secrets.scan(docs.select(*COLUMNS), secrets.model(docs)))
+    clean = secrets.masked(secrets.scan(docs, secrets.model(docs), carry=tuple(COLUMNS)))
     return clean.withColumn("n_chars", F.when(F.size("spans") > 0, F.length("text").cast("long")).otherwise(F.col("n_chars"))).select(*COLUMNS)
 
 

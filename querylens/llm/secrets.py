@@ -38,7 +38,8 @@ RUN = rf"[A-Za-z0-9+/_=-]{{{MIN_RUN},}}"
 ORDINARY = r"[A-Za-z0-9+/_=-]{6,}"
 THRESHOLD = 24.0               # natural log of the likelihood ratio
 SAMPLE_ROWS = 20_000
-SMOOTHING = 20.0
+#: Share of the even distribution in a model's rows: random, ordinary.
+EVEN = {True: 0.5, False: 0.01}
 MASK = "[secret]"
 
 #: Labelled samples that go with those of the corpus: names and paths as
@@ -65,7 +66,7 @@ RANDOM_STRINGS = 200
 def _random_strings() -> list[str]:
     return [base64.b64encode(hashlib.sha256(f"random {i}".encode()).digest()).decode().rstrip("=") for i in range(RANDOM_STRINGS)]
 
-_SEP = "\u0001"
+_SEP, _OTHER = "\u0001", "\u0002"      # neither is in any pattern
 _EMPTY = "array<struct<start:int,kind:int,end:int>>"
 
 
@@ -95,7 +96,7 @@ def _states(run: Column) -> Column:
 def base_spans(docs: DataFrame, text: str = "text") -> DataFrame:
     """All columns of ``docs`` and ``_t`` (text without separators, null as
     empty) and ``_base`` (array of start, kind, end, in order)."""
-    t = docs.withColumn("_t", F.translate(as_text(text), _SEP, " "))
+    t = docs.withColumn("_t", F.translate(as_text(text), _SEP, _OTHER))
     cut = t.withColumns({"_p0": _pieces(F.col("_t"), ASSIGN), "_p1": _pieces(F.col("_t"), ACCESS), "_p2": _pieces(F.col("_t"), HEX)})
     long_enough = lambda p: F.length(F.regexp_extract(p, ASSIGN, 2)) >= ASSIGN_LEAST
     always = lambda p: F.lit(True)
@@ -120,13 +121,14 @@ def labelled_samples(docs: DataFrame, text: str = "text", sample_rows: int = SAM
     return random.union(ordinary)
 
 
-def train(samples: DataFrame, smoothing: float = SMOOTHING) -> list[float]:
+def train(samples: DataFrame) -> list[float]:
     """Log ratios of the two models' transition probabilities, by
     ``state * STATES + next state``.  ``samples``: ``run`` (null: none) and
     boolean ``random``.  :data:`IDENTIFIERS` and the rule's random strings
     are added with the total weight of the given samples of their label, so
-    the models are defined without any.  Every row of a model has
-    ``smoothing`` further pseudo-counts spread evenly."""
+    the models are defined without any.  Every row of a model is mixed with
+    the even distribution by a fixed share (:data:`EVEN`), so one rare step
+    weighs the same however large the corpus is."""
     states = F.concat(F.array(F.lit(0)), _states(F.coalesce("run", F.lit(""))))
     pairs = F.arrays_zip(F.slice(states, F.lit(1), F.size(states) - 1).alias("a"), F.slice(states, F.lit(2), F.size(states) - 1).alias("b"))
     rows = (samples.select("random", F.explode(pairs).alias("p")).groupBy("random", "p.a", "p.b")
@@ -147,8 +149,8 @@ def train(samples: DataFrame, smoothing: float = SMOOTHING) -> list[float]:
         logs[label] = []
         for a in range(STATES):
             row = c[a * STATES:(a + 1) * STATES]
-            total = sum(row) + smoothing
-            logs[label] += [math.log((n + smoothing / STATES) / total) for n in row]
+            total, even = sum(row), EVEN[label]
+            logs[label] += [math.log((1 - even) * n / total + even / STATES if total else 1 / STATES) for n in row]
     return [r - o for r, o in zip(logs[True], logs[False])]
 
 
@@ -160,16 +162,17 @@ def log_ratio(run: Column, table: Column) -> Column:
     return F.aggregate(steps, F.lit(0.0), lambda s, x: s + x)
 
 
-def scan(docs: DataFrame, ratios: list[float], text: str = "text", threshold: float = THRESHOLD) -> DataFrame:
-    """All columns of ``docs`` and ``base_spans`` and ``spans``, arrays of
-    (start, kind, end) by start, then kind; kinds number :data:`KINDS`.
+def scan(docs: DataFrame, ratios: list[float], text: str = "text", threshold: float = THRESHOLD,
+         carry: tuple[str, ...] = ("doc_id", "text")) -> DataFrame:
+    """Columns ``carry``, ``base_spans`` and ``spans``, arrays of (start, kind,
+    end) by start, then kind; kinds number :data:`KINDS`.
 
-    Null texts count as empty and have no spans.  A run that overlaps a base
+    Other columns are not read, whatever their names.  Null texts count as empty and have no spans.  A run that overlaps a base
     span adds nothing.  Rows are independent: repeated rows give repeated
     results and an empty table none.
     """
     table = F.array(*[F.lit(x) for x in ratios])
-    found = base_spans(docs, text).withColumn("_runs", _pieces(F.col("_t"), RUN))
+    found = base_spans(docs.select(*carry), text).withColumn("_runs", _pieces(F.col("_t"), RUN))
     found = found.withColumn("_more", _spans(F.col("_runs"), 3, lambda p: log_ratio(p, table) > threshold))
     apart = F.filter("_more", lambda m: ~F.exists("_base", lambda b: (b["start"] < m["end"]) & (b["end"] > m["start"])))
     return (found.withColumn("base_spans", F.col("_base")).withColumn("spans", F.array_sort(F.concat("_base", apart)))
@@ -203,7 +206,7 @@ def model(docs: DataFrame, text: str = "text") -> list[float]:
 
 def secrets_digest(docs: DataFrame) -> DataFrame:
     """Per document the base counts, the hash of the base spans and all spans."""
-    found = scan(docs.select("doc_id", "text"), model(docs))
+    found = scan(docs, model(docs))
     n = lambda k: F.size(F.filter("base_spans", lambda s: s["kind"] == k)).cast("long")
     return found.select("doc_id", n(0).alias("n_assign"), n(1).alias("n_access"), n(2).alias("n_hex"),
                         F.sha2(written("base_spans"), 256).alias("base_sha256"), written("spans").alias("spans"))

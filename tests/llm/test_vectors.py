@@ -112,6 +112,7 @@ def test_top_k_equals_brute_force(table, monkeypatch, rescore, rows_per_block):
     monkeypatch.setattr(topk, "RESCORE", rescore)
     monkeypatch.setattr(topk, "ROWS", rows_per_block)
     monkeypatch.setattr(topk, "QUERIES", 7)
+    monkeypatch.setattr(topk, "PROBES", 6)
     rnd = random.Random(8)
     rows = [(i, [rnd.randrange(-60, 60) for _ in range(12)]) for i in range(300)]
     rows += [(i, rows[i - 300][1]) for i in range(300, 330)]                     # ties
@@ -131,15 +132,17 @@ def test_search_stops_early_but_only_on_proof(monkeypatch):
     rnd = np.random.default_rng(6)
     centre = rnd.integers(-100, 100, 32)
     values = np.vstack([rnd.integers(-20, 20, (3000, 32)), centre + rnd.integers(-5, 5, (10, 32))]).astype(np.int64)
-    docs = np.argsort(-(values // topk.STEP), axis=0, kind="stable").T.astype(np.int32)
-    block = topk.Block(np.arange(len(values)), values, docs)
+    block = topk.Block(np.arange(len(values)), values, topk.impact_order(values))
     looked = []
     exact = topk.Block._exact
-    monkeypatch.setattr(topk.Block, "_exact", lambda self, rows, q, k: (looked.append(len(rows)), exact(self, rows, q, k))[1])
-    ids, scores = block.search(centre, -1, 5)
-    full = values @ centre
-    assert ids.tolist() == np.lexsort((np.arange(len(values)), -full))[:5].tolist() and looked[0] <= topk.RESCORE
-    assert scores.tolist() == sorted(full.tolist(), reverse=True)[:5]
+    monkeypatch.setattr(topk.Block, "_exact", lambda self, rows, q, k, own=None: (looked.append(len(rows)), exact(self, rows, q, k, own))[1])
+    queries = np.vstack([centre, rnd.integers(-50, 50, (5, 32)), np.zeros((1, 32))]).astype(np.int64)
+    found = block.search(queries, np.array([-1, 5, 6, 7, 8, 3005, 3]), 5)
+    for q, own, (ids, scores) in zip(queries, [-1, 5, 6, 7, 8, 3005, 3], found):
+        full = values @ q
+        want = [i for i in np.lexsort((np.arange(len(values)), -full)) if i != own][:5]
+        assert ids.tolist() == want and scores.tolist() == full[want].tolist()
+    assert sum(looked) < 8 * len(values)      # the zero query ties everywhere and needs every vector
 
 
 def test_integer_vectors(table):

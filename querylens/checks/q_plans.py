@@ -149,8 +149,7 @@ register("p2_classify_access", _with(f"SELECT query_id, node_id, {_ac()} AS acce
     lambda spark, sf: fx.plan_nodes(spark, sf).select("query_id", "node_id", pt.classify_access("detail").alias("access_index")))
 
 register("p3_table_of_node", _with("SELECT query_id, node_id, table_name FROM nt"))(
-    lambda spark, sf: pt.table_of_node(pt.reachable_nodes(fx.plan_nodes(spark, sf)).join(
-        fx.plan_nodes(spark, sf), ["query_id", "node_id"]), fx.named_tables(spark)).select("query_id", "node_id", "table_name"))
+    lambda spark, sf: pt.table_of_node(pt.with_depth(fx.plan_nodes(spark, sf)), fx.named_tables(spark)).select("query_id", "node_id", "table_name"))
 
 register("p5_reachable_nodes", _with("SELECT query_id, node_id, depth FROM r"))(
     lambda spark, sf: pt.reachable_nodes(fx.plan_nodes(spark, sf)))
@@ -162,7 +161,7 @@ register("p6_predicate_count", _with("SELECT query_id, CAST(preds AS INTEGER) AS
 
 def _p78(spark, sf):
     nodes, queries, tables, columns, indexes = _inputs(spark, sf)
-    nd = pt.table_of_node(pt.reachable_nodes(nodes).join(nodes, ["query_id", "node_id"]), tables)
+    nd = pt.table_of_node(pt.with_depth(nodes), tables)
     pairs = nd.where(F.col("table_name").isNotNull()).select("query_id", "table_name").distinct()
     out = pt.query_table_features(pairs, queries, columns, indexes)
     return out.select("query_id", "table_name", F.coalesce("cols_ref", F.lit(0)).cast("long").alias("cols_ref"),

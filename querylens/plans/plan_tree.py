@@ -8,16 +8,18 @@ Input tables (flat; Spark schemas cannot be recursive):
 * ``columns(table_name, col_name)`` and ``indexes(table_name, index_name, index_sql)``
 
 Node-to-table matching is an equi-join on word tokens of the node text
-(no nested-loop join); reachability below the synthetic ROOT is a recursive
-CTE (one distributed join per tree level); the tree mean is 23 summed
-columns per query.  Every step is keyed by query id, so the work spreads
-over all partitions however many queries there are.
+(no nested-loop join); reachability below the synthetic ROOT is computed on
+the nodes of a plan held together as one array, by pointer doubling over a
+whole Arrow batch of plans, without a recursion or its limits; the tree mean
+is 23 summed columns per query.  Every step is keyed by query id, so the work
+spreads over all partitions however many queries there are.
 """
 
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..functions.sqltext import count_substr
 
@@ -72,39 +74,88 @@ def table_of_node(nodes: DataFrame, tables: DataFrame) -> DataFrame:
     """First catalog table (by position) named as a whole word in the
     node text, case-insensitively.  Matching runs once per distinct node
     text (plan texts repeat across queries): its word tokens are exploded
-    and equi-joined with lower-cased table names (identifiers of word
-    characters), and the text -> table map is joined back."""
+    and equi-joined with lower-cased table names; names that are not one
+    word (blanks, hyphens) go through a whole-word pattern per name, a join
+    with as many rows as the catalog has such names.  The text -> table map
+    is joined back."""
     texts = nodes.select("detail").distinct()
     toks = texts.select("detail", F.explode(F.array_distinct(
         F.regexp_extract_all(F.lower("detail"), F.lit(r"\w+"), 0))).alias("_tok"))
-    t = tables.select(F.lower("table_name").alias("_tok"), "table_name", "table_pos")
-    hit = toks.join(t, "_tok").groupBy("detail").agg(F.min_by("table_name", "table_pos").alias("table_name"))
-    return nodes.join(hit, "detail", "left")
+    named = tables.select(F.lower("table_name").alias("_tok"), "table_name", "table_pos")
+    one_word = F.rlike(F.col("_tok"), F.lit(r"^\w+$"))
+    hit = toks.join(named.where(one_word), "_tok").select("detail", "table_name", "table_pos")
+    pattern = F.concat(F.lit(r"(?i)(?<!\w)\Q"), F.col("table_name"), F.lit(r"\E(?!\w)"))
+    odd = (texts.join(named.where(~one_word), F.contains(F.lower("detail"), F.col("_tok")))
+           .where(F.rlike(F.col("detail"), pattern)).select("detail", "table_name", "table_pos"))
+    first = hit.union(odd).groupBy("detail").agg(F.min_by("table_name", "table_pos").alias("table_name"))
+    return nodes.join(first, "detail", "left")
+
+
+def with_depth(nodes: DataFrame) -> DataFrame:
+    """P4 + P5: the rows of ``nodes`` that are reachable from the synthetic
+    ROOT, with ``depth`` (ROOT children have depth 1).  Top level: null parent,
+    or parent 0 when no node 0 exists; without any top-level node the smallest
+    id is the only root.  Nodes below a missing non-zero parent, and cycles
+    without a root, are unreachable.
+
+    A plan's rows are gathered into one array (a plan is bounded by its SQL
+    text; node ids are unique in it), so there is no join per level and no
+    limit of depth.
+    """
+    plans = nodes.groupBy("query_id").agg(F.collect_list(F.struct(
+        F.col("node_id").cast("long").alias("node_id"), F.col("parent_id").cast("long").alias("parent_id"),
+        *[c for c in nodes.columns if c not in ("query_id", "node_id", "parent_id")])).alias("nodes"))
+
+    def depths(batches):
+        import numpy as np
+        import pyarrow as pa
+        for batch in batches:
+            lists = batch.column("nodes")
+            size = np.diff(lists.offsets.to_numpy())
+            rows = lists.flatten()
+            n = len(rows)
+            if not n:
+                continue
+            plan = np.repeat(np.arange(len(size)), size)
+            node = rows.field("node_id").to_numpy()
+            parents = rows.field("parent_id")
+            no_parent = np.asarray(parents.is_null())
+            parent = parents.fill_null(0).to_numpy()
+            order = np.lexsort((node, plan))
+            first = np.concatenate([[0], np.cumsum(size)])
+            # row of the parent, n where it is missing
+            name = np.unique(np.concatenate([node, parent]), return_inverse=True)[1]
+            width = int(name.max()) + 1
+            key = plan * width + name[:n]
+            wanted = plan * width + name[n:]
+            at = np.minimum(np.searchsorted(key[order], wanted), n - 1)
+            up = np.where(~no_parent & (key[order][at] == wanted), order[at], n)
+            root = no_parent | ((parent == 0) & (up == n))
+            rootless = np.flatnonzero((np.bincount(plan[root], minlength=len(size)) == 0) & (size > 0))
+            root[order[first[rootless]]] = True      # the smallest id
+            # ancestor and distance, doubled until every pointer rests
+            up = np.append(np.where(root, np.arange(n), up), n)
+            far = np.append(np.where(root, 0, 1), 0)
+            for _ in range(int(size.max()).bit_length() + 1):
+                far = far + far[up]
+                up = up[up]
+            reached = np.append(root, False)[up[:n]]
+            keep = pa.array(np.flatnonzero(reached))
+            out = rows.take(keep)
+            yield pa.RecordBatch.from_arrays(
+                [batch.column("query_id").take(pa.array(plan[reached]))] + [out.field(i) for i in range(out.type.num_fields)]
+                + [pa.array((far[:n][reached] + 1).astype(np.int32))],
+                names=["query_id", *[out.type.field(i).name for i in range(out.type.num_fields)], "depth"])
+
+    inner = plans.schema["nodes"].dataType.elementType.fields
+    schema = T.StructType([plans.schema["query_id"], *inner, T.StructField("depth", T.IntegerType())])
+    found = plans.mapInArrow(depths, schema)
+    return found.select(*[F.col(c).cast(nodes.schema[c].dataType).alias(c) for c in nodes.columns], "depth")
 
 
 def reachable_nodes(nodes: DataFrame) -> DataFrame:
-    """P4 + P5: nodes reachable from the synthetic ROOT with their depth
-    (ROOT children have depth 1).  Top level: null parent, or parent 0 when
-    no node 0 exists; without any top-level node the smallest id is the only
-    root.  Nodes below a missing non-zero parent are unreachable."""
-    n = nodes.select("query_id", "node_id", "parent_id")
-    # one row per query with its node ids: a plan's size is bounded by its SQL text
-    per_q = n.groupBy("query_id").agg(F.collect_list(F.struct("node_id", "parent_id")).alias("_nodes"))
-    ids = F.transform("_nodes", lambda x: x["node_id"])
-    tops = F.filter("_nodes", lambda x: x["parent_id"].isNull()
-                    | ((x["parent_id"] == 0) & ~F.array_contains(ids, F.lit(0))))
-    root_ids = F.when(F.size(tops) > 0, F.transform(tops, lambda x: x["node_id"])).otherwise(F.array(F.array_min(ids)))
-    roots = per_q.select("query_id", F.explode(root_ids).alias("node_id"))
-    spark = nodes.sparkSession
-    # the path guards against parent cycles (a node is never entered twice);
-    # its length is bounded by the plan depth
-    return spark.sql("""WITH RECURSIVE r(query_id, node_id, depth, path) AS (
-        SELECT query_id, node_id, 1, array(node_id) FROM {roots}
-        UNION ALL
-        SELECT n.query_id, n.node_id, r.depth + 1, array_append(r.path, n.node_id) FROM r JOIN {nodes} n
-          ON n.query_id = r.query_id AND n.parent_id = r.node_id AND NOT (n.parent_id IS NULL)
-        WHERE NOT array_contains(r.path, n.node_id))
-      SELECT query_id, node_id, depth FROM r""", roots=roots, nodes=n)
+    """P4 + P5 as ``(query_id, node_id, depth)``; see :func:`with_depth`."""
+    return with_depth(nodes.select("query_id", "node_id", "parent_id")).select("query_id", "node_id", "depth")
 
 
 def catalog_table_stats(tables: DataFrame, columns: DataFrame, indexes: DataFrame) -> DataFrame:
@@ -155,9 +206,7 @@ def predicate_count(sql) -> Column:
 def node_vectors(nodes: DataFrame, queries: DataFrame, tables: DataFrame, columns: DataFrame,
                  indexes: DataFrame) -> DataFrame:
     """The 23 node features as columns f0..f22 for every reachable node."""
-    reach = reachable_nodes(nodes)
-    nd = nodes.join(reach, ["query_id", "node_id"])
-    nd = table_of_node(nd, tables)
+    nd = table_of_node(with_depth(nodes), tables)
     stats = catalog_table_stats(tables, columns, indexes)
     pairs = nd.where(F.col("table_name").isNotNull()).select("query_id", "table_name").distinct()
     qt = query_table_features(pairs, queries, columns, indexes)

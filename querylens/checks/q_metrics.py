@@ -198,19 +198,42 @@ register("e18_fold_box_stats", with_ctes(
     "predictions", extra=[("fc", _FOLD), ("ff", _FOLD_F1)]))(
     lambda spark, sf: _rnd(me.fold_box_stats(_fold_f1(spark, sf)), ["model", "n_outliers"]))
 
-register("e19_wilcoxon_top_two", with_ctes(
-    f"""SELECT model_a, model_b, count(*)::BIGINT AS n, {d6('sum(CASE WHEN d > 0 THEN rk ELSE 0 END)')} AS w_plus,
-          {d6('sum(CASE WHEN d < 0 THEN rk ELSE 0 END)')} AS w_minus,
-          {d6('least(sum(CASE WHEN d > 0 THEN rk ELSE 0 END), sum(CASE WHEN d < 0 THEN rk ELSE 0 END))')} AS statistic
-        FROM (SELECT *, rank() OVER (ORDER BY abs(d)) + (count(*) OVER (PARTITION BY abs(d)) - 1) / 2.0 AS rk FROM (
+# exact two-sided p-value: the share of the sign patterns of 1..n (n <= 10
+# folds, no ties) whose smaller rank sum is at most the statistic
+_BITS = " + ".join(f"CASE WHEN (s // {1 << i}) % 2 = 1 THEN {i + 1} ELSE 0 END" for i in range(10))
+_PATTERNS = f"SELECT s, {_BITS} AS w FROM (SELECT unnest(range(0, 1024)) AS s)"
+_TOP_TWO = """SELECT model_a, model_b, count(*) AS n, sum(CASE WHEN d > 0 THEN rk ELSE 0 END) AS w_plus,
+        sum(CASE WHEN d < 0 THEN rk ELSE 0 END) AS w_minus
+      FROM (SELECT *, rank() OVER (ORDER BY abs(d)) + (count(*) OVER (PARTITION BY abs(d)) - 1) / 2.0 AS rk FROM (
           SELECT a.model AS model_a, b.model AS model_b, a.fold, a.f1 - b.f1 AS d
           FROM ff a JOIN ff b ON a.fold = b.fold
           WHERE a.model = (SELECT model FROM mm ORDER BY m DESC, model LIMIT 1)
             AND b.model = (SELECT model FROM mm ORDER BY m DESC, model LIMIT 1 OFFSET 1)) WHERE d <> 0)
-        GROUP BY model_a, model_b""",
-    "predictions", extra=[("fc", _FOLD), ("ff", _FOLD_F1), ("mm", "SELECT model, avg(f1) AS m FROM ff GROUP BY model")]))(
+      GROUP BY model_a, model_b"""
+register("e19_wilcoxon_top_two", with_ctes(
+    f"""SELECT model_a, model_b, n::BIGINT AS n, {d6('w_plus')} AS w_plus, {d6('w_minus')} AS w_minus,
+          {d6('least(w_plus, w_minus)')} AS statistic,
+          {d6('avg(CASE WHEN least(w, n * (n + 1) / 2.0 - w) <= least(w_plus, w_minus) THEN 1.0 ELSE 0.0 END)')} AS p_value
+        FROM top_two JOIN pat ON pat.s < pow(2, n) GROUP BY model_a, model_b, n, w_plus, w_minus""",
+    "predictions", extra=[("fc", _FOLD), ("ff", _FOLD_F1), ("mm", "SELECT model, avg(f1) AS m FROM ff GROUP BY model"),
+                          ("top_two", _TOP_TWO), ("pat", _PATTERNS)]))(
     lambda spark, sf: _rnd(me.wilcoxon_top_two(_fold_f1(spark, sf)), ["model_a", "model_b", "n"]))
 
+_FOLD_AUC = """SELECT model, fold, CASE WHEN sum(pos) > 0 AND sum(neg) > 0 THEN
+        (sum(pos * (cum - (pos + neg) + (pos + neg + 1) / 2)) - sum(pos) * (sum(pos) + 1) / 2) / (sum(pos) * sum(neg)) END AS a
+      FROM (SELECT *, sum(pos + neg) OVER (PARTITION BY model, fold ORDER BY y_proba ROWS UNBOUNDED PRECEDING) AS cum FROM (
+        SELECT model, fold, y_proba, sum(y_true) * 1.0 AS pos, sum(1 - y_true) * 1.0 AS neg FROM predictions GROUP BY model, fold, y_proba))
+      GROUP BY model, fold"""
+register("e17_cv_fold_scores", with_ctes(
+    f"""SELECT fc.model, fc.fold, {d6('(tp + tn)::DOUBLE / support')} AS accuracy,
+          {d6('CASE WHEN tp + fp > 0 THEN tp::DOUBLE / (tp + fp) ELSE 0 END')} AS precision,
+          {d6('CASE WHEN tp + fn > 0 THEN tp::DOUBLE / (tp + fn) ELSE 0 END')} AS recall,
+          {d6('CASE WHEN 2 * tp + fp + fn > 0 THEN 2.0 * tp / (2 * tp + fp + fn) ELSE 0 END')} AS f1, {d6('auc.a')} AS roc_auc
+        FROM fc LEFT JOIN auc ON fc.model = auc.model AND fc.fold = auc.fold""",
+    "predictions", extra=[("fc", _FOLD), ("auc", _FOLD_AUC)]))(
+    lambda spark, sf: _rnd(me.fold_scores(_p(spark, sf)).select("model", "fold", "accuracy", "precision", "recall", "f1", "roc_auc"),
+                           ["model", "fold"]))
+
 
 def _e20(spark, sf):
     m = me.history_metrics(_hv(spark, sf), ["database"])

@@ -136,8 +136,7 @@ def add_parsed_features(df: DataFrame, sql: str = "sql") -> DataFrame:
     upper-cased text, its WHERE part and the SELECT count are projected once
     and shared by all features (two narrow projections, no shuffle)."""
     require_columns(df, ["db_id", "difficulty", sql])
-    from ..session import spread
-    staged = spread(df).select("*", F.upper(F.col(sql)).alias("_u"))
+    staged = df.select("*", F.upper(F.col(sql)).alias("_u"))
     staged = staged.select("*", _where_part(F.col("_u")).alias("_wp"), count_substr(F.col("_u"), "SELECT").alias("_nsel"),
                            (F.instr(F.col("_u"), "WHERE") > 0).alias("_hw"))
     feats = _feature_exprs(F.col(sql), F.col("_u"), F.col("_wp"), F.col("_nsel"), F.col("_hw"))

@@ -15,14 +15,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, MapType, StructType
 
-from .ranking import rank_within
+from .ranking import rank_within, values_at
 
 SCHEMA_FEATURES = ["schema_n_tables", "schema_total_rows", "schema_max_table_rows",
                    "schema_total_indexes", "schema_index_coverage", "schema_log_total_rows"]
 
-# Broadcast a side only when its row count is at most this (checked first).
-BROADCAST_MAX_ROWS = 1_000_000
-
 
 def schema_stats(catalog_tables: DataFrame, db_col: str = "db_id") -> DataFrame:
     """Per database #tables, total rows, max table rows, total indexes,
@@ -70,18 +67,12 @@ def inspect_schema(spark: SparkSession, db_id: str, tables: dict[str, DataFrame]
                                        "ctype string, notnull int, pk int")
 
 
-def broadcast_if_small(df: DataFrame, max_rows: int = BROADCAST_MAX_ROWS) -> DataFrame:
-    """Broadcast hint only after checking the row count; otherwise leave the
-    choice to the planner (sort-merge join, or AQE's runtime broadcast)."""
-    return F.broadcast(df) if df.count() <= max_rows else df
-
-
 def join_catalog(log: DataFrame, stats: DataFrame, db_col: str = "db_id") -> DataFrame:
     """C4: left join of the log with per-db statistics; a database without
     statistics gets nulls.  Stale ``schema_*`` columns are dropped first so
     names never clash."""
     base = log.drop(*[c for c in log.columns if c.startswith("schema_")])
-    return base.join(broadcast_if_small(stats), on=db_col, how="left")
+    return base.join(stats, on=db_col, how="left")
 
 
 def _long_values(df: DataFrame, columns: Sequence[str]) -> DataFrame:
@@ -113,14 +104,8 @@ def five_point(df: DataFrame, columns: Sequence[str]) -> DataFrame:
     long = df.select(F.explode(F.array(*[
         F.struct(F.lit(c).alias("col_name"), F.col(c).cast("double").alias("v")) for c in cols])).alias("_kv")
     ).select("_kv.col_name", "_kv.v")
-    vals = long.where(F.col("v").isNotNull())
-    r = rank_within(vals, ["col_name"], [F.col("v").asc()])
-    idx = [F.least(F.col("_n") - 1, F.floor(F.lit(q) * (F.col("_n") - 1)).cast("long")) for q in qs]
-    keep = r.where(F.array_contains(F.array(*idx), F.col("_rn")))
-    m = keep.groupBy("col_name").agg(F.first("_n").alias("_n"),
-                                     F.map_from_entries(F.collect_list(F.struct("_rn", "v"))).alias("_m"))
+    picked = values_at(long, "v", lambda n: [F.least(n - 1, F.floor(F.lit(q) * (n - 1)).cast("long")) for q in qs], ["col_name"])
     names = df.sparkSession.createDataFrame([(c,) for c in cols], "col_name string")
-    out = names.join(m, "col_name", "left")
-    idx2 = [F.least(F.col("_n") - 1, F.floor(F.lit(q) * (F.col("_n") - 1)).cast("long")) for q in qs]
     labels = ["p0", "p25", "p50", "p75", "p100"]
-    return out.select("col_name", *[F.element_at("_m", i).alias(lab) for i, lab in zip(idx2, labels)])
+    return names.join(picked, "col_name", "left").select(
+        "col_name", *[F.col("values")[i].alias(lab) for i, lab in enumerate(labels)])

@@ -48,12 +48,12 @@ def feature_moments(df: DataFrame, features: Sequence[str], group_cols: Sequence
 def standardize(df: DataFrame, features: Sequence[str], moments: DataFrame,
                 group_cols: Sequence[str] = ()) -> DataFrame:
     """M1: ``z = (x - mean) / std`` with population std; a zero std divides by 1.
-    ``moments`` has one row per group (bounded by the number of groups) and
-    is broadcast; without groups it is attached by a cross-free scalar path."""
+    ``moments`` has one row per group; without groups it is a single row, which
+    is broadcast."""
     feats = list(features)
     sd = [F.when(F.col(f"_sd{i}") > 0, F.col(f"_sd{i}")).otherwise(F.lit(1.0)) for i in range(len(feats))]
     if group_cols:
-        j = df.join(F.broadcast(moments), list(group_cols), "left")
+        j = df.join(moments, list(group_cols), "left")
     else:
         j = df.withColumn("_k", F.lit(1)).join(F.broadcast(moments.withColumn("_k", F.lit(1))), "_k").drop("_k")
     zs = [((_x(c) - F.col(f"_mu{i}")) / sd[i]).alias(c) for i, c in enumerate(feats)]
@@ -180,11 +180,12 @@ def fit_linear_models(train: DataFrame, features: Sequence[str], target: str = "
 def score_linear(df: DataFrame, fit: LinearFit, features: Sequence[str], group_cols: Sequence[str] = (),
                  out_col: str = "pred_log") -> DataFrame:
     """Apply every fitted model: one output row per (row, model).  The
-    coefficient table has one row per group and model, so it is broadcast."""
+    coefficient table has one row per group and model; without groups that is
+    one row per model, which is broadcast."""
     feats = list(features)
     coefs = fit.coefficients
     if group_cols:
-        j = df.join(F.broadcast(coefs), list(group_cols), "inner")
+        j = df.join(coefs, list(group_cols), "inner")
     else:
         j = df.withColumn("_k", F.lit(1)).join(F.broadcast(coefs.withColumn("_k", F.lit(1))), "_k").drop("_k")
     pred = F.col("intercept")

@@ -28,7 +28,7 @@ def _counts(y_true: str, y_pred: str) -> list[Column]:
     t, p = F.col(y_true), F.col(y_pred)
     return [F.count_if((t == 1) & (p == 1)).alias("tp"), F.count_if((t == 0) & (p == 1)).alias("fp"),
             F.count_if((t == 1) & (p == 0)).alias("fn"), F.count_if((t == 0) & (p == 0)).alias("tn"),
-            F.count(F.lit(1)).alias("support"), F.count_distinct(t).alias("_n_classes")]
+            F.count(F.lit(1)).alias("support"), F.when(F.min(t) < F.max(t), 2).otherwise(1).alias("_n_classes")]
 
 
 def confusion_matrix(df: DataFrame, group_cols: Sequence[str] = (), y_true="y_true", y_pred="y_pred") -> DataFrame:
@@ -207,10 +207,18 @@ def history_metrics(df: DataFrame, group_cols: Sequence[str] = (), actual="runti
 def rolling_r2(df: DataFrame, order_col="id", actual="runtime_s", predicted="predicted_runtime_s",
                group_cols: Sequence[str] = ()) -> DataFrame:
     """Log-scale R2 over the first k rows for every k >= 2 (k = 1 has
-    none), via prefix sums of y, y^2 and squared error: sst_k = S_yy - S_y^2/k."""
+    none), via prefix sums of y, y^2 and squared error: sst_k = S_yy - S_y^2/k.
+    y is taken relative to its group's mean, so the two terms do not cancel
+    however many rows there are."""
     ly = F.log1p(F.col(actual))
     lp = F.log1p(F.greatest(F.col(predicted), F.lit(0.0)))
-    base = df.select(*group_cols, order_col, ly.alias("y"), (ly * ly).alias("y2"), ((ly - lp) * (ly - lp)).alias("e2"))
+    logs = df.select(*group_cols, order_col, ly.alias("ly"), ((ly - lp) * (ly - lp)).alias("e2"))
+    if group_cols:
+        logs = logs.join(logs.groupBy(*group_cols).agg(F.avg("ly").alias("mean")), list(group_cols))
+        y = F.col("ly") - F.col("mean")
+    else:
+        y = F.col("ly") - logs.agg(F.avg("ly")).scalar()
+    base = logs.select(*group_cols, order_col, "e2", y.alias("y")).withColumn("y2", F.col("y") * F.col("y"))
     r = rank_within(base, group_cols, [F.col(order_col).asc()], sums=["y", "y2", "e2"])
     k = (F.col("_rn") + 1).cast("double")
     sst = F.col("_cum_y2") - F.col("_cum_y") * F.col("_cum_y") / k
@@ -264,9 +272,9 @@ def fold_box_stats(scores: DataFrame, model_col="model", value="f1") -> DataFram
 def wilcoxon_top_two(scores: DataFrame, model_col="model", fold_col="fold", value="f1") -> DataFrame:
     """Signed-rank statistic between the two models with the highest
     mean score, paired by fold: zero differences dropped, |d| ranks
-    tie-averaged, statistic = min(W+, W-).  The exact two-sided p-value is
-    enumerated over all 2^n sign patterns with ``spark.range`` (n = number of
-    folds, small); with tied |d| the normal approximation is used."""
+    tie-averaged, statistic = min(W+, W-).  ``p_value`` is two-sided: exact
+    for at most :data:`EXACT_PAIRS` untied differences, else the normal
+    approximation with the correction of the variance for ties."""
     means = scores.groupBy(model_col).agg(F.avg(value).alias("_m"))
     w = Window.orderBy(F.desc("_m"), model_col)  # one row per model
     top = means.withColumn("_r", F.row_number().over(w)).where(F.col("_r") <= 2)
@@ -283,24 +291,47 @@ def wilcoxon_top_two(scores: DataFrame, model_col="model", fold_col="fold", valu
     return ranked.groupBy("model_a", "model_b").agg(
         F.count(F.lit(1)).alias("n"),
         F.sum(F.when(F.col("d") > 0, F.col("rank")).otherwise(0.0)).alias("w_plus"),
-        F.sum(F.when(F.col("d") < 0, F.col("rank")).otherwise(0.0)).alias("w_minus")
-    ).withColumn("statistic", F.least("w_plus", "w_minus"))
-
-
-def wilcoxon_exact_p(stat_row_n: int, statistic: float, spark) -> float:
-    """Exact two-sided p-value of the signed-rank statistic for ``n`` untied
-    ranks: the share of the 2^n sign patterns whose min(W+, W-) is at most
-    the observed one, enumerated as a Spark range (n is the fold count)."""
-    n = int(stat_row_n)
-    if n == 0:
-        return 1.0
-    if n > 20:
-        raise ValueError("exact enumeration is limited to 20 pairs")
-    bits = spark.range(0, 2 ** n)
-    wplus = sum(F.when(F.col("id").bitwiseAND(F.lit(1 << i)) != 0, F.lit(i + 1)).otherwise(0) for i in range(n))
-    total = n * (n + 1) / 2
-    pats = bits.select(F.least(wplus, F.lit(total) - wplus).alias("w"))
-    return pats.agg(F.avg((F.col("w") <= F.lit(statistic)).cast("double"))).first()[0]
+        F.sum(F.when(F.col("d") < 0, F.col("rank")).otherwise(0.0)).alias("w_minus"),
+        F.sum(F.col("_cnt") * F.col("_cnt") - 1).alias("_ties")
+    ).withColumn("statistic", F.least("w_plus", "w_minus")).withColumn("p_value", _signed_rank_p()).drop("_ties")
+
+
+EXACT_PAIRS = 20
+
+
+def signed_rank_cdf(n: int) -> list[float]:
+    """P(W+ <= w) for w = 0, 1, ... over the 2^n sign patterns of the ranks
+    1..n: the number of subsets with each sum, built rank by rank."""
+    ways = [1]
+    for rank in range(1, n + 1):
+        longer = ways + [0] * rank
+        for w, k in enumerate(ways):
+            longer[w + rank] += k
+        ways = longer
+    total, out = 0, []
+    for k in ways:
+        total += k
+        out.append(total / 2 ** n)
+    return out
+
+
+def _normal_tail(z: Column) -> Column:
+    """P(Z > z) for z >= 0 (Abramowitz & Stegun 26.2.17, error under 1e-7)."""
+    t = 1 / (1 + 0.2316419 * z)
+    poly = t * (0.319381530 + t * (-0.356563782 + t * (1.781477937 + t * (-1.821255978 + t * 1.330274429))))
+    return F.exp(-z * z / 2) / F.lit((2 * 3.141592653589793) ** 0.5) * poly
+
+
+def _signed_rank_p() -> Column:
+    """Two-sided p-value from ``n``, ``statistic`` and ``_ties`` (sum over
+    the differences of t^2 - 1, t being the size of the difference's tie)."""
+    n = F.col("n")
+    cdf = F.array(*[F.array(*[F.lit(x) for x in signed_rank_cdf(k)]) for k in range(EXACT_PAIRS + 1)])
+    exact = F.least(F.lit(1.0), 2 * F.get(F.get(cdf, n.cast("int")), F.col("statistic").cast("int")))
+    mean = n * (n + 1) / 4
+    var = n * (n + 1) * (2 * n + 1) / 24 - F.col("_ties") / 48
+    normal = F.when(var > 0, F.least(F.lit(1.0), 2 * _normal_tail(F.abs(F.col("statistic") - mean) / F.sqrt(var)))).otherwise(F.lit(1.0))
+    return F.when((n <= EXACT_PAIRS) & (F.col("_ties") == 0), exact).otherwise(normal)
 
 
 def quality_band(r2) -> Column:

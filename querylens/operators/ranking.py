@@ -18,7 +18,7 @@ Callers pass narrow frames (keys and the columns they need).
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -87,34 +87,51 @@ def rank_within(df: DataFrame, group_cols: Sequence[str], order: Sequence[Column
     return joined.select(*out)
 
 
+def values_at(df: DataFrame, value_col: str, positions: Callable[[Column], Sequence[Column]],
+              group_cols: Sequence[str] = ()) -> DataFrame:
+    """``group…, n, values``: the sorted non-null values of each group at the
+    0-based ``positions(n)``.
+
+    Values are first aggregated to (group, value, count), so a value that
+    fills most of a group is one row from the map side on; the distinct values
+    are ranked by running counts, and only those that cover a wanted position
+    leave the ranking step.
+    """
+    group_cols = list(group_cols)
+    counted = (df.select(*group_cols, F.col(value_col).cast("double").alias("_v")).where(F.col("_v").isNotNull())
+               .groupBy(*group_cols, "_v").agg(F.count(F.lit(1)).alias("_c")))
+    r = rank_within(counted, group_cols, [F.col("_v").asc()], sums=["_c"])
+    wanted = F.array(*[p.cast("long") for p in positions(F.col("_tot__c"))])
+    first = F.col("_cum__c") - F.col("_c")
+    keep = r.where(F.exists(wanted, lambda w: (w >= first) & (w < F.col("_cum__c"))))
+    picked = keep.groupBy(*group_cols).agg(
+        F.first("_tot__c").cast("long").alias("n"),
+        F.collect_list(F.struct(first.alias("a"), F.col("_cum__c").alias("b"), F.col("_v").alias("v"))).alias("_m"))
+
+    def covering(p: Column) -> Column:
+        return F.filter("_m", lambda m: (m["a"] <= p) & (m["b"] > p))[0]["v"]
+
+    at = [covering(p.cast("long")) for p in positions(F.col("n"))]
+    return picked.select(*group_cols, "n", F.array(*at).alias("values"))
+
+
 def exact_quantiles(df: DataFrame, value_col: str, qs: Sequence[float],
                     group_cols: Sequence[str] = ()) -> DataFrame:
     """Linear-interpolation quantiles (numpy/pandas default, DuckDB
     ``quantile_cont``) per group: columns ``group… , n, quantiles`` where
     ``quantiles`` is ``array<double>`` in the order of ``qs``.  Nulls are
-    ignored.  Only the two rows around each requested rank leave the ranking
-    step, so no group is ever gathered in one place.
-    """
-    group_cols = list(group_cols)
-    vals = df.select(*group_cols, F.col(value_col).cast("double").alias("_v")).where(F.col("_v").isNotNull())
-    r = rank_within(vals, group_cols, [F.col("_v").asc()])
-    n1 = (F.col("_n") - 1).cast("double")
-    wanted = []
-    for q in qs:
-        pos = F.lit(float(q)) * n1
-        wanted += [F.floor(pos), F.ceil(pos)]
-    keep = r.where(F.array_contains(F.array(*[w.cast("long") for w in wanted]), F.col("_rn")))
-    picked = keep.groupBy(*group_cols).agg(
-        F.first("_n").alias("n"),
-        F.map_from_entries(F.collect_list(F.struct(F.col("_rn"), F.col("_v")))).alias("_m"))
+    ignored."""
+    def positions(n: Column) -> list[Column]:
+        at = [F.lit(float(q)) * (n - 1).cast("double") for q in qs]
+        return [f(x).cast("long") for x in at for f in (F.floor, F.ceil)]
+
+    picked = values_at(df, value_col, positions, group_cols)
     outs = []
-    n1 = (F.col("n") - 1).cast("double")
-    for q in qs:
-        pos = F.lit(float(q)) * n1
-        lo, hi = F.floor(pos).cast("long"), F.ceil(pos).cast("long")
-        vlo, vhi = F.element_at("_m", lo), F.element_at("_m", hi)
-        outs.append(vlo + (vhi - vlo) * (pos - lo.cast("double")))
-    return picked.select(*group_cols, F.col("n").cast("long").alias("n"), F.array(*outs).alias("quantiles"))
+    for i, q in enumerate(qs):
+        pos = F.lit(float(q)) * (F.col("n") - 1).cast("double")
+        lo, hi = F.col("values")[2 * i], F.col("values")[2 * i + 1]
+        outs.append(lo + (hi - lo) * (pos - F.floor(pos).cast("double")))
+    return picked.select(*group_cols, "n", F.array(*outs).alias("quantiles"))
 
 
 def global_quantiles(df: DataFrame, value_col: str, qs: Sequence[float]) -> list[Column]:

@@ -123,7 +123,7 @@ def refit_all(table: DataFrame, best: DataFrame, features: Sequence[str] = FULL_
     lin_names = set(LINEAR_MODELS)
     chosen = {db: (m if m in lin_names else "Ridge(a=10)") for db, (m, _) in win.items()}
     pairs = table.sparkSession.createDataFrame(list(chosen.items()), "db_id string, model string")
-    coef = fit.coefficients.join(F.broadcast(pairs), ["db_id", "model"])
+    coef = fit.coefficients.join(pairs, ["db_id", "model"])
     manifest = {"feature_order": list(features), "sql_features": FEATURE_COLUMNS, "schema_features": SCHEMA_FEATURES,
                 "target": target,
                 "databases": {db: {"best_model": m, "stored_model": chosen[db], "r2_log": r2,
@@ -175,7 +175,7 @@ def predict_runtime(queries: DataFrame, stats: DataFrame, fit: LinearFit,
     joined = joined.select(*[c for c in joined.columns if c not in SCHEMA_FEATURES],
                            *[F.coalesce(F.col(c).cast("double"), F.lit(0.0)).alias(c) for c in SCHEMA_FEATURES])
     coefs = fit.coefficients.select("db_id", "intercept", "coef")
-    j = joined.join(F.broadcast(coefs), "db_id", "left")
+    j = joined.join(coefs, "db_id", "left")
     pred = F.col("intercept")
     for i, c in enumerate(features):
         pred = pred + F.element_at("coef", i + 1) * F.col(c).cast("double")

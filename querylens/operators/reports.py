@@ -8,18 +8,30 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+
+
+def _report_value(df: DataFrame, c: str) -> Column:
+    """Texts as they are, arrays, maps and structs as JSON, flags as true or
+    false, numbers with 6 decimals."""
+    kind = df.schema[c].dataType
+    if isinstance(kind, T.StringType):
+        return F.col(c)
+    if isinstance(kind, (T.ArrayType, T.MapType, T.StructType)):
+        return F.when(F.col(c).isNotNull(), F.to_json(c))
+    if isinstance(kind, T.NumericType):
+        return F.when(F.col(c).isNotNull(), F.format_string("%.6f", F.col(c).cast("double")))
+    return F.col(c).cast("string")
 
 
 def metrics_long(df: DataFrame, id_cols: Sequence[str], value_cols: Sequence[str], iteration: str,
                  source_file: str, notes: str = "") -> DataFrame:
     """Unpivot wide report rows to ``bundle_key, iteration, value,
-    source_file, source_field, notes``; numbers are rendered with 6
-    decimals, strings kept."""
-    vals = [F.when(F.col(c).isNull(), F.lit(None).cast("string")).otherwise(
-        F.format_string("%.6f", F.col(c).cast("double"))).alias(c) for c in value_cols]
-    wide = df.select(*id_cols, *vals)
+    source_file, source_field, notes``; see :func:`_report_value` for how
+    values of each type are written, null stays null."""
+    wide = df.select(*id_cols, *[_report_value(df, c).alias(c) for c in value_cols])
     long = wide.unpivot(list(id_cols), list(value_cols), "source_field", "value")
     key = F.concat_ws(".", *[F.col(c).cast("string") for c in id_cols], F.col("source_field"))
     return long.select(key.alias("bundle_key"), F.lit(iteration).alias("iteration"), "value",

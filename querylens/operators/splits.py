@@ -61,7 +61,7 @@ def _assign(df: DataFrame, quotas: DataFrame, strata: list[str], key_col: str, s
     q = quotas.select(*[F.col(s).alias(f"_q_{s}") for s in strata], F.col(quota_col).alias("_qq"))
     cond = [F.col(s).eqNullSafe(F.col(f"_q_{s}")) for s in strata]
     # one quota row per stratum: bounded by the number of strata
-    j = r.join(F.broadcast(q), cond, "left")
+    j = r.join(q, cond, "left")
     val = F.when(F.col("_rn") < F.coalesce(F.col("_qq"), F.lit(0)), inside).otherwise(outside)
     return j.select(*df.columns, val.alias(out_col))
 
@@ -86,7 +86,7 @@ def split_within_group(df: DataFrame, group_col: str = "db_id", key_col: str = "
     q = counts.select(group_col, "_n", F.ceil(F.lit(float(test_size)) * F.col("_n")).cast("long").alias("_test_q"))
     out = _assign(df, q, [group_col], key_col, seed, "_test_q", "test", "train")
     small = counts.where(F.col("_n") < min_n).select(F.col(group_col).alias("_small"))
-    out = out.join(F.broadcast(small), out[group_col] == small["_small"], "left")
+    out = out.join(small, out[group_col] == small["_small"], "left")
     return out.withColumn("split", F.when(F.col("_small").isNotNull(), "skipped").otherwise(F.col("split"))).drop("_small")
 
 
@@ -118,7 +118,7 @@ def _assign_groups(df: DataFrame, quotas: DataFrame, group_col: str, label_col:
     (group, label), the others inside (group)."""
     strat_groups = quotas.where(F.col("_slabel").isNotNull()).select(F.col(group_col).alias("_sg")).distinct()
     # one row per stratified group: bounded by the number of groups
-    x = df.join(F.broadcast(strat_groups), df[group_col] == strat_groups["_sg"], "left")
+    x = df.join(strat_groups, df[group_col] == strat_groups["_sg"], "left")
     x = x.withColumn("_slabel", F.when(F.col("_sg").isNotNull(), F.col(label_col))).drop("_sg")
     out = _assign(x, quotas, [group_col, "_slabel"], key_col, seed, "_test_q", "test", "train")
     return out.drop("_slabel")
@@ -148,12 +148,12 @@ def split_seen_pooled(df: DataFrame, group_col: str = "db_id", label_col: str =
     q = q.join(tiny.select(group_col), group_col, "left_anti").withColumn("_train_q", F.lit(None).cast("long"))
     q = q.unionByName(tiny.withColumn("_test_q", F.lit(None).cast("long")))
     strat_groups = q.where(F.col("_slabel").isNotNull()).select(F.col(group_col).alias("_sg")).distinct()
-    x = df.join(F.broadcast(strat_groups), df[group_col] == strat_groups["_sg"], "left")
+    x = df.join(strat_groups, df[group_col] == strat_groups["_sg"], "left")
     x = x.withColumn("_slabel", F.when(F.col("_sg").isNotNull(), F.col(label_col))).drop("_sg")
     keyed = x.withColumn("_h", shuffle_key(key_col, seed))
     r = rank_within(keyed, [group_col, "_slabel"], [F.col("_h").asc()])
     qq = q.select(F.col(group_col).alias("_qg"), F.col("_slabel").alias("_ql"), "_test_q", "_train_q")
-    j = r.join(F.broadcast(qq), F.col(group_col).eqNullSafe(F.col("_qg")) & F.col("_slabel").eqNullSafe(F.col("_ql")), "left")
+    j = r.join(qq, F.col(group_col).eqNullSafe(F.col("_qg")) & F.col("_slabel").eqNullSafe(F.col("_ql")), "left")
     is_test = F.when(F.col("_train_q").isNotNull(), F.col("_rn") >= F.col("_train_q")).otherwise(
         F.col("_rn") < F.coalesce(F.col("_test_q"), F.lit(0)))
     return j.select(*df.columns, F.when(is_test, "test").otherwise("train").alias("split"))

@@ -175,8 +175,8 @@ def run_workload(spark: SparkSession, queries: list[tuple[str, str, str]], runs:
                 elapsed = time.perf_counter() - t0
                 n = int(obs.get["n"])
             except Exception as exc:  # recorded, the run log keeps going
-                msg = str(exc).splitlines()[0] if str(exc) else type(exc).__name__
-                err = f"query timeout > {timeout_s:g}s" if "cancel" in msg.lower() else msg[:500]
+                msg = str(exc) or type(exc).__name__
+                err = f"query timeout > {timeout_s:g}s" if "cancel" in msg.lower() else msg
             finally:
                 timer.cancel()
                 sc.setLocalProperty("spark.jobGroup.id", None)

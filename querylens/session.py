@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import os
+import re
 import tempfile
 
 from pyspark.sql import SparkSession
@@ -52,8 +53,9 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     """Return the shared checkpoint folder named by ``spark.checkpoint.dir``.
 
     A cluster names a shared folder (HDFS/S3/...) in that setting and it is
-    used as is.  Only when it is unset (local runs and tests) a private
-    scratch folder is created.
+    used as is.  Only when it is unset and the master is local (local runs and
+    tests) a private scratch folder is created; on a cluster executors would
+    each write to a disk of their own, so there it is an error.
     """
     sc = spark.sparkContext
     current = sc.getCheckpointDir()
@@ -61,16 +63,9 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
         return current
     configured = spark.conf.get("spark.checkpoint.dir", None) or sc.getConf().get("spark.checkpoint.dir")
     if not configured:
+        if not re.fullmatch(r"local(\[.*\])?", sc.master):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
         configured = tempfile.mkdtemp(prefix="querylens-ckpt-", dir=os.environ.get("TMPDIR", "/tmp"))
     sc.setCheckpointDir(configured)
     return sc.getCheckpointDir() or configured
 
-
-def spread(df, min_partitions: int | None = None):
-    """Round-robin an input that has fewer partitions than the cluster's
-    parallelism before CPU-heavy per-row work (text features, plan
-    features).  Inputs at scale already have thousands of splits and pass
-    through unchanged, so this adds a shuffle only where it buys cores."""
-    spark = df.sparkSession
-    target = min_partitions or spark.sparkContext.defaultParallelism
-    return df.repartition(target) if df.rdd.getNumPartitions() < target else df

@@ -22,28 +22,46 @@ QUERY_LOG_DDL = "question_id long, db_id string, sql string, difficulty string,
 
 
 def write_json_arrays(df: DataFrame, path: str, rename: dict[str, str] | None = None) -> None:
-    """Write ``df`` as JSON-array text files, one array per partition."""
+    """Write ``df`` as JSON-array text files, one array per partition and one
+    object per line; rows are streamed, none are gathered."""
     rename = rename or {}
     obj = F.to_json(F.struct(*[F.col(c).alias(rename.get(c, c)) for c in df.columns]))
-    per = (df.select(obj.alias("_j"), F.spark_partition_id().alias("_p"))
-             .groupBy("_p").agg(F.concat(F.lit("["), F.concat_ws(",", F.collect_list("_j")), F.lit("]")).alias("value")))
-    per.select("value").write.mode("overwrite").text(path)
+
+    def lines(batches):
+        import pyarrow as pa
+        mark = "["
+        for batch in batches:
+            out = []
+            for row in batch.column(0).to_pylist():
+                out.append(mark + row)
+                mark = ","
+            yield pa.RecordBatch.from_arrays([pa.array(out, pa.string())], names=["value"])
+        yield pa.RecordBatch.from_arrays([pa.array(["]" if mark == "," else "[]"])], names=["value"])
+
+    df.select(obj.alias("value")).mapInArrow(lines, "value string").write.mode("overwrite").text(path)
 
 
 def read_questions(spark: SparkSession, path: str) -> DataFrame:
     """IO1: JSON-array question files -> (question_id, db_id, sql,
     difficulty).  ``db_id`` and ``SQL`` are required; a missing
-    ``question_id`` becomes the row position, a missing difficulty
-    'unknown'."""
+    ``question_id`` becomes the row's position in its file, from 0, a missing
+    difficulty 'unknown'."""
     raw = spark.read.option("multiLine", True).json(path)
     missing = {"db_id", "SQL"} - set(raw.columns)
     if missing:
         raise ValueError(f"question file lacks required columns: {sorted(missing)}")
-    qid = F.col("question_id").cast("long") if "question_id" in raw.columns else F.lit(None).cast("long")
     diff = F.col("difficulty").cast("string") if "difficulty" in raw.columns else F.lit(None).cast("string")
-    return raw.select(F.coalesce(qid, F.monotonically_increasing_id()).alias("question_id"),
-                      F.col("db_id").cast("string").alias("db_id"), F.col("SQL").cast("string").alias("sql"),
-                      F.coalesce(diff, F.lit("unknown")).alias("difficulty"))
+    rest = [F.col("db_id").cast("string").alias("db_id"), F.col("SQL").cast("string").alias("sql"),
+            F.coalesce(diff, F.lit("unknown")).alias("difficulty")]
+    if "question_id" in raw.columns:
+        raw = raw.withColumn("_id", F.col("question_id").cast("long"))
+    else:
+        raw = raw.withColumn("_id", F.lit(None).cast("long"))
+    # a multi-line file is read by one task, so its rows are numbered without gaps
+    numbered = raw.select("_id", *rest, F.col("_metadata.file_path").alias("_file"), F.monotonically_increasing_id().alias("_row"))
+    first = numbered.groupBy("_file").agg(F.min("_row").alias("_first"))
+    return numbered.join(first, "_file").select(
+        F.coalesce("_id", F.col("_row") - F.col("_first")).alias("question_id"), "db_id", "sql", "difficulty")
 
 
 def write_query_log(df: DataFrame, path: str, fmt: str = "parquet") -> None:

@@ -109,7 +109,7 @@ def tier_stream(stream: DataFrame, cutoffs: DataFrame, labels, db_col: str = "da
     glob = arrays.where(F.col("_cdb").isNull()).select("_th").first()
     glob_arr = F.array(*[F.lit(float(x)) for x in (glob["_th"] if glob else [])])
     per = arrays.where(F.col("_cdb").isNotNull())
-    j = stream.join(F.broadcast(per), stream[db_col] == per["_cdb"], "left")
+    j = stream.join(per, stream[db_col] == per["_cdb"], "left")
     th = F.coalesce(F.col("_th"), glob_arr)
     j = j.select(*stream.columns, th.alias("_thr"))
     v = F.col(col).cast("double")

@@ -129,8 +129,29 @@ def test_wilcoxon_statistic_and_exact_p(spark):
     r = me.wilcoxon_top_two(df).first()
     # d = 0.3, -0.02, 0.35, 0.05, 0.05 -> ranks 4, 1, 5, 2.5, 2.5 -> W- = 1
     assert r["model_a"] == "a" and r["n"] == 5 and r["statistic"] == pytest.approx(1.0)
-    p = me.wilcoxon_exact_p(4, 0.0, spark)
-    assert p == pytest.approx(2 / 16)
+    assert 2 * me.signed_rank_cdf(4)[0] == pytest.approx(2 / 16)
+
+
+def _paired(diffs):
+    rows = [("a", f, 10.0 + d) for f, d in enumerate(diffs)] + [("b", f, 10.0) for f, _ in enumerate(diffs)]
+    return rows
+
+
+def test_wilcoxon_p_values(spark):
+    import itertools
+    diffs = [5.0, -1.0, 4.0, 3.0, 2.0, 7.0, -6.0]
+    df = spark.createDataFrame(_paired(diffs), "model string, fold int, f1 double")
+    r = me.wilcoxon_top_two(df).first()
+    sums = [sum(rank for rank, up in zip(range(1, 8), signs) if up) for signs in itertools.product([0, 1], repeat=7)]
+    share = sum(min(w, 28 - w) <= r["statistic"] for w in sums) / 2 ** 7
+    assert r["p_value"] == pytest.approx(share)
+    # more pairs than the exact table holds, and ties: normal approximation
+    many = [float(i % 9 + 1) * (1 if i % 4 else -1) for i in range(40)]
+    r = me.wilcoxon_top_two(spark.createDataFrame(_paired(many), "model string, fold int, f1 double")).first()
+    n, ties = 40, [sum(abs(x) == v for x in many) for v in {abs(x) for x in many}]
+    var = n * (n + 1) * (2 * n + 1) / 24 - sum(t ** 3 - t for t in ties) / 48
+    z = abs(r["statistic"] - n * (n + 1) / 4) / math.sqrt(var)
+    assert r["n"] == 40 and r["p_value"] == pytest.approx(math.erfc(z / math.sqrt(2)), abs=1e-6)
 
 
 def test_plan_reachability_rules(spark):

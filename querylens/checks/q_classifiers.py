@@ -8,6 +8,7 @@ from ..functions.sqltext import FEATURE_COLUMNS
 from ..operators import catalog as ca
 from ..operators import history as hi
 from ..operators import linear as li
+from ..operators import metrics as me
 from ..operators import models as mo
 from ..operators import querylog as ql
 from ..operators import regression as rg
@@ -15,10 +16,10 @@ from ..operators import splits as sp
 from ..plans import plan_tree as pt
 from ..registry import register
 from ..sources import fixtures as fx
-from .common import shared
+from .common import d6, r6, shared, with_ctes
 
 _HOLD = ["db_3", "db_7"]
-_CV_MODELS = ["Logistic Regression", "Random Forest"]
+_CV_MODELS = list(mo.CLASSIFIERS)
 
 
 def _table(spark, sf):
@@ -51,6 +52,17 @@ def _m11(spark, sf):
 register("m9_cross_validate")(_m9)
 register("m10_select_best")(_m10)
 register("m11_out_of_fold_proba")(_m11)
+
+# the choice itself on the fold scores of the prediction table
+_F1 = """SELECT model, avg(f1) AS m, stddev_pop(f1) AS s FROM (
+    SELECT model, fold, CASE WHEN sum(CASE WHEN y_true = 1 OR y_pred = 1 THEN 1 ELSE 0 END) > 0 THEN
+        2.0 * sum(y_true * y_pred) / (sum(y_true) + sum(y_pred)) ELSE 0 END AS f1 FROM predictions GROUP BY model, fold) GROUP BY model"""
+register("m10_best_of_scores", with_ctes(
+    f"SELECT model, {d6('m')} AS f1_mean, {d6('s')} AS f1_std FROM f1 ORDER BY f1_mean DESC, model LIMIT 1", "predictions", extra=[("f1", _F1)]))(
+    lambda spark, sf: mo.select_best(
+        mo.cv_summary(me.fold_scores(fx.predictions(spark, sf)).select("model", F.col("f1").alias("test_f1"), F.lit(0.0).alias("fit_time_s")))
+        .withColumn("f1_mean", r6("f1_mean")), ["model_0", "model_1", "model_2", "model_3"])
+    .select("model", "f1_mean", r6("f1_std").alias("f1_std")))
 register("m17_logistic_per_db")(lambda spark, sf: mo.logistic_per_db(_table(spark, sf), FEATURE_COLUMNS))
 
 
@@ -87,10 +99,14 @@ def _m21(spark, sf):
 
 
 register("m21_signed_coefficients")(_m21)
-register("m22_two_geometries")(lambda spark, sf: mo.two_geometries(_table(spark, sf), FEATURE_COLUMNS, holdout=_HOLD))
+# the boosted models are compared in m9-m11 and m6_m8; 200 rounds for every
+# fold of both geometries would be 20 more fits of minutes each
+_GEOMETRY_MODELS = ["Logistic Regression", "Random Forest"]
+register("m22_two_geometries")(
+    lambda spark, sf: mo.two_geometries(_table(spark, sf), FEATURE_COLUMNS, _GEOMETRY_MODELS, holdout=_HOLD, k=3))
 register("m23_two_geometries_fixed_model")(
     lambda spark, sf: mo.two_geometries(_table(spark, sf), FEATURE_COLUMNS, holdout=_HOLD,
-                                        factory=lambda n: mo.logistic(n, 2000)))
+                                        factory=mo.fixed_logistic))
 
 
 def _with_plans(spark, sf):
@@ -99,26 +115,38 @@ def _with_plans(spark, sf):
     queries = fx.query_log(spark, sf).select(F.col("question_id").alias("query_id"), "sql")
     tm = pt.tree_mean(nodes, queries, fx.named_tables(spark), fx.named_columns(spark, sf), fx.named_indexes(spark))
     gv = pt.global_vector(queries, fx.named_tables(spark))
-    return t.join(tm.withColumnRenamed("query_id", "question_id"), "question_id").join(
-        gv.withColumnRenamed("query_id", "question_id"), "question_id")
+    keep = t.select("question_id", "db_id", "label_binary", *FEATURE_COLUMNS)
+    return shared(spark, sf, "planned_table", lambda: keep.join(tm.withColumnRenamed("query_id", "question_id"), "question_id").join(
+        gv.withColumnRenamed("query_id", "question_id"), "question_id").checkpoint())
 
 
 _TREE = [f"t{i}" for i in range(pt.NODE_DIM)]
 _GLOB = [f"g{i}" for i in range(pt.GLOBAL_DIM)]
-register("m24_feature_ablation")(lambda spark, sf: mo.feature_ablation(_with_plans(spark, sf), _GLOB, _TREE))
-register("m25_fairness_control")(
-    lambda spark, sf: mo.fairness_control(_table(spark, sf), fx.plan_nodes(spark, sf).select(
-        F.col("query_id").alias("question_id")), FEATURE_COLUMNS))
+register("m24_feature_ablation")(lambda spark, sf: mo.feature_ablation(_with_plans(spark, sf), _GLOB, _TREE, holdout=_HOLD))
+
+
+def _planned(spark, sf):
+    return fx.plan_nodes(spark, sf).select(F.col("query_id").alias("question_id"))
+
+
+register("m25_fairness_control")(lambda spark, sf: mo.fairness_control(
+    _with_plans(spark, sf), _planned(spark, sf), FEATURE_COLUMNS, _TREE, _GEOMETRY_MODELS, holdout=_HOLD, k=3))
+register("m25_matched_manifest", with_ctes(
+    """SELECT question_id, db_id, CASE WHEN runtime_s >= p75 THEN 1 ELSE 0 END AS label_binary
+       FROM query_log, (SELECT quantile_cont(runtime_s, 0.5) AS p50, quantile_cont(runtime_s, 0.75) AS p75 FROM query_log) q
+       WHERE (runtime_s >= p75 OR runtime_s <= p50) AND runtime_s > 0 AND question_id IN (SELECT query_id FROM plan_nodes)""",
+    "query_log", "plan_nodes"))(lambda spark, sf: mo.matched_manifest(_table(spark, sf), _planned(spark, sf)))
 
 
 def _m26(spark, sf):
+    """Full log, the log down-sampled to the number of planned rows, and tree
+    features on the planned rows."""
     t = _table(spark, sf)
-    planned = fx.plan_nodes(spark, sf).select("query_id").distinct().count()
-    target = min(planned, t.count()) // 2
-    small = sp.downsample_stratified(t, target, holdout=_HOLD)
-    full = mo.two_geometries(t, FEATURE_COLUMNS, holdout=_HOLD).withColumn("variant", F.lit("full"))
-    down = mo.two_geometries(small, FEATURE_COLUMNS, holdout=_HOLD).withColumn("variant", F.lit("downsampled"))
-    return full.unionByName(down)
+    planned = _with_plans(spark, sf)
+    small = sp.downsample_stratified(t, planned.count(), holdout=_HOLD)
+    parts = {"full": (t, FEATURE_COLUMNS), "downsampled": (small, FEATURE_COLUMNS), "tree": (planned, _TREE)}
+    return mo._union([mo.two_geometries(d, f, holdout=_HOLD, factory=mo.fixed_logistic).withColumn("variant", F.lit(v))
+                      for v, (d, f) in parts.items()])
 
 
 register("m26_size_match_control")(_m26)
@@ -129,11 +157,9 @@ def _m27(spark, sf):
     stats = ca.schema_stats(fx.catalog_tables(spark, sf))
     med = ql.median_runtime(fx.run_log(spark, sf)).join(log.select("question_id", "sql", "difficulty"), "question_id")
     v2 = hi.replace_subset(log, med, ["db_0", "db_1", "db_2", "db_3", "db_4", "db_5", "db_6", "db_7", "db_8", "db_9", "db_10"])
-    t1 = rg.training_table(log, stats)
-    t2 = rg.training_table(v2.select("question_id", "db_id", "difficulty", "sql", "runtime_s"), stats)
-    a = mo.two_geometries(t1, FEATURE_COLUMNS, holdout=_HOLD).withColumn("version", F.lit("query_log"))
-    b = mo.two_geometries(t2, FEATURE_COLUMNS, holdout=_HOLD).withColumn("version", F.lit("run_log_median"))
-    return a.unionByName(b)
+    tables = {"query_log": log, "run_log_median": v2.select("question_id", "db_id", "difficulty", "sql", "runtime_s")}
+    return mo._union([mo.two_geometries(rg.training_table(x, stats), FEATURE_COLUMNS, holdout=_HOLD, factory=mo.fixed_logistic)
+                      .withColumn("version", F.lit(v)) for v, x in tables.items()])
 
 
 register("m27_compare_snapshots")(_m27)
@@ -152,7 +178,6 @@ def _m6_m8(spark, sf):
         return sc.withColumn("model", F.lit(name)).withColumn("fold", F.lit(0))
 
     scored = mo._union(mo._parallel(names, run))
-    from ..operators import metrics as me
     return me.binary_metrics(scored, ["model"]).join(me.roc_auc(scored, ["model"]), "model", "left")
 
 
@@ -169,8 +194,8 @@ register("r6_top_features")(_r6)
 
 def _r5(spark, sf):
     from ..operators import reports as rp
-    t = _table(spark, sf)
-    best = rg.best_per_db(rg.regress_per_db(t, with_trees=False))
+    from .q_models import per_db
+    best = rg.best_per_db(per_db(spark, sf))
     return rp.coverage_vs_r2(best, ca.schema_stats(fx.catalog_tables(spark, sf)))
 
 

@@ -221,4 +221,8 @@ register("p15_db_from_query_id", fx.with_ctes(
        FROM (SELECT question_id, concat(CASE WHEN difficulty = 'simple' THEN 'synth_' ELSE 'bird_' END, db_id, '_',
              CAST(question_id AS VARCHAR)) AS qid FROM query_log)""", "query_log"))(_p15)
 
-register("p14_plan_features")(lambda spark, sf: pt.plan_features(*_inputs(spark, sf)))
+_ARRAYS = ", ".join("[" + ", ".join(d6(f"{v}{i}") for i in range(n)) + f"] AS {name}"
+                    for name, v, n in (("tree_vec", "t", pt.NODE_DIM), ("global_vec", "g", pt.GLOBAL_DIM)))
+register("p14_plan_features", _with(f"SELECT tm.query_id, {_ARRAYS} FROM tm JOIN gv ON tm.query_id = gv.query_id", [_NV, _TM] + _EST + [_GV]))(
+    lambda spark, sf: pt.plan_features(*_inputs(spark, sf)).select(
+        "query_id", *[F.transform(c, lambda x: r6(x)).alias(c) for c in ("tree_vec", "global_vec")]))

@@ -14,10 +14,12 @@ from .common import d6, r6, with_ctes
 
 
 def _source(spark, sf):
+    """The history as a stream of files, all there when the stream starts:
+    they make one batch, whatever their order."""
     hist = fx.history(spark, sf)
-    path = hs._ckpt(spark, "history-src")
+    path = hs.stream_folder(spark, "history-src")
     hs.stage_history_files(hist, path)
-    return hs.read_history_stream(spark, path, hist.schema)
+    return hs.read_history_stream(spark, path, hist.schema, files_per_trigger=1_000_000)
 
 
 def _st1(spark, sf):
@@ -67,7 +69,7 @@ register("st3_stream_tiering", with_ctes(
 
 def _st4(spark, sf):
     stats = ca.schema_stats(fx.catalog_tables(spark, sf))
-    path = hs._ckpt(spark, "training-table")
+    path = hs.stream_folder(spark, "training-table")
     hs.incremental_training(_source(spark, sf), stats, path)
     return spark.read.parquet(path).select("question_id", "db_id", r6("runtime_s").alias("runtime_s"),
                                            F.col("schema_n_tables").cast("long").alias("schema_n_tables"))

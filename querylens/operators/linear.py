@@ -6,8 +6,9 @@ over the training rows: (1) count, mean and population std of every
 feature; (2) the standardized cross-products ``sum z_i z_j``, ``sum z_j y``,
 ``sum y`` and ``sum y^2``.  Both passes are single grouped aggregates with
 map-side partial aggregation, so a database holding a third of the rows
-only adds partial buffers.  What reaches the driver is one p x p matrix per
-group (p = number of features, about 30); the solve is local:
+only adds partial buffers.  The p x p systems (p = number of features, about
+30) are solved on the executors, one grouped task per database, and nothing
+per group passes through the driver:
 
 * OLS        ``w = lstsq(G, c)`` (minimum-norm, as LAPACK least squares)
 * Ridge(a)   ``w = (G + a I)^-1 c``; intercept unpenalised
@@ -139,42 +140,45 @@ class LinearFit:
 
 def fit_linear_models(train: DataFrame, features: Sequence[str], target: str = "log_runtime",
                       group_cols: Sequence[str] = (), models: dict | None = None) -> LinearFit:
-    """M2-M4 for every group in one Spark job: collect the per-group Gram
-    rows (one row of ~p^2/2 numbers per group), solve locally, return the
-    coefficient table as a DataFrame."""
-    feats = list(features)
+    """M2-M4 for every group: the group's Gram numbers and moments meet in
+    one grouped task, which solves all models.  Without groups all rows are
+    one group.  Returns the coefficient table; no rows, no coefficients."""
+    feats, groups = list(features), list(group_cols)
     p = len(feats)
-    models = models or LINEAR_MODELS
-    mom, summed = gram_table(train, feats, target, group_cols)
-    moments = {tuple(r[g] for g in group_cols): r for r in mom.collect()}
-    vecs: dict = {}
+    models = dict(models or LINEAR_MODELS)
+    mom, summed = gram_table(train, feats, target, groups)
+    # moments as further positions behind the Gram numbers
     width = 3 + p + p * (p + 1) // 2
-    for r in summed.collect():
-        key = tuple(r[g] for g in group_cols)
-        vecs.setdefault(key, np.zeros(width))[r["_pos"]] = r["_v"]
-    iu = np.triu_indices(p)
-    out = []
-    for key, v in vecs.items():
-        m = moments[key]
+    extra = F.array(*[F.col(f"_mu{i}") for i in range(p)], *[F.col(f"_sd{i}") for i in range(p)])
+    rest = mom.select(*groups, F.posexplode(extra).alias("_pos", "_v")).select(
+        *groups, (F.col("_pos") + F.lit(width)).alias("_pos"), "_v")
+    numbers = summed.unionByName(rest)
+    keys = groups or ["_all"]
+    if not groups:
+        numbers = numbers.withColumn("_all", F.lit(1))
+
+    def solve(key, rows):
+        import pandas as pd
+        v = np.zeros(width + 2 * p)
+        v[rows["_pos"].to_numpy()] = rows["_v"].to_numpy()
         n = int(v[0])
-        ybar = v[1] / n
-        # sum z (y - ybar) = sum z y because z is centred on the training rows
-        c = v[3:3 + p]
-        G = np.zeros((p, p))
-        G[iu] = v[3 + p:]
-        G = G + G.T - np.diag(np.diag(G))
-        mu = np.array([m[f"_mu{i}"] for i in range(p)], dtype=float)
-        sd = np.array([m[f"_sd{i}"] if m[f"_sd{i}"] and m[f"_sd{i}"] > 0 else 1.0 for i in range(p)], dtype=float)
+        if not n:
+            return pd.DataFrame(columns=[*groups, "model", "intercept", "coef", "n_train"])
+        gram = np.zeros((p, p))
+        gram[np.triu_indices(p)] = v[3 + p:width]
+        gram = gram + gram.T - np.diag(np.diag(gram))
+        mu, sd = v[width:width + p], v[width + p:]
+        sd = np.where(sd > 0, sd, 1.0)
+        out = []
         for name, (kind, alpha) in models.items():
-            w = _solve(kind, alpha, G, c, n)
-            b = w / sd
-            b0 = ybar - float(b @ mu)
-            out.append(key + (name, float(b0), [float(x) for x in b], n))
-    spark = train.sparkSession
-    schema_groups = [(g, train.schema[g].dataType.simpleString()) for g in group_cols]
-    ddl = ", ".join(f"{g} {t}" for g, t in schema_groups)
-    ddl = (ddl + ", " if ddl else "") + "model string, intercept double, coef array<double>, n_train long"
-    return LinearFit(spark.createDataFrame(out, ddl))
+            # sum z (y - ybar) = sum z y because z is centred on the training rows
+            b = _solve(kind, alpha, gram, v[3:3 + p], n) / sd
+            out.append((*(key if groups else ()), name, float(v[1] / n - b @ mu), b.tolist(), n))
+        return pd.DataFrame(out, columns=[*groups, "model", "intercept", "coef", "n_train"])
+
+    ddl = "".join(f"{g} {train.schema[g].dataType.simpleString()}, " for g in groups)
+    return LinearFit(numbers.groupBy(*keys).applyInPandas(
+        solve, ddl + "model string, intercept double, coef array<double>, n_train long"))
 
 
 def score_linear(df: DataFrame, fit: LinearFit, features: Sequence[str], group_cols: Sequence[str] = (),

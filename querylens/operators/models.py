@@ -23,8 +23,8 @@ from pyspark.sql import functions as F
 from .linear import feature_moments, standardize
 from .metrics import binary_metrics, roc_auc
 from .ranking import rank_within
-from .splits import HOLDOUT_DATABASES, MIN_QUERIES, SEED, split_holdout, split_seen_pooled, split_status, \
-    split_within_group_stratified, stratified_folds
+from .splits import HOLDOUT_DATABASES, MIN_QUERIES, SEED, split_seen_pooled, split_status, split_within_group_stratified, \
+    stratified_folds
 
 LABEL = "label_binary"
 
@@ -83,31 +83,62 @@ def _union(parts: list[DataFrame]) -> DataFrame:
     return out
 
 
+def folds_of(table: DataFrame, k: int, label: str = LABEL) -> tuple[DataFrame, list[int]]:
+    """The table with its stratified folds (T6), written once, and the fold
+    numbers; none if a class is too small for two folds."""
+    folded = stratified_folds(table, k=k, label_col=label).checkpoint()
+    return folded, sorted(r[0] for r in folded.select("fold").distinct().collect() if r[0] is not None)
+
+
 def cross_validate(table: DataFrame, features: Sequence[str], models: Sequence[str], k: int = 5,
                    label: str = LABEL) -> tuple[DataFrame, DataFrame]:
     """M9 + M11 + E17: stratified k folds (T6); every (model, fold) fit runs
-    concurrently.  Returns (fold scores: model, fold, train_f1, test_f1,
-    accuracy, precision, recall, roc_auc, fit_time_s;  out-of-fold scored rows)."""
-    folded = stratified_folds(table, k=k, label_col=label).checkpoint()
-    ks = [r[0] for r in folded.select("fold").distinct().collect() if r[0] is not None]
-    jobs = [(m, f) for m in models for f in sorted(ks)]
+    concurrently and scores both sides.  Returns (fold scores: model, fold,
+    train_ and test_ f1, accuracy, precision, recall, roc_auc, fit_time_s,
+    score_time_s;  out-of-fold scored rows)."""
+    folded, ks = folds_of(table, k, label)
+    jobs = [(m, f) for m in models for f in ks]
 
     def run(job):
         m, f = job
-        tr = folded.where(F.col("fold") != f)
-        te = folded.where(F.col("fold") == f)
-        sc, _, info = fit_and_score(tr, te, features, m, label=label)
-        return sc.withColumn("model", F.lit(m)).withColumn("fold", F.lit(int(f))), (m, f, info["fit_time_s"])
+        tr = folded.where(F.col("fold") != f).withColumn("_part", F.lit("train"))
+        te = folded.where(F.col("fold") == f).withColumn("_part", F.lit("test"))
+        sc, _, info = fit_and_score(tr, tr.unionByName(te), features, m, keep=("question_id", "_part"), label=label)
+        t0 = time.perf_counter()
+        sc = sc.checkpoint()      # scored once; the metrics read these rows
+        return (sc.withColumn("model", F.lit(m)).withColumn("fold", F.lit(int(f))),
+                (m, f, info["fit_time_s"], time.perf_counter() - t0))
 
     results = _parallel(jobs, run)
-    scored = _union([r[0] for r in results])
-    times = table.sparkSession.createDataFrame([r[1] for r in results], "model string, fold int, fit_time_s double")
-    per = binary_metrics(scored, ["model", "fold"]).join(roc_auc(scored, ["model", "fold"]), ["model", "fold"], "left")
-    scores = per.join(times, ["model", "fold"]).select(
-        "model", "fold", F.col("f1").alias("test_f1"), F.col("accuracy").alias("test_accuracy"),
-        F.col("precision").alias("test_precision"), F.col("recall").alias("test_recall"),
-        F.col("roc_auc").alias("test_roc_auc"), "fit_time_s").orderBy("model", "fold")
-    return scores, scored
+    both = _union([r[0] for r in results])
+    times = table.sparkSession.createDataFrame([r[1] for r in results], "model string, fold int, fit_time_s double, score_time_s double")
+    key = ["model", "fold", "_part"]
+    per = binary_metrics(both, key).join(roc_auc(both, key), key, "left")
+    names = ["f1", "accuracy", "precision", "recall", "roc_auc"]
+    wide = per.groupBy("model", "fold").agg(*[F.max(F.when(F.col("_part") == p, F.col(c))).alias(f"{p}_{c}")
+                                             for p in ("train", "test") for c in names])
+    scores = wide.join(times, ["model", "fold"]).orderBy("model", "fold")
+    return scores, both.where(F.col("_part") == "test").drop("_part")
+
+
+def best_model(train: DataFrame, features: Sequence[str], models: Sequence[str], k: int = 5, label: str = LABEL) -> str:
+    """The model with the highest mean CV F1 on ``train`` (M10); the first
+    one if a class is too small for cross-validation or there is one model."""
+    if len(models) == 1:
+        return models[0]
+    folded, ks = folds_of(train, k, label)
+    if not ks:
+        return models[0]
+    jobs = [(m, f) for m in models for f in ks]
+
+    def run(job):
+        m, f = job
+        sc, _, _ = fit_and_score(folded.where(F.col("fold") != f), folded.where(F.col("fold") == f), features, m, label=label)
+        return sc.withColumn("model", F.lit(m)).withColumn("fold", F.lit(int(f)))
+
+    scores = binary_metrics(_union(_parallel(jobs, run)), ["model", "fold"]).select(
+        "model", F.col("f1").alias("test_f1"), F.lit(0.0).alias("fit_time_s"))
+    return select_best(cv_summary(scores), models).first()["model"]
 
 
 def cv_summary(scores: DataFrame) -> DataFrame:
@@ -176,88 +207,105 @@ def signed_coefficients(fit, features: Sequence[str], model: str = "Ridge(a=1)")
     return ex.select(F.element_at(names, F.col("pos") + 1).alias("feature"), "coef").orderBy(F.desc(F.abs("coef")))
 
 
-def two_geometries(table: DataFrame, features: Sequence[str], model_name: str = "Logistic Regression",
-                   holdout: Sequence[str] = HOLDOUT_DATABASES, label: str = LABEL,
+_METRICS = ("f1", "roc_auc", "accuracy")
+_GEOMETRY_DDL = ", ".join(["rows long", "fast_rows long", "slow_rows long"] + [
+    f"{g}_{x}" for g in ("unseen", "seen") for x in ("train_rows long", "test_rows long", "best_model string",
+                                                   *(f"{m} double" for m in _METRICS))])
+
+
+def two_geometries(table: DataFrame, features: Sequence[str], models: Sequence[str] = tuple(CLASSIFIERS),
+                   holdout: Sequence[str] = HOLDOUT_DATABASES, label: str = LABEL, k: int = 5,
                    factory: Callable[[int], object] | None = None) -> DataFrame:
     """Unseen-database (holdout) and seen-database (pooled per-db
-    80/20) evaluation of one model, one wide row; the unseen metrics are
-    null when a side is empty."""
+    80/20) evaluation, one wide row.  On each side the model of ``models``
+    with the best cross-validated F1 on that side's training rows is fitted
+    (M22); with ``factory`` a fixed logistic model is (M23).  The numbers of a side are
+    null when its training or test rows are empty or the training rows have
+    one class."""
     spark = table.sparkSession
-    parts = []
-    counts = {}
-    try:
-        h = split_holdout(table, holdout)
-        tr, te = h.where(F.col("split") == "train"), h.where(F.col("split") == "test")
-        counts["unseen_train_rows"], counts["unseen_test_rows"] = tr.count(), te.count()
-        sc, _, _ = fit_and_score(tr, te, features, model_name, label=label, factory=factory)
-        parts.append(sc.withColumn("geometry", F.lit("unseen")))
-    except ValueError:
-        counts["unseen_train_rows"] = counts["unseen_test_rows"] = None
-    s = split_seen_pooled(table, label_col=label).checkpoint()
-    tr, te = s.where(F.col("split") == "train"), s.where(F.col("split") == "test")
-    counts["seen_train_rows"], counts["seen_test_rows"] = tr.count(), te.count()
-    sc, _, _ = fit_and_score(tr, te, features, model_name, label=label, factory=factory)
-    parts.append(sc.withColumn("geometry", F.lit("seen")))
-    scored = _union(parts)
-    # the metric table has one row per geometry; the wide row is assembled from it
-    m = binary_metrics(scored, ["geometry"]).join(roc_auc(scored, ["geometry"]), "geometry", "left").collect()
-    base = table.agg(F.count(F.lit(1)).alias("rows"), F.count_if(F.col(label) == 0).alias("fast_rows"),
-                     F.count_if(F.col(label) == 1).alias("slow_rows")).first().asDict()
-    row = {"model": model_name, **base, **counts}
-    for geo in ("unseen", "seen"):
-        hit = [r for r in m if r["geometry"] == geo]
-        for metric in ("f1", "roc_auc", "accuracy"):
-            row[f"{geo}_{metric}"] = float(hit[0][metric]) if hit and hit[0][metric] is not None else None
-    names = ["model", "rows", "fast_rows", "slow_rows", "unseen_train_rows", "unseen_test_rows", "seen_train_rows",
-             "seen_test_rows", "unseen_f1", "unseen_roc_auc", "unseen_accuracy", "seen_f1", "seen_roc_auc", "seen_accuracy"]
-    ddl = ("model string, rows long, fast_rows long, slow_rows long, unseen_train_rows long, unseen_test_rows long, "
-           "seen_train_rows long, seen_test_rows long, unseen_f1 double, unseen_roc_auc double, unseen_accuracy double, "
-           "seen_f1 double, seen_roc_auc double, seen_accuracy double")
-    return spark.createDataFrame([tuple(row.get(k) for k in names)], ddl)
+    need = list(dict.fromkeys(["question_id", "db_id", label, *features]))
+    table = table.select(*need).checkpoint()       # every split, fold and fit reads these rows
+    held = F.col("db_id").isin(list(holdout))
+    sides = {"unseen": table.withColumn("split", F.when(held, "test").otherwise("train")),
+             "seen": split_seen_pooled(table, label_col=label).checkpoint()}
+    y = F.col(label)
+    row = table.agg(F.count(F.lit(1)).alias("rows"), F.count_if(y == 0).alias("fast_rows"),
+                    F.count_if(y == 1).alias("slow_rows")).first().asDict()
+    for side, split in sides.items():
+        sizes = {r["split"]: r for r in split.groupBy("split").agg(
+            F.count(F.lit(1)).alias("n"), F.min(y).alias("a"), F.max(y).alias("b")).collect()}
+        for part in ("train", "test"):
+            row[f"{side}_{part}_rows"] = sizes[part]["n"] if part in sizes else 0
+        if "test" not in sizes or "train" not in sizes or sizes["train"]["a"] == sizes["train"]["b"]:
+            continue
+        tr, te = split.where(F.col("split") == "train"), split.where(F.col("split") == "test")
+        name = "Logistic Regression" if factory else best_model(tr, features, list(models), k, label)
+        scored, _, _ = fit_and_score(tr, te, features, name, label=label, factory=factory)
+        one = scored.withColumn("_g", F.lit(side))
+        m = binary_metrics(one, ["_g"]).join(roc_auc(one, ["_g"]), "_g", "left").first()
+        row[f"{side}_best_model"] = name
+        for metric in _METRICS:
+            row[f"{side}_{metric}"] = float(m[metric]) if m[metric] is not None else None
+    names = [c.split(" ")[0] for c in _GEOMETRY_DDL.split(", ")]
+    return spark.createDataFrame([tuple(row.get(c) for c in names)], _GEOMETRY_DDL)
+
+
+def fixed_logistic(n: int):
+    """M23's fixed model."""
+    return logistic(n, 2000)
 
 
 def feature_ablation(table: DataFrame, global_cols: Sequence[str], tree_cols: Sequence[str],
-                     min_rows: int = 20, label: str = LABEL) -> DataFrame:
+                     min_rows: int = 20, label: str = LABEL, holdout: Sequence[str] = HOLDOUT_DATABASES) -> DataFrame:
     """Fixed logistic model on global-only vs tree+global vectors, both
     geometries; needs at least ``min_rows`` rows."""
     if table.count() < min_rows:
         raise ValueError(f"feature ablation needs at least {min_rows} rows")
-    a = two_geometries(table, list(global_cols), label=label).withColumn("variant", F.lit("global_only"))
-    b = two_geometries(table, list(tree_cols) + list(global_cols), label=label).withColumn("variant", F.lit("tree_plus_global"))
-    return a.unionByName(b)
+    parts = {"global_only": list(global_cols), "tree_plus_global": [*tree_cols, *global_cols]}
+    return _union([two_geometries(table, cols, holdout=holdout, label=label, factory=fixed_logistic).withColumn("variant", F.lit(name))
+                   for name, cols in parts.items()])
+
 
+def matched_manifest(table: DataFrame, planned_keys: DataFrame, key: str = "question_id") -> DataFrame:
+    """M25 manifest: the labelled rows that have plans, with database and label."""
+    return table.join(planned_keys.select(key).distinct(), key, "left_semi").select(key, "db_id", LABEL)
 
-def fairness_control(table: DataFrame, planned_keys: DataFrame, features: Sequence[str],
-                     key: str = "question_id") -> DataFrame:
+
+def fairness_control(table: DataFrame, planned_keys: DataFrame, features: Sequence[str], tree_features: Sequence[str] = (),
+                     models: Sequence[str] = tuple(CLASSIFIERS), holdout: Sequence[str] = HOLDOUT_DATABASES,
+                     key: str = "question_id", k: int = 5) -> DataFrame:
     """The text-feature evaluation restricted to rows that have plans
-    (left-semi join on the key)."""
+    (left-semi join on the key), with the CV choice and with the fixed
+    logistic model, and the fixed model on tree features."""
     matched = table.join(planned_keys.select(key).distinct(), key, "left_semi")
-    return two_geometries(matched, features).withColumn("control", F.lit("matched_rows"))
+    rows = [two_geometries(matched, features, models, holdout, k=k).withColumn("control", F.lit("text_best_model")),
+            two_geometries(matched, features, holdout=holdout, factory=fixed_logistic).withColumn("control", F.lit("text_logistic"))]
+    if tree_features:
+        rows.append(two_geometries(matched, list(tree_features), holdout=holdout, factory=fixed_logistic)
+                    .withColumn("control", F.lit("tree_logistic")))
+    return _union(rows)
 
 
-def learning_curve(table: DataFrame, features: Sequence[str], shares=(0.1, 0.3, 0.5, 0.7, 1.0), k: int = 5,
+def learning_curve(table: DataFrame, features: Sequence[str], shares=(0.2, 0.4, 0.6, 0.8, 1.0), k: int = 3,
                    model_name: str = "Logistic Regression", label: str = LABEL) -> DataFrame:
     """Mean train-fold and validation F1 when fitting on the first
-    share of each training fold (md5 order)."""
-    folded = stratified_folds(table, k=k, label_col=label).checkpoint()
-    ks = sorted(r[0] for r in folded.select("fold").distinct().collect() if r[0] is not None)
-    keyed = folded.withColumn("_h", F.md5(F.concat(F.col("question_id").cast("string"), F.lit("|"), F.lit(str(SEED)))))
+    share of each training fold (md5 order); one fit per share and fold
+    scores both sides."""
+    keyed = table.select("question_id", label, *features).withColumn(
+        "_h", F.md5(F.concat(F.col("question_id").cast("string"), F.lit("|"), F.lit(str(SEED)))))
+    folded, ks = folds_of(keyed, k, label)
     # md5 rank inside each training fold (distributed ranking, no single-task sort)
-    ranked = {f: rank_within(keyed.where(F.col("fold") != f), [], [F.col("_h").asc()]) for f in ks}
-    jobs = [(s, f) for s in shares for f in ks]
+    ranked = {f: rank_within(folded.where(F.col("fold") != f), [], [F.col("_h").asc()]).drop("_h").checkpoint() for f in ks}
+    sizes = {f: r.count() for f, r in ranked.items()}
 
     def run(job):
         share, f = job
-        tr_all = ranked[f]
-        n = tr_all.select(F.first("_n")).first()[0]
-        cutoff = max(2, int(round(share * n)))
-        tr = tr_all.where(F.col("_rn") < cutoff).drop("_rn", "_n")
-        te = keyed.where(F.col("fold") == f)
-        sc_te, _, _ = fit_and_score(tr, te, features, model_name, label=label)
-        sc_tr, _, _ = fit_and_score(tr, tr, features, model_name, label=label)
-        return (sc_te.withColumn("part", F.lit("validation")).unionByName(sc_tr.withColumn("part", F.lit("train")))
-                .withColumn("share", F.lit(float(share))).withColumn("fold", F.lit(int(f))).withColumn("train_rows", F.lit(cutoff)))
-
-    scored = _union(_parallel(jobs, run, workers=4))
+        cutoff = max(2, int(round(share * sizes[f])))
+        tr = ranked[f].where(F.col("_rn") < cutoff).drop("_rn", "_n").withColumn("part", F.lit("train"))
+        te = folded.where(F.col("fold") == f).drop("_h").withColumn("part", F.lit("validation"))
+        sc, _, _ = fit_and_score(tr, tr.unionByName(te), features, model_name, keep=("part",), label=label)
+        return sc.withColumn("share", F.lit(float(share))).withColumn("fold", F.lit(int(f))).withColumn("train_rows", F.lit(cutoff))
+
+    scored = _union(_parallel([(s, f) for s in shares for f in ks], run, workers=4))
     m = binary_metrics(scored, ["share", "fold", "part", "train_rows"])
     return m.groupBy("share", "part").agg(F.avg("train_rows").alias("train_rows"), F.avg("f1").alias("f1")).orderBy("share", "part")

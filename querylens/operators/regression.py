@@ -10,14 +10,18 @@ Metrics are one grouped aggregate over the scored test rows.
 from __future__ import annotations
 
 import json
+import os
+import uuid
 from collections.abc import Sequence
 from concurrent.futures import ThreadPoolExecutor
 
+from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.regression import GBTRegressor, RandomForestRegressor
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..session import ensure_checkpoint_dir
 from ..functions.sqltext import FEATURE_COLUMNS, add_parsed_features, fill_missing_features
 from .catalog import SCHEMA_FEATURES, join_catalog
 from .labels import label_quantile, threshold_label
@@ -112,29 +116,47 @@ def best_per_db(results: DataFrame, model_order: Sequence[str] = PER_DB_MODELS)
     return results.withColumn("_r", F.row_number().over(w)).where(F.col("_r") == 1).drop("_r")
 
 
-def refit_all(table: DataFrame, best: DataFrame, features: Sequence[str] = FULL_FEATURES,
-              target: str = "log_runtime") -> tuple[LinearFit, dict]:
-    """Refit each database's winning linear model on all its rows; the
-    coefficient table plus a manifest (feature order, target, per-db winner,
-    r2, n).  Databases won by a tree model get the best linear model as the
-    stored predictor, and the manifest records both."""
-    fit = fit_linear_models(table, features, target, ["db_id"])
-    win = {r["db_id"]: (r["model"], r["r2_log"]) for r in best.select("db_id", "model", "r2_log").collect()}
-    lin_names = set(LINEAR_MODELS)
-    chosen = {db: (m if m in lin_names else "Ridge(a=10)") for db, (m, _) in win.items()}
-    pairs = table.sparkSession.createDataFrame(list(chosen.items()), "db_id string, model string")
-    coef = fit.coefficients.join(pairs, ["db_id", "model"])
-    manifest = {"feature_order": list(features), "sql_features": FEATURE_COLUMNS, "schema_features": SCHEMA_FEATURES,
-                "target": target,
-                "databases": {db: {"best_model": m, "stored_model": chosen[db], "r2_log": r2,
-                                   "n_train": None} for db, (m, r2) in win.items()}}
-    for r in coef.select("db_id", "n_train").collect():
-        manifest["databases"][r["db_id"]]["n_train"] = int(r["n_train"])
+def refit_all(table: DataFrame, best: DataFrame, features: Sequence[str] = FULL_FEATURES, target: str = "log_runtime",
+              min_n: int = MIN_QUERIES, path: str | None = None) -> tuple[LinearFit, DataFrame]:
+    """Refit each database's winning model on all its rows, for databases
+    with at least ``min_n`` rows.  Linear winners go to the coefficient table;
+    tree winners are fitted one by one and saved as pipeline models in
+    ``path`` (a folder of the shared storage), one folder per database.
+    Returns the coefficients and the manifest: db_id, model, kind, r2_log,
+    n_train, target, n_features and model_path (null for linear models)."""
+    spark = table.sparkSession
+    rows = table.select("db_id", target, *features).checkpoint()
+    sizes = rows.groupBy("db_id").agg(F.count(F.lit(1)).alias("n_train")).where(F.col("n_train") >= min_n)
+    won = best.select("db_id", "model", "r2_log").join(sizes, "db_id").checkpoint()
+    linear = won.where(F.col("model").isin(list(LINEAR_MODELS)))
+    fit = fit_linear_models(rows.join(linear.select("db_id"), "db_id", "left_semi"), features, target, ["db_id"])
+    coef = fit.coefficients.join(linear.select("db_id", "model"), ["db_id", "model"])
+    folder = path or os.path.join(ensure_checkpoint_dir(spark), f"tree-models-{uuid.uuid4().hex[:8]}")
+    trees = [r.asDict() for r in won.where(F.col("model").isin(list(TREE_MODELS))).collect()]
+
+    def save(r):
+        own = rows.where(F.col("db_id") == r["db_id"])
+        steps = [VectorAssembler(inputCols=list(features), outputCol="_fv", handleInvalid="keep"),
+                 TREE_MODELS[r["model"]]().setFeaturesCol("_fv").setLabelCol(target).setPredictionCol("pred_log")]
+        where = os.path.join(folder, r["db_id"])
+        Pipeline(stages=steps).fit(own).write().overwrite().save(where)
+        return r["db_id"], where
+
+    with ThreadPoolExecutor(max_workers=8) as pool:
+        saved = list(pool.map(save, trees))
+    paths = spark.createDataFrame(saved, "db_id string, model_path string")
+    kind = F.when(F.col("model").isin(list(TREE_MODELS)), "tree").otherwise("linear")
+    manifest = won.join(paths, "db_id", "left").select(
+        "db_id", "model", kind.alias("kind"), "r2_log", "n_train", F.lit(target).alias("target"),
+        F.lit(len(features)).alias("n_features"), "model_path")
     return LinearFit(coef), manifest
 
 
-def manifest_json(manifest: dict) -> str:
-    return json.dumps(manifest, indent=2, sort_keys=True)
+def manifest_json(manifest: DataFrame, features: Sequence[str] = FULL_FEATURES) -> str:
+    """The manifest as JSON text; it has one entry per database."""
+    return json.dumps({"feature_order": list(features), "sql_features": FEATURE_COLUMNS, "schema_features": SCHEMA_FEATURES,
+                       "databases": {r["db_id"]: {k: v for k, v in r.asDict().items() if k != "db_id"} for r in manifest.collect()}},
+                      indent=2, sort_keys=True)
 
 
 def regress_holdout(table: DataFrame, holdout: Sequence[str] = HOLDOUT_DATABASES,
@@ -165,22 +187,30 @@ def regress_seen_baseline(table: DataFrame, features: Sequence[str] = FULL_FEATU
     return regression_metrics(scored, ["model"], y_log=target, p_log="pred_log")
 
 
-def predict_runtime(queries: DataFrame, stats: DataFrame, fit: LinearFit,
+def predict_runtime(queries: DataFrame, stats: DataFrame, fit: LinearFit, manifest: DataFrame | None = None,
                     features: Sequence[str] = FULL_FEATURES) -> DataFrame:
     """SQL features + catalog statistics -> log prediction of the
-    database's stored model -> seconds, ms and the 50 ms label; a database
-    without a model gets an error text and label 'unknown'."""
+    database's stored model (coefficients, or the saved tree model named in
+    ``manifest``) -> seconds, ms and the 50 ms label; a database without a
+    model gets an error text and label 'unknown'."""
     feats = fill_missing_features(add_parsed_features(queries), FEATURE_COLUMNS, keep=queries.columns)
     joined = join_catalog(feats, stats)
     joined = joined.select(*[c for c in joined.columns if c not in SCHEMA_FEATURES],
                            *[F.coalesce(F.col(c).cast("double"), F.lit(0.0)).alias(c) for c in SCHEMA_FEATURES])
-    coefs = fit.coefficients.select("db_id", "intercept", "coef")
-    j = joined.join(coefs, "db_id", "left")
+    trees = ([] if manifest is None else
+             [(r["db_id"], r["model_path"]) for r in manifest.where(F.col("model_path").isNotNull()).collect()])
+    own = [db for db, _ in trees]
+    rest = joined.where(F.col("db_id").isNull() | ~F.col("db_id").isin(own)) if own else joined
+    j = rest.join(fit.coefficients.select("db_id", "intercept", "coef"), "db_id", "left")
     pred = F.col("intercept")
     for i, c in enumerate(features):
         pred = pred + F.element_at("coef", i + 1) * F.col(c).cast("double")
-    has = F.col("coef").isNotNull()
-    secs = F.when(has, F.exp(pred))
-    return j.select(*queries.columns, secs.alias("predicted_runtime_s"), (secs * 1000).alias("predicted_ms"),
-                    F.when(has, threshold_label(secs)).otherwise(F.lit("unknown")).alias("label"),
-                    F.when(~has, F.concat(F.lit("no model for database "), F.col("db_id"))).alias("error"))
+    scored = j.select(*queries.columns, F.when(F.col("coef").isNotNull(), pred).alias("_pred"))
+    for db, where in trees:
+        part = PipelineModel.load(where).transform(joined.where(F.col("db_id") == db))
+        scored = scored.unionByName(part.select(*queries.columns, F.col("pred_log").alias("_pred")))
+    has = F.col("_pred").isNotNull()
+    secs = F.when(has, F.exp("_pred"))
+    return scored.select(*queries.columns, secs.alias("predicted_runtime_s"), (secs * 1000).alias("predicted_ms"),
+                         F.when(has, threshold_label(secs)).otherwise(F.lit("unknown")).alias("label"),
+                         F.when(~has, F.concat(F.lit("no model for database "), F.col("db_id"))).alias("error"))

@@ -29,8 +29,15 @@ from ..operators.labels import threshold_label
 from ..session import ensure_checkpoint_dir
 
 
-def _ckpt(spark: SparkSession, name: str) -> str:
-    return os.path.join(ensure_checkpoint_dir(spark).replace("file:", ""), f"stream-{name}-{uuid.uuid4().hex[:8]}")
+def stream_folder(spark: SparkSession, name: str) -> str:
+    """Folder of a named stream under the shared checkpoint folder.  Callers
+    that restart a stream pass the same folder again."""
+    return os.path.join(ensure_checkpoint_dir(spark), f"stream-{name}-{uuid.uuid4().hex[:8]}")
+
+
+def path_exists(spark: SparkSession, path: str) -> bool:
+    target = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return target.getFileSystem(spark._jsc.hadoopConfiguration()).exists(target)
 
 
 def read_history_stream(spark: SparkSession, path: str, schema: StructType, files_per_trigger: int = 1) -> DataFrame:
@@ -49,54 +56,53 @@ def ingest(stream: DataFrame, watermark: str = "1 hour") -> DataFrame:
 
 
 def running_moments(stream: DataFrame) -> DataFrame:
-    """ST2 state: per database counts and moments of valid rows."""
+    """ST2 state: per database counts, error sums and centred second moments
+    of valid rows.  The variances are merged as centred moments, so nothing
+    cancels however long the history is."""
     valid = (F.col("had_error") == 0) & F.col("runtime_s").isNotNull() & F.col("predicted_runtime_s").isNotNull()
     y, p = F.col("runtime_s"), F.col("predicted_runtime_s")
     ly, lp = F.log1p(y), F.log1p(F.greatest(p, F.lit(0.0)))
     v = stream.where(valid)
     return v.groupBy("database").agg(
-        F.count(F.lit(1)).alias("n"), F.sum(y).alias("sy"), F.sum(y * y).alias("syy"),
-        F.sum((y - p) * (y - p)).alias("sse"), F.sum(F.abs(y - p)).alias("sae"),
-        F.sum(ly).alias("sly"), F.sum(ly * ly).alias("slyy"), F.sum((ly - lp) * (ly - lp)).alias("lsse"))
+        F.count(F.lit(1)).alias("n"), F.var_pop(y).alias("var"), F.sum((y - p) * (y - p)).alias("sse"),
+        F.sum(F.abs(y - p)).alias("sae"), F.var_pop(ly).alias("lvar"), F.sum((ly - lp) * (ly - lp)).alias("lsse"))
 
 
 def metrics_from_moments(m: DataFrame) -> DataFrame:
     """E13 from the ST2 state: r2, r2_log, mae_ms (null below 2 rows or for a constant target)."""
     n = F.col("n").cast("double")
-    sst = F.col("syy") - F.col("sy") * F.col("sy") / n
-    lsst = F.col("slyy") - F.col("sly") * F.col("sly") / n
     enough = F.col("n") >= 2
     return m.select("database", F.col("n").cast("long").alias("n"),
-                    F.when(enough & (sst > 0), 1 - F.col("sse") / sst).alias("r2"),
-                    F.when(enough & (lsst > 0), 1 - F.col("lsse") / lsst).alias("r2_log"),
+                    F.when(enough & (F.col("var") > 0), 1 - F.col("sse") / (F.col("var") * n)).alias("r2"),
+                    F.when(enough & (F.col("lvar") > 0), 1 - F.col("lsse") / (F.col("lvar") * n)).alias("r2_log"),
                     F.when(enough, F.col("sae") / n * 1000).alias("mae_ms"))
 
 
-def run_to_table(df: DataFrame, name: str, output_mode: str = "update", key: list[str] | None = None) -> DataFrame:
+def run_to_table(df: DataFrame, name: str, output_mode: str = "update", key: list[str] | None = None,
+                 folder: str | None = None) -> DataFrame:
     """Drive a streaming query over everything available and return the
-    result as a batch DataFrame.  Update-mode rows are upserted per ``key``
-    in ``foreachBatch`` into a parquet table under the checkpoint folder."""
+    result as a batch DataFrame.  ``folder`` holds the stream's checkpoint and
+    its table; run again with the same folder, the stream goes on where it
+    stopped.  Every batch has a folder of its own, written over when the batch
+    is tried again; of update-mode rows the last batch's count per ``key``."""
     spark = df.sparkSession
-    out = _ckpt(spark, name + "-out")
-    state = {"batches": 0}
+    folder = folder or stream_folder(spark, name)
+    out = os.path.join(folder, "table")
 
     def upsert(batch: DataFrame, epoch: int) -> None:
-        path = os.path.join(out, f"epoch={epoch:08d}")
-        batch.withColumn("_epoch", F.lit(epoch)).write.mode("overwrite").parquet(path)
-        state["batches"] += 1
+        batch.withColumn("_epoch", F.lit(epoch)).write.mode("overwrite").parquet(os.path.join(out, f"epoch={epoch:08d}"))
 
-    q = (df.writeStream.outputMode(output_mode).option("checkpointLocation", _ckpt(spark, name))
+    q = (df.writeStream.outputMode(output_mode).option("checkpointLocation", os.path.join(folder, "checkpoint"))
            .foreachBatch(upsert).start())
     q.processAllAvailable()
     q.stop()
-    if state["batches"] == 0:
+    if not path_exists(spark, out):
         return spark.createDataFrame([], df.schema)
     res = spark.read.parquet(out)
     if key:
-        from pyspark.sql import Window
-        w = Window.partitionBy(*key).orderBy(F.desc("_epoch"))
-        res = res.withColumn("_r", F.row_number().over(w)).where(F.col("_r") == 1).drop("_r")
-    return res.drop("_epoch", "epoch")
+        last = res.groupBy(*key).agg(F.max("_epoch").alias("_epoch"))
+        res = res.join(last, [*key, "_epoch"])
+    return res.select(*df.columns)
 
 
 def tier_stream(stream: DataFrame, cutoffs: DataFrame, labels, db_col: str = "database",
@@ -118,41 +124,32 @@ def tier_stream(stream: DataFrame, cutoffs: DataFrame, labels, db_col: str = "da
     return j.select(*stream.columns, lab.alias("tier_label"), idx.alias("tier_index"))
 
 
-def incremental_training(stream: DataFrame, stats: DataFrame, table_path: str, name: str = "train") -> int:
+def incremental_training(stream: DataFrame, stats: DataFrame, table_path: str, checkpoint: str | None = None) -> int:
     """ST4: append valid new history rows to the training table at
-    ``table_path`` (parquet), skipping keys already present: replaying a
-    batch adds nothing.  Returns the number of rows in the table."""
+    ``table_path`` (parquet, one folder per batch), skipping keys of earlier
+    batches.  A batch that is tried again, whole or after a partial write,
+    replaces its own folder, so nothing is doubled; with the same
+    ``checkpoint`` folder a restarted stream goes on where it stopped.  Read
+    errors are raised.  Returns the number of rows in the table."""
     spark = stream.sparkSession
 
     def merge(batch: DataFrame, epoch: int) -> None:
         rows = history_training_rows(batch, stats)
-        try:
-            existing = spark.read.parquet(table_path).select("question_id")
-            rows = rows.join(existing, "question_id", "left_anti")
-        except Exception:  # first batch: no table yet
-            pass
-        rows.write.mode("append").parquet(table_path)
-
-    q = (stream.writeStream.option("checkpointLocation", _ckpt(spark, name)).foreachBatch(merge).start())
+        if path_exists(spark, table_path):
+            # key column and partition folder only, of batches before this one
+            earlier = spark.read.parquet(table_path).where(F.col("batch") < epoch).select("question_id")
+            rows = rows.join(earlier, "question_id", "left_anti")
+        rows.dropDuplicates(["question_id"]).write.mode("overwrite").parquet(os.path.join(table_path, f"batch={epoch}"))
+
+    where = checkpoint or os.path.join(stream_folder(spark, "train"), "checkpoint")
+    q = stream.writeStream.option("checkpointLocation", where).foreachBatch(merge).start()
     q.processAllAvailable()
     q.stop()
-    return spark.read.parquet(table_path).count()
-
-
-def stage_history_files(history: DataFrame, path: str, n_files: int = 4, ts_col: str = "ts") -> None:
-    """Write a history table as ``n_files`` consecutive time slices, one
-    append per slice in event-time order, so a file source sees the log
-    arrive as it was recorded (for tests and the registered streaming
-    queries)."""
-    import time as _time
-
-    ts = F.col(ts_col).cast("timestamp").cast("double")
-    lo, hi = history.agg(F.min(ts), F.max(ts)).first()
-    if lo is None:
-        history.limit(0).write.mode("overwrite").parquet(path)
-        return
-    width = (hi - lo) / n_files or 1.0
-    sl = F.least(F.floor((ts - F.lit(lo)) / F.lit(width)), F.lit(n_files - 1))
-    for i in range(n_files):
-        history.where(sl == i).coalesce(1).write.mode("append" if i else "overwrite").parquet(path)
-        _time.sleep(1.1)  # distinct modification times: the file source orders files by them
+    return spark.read.parquet(table_path).count() if path_exists(spark, table_path) else 0
+
+
+def stage_history_files(history: DataFrame, path: str, n_files: int = 4) -> None:
+    """Write a history table as files of a stream source, by a hash of the id
+    in ``n_files`` folders (for tests and the registered queries)."""
+    part = F.pmod(F.xxhash64("id"), F.lit(n_files)).cast("int")
+    history.withColumn("_part", part).repartition("_part").write.partitionBy("_part").mode("append").parquet(path)

@@ -278,8 +278,10 @@ def substring_dedup(docs: DataFrame, window: int = 50, text: str = "text") -> Da
     while not level.isEmpty():
         later = level.where(F.exists("spans", lambda s: s["repeats"].isNull() | (F.size(s["repeats"]) > 0)))
         reached.append(later.select(*CLASS, F.lit(length).cast("long").alias("longest")))
+        # a window of twice the length needs more than `length` starts in a row
+        starts = F.aggregate("spans", F.lit(0), lambda n, s: n + s["windows"])
+        rows = materialise(some.join(level.where(starts > length), CLASS), "repeat-survivors")
         length *= 2
-        rows = some.join(level, CLASS)
         some, level = extend(rows, _classes(rows, length), length)
     found = spans.withColumn("longest", F.lit(None).cast("long"))
     if reached:

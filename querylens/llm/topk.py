@@ -1,16 +1,18 @@
 """Exact top-k inner products by an impact-ordered index, score at a time.
 
-Vectors of integers are indexed in blocks.  A block's index holds, per
-dimension, its postings in order of descending impact (the component),
-quantised to steps of ``STEP``; postings of one dimension and level are a
-segment.  A query meets the segments of all dimensions in descending order
-of what they can add beyond the least its dimension adds to anyone, in a few
-rounds.  After a round every vector has a lower and an upper bound: what its
-segments so far add at least and at most, and for dimensions not yet met the
-least and the most that the segments left can add.  The search of a block
-stops only when at most ``RESCORE`` vectors have an upper bound that reaches
-the k-th best lower bound (or all segments are done); those are scored
-exactly, so the result is exact.
+Vectors of integers are indexed in blocks.  A block's index holds its
+postings (vector, dimension, component) in order of descending impact: the
+component's size, quantised to steps of ``STEP``.  Postings of one impact are a
+segment.  A block of queries meets the segments in that order, in rounds; a
+round adds its postings to the accumulators of all queries still open.
+
+A vector's upper bound is its accumulator, the quantisation error of the
+dimensions met, and for every other dimension the query's component times the
+impact at which the round ended.  After a round the vectors with the best
+bounds are scored exactly, which gives a lower bound for the k-th best score.
+A query's search of the block stops only when at most ``RESCORE`` vectors have
+an upper bound that reaches it (or all segments are done); all of those are
+scored exactly, so the result is exact.
 
 The query set meets the blocks in blocks of its own: a unit of work is one
 block of queries and one block of the index.
@@ -26,11 +28,12 @@ from pyspark.sql import functions as F
 from .common import grouped, map_arrow, materialise, sorted_groups
 from .vectors import finite
 
-STEP = 8
+STEP = 4
 ROWS = 4096            # vectors per block of the index
 QUERIES = 256          # queries per block
-RESCORE = 64
-ROUNDS = (0.25, 0.5, 0.75, 1.0)   # shares of the postings after each round
+PROBES = 32            # vectors scored after a round for the lower bound
+RESCORE = 256
+ROUNDS = (0.8, 0.95, 1.0)         # shares of the postings after each round
 
 
 def _padded(lists: pa.Array, dim: int) -> np.ndarray:
@@ -44,86 +47,86 @@ def _padded(lists: pa.Array, dim: int) -> np.ndarray:
     return out
 
 
+def impact(values: np.ndarray) -> np.ndarray:
+    """Largest size of a component in the same step."""
+    low = values // STEP * STEP
+    return np.maximum(np.abs(low), np.abs(low + STEP - 1))
+
+
+def impact_order(values: np.ndarray) -> np.ndarray:
+    return np.argsort(-impact(values).ravel(), kind="stable").astype(np.int32)
+
+
 def build_index(vectors: DataFrame, dim: int, n_blocks: int) -> DataFrame:
-    """``block, ids, values, docs``: one row per block of ``vectors`` (vec_id,
-    v): ids, components and, per dimension, the postings in impact order."""
+    """``block, ids, values, postings``: one row per block of ``vectors``
+    (vec_id, v): ids, components, and the numbers of the postings (vector
+    times dimensions plus dimension) in impact order."""
     rows = vectors.withColumn("block", F.pmod(F.xxhash64("vec_id"), F.lit(n_blocks)).cast("int"))
 
     def run(batches):
         for group in sorted_groups(batches, "block"):
             values = _padded(group.column("v"), dim)
-            docs = np.argsort(-(values // STEP), axis=0, kind="stable").T.astype(np.int32)
+            postings = impact_order(values)
             yield pa.RecordBatch.from_arrays(
                 [group.column("block").slice(0, 1), pa.array([group.column("vec_id").to_numpy().tobytes()], pa.binary()),
-                 pa.array([values.tobytes()], pa.binary()), pa.array([np.ascontiguousarray(docs).tobytes()], pa.binary())],
-                names=["block", "ids", "values", "docs"])
+                 pa.array([values.tobytes()], pa.binary()), pa.array([postings.tobytes()], pa.binary())],
+                names=["block", "ids", "values", "postings"])
 
-    return materialise(map_arrow(grouped(rows, "block"), run, "block int, ids binary, values binary, docs binary"), "impact-index")
+    return materialise(map_arrow(grouped(rows, "block"), run, "block int, ids binary, values binary, postings binary"), "impact-index")
 
 
 class Block:
     """One block of the index, ready to be searched."""
 
-    def __init__(self, ids: np.ndarray, values: np.ndarray, docs: np.ndarray):
-        self.ids, self.values, self.docs = ids, values, docs       # docs: dim x n
-        self.level = np.take_along_axis(values, docs.T.astype(np.int64), 0).T // STEP * STEP
-        # segment borders per dimension: places where the level changes
-        self.cut = [np.concatenate([[0], np.flatnonzero(np.diff(x)) + 1, [len(x)]]) for x in self.level]
-        self.segment_level = [x[c[:-1]] for x, c in zip(self.level, self.cut)]
+    def __init__(self, ids: np.ndarray, values: np.ndarray, postings: np.ndarray):
+        self.ids, self.values, self.postings = ids, values, postings
+        self.middle = (values // STEP * STEP + (STEP - 1) / 2).ravel()[postings]
+        self.impact = impact(values).ravel()[postings].astype(float)
 
-    def search(self, q: np.ndarray, own: int, k: int) -> tuple[np.ndarray, np.ndarray]:
-        """(ids, scores) of the k best, ties to the smaller id, without the
-        vector named ``own``."""
+    def search(self, queries: np.ndarray, own: np.ndarray, k: int) -> list[tuple[np.ndarray, np.ndarray]]:
+        """For every query (ids, scores) of the k best, ties to the smaller
+        id, without the vector that has the query's ``own`` id."""
         n, dims = self.values.shape
-        able = self.ids != own
-        if able.sum() <= max(RESCORE, k):
-            return self._exact(np.flatnonzero(able), q, k)
-        # per segment, in the order its dimension meets them: most it adds
-        order, gain, dim, size = [], [], [], []
-        floor = np.zeros(dims)
-        width = np.abs(q) * (STEP - 1)        # most minus least of a segment
-        for d in np.flatnonzero(q):
-            level = self.segment_level[d]
-            most = (q[d] * (level + (STEP - 1 if q[d] > 0 else 0))).astype(float)
-            floor[d] = float(min(q[d] * level[-1 if q[d] > 0 else 0], q[d] * (level[-1 if q[d] > 0 else 0] + STEP - 1)))
-            place = np.arange(len(level))
-            if q[d] < 0:
-                place, most = place[::-1], most[::-1]
-            order.append(place)
-            gain.append(most - floor[d])
-            dim.append(np.full(len(level), d))
-            size.append(np.diff(self.cut[d])[place])
-        if not order:
-            return self._exact(np.flatnonzero(able), q, k)
-        order, gain, dim, size = map(np.concatenate, (order, gain, dim, size))
-        by_gain = np.argsort(-gain, kind="stable")
-        mass = np.cumsum(size[by_gain])
-        upper = np.zeros(n)
-        seen = np.zeros((n, dims), np.float32)
-        base = floor.sum()
+        able = [self.ids != o for o in own.tolist()]
+        if n <= max(PROBES, RESCORE, 2 * k):
+            return [self._exact(np.flatnonzero(a), q, k) for a, q in zip(able, queries)]
+        found: list = [None] * len(queries)
+        open_ = np.arange(len(queries))
+        sums = np.zeros((n, len(queries)))
+        met = np.zeros((n, len(queries)))      # sizes of the query's components met
         done = 0
         for share in ROUNDS:
-            upto = len(by_gain) if share == 1.0 else int(np.searchsorted(mass, share * mass[-1], "right"))
-            now = by_gain[done:upto]
-            done = upto
-            if len(now):
-                at = [self.docs[d, self.cut[d][s]:self.cut[d][s + 1]] for d, s in zip(dim[now].tolist(), order[now].tolist())]
-                docs = np.concatenate(at)
-                upper += np.bincount(docs, np.repeat(gain[now], size[now]), n)
-                seen[docs, np.repeat(dim[now], size[now])] = 1
-            left = by_gain[done:]
-            rest = np.zeros(dims)             # most that segments left can add
-            np.maximum.at(rest, dim[left], gain[left])
-            high = base + upper + rest.sum() - seen @ rest
-            low = base + upper - seen @ width
-            slack = 1e-6 * (1.0 + np.abs(high).max())
-            best = np.partition(low[able], -k)[-k]
-            maybe = np.flatnonzero(able & (high + slack >= best))
-            if len(maybe) <= RESCORE:
+            to = n * dims
+            if share < 1.0:      # whole segments
+                to = int(np.searchsorted(-self.impact, -self.impact[int(share * n * dims)], "right"))
+            now = self.postings[done:to]
+            part, held = np.zeros(n * dims), np.zeros(n * dims)
+            part[now], held[now] = self.middle[done:to], 1.0
+            done = to
+            q = queries[open_].T.astype(float)
+            size = np.abs(q)
+            sums += part.reshape(n, dims) @ q
+            met += held.reshape(n, dims) @ size
+            cut = self.impact[to] if to < n * dims else 0.0
+            high = sums + (STEP - 1) / 2 * met + cut * (size.sum(axis=0) - met)
+            high += 1e-9 * (1.0 + np.abs(high).max(axis=0))
+            still = []
+            for c, i in enumerate(open_.tolist()):
+                bound = np.where(able[i], high[:, c], -np.inf)
+                best = self._exact(np.argpartition(bound, -PROBES)[-PROBES:], queries[i], PROBES, own[i])[1]
+                maybe = np.flatnonzero(able[i] & (bound >= best[k - 1])) if len(best) >= k else np.flatnonzero(able[i])
+                if len(maybe) <= RESCORE or to == n * dims:
+                    found[i] = self._exact(maybe, queries[i], k)
+                else:
+                    still.append(c)
+            if not still:
                 break
-        return self._exact(maybe, q, k)
+            open_, sums, met = open_[still], sums[:, still], met[:, still]
+        return found
 
-    def _exact(self, rows: np.ndarray, q: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
+    def _exact(self, rows: np.ndarray, q: np.ndarray, k: int, own: int | None = None) -> tuple[np.ndarray, np.ndarray]:
+        if own is not None:
+            rows = rows[self.ids[rows] != own]
         score = self.values[rows] @ q
         ids = self.ids[rows]
         top = np.lexsort((ids, -score))[:k]
@@ -161,11 +164,10 @@ def top_k(vectors: DataFrame, queries: DataFrame, k: int = 5) -> DataFrame:
             for i in range(batch.num_rows):
                 ids = np.frombuffer(batch.column("ids")[i].as_py(), np.int64)
                 block = Block(ids, np.frombuffer(batch.column("values")[i].as_py(), np.int64).reshape(len(ids), dim),
-                              np.frombuffer(batch.column("docs")[i].as_py(), np.int32).reshape(dim, len(ids)))
+                              np.frombuffer(batch.column("postings")[i].as_py(), np.int32))
                 pack = batch.column("queries")[i].values
-                names, found, scores = [], [], []
-                for query, q in zip(pack.field("vec_id").to_pylist(), _padded(pack.field("v"), dim)):
-                    got, score = block.search(q, query, k)
+                asked, names, found, scores = pack.field("vec_id").to_numpy(), [], [], []
+                for query, (got, score) in zip(asked, block.search(_padded(pack.field("v"), dim), asked, k)):
                     names.append(np.full(len(got), query))
                     found.append(got)
                     scores.append(score)
@@ -173,7 +175,7 @@ def top_k(vectors: DataFrame, queries: DataFrame, k: int = 5) -> DataFrame:
                     yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in (names, found, scores)],
                                                      names=["query_id", "vec_id", "score"])
 
-    best = map_arrow(units.select("queries", "ids", "values", "docs"), run, "query_id long, vec_id long, score long")
+    best = map_arrow(units.select("queries", "ids", "values", "postings"), run, "query_id long, vec_id long, score long")
     order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
     return (best.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
             .select("query_id", "rank", "vec_id", "score"))

@@ -114,12 +114,15 @@ def forest(n: int, a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return np.array([find(i) for i in range(n)], np.int64)
 
 
-def materialise(df: DataFrame, name: str) -> DataFrame:
+def materialise(df: DataFrame, name: str, parts: int | None = None) -> DataFrame:
     """Write ``df`` once as Parquet into the cluster's shared folder and read
     it back: the lineage ends there, every later branch sees the same rows,
-    and a lost executor costs no recomputation.  The files go when the driver
+    and a lost executor costs no recomputation.  ``parts`` bounds the number
+    of files of a table known to be small.  The files go when the driver
     process ends."""
     spark = df.sparkSession
+    if parts:
+        df = df.coalesce(parts)
     path = os.path.join(ensure_checkpoint_dir(spark), f"{name}-{uuid.uuid4().hex}")
     df.write.option("compression", "zstd").parquet(path)
     target = spark._jvm.org.apache.hadoop.fs.Path(path)

@@ -34,6 +34,7 @@ from .common import as_text, map_arrow, materialise
 from .words import Windows, Words, chunks, signed, sliding_min, window_starts
 
 CLASS = ["h1", "h2"]
+SURVIVORS = 4000       # classes per file and task at the levels above the first
 
 
 def hashed(docs: DataFrame, text: str = "text") -> DataFrame:
@@ -169,31 +170,34 @@ def _runs(rows: DataFrame, window: int) -> DataFrame:
     return map_arrow(rows, run, _RUN)
 
 
-def extend(texts: DataFrame, keyed: DataFrame, window: int) -> tuple[DataFrame, DataFrame]:
+def extend(texts: DataFrame, keyed: DataFrame, window: int, parts: int | None = None) -> tuple[DataFrame, DataFrame]:
     """One level.  ``keyed``: ``h1, h2, doc_id, keys``, one row per class with
     its smallest doc_id.  ``texts``: ``doc_id, h1, h2, z`` (and ``spans`` of
     the level below).  Returns the texts of the classes with candidates, and
     ``h1, h2, spans``: runs of windows of ``window`` words of each class, and in
     each run the offsets of windows that also start in a class with a smaller
-    doc_id (``repeats``) or with any other (``shared``), null meaning all."""
+    doc_id (``repeats``) or with any other (``shared``), null meaning all.
+    ``parts``: see :func:`materialise`."""
     anchors = keyed.select("h1", "h2", "doc_id", F.explode("keys").alias("m"))
     shared = (anchors.groupBy("m").agg(F.min("doc_id").alias("a"), F.max("doc_id").alias("b"))
               .where("a < b").select("m"))
     alive = (anchors.join(shared, "m").groupBy("h1", "h2", F.col("doc_id").alias("rep"))
              .agg(F.collect_list("m").alias("keys")))
-    some = materialise(texts.join(alive, CLASS).where("doc_id = rep").drop("rep"), "repeat-texts")
-    runs = materialise(_runs(some, window), "repeat-runs")
+    some = texts.join(alive, CLASS).where("doc_id = rep").drop("rep")
+    if parts is None:      # the next level reads these instead of all texts
+        some = materialise(some, "repeat-texts")
+    runs = materialise(_runs(some, window), "repeat-runs", parts)
     slim = runs.select("h1", "h2", "doc_id", "m", "k", "start", "windows")
-    kinds = materialise(runs.groupBy("m", "k").agg(F.min("doc_id").alias("least"), F.max("doc_id").alias("most")), "repeat-kinds")
+    kinds = runs.groupBy("m", "k").agg(F.min("doc_id").alias("least"), F.max("doc_id").alias("most"))
     settled = slim.join(kinds, ["m", "k"])
     several = kinds.groupBy("m").agg(F.count(F.lit(1)).alias("n"), F.min("least").alias("a"), F.max("least").alias("b"))
     # runs of one minimizer whose kinds start in different documents
     open_kinds = kinds.join(several.where("n > 1 and a < b").select("m"), "m")
     opened = materialise(runs.join(open_kinds, ["m", "k"]).where("doc_id = least").dropDuplicates(["m", "k"])
-                         .select("m", "k", "doc_id", F.posexplode("hashes").alias("off", "h")), "repeat-windows")
+                         .select("m", "k", "doc_id", F.posexplode("hashes").alias("off", "h")), "repeat-windows", parts)
     # written, so that the join has exchanges of its own, which Spark can split
     least = materialise(opened.groupBy("m", "h").agg(F.min("doc_id").alias("a"), F.max("doc_id").alias("b"))
-                        .where("a < b").select("m", "h", "a"), "repeat-least")
+                        .where("a < b").select("m", "h", "a"), "repeat-least", parts)
     hits = (opened.join(least, ["m", "h"]).groupBy("m", "k")
             .agg(F.collect_list("off").alias("any"), F.collect_list(F.when(F.col("doc_id") > F.col("a"), F.col("off"))).alias("later")))
     none, everything = F.array().cast("array<int>"), F.lit(None).cast("array<int>")
@@ -203,13 +207,13 @@ def extend(texts: DataFrame, keyed: DataFrame, window: int) -> tuple[DataFrame,
         F.when(F.col("most") == F.col("least"), F.coalesce("any", none)).alias("shared"))
     spans = (whole.union(first.where("shared is null or size(shared) > 0"))
              .groupBy(*CLASS).agg(F.collect_list(F.struct("start", "windows", "repeats", "shared")).alias("spans")))
-    return some.select("doc_id", "h1", "h2", "z"), materialise(spans, f"repeats-{window}")
+    return some.select("doc_id", "h1", "h2", "z"), materialise(spans, f"repeats-{window}", parts)
 
 
-def _classes(texts: DataFrame, window: int) -> DataFrame:
+def _classes(texts: DataFrame, window: int, parts: int | None = None) -> DataFrame:
     """``h1, h2, doc_id, keys``: one row per class with a known doc_id."""
-    found = materialise(_minimizers(texts, window).where("doc_id is not null"), "minimizers")
-    return found.groupBy(*CLASS).agg(F.min("doc_id").alias("doc_id"), F.first("keys").alias("keys"))
+    found = _minimizers(texts, window).where("doc_id is not null")
+    return materialise(found.groupBy(*CLASS).agg(F.min("doc_id").alias("doc_id"), F.first("keys").alias("keys")), "repeat-classes", parts)
 
 
 def _removed(rows: DataFrame, window: int) -> DataFrame:
@@ -272,7 +276,7 @@ def substring_dedup(docs: DataFrame, window: int = 50, text: str = "text") -> Da
     an empty table gives no rows.
     """
     texts = packed(docs, text)
-    classes = materialise(_classes(hashed(docs, text), window), "repeat-classes")
+    classes = _classes(hashed(docs, text), window)
     some, spans = extend(texts, classes, window)
     length, level, reached = window, spans, []
     while not level.isEmpty():
@@ -280,9 +284,12 @@ def substring_dedup(docs: DataFrame, window: int = 50, text: str = "text") -> Da
         reached.append(later.select(*CLASS, F.lit(length).cast("long").alias("longest")))
         # a window of twice the length needs more than `length` starts in a row
         starts = F.aggregate("spans", F.lit(0), lambda n, s: n + s["windows"])
-        rows = materialise(some.join(level.where(starts > length), CLASS), "repeat-survivors")
+        survivors = level.where(starts > length)
+        parts = 1 + survivors.count() // SURVIVORS
+        some = materialise(some.join(survivors, CLASS), "repeat-survivors", parts)
         length *= 2
-        some, level = extend(rows, _classes(rows, length), length)
+        _, level = extend(some, _classes(some, length, parts), length, parts)
+        some = some.drop("spans")
     found = spans.withColumn("longest", F.lit(None).cast("long"))
     if reached:
         every = reached[0]

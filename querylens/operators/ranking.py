@@ -109,7 +109,7 @@ def values_at(df: DataFrame, value_col: str, positions: Callable[[Column], Seque
         F.collect_list(F.struct(first.alias("a"), F.col("_cum__c").alias("b"), F.col("_v").alias("v"))).alias("_m"))
 
     def covering(p: Column) -> Column:
-        return F.filter("_m", lambda m: (m["a"] <= p) & (m["b"] > p))[0]["v"]
+        return F.get(F.filter("_m", lambda m: (m["a"] <= p) & (m["b"] > p)), F.lit(0))["v"]
 
     at = [covering(p.cast("long")) for p in positions(F.col("n"))]
     return picked.select(*group_cols, "n", F.array(*at).alias("values"))

@@ -34,7 +34,7 @@ from .common import as_text, map_arrow, materialise
 from .words import Windows, Words, chunks, signed, sliding_min, window_starts
 
 CLASS = ["h1", "h2"]
-SURVIVORS = 4000       # classes per file and task at the levels above the first
+SURVIVORS = 1000       # classes per file and task at the levels above the first
 
 
 def hashed(docs: DataFrame, text: str = "text") -> DataFrame:

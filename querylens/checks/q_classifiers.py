@@ -113,8 +113,8 @@ def _with_plans(spark, sf):
     t = _table(spark, sf)
     nodes = fx.plan_nodes(spark, sf)
     queries = fx.query_log(spark, sf).select(F.col("question_id").alias("query_id"), "sql")
-    tm = pt.tree_mean(nodes, queries, fx.named_tables(spark), fx.named_columns(spark, sf), fx.named_indexes(spark))
-    gv = pt.global_vector(queries, fx.named_tables(spark))
+    tm = pt.tree_mean(nodes, queries, fx.named_tables(spark, sf), fx.named_columns(spark, sf), fx.named_indexes(spark))
+    gv = pt.global_vector(queries, fx.named_tables(spark, sf))
     keep = t.select("question_id", "db_id", "label_binary", *FEATURE_COLUMNS)
     return shared(spark, sf, "planned_table", lambda: keep.join(tm.withColumnRenamed("query_id", "question_id"), "question_id").join(
         gv.withColumnRenamed("query_id", "question_id"), "question_id").checkpoint())

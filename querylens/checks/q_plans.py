@@ -13,7 +13,7 @@ from .common import d6, r6
 def _inputs(spark, sf):
     nodes = fx.plan_nodes(spark, sf)
     queries = fx.query_log(spark, sf).select(F.col("question_id").alias("query_id"), "sql")
-    return nodes, queries, fx.named_tables(spark), fx.named_columns(spark, sf), fx.named_indexes(spark)
+    return nodes, queries, fx.named_tables(spark, sf), fx.named_columns(spark, sf), fx.named_indexes(spark)
 
 
 # ---- DuckDB text ------------------------------------------------------------
@@ -149,7 +149,7 @@ register("p2_classify_access", _with(f"SELECT query_id, node_id, {_ac()} AS acce
     lambda spark, sf: fx.plan_nodes(spark, sf).select("query_id", "node_id", pt.classify_access("detail").alias("access_index")))
 
 register("p3_table_of_node", _with("SELECT query_id, node_id, table_name FROM nt"))(
-    lambda spark, sf: pt.table_of_node(pt.with_depth(fx.plan_nodes(spark, sf)), fx.named_tables(spark)).select("query_id", "node_id", "table_name"))
+    lambda spark, sf: pt.table_of_node(pt.with_depth(fx.plan_nodes(spark, sf)), fx.named_tables(spark, sf)).select("query_id", "node_id", "table_name"))
 
 register("p5_reachable_nodes", _with("SELECT query_id, node_id, depth FROM r"))(
     lambda spark, sf: pt.reachable_nodes(fx.plan_nodes(spark, sf)))
@@ -185,12 +185,12 @@ register("p11_tree_mean", _with(
 
 register("p12_global_vector", _with(
     "SELECT query_id, " + ", ".join(d6(f"g{i}") + f" AS g{i}" for i in range(pt.GLOBAL_DIM)) + " FROM gv", _EST + [_GV]))(
-    lambda spark, sf: pt.global_vector(_inputs(spark, sf)[1], fx.named_tables(spark)).select(
+    lambda spark, sf: pt.global_vector(_inputs(spark, sf)[1], fx.named_tables(spark, sf)).select(
         "query_id", *[r6(f"g{i}").alias(f"g{i}") for i in range(pt.GLOBAL_DIM)]))
 
 register("p13_estimated_rows", _with(
     "SELECT q.query_id, coalesce(est.est_rows, 0)::BIGINT AS est_rows FROM q LEFT JOIN est ON q.query_id = est.query_id", _EST))(
-    lambda spark, sf: pt.estimated_rows(_inputs(spark, sf)[1], fx.named_tables(spark)).select(
+    lambda spark, sf: pt.estimated_rows(_inputs(spark, sf)[1], fx.named_tables(spark, sf)).select(
         "query_id", F.col("est_rows").cast("long").alias("est_rows")))
 
 

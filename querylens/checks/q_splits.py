@@ -76,10 +76,10 @@ register("t7_downsample_stratified", with_ctes(
     f"""SELECT question_id FROM (SELECT *, row_number() OVER (PARTITION BY stratum ORDER BY {_H}) - 1 AS rn FROM st) s
         JOIN alloc USING (stratum) WHERE rn < quota""",
     "query_log", extra=_KEPT + [
-        ("st", "SELECT *, concat(CASE WHEN db_id IN ('formula_1', 'financial') THEN 'unseen' ELSE 'seen' END, '|', CAST(label_binary AS VARCHAR)) AS stratum FROM kept"),
+        ("st", "SELECT *, concat(CASE WHEN db_id IN ('db_3', 'db_7') THEN 'unseen' ELSE 'seen' END, '|', CAST(label_binary AS VARCHAR)) AS stratum FROM kept"),
         ("cls", "SELECT stratum, count(*) AS n FROM st GROUP BY stratum"),
         ("alloc", _alloc("", "stratum", "n", "1000"))]))(
-    lambda spark, sf: sp.downsample_stratified(_kept(spark, sf), 1000).select("question_id"))
+    lambda spark, sf: sp.downsample_stratified(_kept(spark, sf), 1000, holdout=["db_3", "db_7"]).select("question_id"))
 
 register("t8_split_summary", with_ctes(
     """SELECT split, count(*)::BIGINT AS n_queries, count(*) FILTER (WHERE label_binary = 0)::BIGINT AS fast,

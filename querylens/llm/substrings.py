@@ -34,7 +34,7 @@ from .common import as_text, map_arrow, materialise
 from .words import Windows, Words, chunks, signed, sliding_min, window_starts
 
 CLASS = ["h1", "h2"]
-SURVIVORS = 2000       # classes per file and task at the levels above the first
+SURVIVORS = 8000       # classes per file and task at the levels above the first
 
 
 def hashed(docs: DataFrame, text: str = "text") -> DataFrame:
@@ -186,18 +186,19 @@ def extend(texts: DataFrame, keyed: DataFrame, window: int, parts: int | None =
     some = texts.join(alive, CLASS).where("doc_id = rep").drop("rep")
     if parts is None:      # the next level reads these instead of all texts
         some = materialise(some, "repeat-texts")
-    # read several times within this level, then released
-    runs = _runs(some, window).persist()
+    runs = materialise(_runs(some, window), "repeat-runs", parts)
     slim = runs.select("h1", "h2", "doc_id", "m", "k", "start", "windows")
     kinds = runs.groupBy("m", "k").agg(F.min("doc_id").alias("least"), F.max("doc_id").alias("most"))
     settled = slim.join(kinds, ["m", "k"])
     several = kinds.groupBy("m").agg(F.count(F.lit(1)).alias("n"), F.min("least").alias("a"), F.max("least").alias("b"))
     # runs of one minimizer whose kinds start in different documents
     open_kinds = kinds.join(several.where("n > 1 and a < b").select("m"), "m")
-    opened = (runs.join(open_kinds, ["m", "k"]).where("doc_id = least").dropDuplicates(["m", "k"])
-              .select("m", "k", "doc_id", F.posexplode("hashes").alias("off", "h"))).persist()
+    opened = materialise(runs.join(open_kinds, ["m", "k"]).where("doc_id = least").dropDuplicates(["m", "k"])
+                         .select("m", "k", "doc_id", F.posexplode("hashes").alias("off", "h")), "repeat-windows", parts)
     least = (opened.groupBy("m", "h").agg(F.min("doc_id").alias("a"), F.max("doc_id").alias("b"))
              .where("a < b").select("m", "h", "a"))
+    if parts is None:      # written, so that the join has exchanges of its own, which Spark can split
+        least = materialise(least, "repeat-least")
     hits = (opened.join(least, ["m", "h"]).groupBy("m", "k")
             .agg(F.collect_list("off").alias("any"), F.collect_list(F.when(F.col("doc_id") > F.col("a"), F.col("off"))).alias("later")))
     none, everything = F.array().cast("array<int>"), F.lit(None).cast("array<int>")
@@ -207,16 +208,13 @@ def extend(texts: DataFrame, keyed: DataFrame, window: int, parts: int | None =
         F.when(F.col("most") == F.col("least"), F.coalesce("any", none)).alias("shared"))
     spans = (whole.union(first.where("shared is null or size(shared) > 0"))
              .groupBy(*CLASS).agg(F.collect_list(F.struct("start", "windows", "repeats", "shared")).alias("spans")))
-    spans = materialise(spans, f"repeats-{window}", parts)
-    opened.unpersist()
-    runs.unpersist()
-    return some.select("doc_id", "h1", "h2", "z"), spans
+    return some.select("doc_id", "h1", "h2", "z"), materialise(spans, f"repeats-{window}", parts)
 
 
-def _classes(texts: DataFrame, window: int) -> DataFrame:
+def _classes(texts: DataFrame, window: int, parts: int | None = None) -> DataFrame:
     """``h1, h2, doc_id, keys``: one row per class with a known doc_id."""
     found = _minimizers(texts, window).where("doc_id is not null")
-    return found.groupBy(*CLASS).agg(F.min("doc_id").alias("doc_id"), F.first("keys").alias("keys"))
+    return materialise(found.groupBy(*CLASS).agg(F.min("doc_id").alias("doc_id"), F.first("keys").alias("keys")), "repeat-classes", parts)
 
 
 def _removed(rows: DataFrame, window: int) -> DataFrame:
@@ -279,7 +277,7 @@ def substring_dedup(docs: DataFrame, window: int = 50, text: str = "text") -> Da
     an empty table gives no rows.
     """
     texts = packed(docs, text)
-    classes = materialise(_classes(hashed(docs, text), window), "repeat-classes")
+    classes = _classes(hashed(docs, text), window)
     some, spans = extend(texts, classes, window)
     length, level, reached = window, spans, []
     while not level.isEmpty():
@@ -291,9 +289,7 @@ def substring_dedup(docs: DataFrame, window: int = 50, text: str = "text") -> Da
         parts = 1 + survivors.count() // SURVIVORS
         some = materialise(some.join(survivors, CLASS), "repeat-survivors", parts)
         length *= 2
-        keyed = _classes(some, length).persist()
-        _, level = extend(some, keyed, length, parts)
-        keyed.unpersist()
+        _, level = extend(some, _classes(some, length, parts), length, parts)
         some = some.drop("spans")
     found = spans.withColumn("longest", F.lit(None).cast("long"))
     if reached:

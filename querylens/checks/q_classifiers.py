@@ -99,11 +99,7 @@ def _m21(spark, sf):
 
 
 register("m21_signed_coefficients")(_m21)
-# the boosted models are compared in m9-m11 and m6_m8; 200 rounds for every
-# fold of both geometries would be 20 more fits of minutes each
-_GEOMETRY_MODELS = ["Logistic Regression", "Random Forest"]
-register("m22_two_geometries")(
-    lambda spark, sf: mo.two_geometries(_table(spark, sf), FEATURE_COLUMNS, _GEOMETRY_MODELS, holdout=_HOLD, k=3))
+register("m22_two_geometries")(lambda spark, sf: mo.two_geometries(_table(spark, sf), FEATURE_COLUMNS, holdout=_HOLD))
 register("m23_two_geometries_fixed_model")(
     lambda spark, sf: mo.two_geometries(_table(spark, sf), FEATURE_COLUMNS, holdout=_HOLD,
                                         factory=mo.fixed_logistic))
@@ -130,7 +126,7 @@ def _planned(spark, sf):
 
 
 register("m25_fairness_control")(lambda spark, sf: mo.fairness_control(
-    _with_plans(spark, sf), _planned(spark, sf), FEATURE_COLUMNS, _TREE, _GEOMETRY_MODELS, holdout=_HOLD, k=3))
+    _with_plans(spark, sf), _planned(spark, sf), FEATURE_COLUMNS, _TREE, holdout=_HOLD))
 register("m25_matched_manifest", with_ctes(
     """SELECT question_id, db_id, CASE WHEN runtime_s >= p75 THEN 1 ELSE 0 END AS label_binary
        FROM query_log, (SELECT quantile_cont(runtime_s, 0.5) AS p50, quantile_cont(runtime_s, 0.75) AS p75 FROM query_log) q

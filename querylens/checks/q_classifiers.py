@@ -99,7 +99,13 @@ def _m21(spark, sf):
 
 
 register("m21_signed_coefficients")(_m21)
-register("m22_two_geometries")(lambda spark, sf: mo.two_geometries(_table(spark, sf), FEATURE_COLUMNS, holdout=_HOLD))
+
+
+def _m22(spark, sf):
+    return shared(spark, sf, "two_geometries", lambda: mo.two_geometries(_table(spark, sf), FEATURE_COLUMNS, holdout=_HOLD))
+
+
+register("m22_two_geometries")(_m22)
 register("m23_two_geometries_fixed_model")(
     lambda spark, sf: mo.two_geometries(_table(spark, sf), FEATURE_COLUMNS, holdout=_HOLD,
                                         factory=mo.fixed_logistic))
@@ -135,14 +141,13 @@ register("m25_matched_manifest", with_ctes(
 
 
 def _m26(spark, sf):
-    """Full log, the log down-sampled to the number of planned rows, and tree
-    features on the planned rows."""
-    t = _table(spark, sf)
+    """Full log and the log down-sampled to the number of planned rows, with
+    the CV choice, and tree features on the planned rows with the fixed model."""
     planned = _with_plans(spark, sf)
-    small = sp.downsample_stratified(t, planned.count(), holdout=_HOLD)
-    parts = {"full": (t, FEATURE_COLUMNS), "downsampled": (small, FEATURE_COLUMNS), "tree": (planned, _TREE)}
-    return mo._union([mo.two_geometries(d, f, holdout=_HOLD, factory=mo.fixed_logistic).withColumn("variant", F.lit(v))
-                      for v, (d, f) in parts.items()])
+    small = sp.downsample_stratified(_table(spark, sf), planned.count(), holdout=_HOLD)
+    parts = {"full": _m22(spark, sf), "downsampled": mo.two_geometries(small, FEATURE_COLUMNS, holdout=_HOLD),
+             "tree": mo.two_geometries(planned, _TREE, holdout=_HOLD, factory=mo.fixed_logistic)}
+    return mo._union([d.withColumn("variant", F.lit(v)) for v, d in parts.items()])
 
 
 register("m26_size_match_control")(_m26)
@@ -153,9 +158,9 @@ def _m27(spark, sf):
     stats = ca.schema_stats(fx.catalog_tables(spark, sf))
     med = ql.median_runtime(fx.run_log(spark, sf)).join(log.select("question_id", "sql", "difficulty"), "question_id")
     v2 = hi.replace_subset(log, med, ["db_0", "db_1", "db_2", "db_3", "db_4", "db_5", "db_6", "db_7", "db_8", "db_9", "db_10"])
-    tables = {"query_log": log, "run_log_median": v2.select("question_id", "db_id", "difficulty", "sql", "runtime_s")}
-    return mo._union([mo.two_geometries(rg.training_table(x, stats), FEATURE_COLUMNS, holdout=_HOLD, factory=mo.fixed_logistic)
-                      .withColumn("version", F.lit(v)) for v, x in tables.items()])
+    medians = rg.training_table(v2.select("question_id", "db_id", "difficulty", "sql", "runtime_s"), stats)
+    versions = {"query_log": _m22(spark, sf), "run_log_median": mo.two_geometries(medians, FEATURE_COLUMNS, holdout=_HOLD)}
+    return mo._union([d.withColumn("version", F.lit(v)) for v, d in versions.items()])
 
 
 register("m27_compare_snapshots")(_m27)

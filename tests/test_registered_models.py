@@ -40,3 +40,12 @@ def test_all_classifiers_compete_in_five_folds(spark, evaluated):
     assert evaluated == [ALL]
     registry.QUERIES["m25_fairness_control"](spark, SMALL)
     assert evaluated[1:] == [ALL, "fixed", "fixed"]
+
+
+def test_text_tables_choose_and_the_log_is_evaluated_once(spark, evaluated):
+    sizes = registry.QUERIES["m26_size_match_control"](spark, SMALL)
+    assert evaluated == [ALL, ALL, "fixed"]
+    assert {r.variant: r.evaluation for r in sizes.collect()} == {"full": 1, "downsampled": 2, "tree": 3}
+    versions = registry.QUERIES["m27_compare_snapshots"](spark, SMALL)
+    assert evaluated[3:] == [ALL]
+    assert {r.version: r.evaluation for r in versions.collect()} == {"query_log": 1, "run_log_median": 4}

@@ -164,7 +164,8 @@ def _m27(spark, sf):
 
 
 register("m27_compare_snapshots")(_m27)
-register("m28_learning_curve")(lambda spark, sf: mo.learning_curve(_table(spark, sf), FEATURE_COLUMNS))
+register("m28_learning_curve")(lambda spark, sf: mo.learning_curve(
+    _table(spark, sf), FEATURE_COLUMNS, model_name=_m10(spark, sf).first()["model"]))
 
 
 def _m6_m8(spark, sf):

@@ -49,3 +49,12 @@ def test_text_tables_choose_and_the_log_is_evaluated_once(spark, evaluated):
     versions = registry.QUERIES["m27_compare_snapshots"](spark, SMALL)
     assert evaluated[3:] == [ALL]
     assert {r.version: r.evaluation for r in versions.collect()} == {"query_log": 1, "run_log_median": 4}
+
+
+def test_learning_curve_is_the_selected_models(spark, monkeypatch):
+    scores = spark.createDataFrame([(m, f, 0.9 if m == "Gradient Boosting" else 0.5, 1.0) for m in mo.CLASSIFIERS for f in range(5)],
+                                   "model string, fold int, test_f1 double, fit_time_s double")
+    monkeypatch.setattr(q_classifiers, "_cv", lambda spark, sf: (scores, None))
+    drawn = inspect.signature(mo.learning_curve)
+    monkeypatch.setattr(mo, "learning_curve", lambda *a, **k: drawn.bind(*a, **k).arguments.get("model_name"))
+    assert registry.QUERIES["m28_learning_curve"](spark, SMALL) == "Gradient Boosting"

@@ -31,7 +31,7 @@ SMOOTHING = 0.5
 ROUNDS, FOLDED = 60, 8
 TOLERANCE = 1e-6
 SEPARATORS = r"[\x20\x09-\x0D]+"
-_MARK = "\u0001"       # never a word: stands for the document itself
+_MARK = " "            # a separator, so never a word: stands for the document itself
 
 
 def words(text: str | Column) -> Column:
@@ -191,9 +191,10 @@ def copies(rate: str = "rate") -> Column:
 def mixed_rates(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """Per document its source, tokens, likeliest domain, posteriors (in the
     order of the domain names), fitted rate and whole copies.  One row per
-    distinct document row of ``doc_id`` and text."""
+    distinct document row of ``doc_id`` and text; ``rows`` is how many there
+    are."""
     found, domains = mix(docs, labels)
     best = F.array_position("posterior", F.array_max("posterior")) if domains else F.lit(0)
     names = F.array(*[F.lit(d) for d in domains]) if domains else F.array().cast("array<string>")
-    return found.select("doc_id", "n_tokens", F.get(names, best.cast("int") - 1).alias("domain"),
+    return found.select("doc_id", "rows", "n_tokens", F.get(names, best.cast("int") - 1).alias("domain"),
                         F.transform("posterior", lambda p: F.round(p, 9)).alias("posterior"), "rate", copies().alias("copies"))

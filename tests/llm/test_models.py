@@ -209,6 +209,19 @@ def test_classifier_finds_the_domain(table):
     assert np.allclose(blank.posterior, np.exp(model.priors))
 
 
+def test_control_characters_are_words_and_rows_are_counted(table):
+    _, df = mixed_docs(table)
+    odd = table([(400, "\u0001 the \u0001 of", "en"), (400, "\u0001 the \u0001 of", "en"), (401, "\u0001", "de"),
+                 (None, "the of", "en")], "doc_id long, text string, lang string")
+    labels = table([(i,) for i in [*range(300), 400, 401]], "doc_id long")
+    both = df.select("doc_id", "text", "lang").union(odd.select("doc_id", "text", "lang"))
+    model = mixing.train(mixing.labelled_rows(both, labels, "lang"))
+    docs = dict(both.join(labels.select("doc_id"), "doc_id").groupBy("lang").count().collect())
+    assert np.allclose(np.exp(model.priors), [docs[d] / sum(docs.values()) for d in model.domains])
+    got = {r.doc_id: (r["rows"], r.n_tokens) for r in mixing.mixed_rates(both, labels).collect()}
+    assert (got[400], got[401], got[None], got[0][0], got[1][0]) == ((2, 4), (1, 1), (2, 2), 2, 1)
+
+
 def test_mixing_without_labels_or_documents(table):
     _, df = mixed_docs(table)
     none = table([(1,)], "doc_id long").limit(0)

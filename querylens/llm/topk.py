@@ -61,7 +61,7 @@ def build_index(vectors: DataFrame, dim: int, n_blocks: int) -> DataFrame:
     """``block, ids, values, postings``: one row per block of ``vectors``
     (vec_id, v): ids, components, and the numbers of the postings (vector
     times dimensions plus dimension) in impact order."""
-    rows = vectors.withColumn("block", F.pmod(F.xxhash64("vec_id"), F.lit(n_blocks)).cast("int"))
+    rows = vectors.withColumn("block", F.pmod(F.xxhash64("vec_id", "v"), F.lit(n_blocks)).cast("int"))
 
     def run(batches):
         for group in sorted_groups(batches, "block"):
@@ -139,24 +139,25 @@ def top_k(vectors: DataFrame, queries: DataFrame, k: int = 5) -> DataFrame:
     ties go to the smaller id.
 
     ``vectors`` and ``queries``: ``vec_id`` and ``v`` (array<long>).  Null ids
-    and null vectors take no part; an id that occurs more than once counts
-    with one of its vectors, the one with the smallest hash.  Missing
-    components of shorter vectors are 0.  Inner products must fit a long.
+    and null vectors take no part, and rows equal in id and vector are one.
+    Several vectors of one id are candidates of their own, so that an id can
+    hold several ranks of a query, and queries of their own: ``query_id`` then
+    has the ranks from 1 once for each of its vectors, which the columns do
+    not tell apart.  Missing components of shorter vectors are 0.  Inner products must fit a long.
     Other columns are not read; empty tables give no rows.
     """
     def once(df: DataFrame) -> DataFrame:
-        return (df.where("vec_id is not null and v is not null").groupBy("vec_id")
-                .agg(F.min(F.struct(F.xxhash64("v").alias("h"), "v")).alias("x")).select("vec_id", F.col("x.v").alias("v")))
+        return df.where("vec_id is not null and v is not null").select("vec_id", "v").distinct()
 
     every = materialise(once(vectors), "topk-vectors")
-    asked = once(queries)
+    asked = materialise(once(queries).withColumn("query", F.monotonically_increasing_id()), "topk-queries")
     n, dim = every.agg(F.count(F.lit(1)), F.coalesce(F.max(F.size("v")), F.lit(0))).first()
     dim = max(1, dim, asked.agg(F.coalesce(F.max(F.size("v")), F.lit(0))).first()[0])
     n_blocks = max(1, -(-n // ROWS))
     index = build_index(every, dim, n_blocks)
     n_asked = max(1, -(-asked.count() // QUERIES))
-    packs = (asked.groupBy(F.pmod(F.xxhash64("vec_id", F.lit(1)), F.lit(n_asked)).alias("pack"))
-             .agg(F.collect_list(F.struct("vec_id", "v")).alias("queries")))       # about QUERIES each
+    packs = (asked.groupBy(F.pmod(F.xxhash64("vec_id", "v", F.lit(1)), F.lit(n_asked)).alias("pack"))
+             .agg(F.collect_list(F.struct("vec_id", "query", "v")).alias("queries")))       # about QUERIES each
     units = packs.withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(n_blocks - 1)))).join(index, "block")
 
     def run(batches):
@@ -166,17 +167,18 @@ def top_k(vectors: DataFrame, queries: DataFrame, k: int = 5) -> DataFrame:
                 block = Block(ids, np.frombuffer(batch.column("values")[i].as_py(), np.int64).reshape(len(ids), dim),
                               np.frombuffer(batch.column("postings")[i].as_py(), np.int32))
                 pack = batch.column("queries")[i].values
-                asked, names, found, scores = pack.field("vec_id").to_numpy(), [], [], []
-                for query, (got, score) in zip(asked, block.search(_padded(pack.field("v"), dim), asked, k)):
-                    names.append(np.full(len(got), query))
+                asked, number, names, numbers, found, scores = pack.field("vec_id").to_numpy(), pack.field("query").to_numpy(), [], [], [], []
+                for name, query, (got, score) in zip(asked, number, block.search(_padded(pack.field("v"), dim), asked, k)):
+                    names.append(np.full(len(got), name))
+                    numbers.append(np.full(len(got), query))
                     found.append(got)
                     scores.append(score)
                 if names:
-                    yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in (names, found, scores)],
-                                                     names=["query_id", "vec_id", "score"])
+                    yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in (names, numbers, found, scores)],
+                                                     names=["query_id", "query", "vec_id", "score"])
 
-    best = map_arrow(units.select("queries", "ids", "values", "postings"), run, "query_id long, vec_id long, score long")
-    order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
+    best = map_arrow(units.select("queries", "ids", "values", "postings"), run, "query_id long, query long, vec_id long, score long")
+    order = Window.partitionBy("query").orderBy(F.desc("score"), "vec_id")
     return (best.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
             .select("query_id", "rank", "vec_id", "score"))
 

@@ -123,6 +123,17 @@ def test_top_k_equals_brute_force(table, monkeypatch, rescore, rows_per_block):
     assert sorted(tuple(r) for r in topk.top_k(df, asked, 5).collect()) == want
 
 
+@pytest.mark.parametrize("rows_per_block", [4096, 10])
+def test_every_vector_of_an_id_counts(table, monkeypatch, rows_per_block):
+    monkeypatch.setattr(topk, "ROWS", rows_per_block)
+    monkeypatch.setattr(topk, "QUERIES", 3)
+    rnd = random.Random(9)
+    rows = [(i % 20, [rnd.randrange(-60, 60) for _ in range(6)]) for i in range(60)]      # three vectors an id
+    df = table([*rows, rows[0]], "vec_id long, v array<long>")
+    want = brute_top(rows, [r for r in rows if r[0] < 5], 5)
+    assert sorted(tuple(r) for r in topk.top_k(df, df.where("vec_id < 5"), 5).collect()) == want
+
+
 def test_top_k_with_few_candidates(table):
     df = table([(1, [1, 2]), (2, [3, -4])], "vec_id long, v array<long>")
     assert sorted(tuple(r) for r in topk.top_k(df, df, 5).collect()) == [(1, 1, 2, -5), (2, 1, 1, -5)]

@@ -98,28 +98,29 @@ class ToxicityModel:
         return 1.0 / (1.0 + np.exp(-np.clip(z, -500.0, 500.0)))
 
 
-def logistic(row: np.ndarray, col: np.ndarray, scale: np.ndarray, y: np.ndarray,
+def logistic(row: np.ndarray, col: np.ndarray, scale: np.ndarray, y: np.ndarray, weight: np.ndarray,
              penalty: float = 1e-4, steps: int = 300) -> tuple[np.ndarray, float]:
     """L2-penalised logistic regression by accelerated gradient descent on
-    sparse presence features scaled by ``scale``: (coefficients, intercept)."""
-    n, k = len(y), len(scale)
+    sparse presence features scaled by ``scale``, an example counting
+    ``weight`` times: (coefficients, intercept)."""
+    m, n, k = len(y), weight.sum(), len(scale)
     x = scale[col]
-    # step from the largest eigenvalue of X'X / n, by power iteration
+    # step from the largest eigenvalue of X'WX / n, by power iteration
     v, v0, top = np.ones(k) / np.sqrt(max(k, 1)), 1.0, 1.0
     for _ in range(20):
-        u = np.bincount(row, x * v[col], n) + v0
-        w, w0 = np.bincount(col, x * u[row], k) / n, u.mean()
+        u = weight * (np.bincount(row, x * v[col], m) + v0)
+        w, w0 = np.bincount(col, x * u[row], k) / n, u.sum() / n
         top = max(np.sqrt((w ** 2).sum() + w0 ** 2), 1e-12)
         v, v0 = w / top, w0 / top
     step = 1.0 / (0.25 * top + penalty)
-    rate = np.clip(y.mean(), 1e-6, 1 - 1e-6)
+    rate = np.clip((weight * y).sum() / n, 1e-6, 1 - 1e-6)
     w, b = np.zeros(k), float(np.log(rate / (1 - rate)))
     pw, pb, t = w, b, 1.0
     for _ in range(steps):
-        p = 1.0 / (1.0 + np.exp(-np.clip(np.bincount(row, x * pw[col], n) + pb, -500, 500)))
-        g = p - y
+        p = 1.0 / (1.0 + np.exp(-np.clip(np.bincount(row, x * pw[col], m) + pb, -500, 500)))
+        g = weight * (p - y)
         nw = pw - step * (np.bincount(col, x * g[row], k) / n + penalty * pw)
-        nb = pb - step * g.mean()
+        nb = pb - step * g.sum() / n
         nt = (1 + np.sqrt(1 + 4 * t * t)) / 2
         pw, pb = nw + (t - 1) / nt * (nw - w), nb + (t - 1) / nt * (nb - b)
         w, b, t = nw, nb, nt
@@ -128,11 +129,13 @@ def logistic(row: np.ndarray, col: np.ndarray, scale: np.ndarray, y: np.ndarray,
 
 def train(docs: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_ROWS, features: int = FEATURES,
           smoothing: float = 1.0) -> ToxicityModel:
-    """Fit on the labelled rows outside fold 0, at most ``sample_rows``.
+    """Fit on the labelled rows outside fold 0: at most ``sample_rows`` ids,
+    those with the smallest hash, and of their distinct rows (id and text) at
+    most ``sample_rows``, again those with the smallest hash.
 
     Null ids, labels and texts: a null id or label is no labelled row, a null
     text is empty.  A document labelled more than once is toxic if any label
-    says so; a document that occurs more than once trains once per row.
+    says so; a row repeated with id and text is one example that counts as often.
     Without a toxic or without a clean row there is nothing to learn: the
     model then gives every text the same score, the smoothed share of toxic
     rows (0 without any labelled row).
@@ -141,19 +144,24 @@ def train(docs: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_ROWS, fe
               .groupBy("doc_id").agg(F.max((F.col("toxic") != 0).cast("int")).alias("_toxic"))
               .orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample_rows))
     # at most sample_rows short rows: safe to broadcast
-    # and the sample is read by a fixed number of tasks
     sample = materialise(docs.select("doc_id", as_text("text").alias("_text")).join(F.broadcast(marked), "doc_id")
-                         .select("_toxic", "_text"), "toxic-sample").coalesce(SAMPLE_TASKS)
+                         .groupBy("doc_id", "_toxic", "_text").agg(F.count(F.lit(1)).alias("_rows"))
+                         .select("_toxic", "_text", "_rows", F.xxhash64("doc_id", "_text").alias("_order")), "toxic-sample")
+    if sample.count() > sample_rows:     # an id has many texts
+        last = sample.select("_order").orderBy("_order").limit(sample_rows).agg(F.max("_order")).first()[0]
+        sample = sample.where(F.col("_order") <= last)
+    # read by a fixed number of tasks
+    sample = sample.select("_toxic", "_text", "_rows").coalesce(SAMPLE_TASKS)
 
     def count(batches):
-        seen = np.zeros((2, BUCKETS), np.int32)
+        seen = np.zeros((2, BUCKETS), np.int64)
         rows = np.zeros(2, np.int64)
         last = np.zeros(BUCKETS, np.int32)
         for batch in batches:
-            toxic = batch.column(0).to_numpy()
+            toxic, weights = batch.column(0).to_numpy(), batch.column(2).to_numpy()
             for first, texts in text_runs(batch.column(1), RUN_CHARS):
-                y = toxic[first:first + len(texts)]
-                rows += np.bincount(y, minlength=2)
+                y, times = toxic[first:first + len(texts)], weights[first:first + len(texts)]
+                np.add.at(rows, y, times)
                 grams = [(t[ok], b[ok]) for t, b, ok in gram_buckets(texts)]
                 cuts = [np.searchsorted(t, np.arange(len(texts) + 1)) for t, _ in grams]
                 for i, label in enumerate(y):
@@ -162,7 +170,7 @@ def train(docs: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_ROWS, fe
                     # one place of each bucket wins the last write
                     place = np.arange(len(mine), dtype=np.int32)
                     last[mine] = place
-                    seen[label, mine[last[mine] == place]] += 1
+                    seen[label, mine[last[mine] == place]] += times[i]
         held = np.flatnonzero(seen.any(axis=0))
         yield pa.RecordBatch.from_arrays([pa.array(np.append(held, -1)), pa.array(np.append(seen[0][held], rows[0])),
                                           pa.array(np.append(seen[1][held], rows[1]))], names=["bucket", "clean", "toxic"])
@@ -192,16 +200,16 @@ def train(docs: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_ROWS, fe
                 text, feature = present(texts, number, max(1, len(buckets)))
                 ends = np.searchsorted(text, np.arange(len(texts) + 1))
                 yield pa.RecordBatch.from_arrays(
-                    [batch.column(0).slice(first, len(texts)),
+                    [batch.column(0).slice(first, len(texts)), batch.column(2).slice(first, len(texts)),
                      pa.ListArray.from_arrays(pa.array(ends.astype(np.int32)), pa.array(feature.astype(np.int16)))],
-                    names=["_toxic", "features"])
+                    names=["_toxic", "_rows", "features"])
 
-    # bounded: sample_rows rows of at most `features` numbers
-    rows = map_arrow(sample, listed, "_toxic int, features array<short>").toArrow()
+    # bounded: sample_rows examples of at most `features` numbers
+    rows = map_arrow(sample, listed, "_toxic int, _rows long, features array<short>").toArrow()
     lists = rows["features"].combine_chunks()
     row = np.repeat(np.arange(len(lists)), np.diff(lists.offsets.to_numpy()))
     col = lists.values.to_numpy().astype(np.int64)
-    w, model.intercept = logistic(row, col, model.ratios, rows["_toxic"].to_numpy().astype(float))
+    w, model.intercept = logistic(row, col, model.ratios, rows["_toxic"].to_numpy().astype(float), rows["_rows"].to_numpy().astype(float))
     model.weights = w * model.ratios
     return model
 

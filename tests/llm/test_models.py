@@ -61,6 +61,28 @@ def test_toxicity_without_labels_or_one_class(table):
     assert toxicity.toxicity(docs.limit(0), clean).count() == 0
 
 
+def test_no_id_widens_the_sample(table, monkeypatch):
+    rows, marks = labelled(120)
+    labels = table(marks, "doc_id long, toxic int")
+    hot = next(r.doc_id for r in table(rows, "doc_id long, text string").where(toxicity.fold("doc_id") != 0).select("doc_id").collect())
+    lengths, fit = [], toxicity.logistic
+    monkeypatch.setattr(toxicity, "logistic", lambda row, col, scale, y, *a: (lengths.append(len(y)), fit(row, col, scale, y, *a))[1])
+    several = table([*rows, *[(hot, f"another text {i}") for i in range(900)]], "doc_id long, text string")
+    assert toxicity.train(several, labels, sample_rows=200).n_rows == 200
+    copied = toxicity.train(table([*rows, *[rows[hot]] * 900], "doc_id long, text string"), labels, sample_rows=200)
+    once = toxicity.train(table(rows, "doc_id long, text string"), labels, sample_rows=200)
+    assert lengths == [200, once.n_rows, once.n_rows] and copied.n_rows == once.n_rows + 900
+
+
+def test_weighted_examples_equal_repeated_ones():
+    rnd = np.random.default_rng(3)
+    held, y, scale, times = rnd.random((30, 8)) < 0.4, (rnd.random(30) < 0.5).astype(float), rnd.uniform(0.5, 2, 8), rnd.integers(1, 5, 30)
+    a = toxicity.logistic(*np.nonzero(held), scale, y, times.astype(float))
+    many = np.repeat(np.arange(30), times)
+    b = toxicity.logistic(*np.nonzero(held[many]), scale, y[many], np.ones(len(many)))
+    assert np.allclose(a[0], b[0]) and np.isclose(a[1], b[1])
+
+
 def test_presence_equals_brute_force():
     texts = ["Abc  abc", "", "x", "ÄÖ äö 日本", "aa\taa"]
     number = np.arange(toxicity.BUCKETS, dtype=np.int64)

@@ -13,8 +13,9 @@ One level, from length ``half`` to ``window = 2 * half``:
    here.
 2. Neighbouring longer windows with the same minimizer form a run.  Equal
    runs are settled by one hash: all but those of the smallest doc_id are
-   repeats as a whole.  Where runs with one minimizer differ, one run of each
-   kind is opened and its windows are matched by (minimizer, window hash).
+   repeats as a whole.  Where runs with one minimizer differ and lie in
+   several documents, one run of each kind is opened and its windows are
+   matched by (minimizer, window hash).
 
 All matching is by aggregates and equi-joins on hashes, so a passage shared
 by a third of all documents costs one partial aggregate per task and a join
@@ -190,16 +191,18 @@ def extend(texts: DataFrame, keyed: DataFrame, window: int, parts: int | None =
     slim = runs.select("h1", "h2", "doc_id", "m", "k", "start", "windows")
     kinds = runs.groupBy("m", "k").agg(F.min("doc_id").alias("least"), F.max("doc_id").alias("most"))
     settled = slim.join(kinds, ["m", "k"])
-    several = kinds.groupBy("m").agg(F.count(F.lit(1)).alias("n"), F.min("least").alias("a"), F.max("least").alias("b"))
-    # runs of one minimizer whose kinds start in different documents
+    several = kinds.groupBy("m").agg(F.count(F.lit(1)).alias("n"), F.min("least").alias("a"), F.max("most").alias("b"))
+    # runs of one minimizer of several kinds, not all in one document
     open_kinds = kinds.join(several.where("n > 1 and a < b").select("m"), "m")
     opened = materialise(runs.join(open_kinds, ["m", "k"]).where("doc_id = least").dropDuplicates(["m", "k"])
-                         .select("m", "k", "doc_id", F.posexplode("hashes").alias("off", "h")), "repeat-windows", parts)
-    least = (opened.groupBy("m", "h").agg(F.min("doc_id").alias("a"), F.max("doc_id").alias("b"))
+                         .select("m", "k", "doc_id", "most", F.posexplode("hashes").alias("off", "h")), "repeat-windows", parts)
+    # a kind holds its windows in all of its documents
+    least = (opened.groupBy("m", "h").agg(F.min("doc_id").alias("a"), F.max("most").alias("b"))
              .where("a < b").select("m", "h", "a"))
     if parts is None:      # written, so that the join has exchanges of its own, which Spark can split
         least = materialise(least, "repeat-least")
-    hits = (opened.join(least, ["m", "h"]).groupBy("m", "k")
+    # windows of a kind in several documents are all shared: only repeats are listed
+    hits = (opened.join(least, ["m", "h"]).where("doc_id > a or doc_id = most").groupBy("m", "k")
             .agg(F.collect_list("off").alias("any"), F.collect_list(F.when(F.col("doc_id") > F.col("a"), F.col("off"))).alias("later")))
     none, everything = F.array().cast("array<int>"), F.lit(None).cast("array<int>")
     whole = settled.where("doc_id > least").select(*CLASS, "start", "windows", everything.alias("repeats"), everything.alias("shared"))

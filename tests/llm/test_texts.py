@@ -74,6 +74,18 @@ def test_substrings_equal_brute_force(table):
         assert got == brute_substrings(rows, window)
 
 
+def test_windows_shared_inside_another_kind_of_run(table):
+    """The end of T in document 1's first passage lies in document 3 only
+    within the other kind of run."""
+    rnd, rows = random.Random(12), []
+    for g in range(0, 60, 4):
+        p1, p2, t, c1, c2 = (sentence(rnd, n, 10 ** 6) for n in (30, 33, 70, 22, 30))
+        rows += [(g + 1, f"{p2} {t} {c2} {p1} {t} {c1}"), (g + 3, f"{p2} {t} {c1}")]
+    got = sorted((r.doc_id, r.n_words, r.n_removed, hashlib.sha256(r.kept_text.encode()).hexdigest(), r.longest_repeat)
+                 for r in substrings.substring_dedup(table(rows, "doc_id long, text string")).collect())
+    assert got == brute_substrings(rows, 50)
+
+
 def test_removed_spans_name_the_removed_words(table):
     for r in substrings.substring_dedup(table(corpus(), "doc_id long, text string")).collect():
         assert r.n_removed == sum(b - a for a, b in r.removed_spans)

@@ -18,10 +18,20 @@ tasks, and equal vectors are one class, handled once.
 The number of directions grows with the number of vectors and the threshold
 with it, so a filter holds about ``LIST`` / ``SPARSE`` unrelated vectors at
 any size.  A vector whose length is spread unevenly over the blocks passes
-few filters of a code, so there are ``CODES`` codes with rotations of their
-own: in 64 dimensions a pair with a cosine of exactly 0.95 shares no filter of
-one code with probability 0.12, and none of all with 3e-5 (simulated; closer
-pairs are safer).
+few filters of a code, so there are several codes with rotations of their
+own: as many as it takes for a pair at the threshold to share no filter with
+a probability of at most ``MISS``, by simulated pairs of each code.  In 64
+dimensions and at a cosine of 0.95 that is (product of the codes' simulated
+misses; closer pairs are safer):
+
+    vectors   blocks   codes   miss      miss of the first five codes
+    2 000     2        5       2.2e-5    2.2e-5
+    10 000    2        5       1.9e-5    1.9e-5
+    100 000   2        6       1.9e-5    1.0e-4
+    1 M       2        7       1.5e-5    3.7e-4
+    16 M      2        7       2.7e-5    6.9e-4
+    17 M      3        16      1.9e-5    2.9e-2
+    50 M      3        15      1.9e-5    1.7e-2
 """
 
 from __future__ import annotations
@@ -36,7 +46,9 @@ from pyspark.sql import functions as F
 from .common import connected_components, forest, grouped, in_blocks, map_arrow, materialise, sorted_groups
 
 THRESHOLD = 0.95
-CODES = 5              # independent product codes
+CODES = 5              # independent product codes, at least
+MISS = 3e-5            # probability that a pair at the threshold shares no filter
+PAIRS = 512            # simulated for each code to know when that is reached
 LIST = 24              # filters a vector passes in each, on average
 SPARSE = 64            # directions per vector in each
 THREE_BLOCKS = 1 << 24  # vectors from which directions have three blocks
@@ -104,18 +116,44 @@ class ProductCode:
         return out
 
 
-_codes: dict[tuple[int, int], list[ProductCode]] = {}
+def missed(code: ProductCode, threshold: float) -> float:
+    """Probability that two vectors with a cosine of ``threshold`` share no
+    filter of ``code``: the share among simulated pairs, one more counted on
+    either side."""
+    rng = np.random.default_rng([SEED, code.dim])
+    lost = 0
+    for _ in range(0, PAIRS, 64):      # few scores at a time
+        u, w = unit_rows(rng.standard_normal((64, code.dim))), rng.standard_normal((64, code.dim))
+        w -= (u * w).sum(axis=1, keepdims=True) * u
+        if code.dim > 1:
+            w = unit_rows(w)
+        v = threshold * u + math.sqrt(max(0.0, 1 - threshold * threshold)) * w
+        lost += sum(not len(np.intersect1d(a, b, assume_unique=True)) for a, b in zip(code.decode(u), code.decode(unit_rows(v))))
+    return (lost + 1) / (PAIRS + 2)
 
 
-def filters_of(units: np.ndarray, n: int) -> list[np.ndarray]:
+def codes_for(dim: int, n: int, threshold: float = THRESHOLD) -> list[ProductCode]:
+    """As many codes as it takes for ``MISS``, at least ``CODES``: more for
+    more vectors, for three blocks and for a smaller threshold."""
+    codes, miss = [], 1.0
+    while len(codes) < CODES or miss > MISS:
+        codes.append(ProductCode(dim, n, SEED + len(codes)))
+        miss *= missed(codes[-1], threshold)
+    return codes
+
+
+_codes: dict[tuple[int, int, float], list[ProductCode]] = {}
+
+
+def filters_of(units: np.ndarray, n: int, threshold: float = THRESHOLD) -> list[np.ndarray]:
     """The sorted filters of unit vectors, over all codes."""
-    dim = units.shape[1]
-    if (dim, n) not in _codes:
+    key = (units.shape[1], n, threshold)
+    if key not in _codes:
         if len(_codes) > 8:
             _codes.clear()
-        _codes[dim, n] = [ProductCode(dim, n, SEED + i) for i in range(CODES)]
-    lists = [code.decode(units) for code in _codes[dim, n]]
-    total = _codes[dim, n][0].total
+        _codes[key] = codes_for(*key)
+    lists = [code.decode(units) for code in _codes[key]]
+    total = _codes[key][0].total
     return [np.concatenate([x + i * total for i, x in enumerate(each)]) for each in zip(*lists)]
 
 
@@ -135,7 +173,7 @@ def matrix(column: pa.Array, dim: int) -> np.ndarray:
     return column.flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(-1, dim)
 
 
-def _decoded(classes: DataFrame, n: int) -> DataFrame:
+def _decoded(classes: DataFrame, n: int, threshold: float) -> DataFrame:
     """``node, dim, size, v, filters, q, eps``: filters, eight-bit copy and
     its rounding error of every class."""
     def run(batches):
@@ -146,7 +184,7 @@ def _decoded(classes: DataFrame, n: int) -> DataFrame:
                 for a in range(0, some.num_rows, 1024):
                     part = some.slice(a, 1024)
                     units = unit_rows(matrix(part.column("v"), int(dim)))
-                    lists = filters_of(units, n)
+                    lists = filters_of(units, n, threshold)
                     scale = np.abs(units).max(axis=1, keepdims=True) / 127
                     q = np.rint(units / scale).astype(np.int8)
                     copy = q * scale
@@ -254,7 +292,7 @@ def embedding_links(vectors: DataFrame, id_column: str = "vec_id", column: str =
                           .join(sizes, ["h1", "h2"]).withColumn("dim", F.size("v")).withColumn("node", F.monotonically_increasing_id()),
                           "vector-classes")
     n = classes.count()
-    decoded = materialise(_decoded(classes, n), "vector-filters")
+    decoded = materialise(_decoded(classes, n, threshold), "vector-filters")
     passed = decoded.select("node", "dim", F.explode("filters").alias("filter"))
     shared = passed.groupBy("dim", "filter").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
     units = (in_blocks(passed.join(shared, ["dim", "filter"]), "n", BLOCK, "node")

@@ -86,6 +86,14 @@ def test_recall_at_the_threshold(n):
     assert np.mean(met) >= 0.995
 
 
+def test_recall_beyond_the_switch_to_three_blocks():
+    n, rnd = 17_000_000, np.random.default_rng(17)
+    u = vectors.unit_rows(rnd.standard_normal((600, 64)))
+    w = rnd.standard_normal((600, 64))
+    v = 0.95 * u + math.sqrt(1 - 0.95 ** 2) * vectors.unit_rows(w - (w * u).sum(1, keepdims=True) * u)
+    assert all(len(np.intersect1d(a, b)) for a, b in zip(vectors.filters_of(u, n), vectors.filters_of(v, n)))
+
+
 def test_list_decoding_is_complete():
     code = vectors.ProductCode(16, 40, 1)
     u = vectors.unit_rows(np.random.default_rng(2).standard_normal((20, 16)))

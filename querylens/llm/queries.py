@@ -204,3 +204,9 @@ s AS (SELECT q.vec_id AS query_id, d.vec_id, CAST(sum(q.x * d.x) AS BIGINT) AS s
 r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank FROM s)
 SELECT query_id, CAST(rank AS INTEGER) AS rank, vec_id, score FROM r WHERE rank <= 5
 """
+
+
+@query
+def op11_binary_records(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .records import written_and_read
+    return written_and_read(read_table(spark, sf_dir, "documents", "doc_id", "text"), vocabulary())

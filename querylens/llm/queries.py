@@ -210,3 +210,9 @@ SELECT query_id, CAST(rank AS INTEGER) AS rank, vec_id, score FROM r WHERE rank
 def op11_binary_records(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .records import written_and_read
     return written_and_read(read_table(spark, sf_dir, "documents", "doc_id", "text"), vocabulary())
+
+
+@query
+def op12_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .spelling import spelling_variants
+    return spelling_variants(read_table(spark, sf_dir, "documents", "doc_id", "text"))

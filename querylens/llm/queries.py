@@ -216,3 +216,44 @@ def op11_binary_records(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op12_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .spelling import spelling_variants
     return spelling_variants(read_table(spark, sf_dir, "documents", "doc_id", "text"))
+
+
+@query
+def op13_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .collocations import collocations
+    return collocations(read_table(spark, sf_dir, "documents", "text", "lang"))
+
+
+ORACLES["op13_collocations"] = r"""
+WITH d AS (
+  SELECT coalesce(lang, 'und') AS lang, translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS t
+  FROM documents),
+pieces AS (
+  SELECT lang, regexp_extract_all(p, '[^\x20\x09]+') AS ws
+  FROM (SELECT lang, unnest(regexp_split_to_array(t, '[.,;:!?\x0A-\x0D]')) AS p FROM d)),
+g AS (
+  SELECT lang, 1 AS k, unnest(ws) AS phrase FROM pieces
+  UNION ALL
+  SELECT lang, 2, array_to_string(ws[i:i + 1], ' ') FROM (SELECT lang, ws, unnest(range(1, len(ws))) AS i FROM pieces)
+  UNION ALL
+  SELECT lang, 3, array_to_string(ws[i:i + 2], ' ') FROM (SELECT lang, ws, unnest(range(1, len(ws) - 1)) AS i FROM pieces)),
+f AS (SELECT lang, k, phrase, CAST(count(*) AS HUGEINT) AS f FROM g GROUP BY lang, k, phrase),
+n AS (SELECT lang, CAST(sum(f) AS BIGINT) AS n FROM f WHERE k = 1 GROUP BY lang),
+c AS (SELECT lang, k, phrase, f AS a, string_split(phrase, ' ') AS w FROM f WHERE k > 1 AND f >= 10),
+cuts AS (
+  SELECT c.lang, c.phrase, c.k, c.a, j, array_to_string(w[1:j], ' ') AS p, array_to_string(w[j + 1:], ' ') AS q
+  FROM c, (VALUES (1), (2)) AS v(j) WHERE j < k),
+scored AS (
+  SELECT cuts.*, x.f AS l, y.f AS r, 1000000 * a * a // (x.f * y.f) AS score
+  FROM cuts JOIN f x ON x.lang = cuts.lang AND x.phrase = p AND x.k = j JOIN f y ON y.lang = cuts.lang AND y.phrase = q AND y.k = cuts.k - j),
+low AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY lang, phrase ORDER BY score, j) AS o FROM scored) WHERE o = 1),
+longer AS (
+  SELECT lang, phrase, max(a) AS a FROM (
+    SELECT lang, array_to_string(w[i:i + 1], ' ') AS phrase, a FROM c, (VALUES (1), (2)) AS v(i) WHERE k = 3) GROUP BY lang, phrase),
+kept AS (
+  SELECT low.* FROM low LEFT JOIN longer ON longer.lang = low.lang AND longer.phrase = low.phrase AND low.k = 2
+  WHERE longer.a IS NULL OR 100 * longer.a < 50 * low.a),
+ranked AS (SELECT *, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, encode(phrase)) AS rank FROM kept)
+SELECT ranked.lang, rank, phrase, CAST(a AS BIGINT) AS a, CAST(l AS BIGINT) AS l, CAST(r AS BIGINT) AS r, n, CAST(score AS BIGINT) AS score
+FROM ranked JOIN n ON n.lang = ranked.lang WHERE rank <= 2000
+"""

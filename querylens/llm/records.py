@@ -45,8 +45,8 @@ from .bpe import spread, text_runs
 from .common import as_text, map_arrow, materialise, shuffle_partitions
 from ..session import ensure_checkpoint_dir
 
-UNITS = 400_000
-UNIT_CHARS = 16 << 20
+UNITS = 1_000_000
+UNIT_CHARS = 32 << 20
 CHUNK_CHARS = 1 << 19
 READ_BYTES = 4 << 20
 OPEN_FILES = 32
@@ -141,18 +141,29 @@ _ODD = re.compile(f"[{WHITE}] | [{WHITE}]")
 _ENDS_WHITE = re.compile(f"[{WHITE}]$")
 
 
+#: Characters that the split pattern separates from a letter in front of them.
+MARKS = frozenset(".,;:!?)")
+
+
 class _Numbers(dict):
-    """Unit -> number; new units are queued with their leading text."""
+    """Unit -> number; new units are queued with their leading text.  A unit
+    that ends in a letter and a mark is put together from its two parts."""
 
     def __init__(self, encoder: "UnitEncoder", lead: str):
         self.encoder, self.lead = encoder, lead
 
     def __missing__(self, unit: str) -> int:
         e = self.encoder
+        parts = None
+        if unit[-1:] in MARKS and unit[-2:-1].isalpha():
+            parts = self[unit[:-1]], e.whole[unit[-1]]
         i = self[unit] = e.known
         e.known += 1
         e.chars += len(unit)
-        e.queue.append(self.lead + unit)
+        if parts:
+            e.joined.append((i, *parts))
+        else:
+            e.queue.append((i, self.lead + unit))
         return i
 
 
@@ -175,10 +186,10 @@ class UnitEncoder:
         self.forget()
 
     def forget(self) -> None:
-        self.known, self.chars, self.queue = 0, 0, []
+        self.known, self.chars, self.queue, self.joined = 0, 0, [], []
         self.whole, self.spaced = _Numbers(self, ""), _Numbers(self, " ")
         self.first, self.length = np.zeros(1024, np.int64), np.zeros(1024, np.int64)
-        self.flat, self.used, self.stored = np.zeros(4096, np.int32), 0, 0
+        self.flat, self.used = np.zeros(4096, np.int32), 0
 
     def _numbers(self, text: str) -> np.ndarray:
         if not text:
@@ -216,19 +227,27 @@ class UnitEncoder:
         ids[~from_run] = np.fromiter(itertools.chain.from_iterable(own), np.int32, int((~from_run).sum()))
         return ids, count
 
-    def _encode_queue(self) -> None:
-        if not self.queue:
-            return
-        ids, count = self._encode(self.queue)
-        n, m = self.stored + len(count), self.used + len(ids)
+    def _store(self, number: np.ndarray, ids: np.ndarray, count: np.ndarray) -> None:
+        n, m = self.known, self.used + len(ids)
         if n > len(self.first):
             self.first, self.length = (np.concatenate([x, np.zeros(2 * n - len(x), np.int64)]) for x in (self.first, self.length))
         if m > len(self.flat):
             self.flat = np.concatenate([self.flat, np.zeros(2 * m - len(self.flat), np.int32)])
-        self.first[self.stored:n] = self.used + np.cumsum(count) - count
-        self.length[self.stored:n] = count
+        self.first[number] = self.used + np.cumsum(count) - count
+        self.length[number] = count
         self.flat[self.used:m] = ids
-        self.stored, self.used, self.queue = n, m, []
+        self.used = m
+
+    def _encode_queue(self) -> None:
+        if self.queue:
+            number, units = zip(*self.queue)
+            self._store(np.array(number), *self._encode(list(units)))
+        if self.joined:
+            number, *parts = np.array(self.joined).T
+            every = np.stack(parts, 1)
+            count = self.length[every]
+            self._store(number, self.flat[spread(self.first[every].reshape(-1), count.reshape(-1))], count.sum(1))
+        self.queue, self.joined = [], []
 
     def encode_texts(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """(ids of all texts one after another, ids per text)."""

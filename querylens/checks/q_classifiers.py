@@ -69,10 +69,7 @@ register("m17_logistic_per_db")(lambda spark, sf: mo.logistic_per_db(_table(spar
 def _m5_m19(spark, sf):
     t = _table(spark, sf)
     h = sp.split_holdout(t, _HOLD)
-    tr = h.where(F.col("split") == "train")
-    mom = li.feature_moments(tr, FEATURE_COLUMNS)
-    trz = li.standardize(tr, FEATURE_COLUMNS, mom)
-    _, model, _ = mo.fit_and_score(trz, trz, FEATURE_COLUMNS, "Random Forest")
+    model = mo.fit_classifier(h.where(F.col("split") == "train"), FEATURE_COLUMNS, "Random Forest")
     hist = fx.history(spark, sf).select(F.col("id").alias("question_id"), F.col("database").alias("db_id"),
                                         F.col("sql_text").alias("sql"), F.lit("unknown").alias("difficulty"))
     from ..functions.sqltext import add_parsed_features, fill_missing_features
@@ -84,8 +81,7 @@ register("m19_predict_label")(_m5_m19)
 
 
 def _m20(spark, sf):
-    t = _table(spark, sf)
-    _, model, _ = mo.fit_and_score(t, t, FEATURE_COLUMNS, "Random Forest")
+    model = mo.fit_classifier(_table(spark, sf), FEATURE_COLUMNS, "Random Forest")
     return mo.feature_importance(model, FEATURE_COLUMNS, spark)
 
 
@@ -170,17 +166,8 @@ register("m28_learning_curve")(lambda spark, sf: mo.learning_curve(
 
 def _m6_m8(spark, sf):
     """M5-M8: all four classifiers on the unseen-database split, one row per model."""
-    t = _table(spark, sf).select("question_id", "db_id", "label_binary", *FEATURE_COLUMNS).checkpoint()
-    h = sp.split_holdout(t, _HOLD)
-    tr, te = h.where(F.col("split") == "train"), h.where(F.col("split") == "test")
-    names = list(mo.CLASSIFIERS)
-
-    def run(name):
-        sc, _, info = mo.fit_and_score(tr, te, FEATURE_COLUMNS, name)
-        return sc.withColumn("model", F.lit(name)).withColumn("fold", F.lit(0))
-
-    scored = mo._union(mo._parallel(names, run))
-    return me.binary_metrics(scored, ["model"]).join(me.roc_auc(scored, ["model"]), "model", "left")
+    h = sp.split_holdout(_table(spark, sf).select("question_id", "db_id", "label_binary", *FEATURE_COLUMNS), _HOLD)
+    return mo.compare_classifiers(h.where(F.col("split") == "train"), h.where(F.col("split") == "test"), FEATURE_COLUMNS)
 
 
 register("m6_m8_classifier_comparison")(_m6_m8)

@@ -1,146 +1,109 @@
-"""Classifiers with ``pyspark.ml`` and their evaluation.
-
-Each fit is a distributed MLlib job.  Group loops (folds, databases, model
-variants) only iterate over a few dozen fits, submitted concurrently from a
-thread pool; data never passes through the driver.  Scored rows of all fits
-are unioned into one prediction table ``(model, fold/group, y_true, y_pred,
-y_proba)`` and every metric is one grouped aggregation over it
-(:mod:`.metrics`).
+"""Classifiers and their evaluation.
+
+All fits of an evaluation - folds, sides, shares, databases, models - run
+together: rows are written once with a cell (:mod:`.fits`), the logistic fits
+share the passes of :mod:`.newton`, the tree fits those of :mod:`.trees`, and one
+pass scores every row with every model that asks for it into one prediction
+table ``(model, fold/group, y_true, y_pred, y_proba)``, over which every metric
+is one grouped aggregation (:mod:`.metrics`).
 """
 
 from __future__ import annotations
 
 import time
-from collections.abc import Callable, Sequence
-from concurrent.futures import ThreadPoolExecutor
+from collections.abc import Mapping, Sequence
 
-from pyspark.ml.classification import GBTClassifier, LogisticRegression, RandomForestClassifier
-from pyspark.ml.feature import VectorAssembler
-from pyspark.ml.functions import vector_to_array
-from pyspark.sql import DataFrame, Window
+import numpy as np
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .linear import feature_moments, standardize
+from .fits import FitTable, LogisticSpec, fit_all, fit_table, predict_column, score_all
 from .metrics import binary_metrics, roc_auc
 from .ranking import rank_within
 from .splits import HOLDOUT_DATABASES, MIN_QUERIES, SEED, split_seen_pooled, split_status, split_within_group_stratified, \
     stratified_folds
+from .trees import TreeSpec
 
 LABEL = "label_binary"
 
+# The reference's classifier set and its settings.
+CLASSIFIERS: dict[str, LogisticSpec | TreeSpec] = {
+    "Logistic Regression": LogisticSpec(penalty=1.0),
+    "Random Forest": TreeSpec(forest=True, trees=200, some=True, seed=SEED),
+    "Gradient Boosting": TreeSpec(forest=False, trees=200, depth=3, rate=0.1, seed=SEED),
+    "XGBoost": TreeSpec(forest=False, trees=200, depth=6, rate=0.3, second_order=True, l2=1.0, min_curvature=1.0, seed=SEED),
+}
+#: M23's fixed model
+fixed_logistic = LogisticSpec(penalty=1.0)
 
-# The reference's classifier set (sklearn settings mapped to MLlib).
-def logistic(n_train: int, max_iter: int = 1000):
-    """C = 1 on standardized inputs: MLlib's (1/n) log-loss + regParam/2 |w|^2
-    equals sklearn's objective divided by n when regParam = 1/n."""
-    return LogisticRegression(regParam=1.0 / max(n_train, 1), elasticNetParam=0.0, standardization=False,
-                              maxIter=max_iter, tol=1e-8)
 
+def named(job: Column | str, names: Sequence) -> Column:
+    """The entry of ``names`` at the number in ``job``."""
+    return F.element_at(F.array(*[F.lit(n) for n in names]), F.col(job) + 1)
 
-CLASSIFIERS: dict[str, Callable[[int], object]] = {
-    "Logistic Regression": lambda n: logistic(n),
-    "Random Forest": lambda n: RandomForestClassifier(numTrees=200, featureSubsetStrategy="sqrt", maxDepth=30,
-                                                      seed=SEED),
-    "Gradient Boosting": lambda n: GBTClassifier(maxIter=200, maxDepth=3, stepSize=0.1, seed=SEED),
-    "XGBoost (GBT stand-in)": lambda n: GBTClassifier(maxIter=200, maxDepth=6, stepSize=0.3, seed=SEED),
-}
-SCALED = {"Logistic Regression"}
-
-
-def fit_and_score(train: DataFrame, test: DataFrame, features: Sequence[str], model_name: str,
-                  keep: Sequence[str] = ("question_id",), label: str = LABEL,
-                  factory: Callable[[int], object] | None = None) -> tuple[DataFrame, object, dict]:
-    """Fit one classifier on ``train`` (standardized with train moments for
-    the linear model) and score ``test``: returns (scored rows with y_true,
-    y_pred, y_proba; fitted model; timing)."""
-    feats = list(features)
-    n = train.count()
-    est = (factory or CLASSIFIERS[model_name])(n)
-    if model_name in SCALED or factory is not None:
-        mom = feature_moments(train, feats)
-        train = standardize(train, feats, mom)
-        test = standardize(test, feats, mom)
-    asm = VectorAssembler(inputCols=feats, outputCol="_fv", handleInvalid="keep")
-    est = est.setFeaturesCol("_fv").setLabelCol(label)
-    t0 = time.perf_counter()
-    model = est.fit(asm.transform(train.withColumn(label, F.col(label).cast("double"))))
-    fit_s = time.perf_counter() - t0
-    scored = model.transform(asm.transform(test))
-    out = scored.select(*keep, F.col(label).cast("int").alias("y_true"), F.col("prediction").cast("int").alias("y_pred"),
-                        vector_to_array("probability")[1].alias("y_proba"))
-    return out, model, {"fit_time_s": fit_s}
 
+def as_predictions(scored: DataFrame, *columns: Column) -> DataFrame:
+    return scored.select(*columns, F.col("_y").cast("int").alias("y_true"), (F.col("raw") > 0.5).cast("int").alias("y_pred"),
+                         F.col("raw").alias("y_proba"))
 
-def _parallel(jobs, fn, workers: int = 8):
-    with ThreadPoolExecutor(max_workers=workers) as pool:
-        return list(pool.map(fn, jobs))
 
+def _fit_folds(rows: FitTable, folds: Mapping, models: Sequence[str]):
+    """``(jobs, fitted models, seconds per fit)``: every model on every fold set
+    of ``folds`` (name -> cells of its training rows)."""
+    jobs = [(m, f) for m in models for f in folds]
+    t0 = time.perf_counter()
+    fitted = fit_all(rows, folds, [(f, CLASSIFIERS[m]) for m, f in jobs])
+    return jobs, fitted, (time.perf_counter() - t0) / max(1, len(jobs))
 
-def _union(parts: list[DataFrame]) -> DataFrame:
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.unionByName(p)
-    return out
+
+def compare_classifiers(train: DataFrame, test: DataFrame, features: Sequence[str], models: Sequence[str] = tuple(CLASSIFIERS),
+                        label: str = LABEL) -> DataFrame:
+    """M5-M8: every model fitted on ``train``, ``test`` scored: metrics per model."""
+    both = train.select(label, *features).withColumn("_t", F.lit(0)).unionByName(test.select(label, *features).withColumn("_t", F.lit(1)))
+    rows = fit_table(both, features, label, F.col("_t"))
+    fitted = fit_all(rows, {"train": {0}}, [("train", CLASSIFIERS[m]) for m in models])
+    scored = as_predictions(score_all(rows, [(i, m, {1: "test"}) for i, m in enumerate(fitted)]), named("job", models).alias("model"))
+    scored = scored.checkpoint()
+    return binary_metrics(scored, ["model"]).join(roc_auc(scored, ["model"]), "model", "left")
 
 
-def folds_of(table: DataFrame, k: int, label: str = LABEL) -> tuple[DataFrame, list[int]]:
-    """The table with its stratified folds (T6), written once, and the fold
-    numbers; none if a class is too small for two folds."""
-    folded = stratified_folds(table, k=k, label_col=label).checkpoint()
-    return folded, sorted(r[0] for r in folded.select("fold").distinct().collect() if r[0] is not None)
+def fit_classifier(train: DataFrame, features: Sequence[str], model_name: str, label: str = LABEL):
+    """One fitted model on all rows."""
+    rows = fit_table(train, features, label, F.lit(0))
+    return fit_all(rows, {"all": {0}}, [("all", CLASSIFIERS[model_name])])[0]
 
 
 def cross_validate(table: DataFrame, features: Sequence[str], models: Sequence[str], k: int = 5,
                    label: str = LABEL) -> tuple[DataFrame, DataFrame]:
-    """M9 + M11 + E17: stratified k folds (T6); every (model, fold) fit runs
-    concurrently and scores both sides.  Returns (fold scores: model, fold,
+    """M9 + M11 + E17: stratified k folds (T6); every (model, fold) is fitted in
+    the same jobs and scores both sides.  Returns (fold scores: model, fold,
     train_ and test_ f1, accuracy, precision, recall, roc_auc, fit_time_s,
-    score_time_s;  out-of-fold scored rows)."""
-    folded, ks = folds_of(table, k, label)
-    jobs = [(m, f) for m in models for f in ks]
-
-    def run(job):
-        m, f = job
-        tr = folded.where(F.col("fold") != f).withColumn("_part", F.lit("train"))
-        te = folded.where(F.col("fold") == f).withColumn("_part", F.lit("test"))
-        sc, _, info = fit_and_score(tr, tr.unionByName(te), features, m, keep=("question_id", "_part"), label=label)
-        t0 = time.perf_counter()
-        sc = sc.checkpoint()      # scored once; the metrics read these rows
-        return (sc.withColumn("model", F.lit(m)).withColumn("fold", F.lit(int(f))),
-                (m, f, info["fit_time_s"], time.perf_counter() - t0))
-
-    results = _parallel(jobs, run)
-    both = _union([r[0] for r in results])
-    times = table.sparkSession.createDataFrame([r[1] for r in results], "model string, fold int, fit_time_s double, score_time_s double")
+    score_time_s, an equal share of the joint times;  out-of-fold scored
+    rows).  No rows if a class is too small for two folds."""
+    folded = stratified_folds(table.select("question_id", label, *features), k=k, label_col=label)
+    rows = fit_table(folded, features, label, F.col("fold"), ["question_id"])
+    ks = sorted(r[0] for r in rows.df.select("_cell").distinct().collect() if r[0] is not None)
+    jobs, fitted, seconds = _fit_folds(rows, {f: {c for c in ks if c != f} for f in ks}, list(models))
+    t0 = time.perf_counter()
+    if jobs:
+        wanted = [(i, m, {c: "test" if c == f else "train" for c in ks}) for i, ((_, f), m) in enumerate(zip(jobs, fitted))]
+        both = as_predictions(score_all(rows, wanted), F.col("question_id"), F.col("part").alias("_part"),
+                              named("job", [m for m, _ in jobs]).alias("model"), named("job", [int(f) for _, f in jobs]).alias("fold"))
+    else:
+        types = dict(table.dtypes)
+        both = table.sparkSession.createDataFrame(
+            [], f"question_id {types['question_id']}, _part string, model string, fold int, y_true int, y_pred int, y_proba double")
+    both = both.checkpoint()      # scored once; the metrics read these rows
+    scoring = (time.perf_counter() - t0) / max(1, len(jobs))
     key = ["model", "fold", "_part"]
     per = binary_metrics(both, key).join(roc_auc(both, key), key, "left")
     names = ["f1", "accuracy", "precision", "recall", "roc_auc"]
     wide = per.groupBy("model", "fold").agg(*[F.max(F.when(F.col("_part") == p, F.col(c))).alias(f"{p}_{c}")
                                              for p in ("train", "test") for c in names])
-    scores = wide.join(times, ["model", "fold"]).orderBy("model", "fold")
+    scores = wide.select("*", F.lit(seconds).alias("fit_time_s"), F.lit(scoring).alias("score_time_s")).orderBy("model", "fold")
     return scores, both.where(F.col("_part") == "test").drop("_part")
 
 
-def best_model(train: DataFrame, features: Sequence[str], models: Sequence[str], k: int = 5, label: str = LABEL) -> str:
-    """The model with the highest mean CV F1 on ``train`` (M10); the first
-    one if a class is too small for cross-validation or there is one model."""
-    if len(models) == 1:
-        return models[0]
-    folded, ks = folds_of(train, k, label)
-    if not ks:
-        return models[0]
-    jobs = [(m, f) for m in models for f in ks]
-
-    def run(job):
-        m, f = job
-        sc, _, _ = fit_and_score(folded.where(F.col("fold") != f), folded.where(F.col("fold") == f), features, m, label=label)
-        return sc.withColumn("model", F.lit(m)).withColumn("fold", F.lit(int(f)))
-
-    scores = binary_metrics(_union(_parallel(jobs, run)), ["model", "fold"]).select(
-        "model", F.col("f1").alias("test_f1"), F.lit(0.0).alias("fit_time_s"))
-    return select_best(cv_summary(scores), models).first()["model"]
-
-
 def cv_summary(scores: DataFrame) -> DataFrame:
     """Per model mean and population std of the fold F1."""
     return scores.groupBy("model").agg(F.avg("test_f1").alias("f1_mean"), F.stddev_pop("test_f1").alias("f1_std"),
@@ -157,45 +120,37 @@ def select_best(summary: DataFrame, model_order: Sequence[str]) -> DataFrame:
 def logistic_per_db(table: DataFrame, features: Sequence[str], label: str = LABEL,
                     min_n: int = MIN_QUERIES) -> DataFrame:
     """Per database 80/20 (stratified when possible) with T9 status;
-    logistic regression for the eligible ones; f1, roc_auc, accuracy
-    rounded to 6, slow percentage rounded half-even."""
-    split = split_within_group_stratified(table, label_col=label).checkpoint()
-    status = split_status(split, label_col=label, min_n=min_n)
-    ok = [r[0] for r in status.where(F.col("status") == "ok").select("db_id").collect()]
-
-    def run(db):
-        tr = split.where((F.col("db_id") == db) & (F.col("split") == "train"))
-        te = split.where((F.col("db_id") == db) & (F.col("split") == "test"))
-        sc, _, _ = fit_and_score(tr, te, features, "Logistic Regression", keep=("db_id",), label=label,
-                                 factory=lambda n: logistic(n, 1000))
-        return sc
-
+    logistic regression for the eligible ones, all in the same passes; f1,
+    roc_auc, accuracy rounded to 6, slow percentage rounded half-even."""
+    spark = table.sparkSession
+    split = split_within_group_stratified(table.select("question_id", "db_id", label, *features), label_col=label).checkpoint()
+    status = split_status(split, label_col=label, min_n=min_n).checkpoint()
+    ok = sorted(r[0] for r in status.where(F.col("status") == "ok").select("db_id").collect())      # one row per database
     if ok:
-        scored = _union(_parallel(ok, run))
+        numbers = spark.createDataFrame(list(enumerate(ok)), "_db int, db_id string")
+        side = 2 * F.col("_db") + (F.col("split") == "test").cast("int")
+        rows = fit_table(split.join(numbers, "db_id"), features, label, side, ["db_id"])
+        fitted = fit_all(rows, {i: {2 * i} for i in range(len(ok))}, [(i, CLASSIFIERS["Logistic Regression"]) for i in range(len(ok))])
+        scored = as_predictions(score_all(rows, [(i, m, {2 * i + 1: "test"}) for i, m in enumerate(fitted)]), F.col("db_id")).checkpoint()
         m = binary_metrics(scored, ["db_id"]).join(roc_auc(scored, ["db_id"]), "db_id", "left")
         m = m.select("db_id", F.round("f1", 6).alias("f1_slow"), F.round("roc_auc", 6).alias("roc_auc"),
                      F.round("accuracy", 6).alias("accuracy"))
     else:
-        m = table.sparkSession.createDataFrame([], "db_id string, f1_slow double, roc_auc double, accuracy double")
+        m = spark.createDataFrame([], "db_id string, f1_slow double, roc_auc double, accuracy double")
     return status.join(m, "db_id", "left").orderBy("db_id")
 
 
 def predict_label(model, df: DataFrame, features: Sequence[str], keep: Sequence[str] = ("question_id",)) -> DataFrame:
     """Label, binary label and probability of 'slow' from a fitted model."""
-    asm = VectorAssembler(inputCols=list(features), outputCol="_fv", handleInvalid="keep")
-    s = model.transform(asm.transform(df))
-    return s.select(*keep, F.when(F.col("prediction") == 1, "slow").otherwise("fast").alias("label"),
-                    F.col("prediction").cast("int").alias("label_binary"),
-                    vector_to_array("probability")[1].alias("probability_slow"))
+    s = predict_column(df, features, list(keep), model)
+    slow = F.col("raw") > 0.5
+    return s.select(*keep, F.when(slow, "slow").otherwise("fast").alias("label"), slow.cast("int").alias("label_binary"),
+                    F.col("raw").alias("probability_slow"))
 
 
 def feature_importance(model, features: Sequence[str], spark) -> DataFrame:
-    """Tree importances or |coefficient|, largest first."""
-    if hasattr(model, "featureImportances"):
-        vals = model.featureImportances.toArray().tolist()
-    else:
-        vals = [abs(x) for x in model.coefficients.toArray().tolist()]
-    rows = list(zip(list(features)[:len(vals)], [float(v) for v in vals]))
+    """Share of the trees' gain or |coefficient|, largest first."""
+    rows = list(zip(features, map(float, model.importance())))
     return spark.createDataFrame(rows, "feature string, importance double").orderBy(F.desc("importance"), "feature")
 
 
@@ -215,44 +170,81 @@ _GEOMETRY_DDL = ", ".join(["rows long", "fast_rows long", "slow_rows long"] + [
 
 def two_geometries(table: DataFrame, features: Sequence[str], models: Sequence[str] = tuple(CLASSIFIERS),
                    holdout: Sequence[str] = HOLDOUT_DATABASES, label: str = LABEL, k: int = 5,
-                   factory: Callable[[int], object] | None = None) -> DataFrame:
+                   factory: LogisticSpec | None = None) -> DataFrame:
     """Unseen-database (holdout) and seen-database (pooled per-db
     80/20) evaluation, one wide row.  On each side the model of ``models``
-    with the best cross-validated F1 on that side's training rows is fitted
-    (M22); with ``factory`` a fixed logistic model is (M23).  The numbers of a side are
+    with the best cross-validated F1 on that side's training rows (ties, and
+    classes too small for folds: the earlier one) is fitted (M22); with ``factory``
+    that fixed model is (M23).  The folds of both sides are fitted together,
+    and so are the two chosen models.  The numbers of a side are
     null when its training or test rows are empty or the training rows have
     one class."""
     spark = table.sparkSession
-    need = list(dict.fromkeys(["question_id", "db_id", label, *features]))
-    table = table.select(*need).checkpoint()       # every split, fold and fit reads these rows
+    table = table.select(*dict.fromkeys(["question_id", "db_id", label, *features])).checkpoint()       # every split reads these rows
     held = F.col("db_id").isin(list(holdout))
-    sides = {"unseen": table.withColumn("split", F.when(held, "test").otherwise("train")),
-             "seen": split_seen_pooled(table, label_col=label).checkpoint()}
     y = F.col(label)
     row = table.agg(F.count(F.lit(1)).alias("rows"), F.count_if(y == 0).alias("fast_rows"),
                     F.count_if(y == 1).alias("slow_rows")).first().asDict()
-    for side, split in sides.items():
+    splits = {"unseen": table.withColumn("split", F.when(held, "test").otherwise("train")),
+              "seen": split_seen_pooled(table, label_col=label).checkpoint()}
+    parts, choose = [], not factory and len(models) > 1
+    for i, (side, split) in enumerate(splits.items()):
         sizes = {r["split"]: r for r in split.groupBy("split").agg(
             F.count(F.lit(1)).alias("n"), F.min(y).alias("a"), F.max(y).alias("b")).collect()}
         for part in ("train", "test"):
             row[f"{side}_{part}_rows"] = sizes[part]["n"] if part in sizes else 0
         if "test" not in sizes or "train" not in sizes or sizes["train"]["a"] == sizes["train"]["b"]:
             continue
-        tr, te = split.where(F.col("split") == "train"), split.where(F.col("split") == "test")
-        name = "Logistic Regression" if factory else best_model(tr, features, list(models), k, label)
-        scored, _, _ = fit_and_score(tr, te, features, name, label=label, factory=factory)
-        one = scored.withColumn("_g", F.lit(side))
-        m = binary_metrics(one, ["_g"]).join(roc_auc(one, ["_g"]), "_g", "left").first()
-        row[f"{side}_best_model"] = name
-        for metric in _METRICS:
-            row[f"{side}_{metric}"] = float(m[metric]) if m[metric] is not None else None
+        train = split.where(F.col("split") == "train").drop("split")
+        train = stratified_folds(train, k=k, label_col=label) if choose else train.withColumn("fold", F.lit(None).cast("int"))
+        # cells of a side: the test rows, rows without fold, the folds
+        cell = lambda c, i=i: (F.lit(i * (k + 2)) + c).cast("int").alias("_c")
+        parts.append((side, i * (k + 2), train.select(label, *features, cell(F.coalesce(F.col("fold") + 2, F.lit(1))))
+                      .unionByName(split.where(F.col("split") == "test").select(label, *features, cell(F.lit(0))))))
+    if parts:
+        whole = parts[0][2]
+        for _, _, p in parts[1:]:
+            whole = whole.unionByName(p)
+        rows = fit_table(whole, features, label, F.col("_c"))
+        chosen = _chosen(rows, parts, list(models), k) if choose else {side: models[0] for side, _, _ in parts}
+        specs = {side: factory or CLASSIFIERS[chosen[side]] for side, _, _ in parts}
+        fitted = fit_all(rows, {side: set(range(at + 1, at + k + 2)) for side, at, _ in parts}, [(side, specs[side]) for side, _, _ in parts])
+        wanted = [(i, m, {at: "test"}) for i, ((_, at, _), m) in enumerate(zip(parts, fitted))]
+        one = as_predictions(score_all(rows, wanted), named("job", [side for side, _, _ in parts]).alias("_g")).checkpoint()
+        for m in binary_metrics(one, ["_g"]).join(roc_auc(one, ["_g"]), "_g", "left").collect():       # one row per side
+            row[f"{m['_g']}_best_model"] = "Logistic Regression" if factory else chosen[m["_g"]]
+            for metric in _METRICS:
+                row[f"{m['_g']}_{metric}"] = float(m[metric]) if m[metric] is not None else None
     names = [c.split(" ")[0] for c in _GEOMETRY_DDL.split(", ")]
     return spark.createDataFrame([tuple(row.get(c) for c in names)], _GEOMETRY_DDL)
 
 
-def fixed_logistic(n: int):
-    """M23's fixed model."""
-    return logistic(n, 2000)
+def _chosen(rows: FitTable, parts: list, models: list[str], k: int) -> dict[str, str]:
+    """Per side the model with the highest mean F1 over its folds."""
+    present = {r[0] for r in rows.df.select("_cell").distinct().collect()}
+    folds, tests = {}, {}
+    for side, at, _ in parts:
+        own = [c for c in range(at + 2, at + k + 2) if c in present]
+        for c in own:
+            folds[side, c], tests[side, c] = {d for d in own if d != c}, c
+    if not folds:
+        return {side: models[0] for side, _, _ in parts}
+    jobs, fitted, _ = _fit_folds(rows, folds, models)
+    wanted = [(i, m, {tests[f]: "test"}) for i, ((_, f), m) in enumerate(zip(jobs, fitted))]
+    scored = as_predictions(score_all(rows, wanted), F.col("job")).checkpoint()
+    f1: dict = {}
+    for r in binary_metrics(scored, ["job"]).collect():        # one row per fit
+        m, (side, _) = jobs[r["job"]]
+        f1.setdefault((side, m), []).append(r["f1"])
+    return {side: max(models, key=lambda m: (float(np.mean(f1[side, m])) if (side, m) in f1 else 0.0, -models.index(m)))
+            for side, _, _ in parts}
+
+
+def _union(parts: list[DataFrame]) -> DataFrame:
+    out = parts[0]
+    for p in parts[1:]:
+        out = out.unionByName(p)
+    return out
 
 
 def feature_ablation(table: DataFrame, global_cols: Sequence[str], tree_cols: Sequence[str],
@@ -289,23 +281,34 @@ def fairness_control(table: DataFrame, planned_keys: DataFrame, features: Sequen
 def learning_curve(table: DataFrame, features: Sequence[str], shares=(0.2, 0.4, 0.6, 0.8, 1.0), k: int = 3,
                    model_name: str = "Logistic Regression", label: str = LABEL) -> DataFrame:
     """Mean train-fold and validation F1 when fitting on the first
-    share of each training fold (md5 order); one fit per share and fold
-    scores both sides."""
+    share of each training fold (md5 order).  A row carries, for every fold it
+    trains, the first share that holds it; all shares and folds are fitted
+    together."""
     keyed = table.select("question_id", label, *features).withColumn(
         "_h", F.md5(F.concat(F.col("question_id").cast("string"), F.lit("|"), F.lit(str(SEED)))))
-    folded, ks = folds_of(keyed, k, label)
-    # md5 rank inside each training fold (distributed ranking, no single-task sort)
-    ranked = {f: rank_within(folded.where(F.col("fold") != f), [], [F.col("_h").asc()]).drop("_h").checkpoint() for f in ks}
-    sizes = {f: r.count() for f, r in ranked.items()}
-
-    def run(job):
-        share, f = job
-        cutoff = max(2, int(round(share * sizes[f])))
-        tr = ranked[f].where(F.col("_rn") < cutoff).drop("_rn", "_n").withColumn("part", F.lit("train"))
-        te = folded.where(F.col("fold") == f).drop("_h").withColumn("part", F.lit("validation"))
-        sc, _, _ = fit_and_score(tr, tr.unionByName(te), features, model_name, keep=("part",), label=label)
-        return sc.withColumn("share", F.lit(float(share))).withColumn("fold", F.lit(int(f))).withColumn("train_rows", F.lit(cutoff))
-
-    scored = _union(_parallel([(s, f) for s in shares for f in ks], run, workers=4))
-    m = binary_metrics(scored, ["share", "fold", "part", "train_rows"])
+    folded = stratified_folds(keyed, k=k, label_col=label).where(F.col("fold").isNotNull()).checkpoint()
+    size = {r["fold"]: r["n"] for r in folded.groupBy("fold").agg(F.count(F.lit(1)).alias("n")).collect()}
+    ks, total = sorted(size), sum(size.values())
+    cutoffs = {f: [max(2, int(round(s * (total - size[f])))) for s in shares] for f in ks}
+    # position among the rows outside fold f: position among all minus those of f before
+    marked = folded.select("*", *[(F.col("fold") == f).cast("long").alias(f"_in{f}") for f in ks])
+    ranked = rank_within(marked, [], [F.col("_h").asc()], sums=[f"_in{f}" for f in ks])
+    base, cell = len(shares) + 1, F.col("fold")
+    for i, f in enumerate(ks):
+        at = F.col("_rn") - F.col(f"_cum__in{f}")
+        first = F.lit(0)
+        for c in cutoffs[f]:
+            first = first + (at >= c).cast("int")          # shares that do not hold the row yet
+        cell = cell + F.when(F.col("fold") == f, 0).otherwise(first) * (k * base ** i)
+    rows = fit_table(ranked, features, label, cell)
+    cells = [r[0] for r in rows.df.select("_cell").distinct().collect()]
+    jobs = [(s, f) for s in range(len(shares)) for f in ks]
+    fits = {(s, f): {c for c in cells if c % k != f and c // (k * base ** i) % base <= s}
+            for s in range(len(shares)) for i, f in enumerate(ks)}
+    fitted = fit_all(rows, fits, [(j, CLASSIFIERS[model_name]) for j in jobs])
+    wanted = [(i, m, {c: "train" for c in fits[j]} | {c: "validation" for c in cells if c % k == j[1]})
+              for i, (j, m) in enumerate(zip(jobs, fitted))]
+    scored = as_predictions(score_all(rows, wanted), F.col("job"), F.col("part"), named("job", [float(shares[s]) for s, _ in jobs]).alias("share"),
+                            named("job", [cutoffs[f][s] for s, f in jobs]).alias("train_rows"))
+    m = binary_metrics(scored, ["share", "job", "part", "train_rows"])
     return m.groupBy("share", "part").agg(F.avg("train_rows").alias("train_rows"), F.avg("f1").alias("f1")).orderBy("share", "part")

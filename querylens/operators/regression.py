@@ -1,10 +1,9 @@
 """Runtime regression per database and across databases.
 
 Linear models come from the grouped Gram job of :mod:`.linear` (all
-databases in one pass).  Tree models use ``pyspark.ml`` and are fitted per
-database (a few dozen fits, submitted concurrently from a thread pool so the
-cluster runs them side by side); each fit is itself a distributed job.
-Metrics are one grouped aggregate over the scored test rows.
+databases in one pass), tree models from :mod:`.trees`: all databases grow in
+the same jobs, and one Arrow pass scores every row by its database's compiled
+ensemble.  Metrics are one grouped aggregate over the scored test rows.
 """
 
 from __future__ import annotations
@@ -13,28 +12,26 @@ import json
 import os
 import uuid
 from collections.abc import Sequence
-from concurrent.futures import ThreadPoolExecutor
 
-from pyspark.ml import Pipeline, PipelineModel
-from pyspark.ml.feature import VectorAssembler
-from pyspark.ml.regression import GBTRegressor, RandomForestRegressor
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..session import ensure_checkpoint_dir
 from ..functions.sqltext import FEATURE_COLUMNS, add_parsed_features, fill_missing_features
 from .catalog import SCHEMA_FEATURES, join_catalog
+from .fits import fit_all, fit_table, predict_by_key, score_all
 from .labels import label_quantile, threshold_label
 from .linear import LINEAR_MODELS, LinearFit, fit_linear_models, score_linear
 from .metrics import regression_metrics
 from .querylog import positive_runtime
 from .splits import HOLDOUT_DATABASES, MIN_QUERIES, SEED, split_within_group
+from .trees import Ensemble, TreeSpec
 
 FULL_FEATURES = FEATURE_COLUMNS + SCHEMA_FEATURES
 # Model order of the per-database comparison (ties keep this order).
 PER_DB_MODELS = ["Ridge(a=1)", "Ridge(a=10)", "Lasso", "RF", "GBM"]
-TREE_MODELS = {"RF": lambda: RandomForestRegressor(numTrees=100, seed=SEED, maxDepth=30),
-               "GBM": lambda: GBTRegressor(maxIter=100, stepSize=0.1, maxDepth=3, seed=SEED)}
+TREE_MODELS = {"RF": TreeSpec(forest=True, trees=100, log=False, seed=SEED),
+               "GBM": TreeSpec(forest=False, trees=100, depth=3, rate=0.1, log=False, seed=SEED)}
 
 
 def training_table(log: DataFrame, stats: DataFrame) -> DataFrame:
@@ -49,30 +46,25 @@ def training_table(log: DataFrame, stats: DataFrame) -> DataFrame:
     return positive_runtime(label_quantile(joined))
 
 
-def _fit_trees(train: DataFrame, test: DataFrame, features, groups: list, group_col: str | None,
-               target: str, models: Sequence[str]) -> DataFrame | None:
-    asm = VectorAssembler(inputCols=list(features), outputCol="_fv", handleInvalid="keep")
-    jobs = []
-    for g in groups:
-        tr = train if group_col is None else train.where(F.col(group_col) == g)
-        te = test if group_col is None else test.where(F.col(group_col) == g)
-        for m in models:
-            jobs.append((g, m, tr, te))
+def _numbered(df: DataFrame) -> tuple[list, DataFrame]:
+    """The databases in order and the rows with their number ``_db``."""
+    dbs = sorted(r[0] for r in df.select("db_id").distinct().collect() if r[0] is not None)      # one row per database
+    return dbs, df.join(df.sparkSession.createDataFrame(list(enumerate(dbs)), "_db int, db_id string"), "db_id")
 
-    def run(job):
-        g, m, tr, te = job
-        est = TREE_MODELS[m]().setFeaturesCol("_fv").setLabelCol(target).setPredictionCol("pred_log")
-        model = est.fit(asm.transform(tr))
-        return model.transform(asm.transform(te)).drop("_fv").withColumn("model", F.lit(m))
 
+def _tree_predictions(split: DataFrame, features: Sequence[str], target: str) -> DataFrame:
+    """``db_id, model, target, pred_log`` of the test rows by trees fitted on
+    their database's training rows, all databases together."""
+    dbs, numbered = _numbered(split.where(F.col("split") != "skipped"))
+    rows = fit_table(numbered, features, target, 2 * F.col("_db") + (F.col("split") == "test").cast("int"), ["db_id"])
+    sides = {r[0] for r in rows.df.select("_cell").distinct().collect()}
+    jobs = [(i, m) for i in range(len(dbs)) if 2 * i in sides for m in TREE_MODELS]
     if not jobs:
-        return None
-    with ThreadPoolExecutor(max_workers=8) as pool:
-        parts = list(pool.map(run, jobs))
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.unionByName(p)
-    return out
+        return split.sparkSession.createDataFrame([], f"db_id string, model string, `{target}` double, pred_log double")
+    fitted = fit_all(rows, {i: {2 * i} for i, _ in jobs}, [(i, TREE_MODELS[m]) for i, m in jobs])
+    scored = score_all(rows, [(n, model, {2 * i + 1: "test"}) for n, ((i, _), model) in enumerate(zip(jobs, fitted))])
+    name = F.element_at(F.array(*[F.lit(m) for _, m in jobs]), F.col("job") + 1)
+    return scored.select("db_id", name.alias("model"), F.col("_y").alias(target), F.col("raw").alias("pred_log")).checkpoint()
 
 
 def regress_per_db(table: DataFrame, features: Sequence[str] = FULL_FEATURES, target: str = "log_runtime",
@@ -90,10 +82,7 @@ def regress_per_db(table: DataFrame, features: Sequence[str] = FULL_FEATURES, ta
     cols = ["db_id", "question_id", target, *features]
     scored = score_linear(test.select(*cols), fit, features, ["db_id"]).select("db_id", "model", target, "pred_log")
     if with_trees:
-        dbs = [r[0] for r in train.select("db_id").distinct().collect()]
-        trees = _fit_trees(train.select(*cols), test.select(*cols), features, dbs, "db_id", target, ["RF", "GBM"])
-        if trees is not None:
-            scored = scored.unionByName(trees.select("db_id", "model", target, "pred_log"))
+        scored = scored.unionByName(_tree_predictions(split, features, target))
     m = regression_metrics(scored, ["db_id", "model"], y_log=target, p_log="pred_log")
     info = split.where(F.col("split") != "skipped").groupBy("db_id").agg(
         F.count(F.lit(1)).alias("n"), F.count_if(F.col("split") == "train").alias("n_train"),
@@ -120,8 +109,8 @@ def refit_all(table: DataFrame, best: DataFrame, features: Sequence[str] = FULL_
               min_n: int = MIN_QUERIES, path: str | None = None) -> tuple[LinearFit, DataFrame]:
     """Refit each database's winning model on all its rows, for databases
     with at least ``min_n`` rows.  Linear winners go to the coefficient table;
-    tree winners are fitted one by one and saved as pipeline models in
-    ``path`` (a folder of the shared storage), one folder per database.
+    tree winners are fitted together and saved as compiled ensembles, one row
+    per database of the Parquet table ``path`` (on the shared storage).
     Returns the coefficients and the manifest: db_id, model, kind, r2_log,
     n_train, target, n_features and model_path (null for linear models)."""
     spark = table.sparkSession
@@ -132,19 +121,15 @@ def refit_all(table: DataFrame, best: DataFrame, features: Sequence[str] = FULL_
     fit = fit_linear_models(rows.join(linear.select("db_id"), "db_id", "left_semi"), features, target, ["db_id"])
     coef = fit.coefficients.join(linear.select("db_id", "model"), ["db_id", "model"])
     folder = path or os.path.join(ensure_checkpoint_dir(spark), f"tree-models-{uuid.uuid4().hex[:8]}")
-    trees = [r.asDict() for r in won.where(F.col("model").isin(list(TREE_MODELS))).collect()]
-
-    def save(r):
-        own = rows.where(F.col("db_id") == r["db_id"])
-        steps = [VectorAssembler(inputCols=list(features), outputCol="_fv", handleInvalid="keep"),
-                 TREE_MODELS[r["model"]]().setFeaturesCol("_fv").setLabelCol(target).setPredictionCol("pred_log")]
-        where = os.path.join(folder, r["db_id"])
-        Pipeline(stages=steps).fit(own).write().overwrite().save(where)
-        return r["db_id"], where
-
-    with ThreadPoolExecutor(max_workers=8) as pool:
-        saved = list(pool.map(save, trees))
-    paths = spark.createDataFrame(saved, "db_id string, model_path string")
+    trees = {r["db_id"]: r["model"] for r in won.where(F.col("model").isin(list(TREE_MODELS))).collect()}      # one row per database
+    paths = spark.createDataFrame([], "db_id string, model_path string")
+    if trees:
+        dbs, numbered = _numbered(rows.join(won.where(F.col("model").isin(list(TREE_MODELS))).select("db_id"), "db_id", "left_semi"))
+        own = fit_table(numbered, features, target, F.col("_db"))
+        fitted = fit_all(own, {i: {i} for i in range(len(dbs))}, [(i, TREE_MODELS[trees[db]]) for i, db in enumerate(dbs)])
+        spark.createDataFrame([(db, bytearray(m.to_bytes())) for db, m in zip(dbs, fitted)], "db_id string, ensemble binary").write.mode(
+            "overwrite").parquet(folder)
+        paths = spark.createDataFrame([(db, folder) for db in dbs], "db_id string, model_path string")
     kind = F.when(F.col("model").isin(list(TREE_MODELS)), "tree").otherwise("linear")
     manifest = won.join(paths, "db_id", "left").select(
         "db_id", "model", kind.alias("kind"), "r2_log", "n_train", F.lit(target).alias("target"),
@@ -152,6 +137,18 @@ def refit_all(table: DataFrame, best: DataFrame, features: Sequence[str] = FULL_
     return LinearFit(coef), manifest
 
 
+def load_ensembles(manifest: DataFrame) -> dict[str, Ensemble]:
+    """The compiled tree models that a manifest names, by database."""
+    spark = manifest.sparkSession
+    named = manifest.where(F.col("model_path").isNotNull()).select("db_id", "model_path").collect()      # one row per database
+    out = {}
+    for folder in sorted({r["model_path"] for r in named}):
+        own = [r["db_id"] for r in named if r["model_path"] == folder]
+        for r in spark.read.parquet(folder).where(F.col("db_id").isin(own)).collect():
+            out[r["db_id"]] = Ensemble.from_bytes(bytes(r["ensemble"]))
+    return out
+
+
 def manifest_json(manifest: DataFrame, features: Sequence[str] = FULL_FEATURES) -> str:
     """The manifest as JSON text; it has one entry per database."""
     return json.dumps({"feature_order": list(features), "sql_features": FEATURE_COLUMNS, "schema_features": SCHEMA_FEATURES,
@@ -197,18 +194,16 @@ def predict_runtime(queries: DataFrame, stats: DataFrame, fit: LinearFit, manife
     joined = join_catalog(feats, stats)
     joined = joined.select(*[c for c in joined.columns if c not in SCHEMA_FEATURES],
                            *[F.coalesce(F.col(c).cast("double"), F.lit(0.0)).alias(c) for c in SCHEMA_FEATURES])
-    trees = ([] if manifest is None else
-             [(r["db_id"], r["model_path"]) for r in manifest.where(F.col("model_path").isNotNull()).collect()])
-    own = [db for db, _ in trees]
-    rest = joined.where(F.col("db_id").isNull() | ~F.col("db_id").isin(own)) if own else joined
+    models = load_ensembles(manifest) if manifest is not None else {}
+    rest = joined.where(F.col("db_id").isNull() | ~F.col("db_id").isin(list(models))) if models else joined
     j = rest.join(fit.coefficients.select("db_id", "intercept", "coef"), "db_id", "left")
     pred = F.col("intercept")
     for i, c in enumerate(features):
         pred = pred + F.element_at("coef", i + 1) * F.col(c).cast("double")
     scored = j.select(*queries.columns, F.when(F.col("coef").isNotNull(), pred).alias("_pred"))
-    for db, where in trees:
-        part = PipelineModel.load(where).transform(joined.where(F.col("db_id") == db))
-        scored = scored.unionByName(part.select(*queries.columns, F.col("pred_log").alias("_pred")))
+    if models:      # one pass for all databases with trees
+        by_tree = predict_by_key(joined, features, queries.columns, "db_id", models)
+        scored = scored.unionByName(by_tree.select(*queries.columns, F.col("raw").alias("_pred")))
     has = F.col("_pred").isNotNull()
     secs = F.when(has, F.exp("_pred"))
     return scored.select(*queries.columns, secs.alias("predicted_runtime_s"), (secs * 1000).alias("predicted_ms"),

@@ -2,13 +2,12 @@
 
 import numpy as np
 import pytest
-from pyspark.ml.classification import RandomForestClassifier
-from pyspark.ml.regression import GBTRegressor, RandomForestRegressor
 from pyspark.sql import functions as F
 
 from querylens.operators import linear as li
 from querylens.operators import models as mo
 from querylens.operators import regression as rg
+from querylens.operators.trees import TreeSpec
 
 FEATURES = ["x0", "x1"]
 
@@ -17,9 +16,9 @@ FEATURES = ["x0", "x1"]
 def small_models():
     """The same operators with small forests."""
     keep_c, keep_t = dict(mo.CLASSIFIERS), dict(rg.TREE_MODELS)
-    mo.CLASSIFIERS["Random Forest"] = lambda n: RandomForestClassifier(numTrees=5, maxDepth=4, seed=1)
-    rg.TREE_MODELS.update({"RF": lambda: RandomForestRegressor(numTrees=3, maxDepth=5, seed=1),
-                           "GBM": lambda: GBTRegressor(maxIter=3, maxDepth=3, seed=1)})
+    mo.CLASSIFIERS["Random Forest"] = TreeSpec(forest=True, trees=5, depth=4, some=True, seed=1)
+    rg.TREE_MODELS.update({"RF": TreeSpec(forest=True, trees=3, depth=5, log=False, seed=1),
+                           "GBM": TreeSpec(forest=False, trees=3, depth=3, rate=0.1, log=False, seed=1)})
     yield ["Logistic Regression", "Random Forest"]
     mo.CLASSIFIERS.update(keep_c)
     rg.TREE_MODELS.update(keep_t)

@@ -20,6 +20,7 @@ Scoring is ordinary joins and aggregates over those phrases.
 
 from __future__ import annotations
 
+import re
 import zlib
 from collections import defaultdict
 
@@ -30,14 +31,15 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import as_text, map_arrow, materialise, shuffle_partitions
-from .words import string_bytes
+from .words import mix, string_bytes
 
 BURST = 2_048
 ENTRIES = 400_000
-WORDS_KNOWN = 200_000
+ID_BITS = 18
+WORDS_KNOWN = 180_000
 PARTITION_BYTES = 16 << 20
 FAN = 256
-STRETCH = 1 << 18
+STRETCH = 1 << 17
 MERGE_ROWS = 1_000_000
 MIN_COUNT, TOP, SCALE, COVER = 10, 2_000, 1_000_000, 50
 NO_LANG = "und"
@@ -45,71 +47,128 @@ SALTS = 64
 
 #: Fixed value: characters that end a piece; tabs and blanks end a word.
 ENDS = b".,;:!?\x0a\x0b\x0c\x0d"
-_PIECES = bytes.maketrans(ENDS, b"\n" * len(ENDS))
+_PIECES = bytes.maketrans(ENDS, b"," * len(ENDS))
+_AHEAD = re.compile(rb"[ \t]*[^ \t]+[ \t]+[^ \t]+")
+_BLANK = re.compile(rb"[ \t]")
 
 
 # ---- counting --------------------------------------------------------------
 
 class HatTrie:
-    """Counts of words and phrases of up to three word ids (from 1 on).
+    """Counts of words and phrases of up to three word ids (from 1 on, under
+    ``2 ** ID_BITS``).
 
-    ``leaf[a]`` is the container below first word ``a``: ``b << 32 | c`` -> count
-    (``c`` 0 for two words, 0 for the word itself).  After it burst, ``inner[a]``
-    holds a container per second word: ``c`` -> count."""
+    ``leaf[a]`` is the container below first word ``a``: ``b << ID_BITS | c`` ->
+    count (``c`` 0 for two words, 0 for the word itself).  After it burst,
+    ``inner[a]`` holds a container per second word: ``c`` -> count."""
 
     def __init__(self):
-        self.leaf: defaultdict[int, dict[int, int]] = defaultdict(dict)
-        self.inner: dict[int, defaultdict[int, dict[int, int]]] = {}
-        self.size: defaultdict[int, int] = defaultdict(int)     # entries below a burst word
-
-    def add(self, ids: list[int]) -> None:
-        """Count all words and all phrases of two and three words of a piece."""
-        leaf, inner = self.leaf, self.inner
-        for a, b, c in zip(ids, ids[1:] + [0], ids[2:] + [0, 0]):
-            box = leaf[a]
-            box[0] = box.get(0, 0) + 1
-            if not b:
+        self.leaf: dict[int, dict[int, int]] = {}
+        self.inner: dict[int, dict[int, dict[int, int]]] = {}
+        self.size: dict[int, int] = {}     # entries below a burst word
+        self.entries = 0
+
+    def add(self, a: np.ndarray, b: np.ndarray, c: np.ndarray) -> None:
+        """Count every word ``a`` with the words ``b`` and ``c`` behind it (0: none)."""
+        two = (a > 0) & (b > 0)
+        three = two & (c > 0)
+        a, b, c = a.astype(np.int64), b.astype(np.int64), c.astype(np.int64)
+        first, second = a << 2 * ID_BITS, b << ID_BITS
+        found, times = np.unique(np.concatenate([first[a > 0], (first | second)[two], (first | second | c)[three]]), return_counts=True)
+        heads, rest = found >> 2 * ID_BITS, (found & ((1 << 2 * ID_BITS) - 1)).tolist()
+        cuts = np.flatnonzero(np.diff(heads, prepend=-1))
+        times, leaf = times.tolist(), self.leaf
+        for word, i, j in zip(heads[cuts].tolist(), cuts.tolist(), [*cuts[1:].tolist(), len(rest)]):
+            box = leaf.get(word)
+            if box is None:
+                box = leaf[word] = dict(zip(rest[i:j], times[i:j]))
+                self.entries += j - i
+            elif word in self.inner:
+                self._add_deep(word, box, rest[i:j], times[i:j])
                 continue
-            if a in inner:
-                deep = inner[a][b]
-                before = len(deep)
-                deep[0] = deep.get(0, 0) + 1
-                if c:
-                    deep[c] = deep.get(c, 0) + 1
-                self.size[a] += len(deep) - before
-                continue
-            key = b << 32
-            box[key] = box.get(key, 0) + 1
-            if c:
-                key |= c
-                box[key] = box.get(key, 0) + 1
+            else:
+                before = len(box)
+                for key, n in zip(rest[i:j], times[i:j]):
+                    box[key] = box.get(key, 0) + n
+                self.entries += len(box) - before
             if len(box) > BURST:
-                self.burst(a)
+                self.burst(word)
 
-    def burst(self, a: int) -> None:
-        box = self.leaf[a]
-        below: defaultdict[int, dict[int, int]] = defaultdict(dict)
+    def _add_deep(self, word: int, box: dict, rest: list[int], times: list[int]) -> None:
+        below, new = self.inner[word], 0
+        for key, n in zip(rest, times):
+            if not key:
+                box[0] += n
+                continue
+            deep = below.setdefault(key >> ID_BITS, {})
+            before = len(deep)
+            key &= (1 << ID_BITS) - 1
+            deep[key] = deep.get(key, 0) + n
+            new += len(deep) - before
+        self.size[word] += new
+        self.entries += new
+
+    def burst(self, word: int) -> None:
+        box = self.leaf[word]
+        below = self.inner[word] = {}
         for key, n in box.items():
             if key:
-                below[key >> 32][key & 0xFFFFFFFF] = n
-        self.inner[a], self.size[a] = below, len(box) - 1
-        self.leaf[a] = {0: box[0]}
+                below.setdefault(key >> ID_BITS, {})[key & ((1 << ID_BITS) - 1)] = n
+        self.size[word] = len(box) - 1
+        self.leaf[word] = {0: box[0]}
+
+    def subtrees(self) -> tuple[np.ndarray, np.ndarray]:
+        """(first words, entries of their subtrees)."""
+        words = np.fromiter(self.leaf, np.int64, len(self.leaf))
+        sizes = np.fromiter(map(len, self.leaf.values()), np.int64, len(words))
+        if self.size:
+            deep = np.zeros(int(words.max()) + 1, np.int64)
+            deep[list(self.size)] = list(self.size.values())
+            sizes += deep[words]
+        return words, sizes
+
+    def take(self, words: list[int]) -> tuple[np.ndarray, ...]:
+        """Remove subtrees; returns (a, b, c, count) of their entries."""
+        rest, times, heads, sizes = [], [], [], []
+        for a in words:
+            box = self.leaf.pop(a)
+            rest.extend(box)
+            times.extend(box.values())
+            heads.append(a << 2 * ID_BITS)
+            sizes.append(len(box))
+            if self.size.pop(a, None) is not None:
+                for b, deep in self.inner.pop(a).items():
+                    rest.extend(deep)
+                    times.extend(deep.values())
+                    heads.append(a << 2 * ID_BITS | b << ID_BITS)
+                    sizes.append(len(deep))
+        self.entries -= len(rest)
+        key = np.array(rest, np.int64) | np.repeat(np.array(heads, np.int64), sizes)
+        low = (1 << ID_BITS) - 1
+        return key >> 2 * ID_BITS, key >> ID_BITS & low, key & low, np.array(times, np.int64)
+
+
+class _Ids(dict):
+    """Word -> id; ends of pieces are 0."""
 
-    def entries(self) -> int:
-        return sum(map(len, self.leaf.values())) + sum(self.size.values())
+    def __init__(self):
+        super().__init__({b",": 0})
+        self.words: list[bytes] = [b""]
+        self.hashes: list[int] = [0]
 
-    def subtrees(self) -> list[tuple[int, int]]:
-        """(entries, first word) of all subtrees."""
-        return [(len(box) + self.size.get(a, 0), a) for a, box in self.leaf.items()]
+    def __missing__(self, word: bytes) -> int:
+        i = self[word] = len(self.words)
+        self.words.append(word)
+        self.hashes.append(zlib.crc32(word))
+        return i
 
-    def take(self, a: int):
-        """Remove the subtree of a word; yields (b, c, count), 0 for no word."""
-        for key, n in self.leaf.pop(a).items():
-            yield key >> 32, key & 0xFFFFFFFF, n
-        self.size.pop(a, None)
-        for b, deep in self.inner.pop(a, {}).items():
-            for c, n in deep.items():
-                yield b, c, n
+
+def prefix_hash(lang: str, first: np.ndarray, second: np.ndarray) -> np.ndarray:
+    """Hash of a language and a phrase's first two words, given their CRC-32
+    (the second plus one; 0 for none)."""
+    with np.errstate(over="ignore"):
+        return mix(first.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) + second.astype(np.uint64) * np.uint64(0xC2B2AE3D27D4EB4F)
+                   + np.uint64(zlib.crc32(lang.encode())))
 
 
 class Counter:
@@ -117,76 +176,126 @@ class Counter:
 
     def __init__(self, partitions: int):
         self.partitions = partitions
+        self.waiting: defaultdict[str, list[bytes]] = defaultdict(list)
+        self.bytes: defaultdict[str, int] = defaultdict(int)
+        self.totals: defaultdict[str, int] = defaultdict(int)
         self.forget()
 
     def forget(self) -> None:
-        self.tries: dict[str, HatTrie] = {}
-        self.ids: dict[bytes, int] = {}
-        self.words: list[bytes] = [b""]
-
-    def count(self, lang: str, text: bytes) -> int:
-        """Count a text's phrases; returns its number of words."""
-        trie = self.tries.get(lang)
-        if trie is None:
-            trie = self.tries[lang] = HatTrie()
-        ids, words, total = self.ids, self.words, 0
-        for piece in text.lower().translate(_PIECES).split(b"\n"):
-            found = piece.split()
-            if not found:
-                continue
-            total += len(found)
-            numbers = []
-            for w in found:
-                i = ids.get(w)
-                if i is None:
-                    i = ids[w] = len(words)
-                    words.append(w)
-                numbers.append(i)
-            trie.add(numbers)
-        return total
+        self.tries: defaultdict[str, HatTrie] = defaultdict(HatTrie)
+        self.ids = _Ids()
+
+    def count(self, lang: str, text: bytes):
+        """Count a text's words and phrases; yields the runs this spills."""
+        if len(text) < STRETCH:
+            self.waiting[lang].append(text)
+            self.bytes[lang] += len(text) + 1
+            if self.bytes[lang] >= STRETCH:
+                yield from self.flush(lang)
+        else:
+            for part, ahead in stretches(text):
+                self._add(lang, part, ahead)
+                yield from self._full()
+
+    def flush(self, lang: str):
+        self._add(lang, b",".join(self.waiting.pop(lang, [])), b"")
+        self.bytes[lang] = 0
+        yield from self._full()
+
+    def finish(self):
+        """The runs of everything not spilled yet."""
+        for lang in list(self.waiting):
+            yield from self.flush(lang)
+        yield from self.spill(True)
+
+    def _add(self, lang: str, text: bytes, ahead: bytes) -> None:
+        found = words_of(text)
+        n = len(found)
+        found += words_of(ahead)
+        found += (b",", b",")
+        ids = np.fromiter(map(self.ids.__getitem__, found), np.int32, len(found))
+        self.totals[lang] += int(np.count_nonzero(ids[:n]))
+        self.tries[lang].add(ids[:n], ids[1:n + 1], ids[2:n + 2])
+
+    def _full(self):
+        if len(self.ids.words) > WORDS_KNOWN:
+            yield from self.spill(True)
+        elif sum(t.entries for t in self.tries.values()) > ENTRIES:
+            yield from self.spill()
 
     def spill(self, everything: bool = False):
         """Sorted runs (lang, partition, phrases, counts) of the largest
         subtrees, until half of ``ENTRIES`` is left; of all at the end, or when
         the word table is full."""
-        everything = everything or len(self.words) > WORDS_KNOWN
-        sizes = sorted(((n, lang, a) for lang, trie in self.tries.items() for n, a in trie.subtrees()), reverse=True)
-        held = sum(n for n, _, _ in sizes)
-        chosen: dict[str, list[int]] = {}
-        for n, lang, a in sizes:
-            if not everything and held <= ENTRIES // 2:
-                break
-            chosen.setdefault(lang, []).append(a)
-            held -= n
-        for lang, some in chosen.items():
-            yield from self._runs(lang, self.tries[lang], some)
+        langs = [lang for lang, trie in self.tries.items() if trie.leaf]
+        trees = [self.tries[lang].subtrees() for lang in langs]
+        if langs:
+            sizes = np.concatenate([s for _, s in trees])
+            least = 0
+            if not everything:
+                down = np.sort(sizes)[::-1]
+                left = int(sizes.sum()) - np.cumsum(down)
+                least = int(down[min(np.searchsorted(-left, -(ENTRIES // 2)), len(down) - 1)])
+            words = pa.array(self.ids.words, pa.large_binary())
+            hashes = np.array(self.ids.hashes, np.uint64)
+            for lang, (heads, own) in zip(langs, trees):
+                some = heads[own >= least].tolist()
+                if some:
+                    yield from self._runs(lang, words, hashes, *self.tries[lang].take(some))
         if everything:
             self.forget()
 
-    def _runs(self, lang: str, trie: HatTrie, some: list[int]):
-        words, parts = self.words, self.partitions
-        runs: defaultdict[int, list[tuple[bytes, int]]] = defaultdict(list)
-        of_lang = zlib.crc32(lang.encode())
-        for a in some:
-            first = words[a]
-            place: dict[int, tuple[bytes, list]] = {}
-            for b, c, n in trie.take(a):
-                spot = place.get(b)
-                if spot is None:
-                    prefix = first + b" " + words[b] if b else first
-                    spot = place[b] = (prefix, runs[zlib.crc32(prefix, of_lang) % parts])
-                spot[1].append((spot[0] + b" " + words[c] if c else spot[0], n))
-        for part, run in runs.items():
-            run.sort()
-            yield lang, part, [p for p, _ in run], [n for _, n in run]
+    def _runs(self, lang: str, words: pa.Array, hashes: np.ndarray, a, b, c, times):
+        part = (prefix_hash(lang, hashes[a], np.where(b > 0, hashes[b] + np.uint64(1), np.uint64(0))) % np.uint64(self.partitions)).astype(np.int64)
+        order = np.argsort(part, kind="stable")
+        a, b, c, times, part = a[order], b[order], c[order], times[order], part[order]
+        cuts = np.flatnonzero(np.diff(part, prepend=-1)).tolist()
+        for i, j in zip(cuts, [*cuts[1:], len(part)]):
+            phrases = _phrases(words, a[i:j], b[i:j], c[i:j])
+            order = pc.sort_indices(phrases)
+            yield lang, int(part[i]), phrases.take(order), times[i:j][order.to_numpy()]
+
+
+def words_of(text: bytes) -> list[bytes]:
+    """Words of a text; an end of a piece is a word of its own."""
+    return text.lower().translate(_PIECES).replace(b",", b" , ").split()
+
+
+def _phrases(words: pa.Array, a: np.ndarray, b: np.ndarray, c: np.ndarray) -> pa.Array:
+    """The phrases of one to three words as one array (in no order)."""
+    parts, places = [], []
+    for use, ids in ((b == 0, (a,)), ((b > 0) & (c == 0), (a, b)), (c > 0, (a, b, c))):
+        at = np.flatnonzero(use)
+        if len(at):
+            cols = [words.take(pa.array(x[at])) for x in ids]
+            parts.append(cols[0] if len(cols) == 1 else pc.binary_join_element_wise(*cols, pa.scalar(b" ", pa.large_binary())))
+            places.append(at)
+    back = np.empty(len(a), np.int64)
+    back[np.concatenate(places)] = np.arange(len(a))
+    return pa.concat_arrays(parts).take(pa.array(back))
+
+
+def stretches(text: bytes):
+    """Parts of a long text of about ``STRETCH`` bytes, cut between words, each
+    with the words that follow it (two, or up to the end of the text): phrases
+    that start in a part may end there."""
+    at = 0
+    while at < len(text):
+        blank = _BLANK.search(text, at + STRETCH) if at + STRETCH < len(text) else None
+        end = blank.start() if blank else len(text)
+        ahead = _AHEAD.match(text, end)
+        yield text[at:end], (ahead.group() if ahead else text[end:])
+        at = end
 
 
 _RUNS = "lang string, part int, total long, words binary, lengths binary, counts binary"
 
 
-def _packed_run(phrases: list[bytes], counts: list[int]) -> tuple[bytes, bytes, bytes]:
-    lengths = np.fromiter(map(len, phrases), np.int64, len(phrases))
-    shape = [b"".join(phrases), lengths.astype("<u4").tobytes(), np.array(counts, "<i8").tobytes()]
+def _packed_run(phrases: pa.Array, counts: np.ndarray) -> tuple[bytes, bytes, bytes]:
+    """A run as three compressed columns: bytes, lengths, counts."""
+    _, offsets, data = phrases.buffers()
+    at = np.frombuffer(offsets, np.int64, len(phrases) + 1, 8 * phrases.offset)
+    shape = [data.to_pybytes()[at[0]:at[-1]] if data else b"", np.diff(at).astype("<u4").tobytes(), counts.astype("<i8").tobytes()]
     return tuple(pa.compress(x, "zstd", asbytes=True) + len(x).to_bytes(8, "little") for x in shape)
 
 
@@ -218,56 +327,28 @@ def merged(runs: list[tuple[pa.Array, np.ndarray]]) -> tuple[pa.Array, np.ndarra
 
 
 def _count_runs(docs: DataFrame, partitions: int) -> DataFrame:
+    kinds = (pa.string(), pa.int32(), pa.int64(), pa.binary(), pa.binary(), pa.binary())
+
+    def batch(rows):
+        return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), kinds)], names=["lang", "part", "total", "words", "lengths", "counts"])
+
     def run(batches):
         counter = Counter(partitions)
-        rows: list[tuple] = []
-        totals: defaultdict[str, int] = defaultdict(int)
-
-        def out(last: bool = False):
-            nonlocal rows
-            if last:
-                rows += [(lang, -1, n, None, None, None) for lang, n in totals.items()]
-            if rows:
-                cols = list(zip(*rows))
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(c, t) for c, t in zip(cols, (pa.string(), pa.int32(), pa.int64(), pa.binary(), pa.binary(), pa.binary()))],
-                    names=["lang", "part", "total", "words", "lengths", "counts"])
-                rows = []
-
-        seen = 0
-        for batch in batches:
-            data, offs = string_bytes(batch.column(1))
-            blob = data.tobytes()
-            for lang, a, b in zip(batch.column(0).to_pylist(), offs[:-1].tolist(), offs[1:].tolist()):
-                # a long text is cut at ends of pieces, which no phrase crosses
-                for piece in _stretches(blob, a, b):
-                    n = counter.count(lang, piece)
-                    totals[lang] += n
-                    seen += n
-                    if seen > ENTRIES // 4:
-                        seen = 0
-                        if sum(t.entries() for t in counter.tries.values()) > ENTRIES or len(counter.words) > WORDS_KNOWN:
-                            rows += [(x, part, None, *_packed_run(p, c)) for x, part, p, c in counter.spill()]
-                            yield from out()
-        rows += [(x, part, None, *_packed_run(p, c)) for x, part, p, c in counter.spill(True)]
-        yield from out(True)
+        for some in batches:
+            data, offs = string_bytes(some.column(1))
+            blob = memoryview(data)
+            for lang, a, b in zip(some.column(0).to_pylist(), offs[:-1].tolist(), offs[1:].tolist()):
+                rows = [(x, part, None, *_packed_run(p, n)) for x, part, p, n in counter.count(lang, bytes(blob[a:b]))]
+                if rows:
+                    yield batch(rows)
+        rows = [(x, part, None, *_packed_run(p, n)) for x, part, p, n in counter.finish()]
+        rows += [(lang, -1, n, None, None, None) for lang, n in counter.totals.items()]
+        if rows:
+            yield batch(rows)
 
     return map_arrow(docs, run, _RUNS)
 
 
-def _stretches(blob: bytes, a: int, b: int):
-    """Parts of ``blob[a:b]`` of about ``STRETCH`` bytes that end behind an end of a
-    piece; a longer piece is whole."""
-    while b - a > STRETCH:
-        cut = a + STRETCH
-        while cut < b and blob[cut] not in ENDS:
-            cut += 1
-        yield blob[a:cut]
-        a = cut
-    if a < b:
-        yield blob[a:b]
-
-
 def phrase_counts(docs: DataFrame, text: str = "text", lang: str = "lang", min_count: int = MIN_COUNT) -> tuple[DataFrame, DataFrame]:
     """(``lang, phrase, words, f`` for all phrases of one to three words with
     at least ``min_count`` occurrences; ``lang, n``, all word occurrences).
@@ -332,14 +413,15 @@ def _cut_again(runs: DataFrame, parts: int, fan: int, pieces: int) -> DataFrame:
     """Runs of ``parts`` partitions merged in pieces and cut into ``fan`` each."""
     def run(batches):
         for part, lang, phrases, counts in _merged_groups(batches):
-            of_lang = zlib.crc32(lang.encode())
-            texts = phrases.to_pylist()
-            spot = np.fromiter((zlib.crc32(b" ".join(p.split(b" ", 2)[:2]), of_lang) // parts % fan for p in texts), np.int64, len(texts))
+            heads = [p.split(b" ", 2)[:2] for p in phrases.to_pylist()]
+            first = np.fromiter((zlib.crc32(h[0]) for h in heads), np.uint64, len(heads))
+            second = np.fromiter((zlib.crc32(h[1]) + 1 if len(h) > 1 else 0 for h in heads), np.uint64, len(heads))
+            spot = (prefix_hash(lang, first, second) // np.uint64(parts) % np.uint64(fan)).astype(np.int64)
             order = np.argsort(spot, kind="stable")
             cuts = np.flatnonzero(np.diff(spot[order], prepend=-1)).tolist()
             for a, b in zip(cuts, [*cuts[1:], len(order)]):
                 own = order[a:b]
-                packed = _packed_run([texts[i] for i in own], counts[own].tolist())
+                packed = _packed_run(phrases.take(pa.array(own)), counts[own])
                 yield pa.RecordBatch.from_arrays(
                     [pa.array([lang], pa.string()), pa.array([part + parts * int(spot[own[0]])], pa.int32()), *(pa.array([x], pa.binary()) for x in packed)],
                     names=["lang", "part", "words", "lengths", "counts"])

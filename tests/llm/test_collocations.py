@@ -2,6 +2,7 @@ import random
 import re
 from collections import Counter
 
+import numpy as np
 import pyarrow as pa
 import pytest
 
@@ -70,12 +71,18 @@ def test_equals_brute_force(table, monkeypatch, partition, fan):
 
 
 def test_long_texts_in_stretches(monkeypatch):
-    monkeypatch.setattr(co, "STRETCH", 50)
+    """Phrases across the cuts are counted once."""
     rnd = random.Random(4)
-    blob = "".join(rnd.choice(["a", "b ", " ", "c. ", "d\n", "é"]) for _ in range(3_000)).encode()
-    parts = list(co._stretches(blob, 7, len(blob) - 5))
-    assert b"".join(parts) == blob[7:-5] and len(parts) > 10
-    assert all(p[:1] in [bytes([c]) for c in co.ENDS] for p in parts[1:])
+    text = "".join(rnd.choice(["a", "b ", " ", "c. ", "d\n", "é ", "\t", "x" * 90]) for _ in range(3_000))
+    want = counted([("en", text)])
+    for stretch in (1, 50, 1_000):
+        monkeypatch.setattr(co, "STRETCH", stretch)
+        assert b"".join(p for p, _ in co.stretches(text.encode())) == text.encode()
+        counter, total = co.Counter(3), Counter()
+        for some in (counter.count("en", text.encode()), counter.finish()):
+            for _, _, phrases, counts in some:
+                total.update(dict(zip((("en", p.decode()) for p in phrases.to_pylist()), counts.tolist())))
+        assert total == want[0] and dict(counter.totals) == dict(want[1])
 
 
 def test_runs_merged_in_pieces(monkeypatch):
@@ -85,7 +92,7 @@ def test_runs_merged_in_pieces(monkeypatch):
     for key in range(4):
         for _ in range(rnd.randrange(1, 12)):
             run = Counter(rnd.choices([b"a", b"a b", b"c", b"d e f"], k=5))
-            rows.append((key, key, "en", *co._packed_run(sorted(run), [run[p] for p in sorted(run)])))
+            rows.append((key, key, "en", *co._packed_run(pa.array(sorted(run), pa.large_binary()), np.array([run[p] for p in sorted(run)]))))
             want.update({(key, p): n for p, n in run.items()})
     types = (pa.int64(), pa.int32(), pa.string(), pa.binary(), pa.binary(), pa.binary())
     batches = [pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows[i:i + 4]), types)],
@@ -99,26 +106,27 @@ def test_empty_tables(table):
     assert got(co.collocations(df.limit(0))) == [] and got(co.collocations(df)) == []
 
 
-def test_spilled_runs_add_up(monkeypatch):
-    monkeypatch.setattr(co, "ENTRIES", 40)
-    monkeypatch.setattr(co, "BURST", 4)
+@pytest.mark.parametrize("entries,burst,known", [(40, 4, 10_000), (400_000, 2, 10_000), (40, 1_000, 20), (400_000, 2_048, 180_000)])
+def test_spilled_runs_add_up(monkeypatch, entries, burst, known):
+    for name, value in (("ENTRIES", entries), ("BURST", burst), ("WORDS_KNOWN", known), ("STRETCH", 100)):
+        monkeypatch.setattr(co, name, value)
     rnd = random.Random(2)
-    rows = [("en", " ".join(rnd.choice("abcdefg") for _ in range(30))) for _ in range(30)]
-    counter, total = co.Counter(4), Counter()
-    spills = 0
-    for i, (lang, text) in enumerate(rows):
-        counter.count(lang, text.encode())
-        for _, part, phrases, counts in counter.spill(i == len(rows) - 1):
-            assert phrases == sorted(set(phrases))
-            total.update(dict(zip([(lang, p.decode()) for p in phrases], counts)))
+    rows = [(rnd.choice(["en", "de"]), " ".join(rnd.choice("abcdefg") + rnd.choice(["", "", str(rnd.randrange(20))]) for _ in range(30))) for _ in range(60)]
+    counter, total, spills = co.Counter(4), Counter(), 0
+    for lang, text in rows:
+        for lg, part, phrases, counts in counter.count(lang, text.encode()):
+            assert phrases.to_pylist() == sorted(set(phrases.to_pylist()))
+            total.update(dict(zip(((lg, p.decode()) for p in phrases.to_pylist()), counts.tolist())))
             spills += 1
-        if i < len(rows) - 1:
-            assert counter.tries["en"].entries() <= 20 or not spills
-    assert total == counted(rows)[0] and spills > 10
+        assert sum(t.entries for t in counter.tries.values()) <= entries
+    for lg, _, phrases, counts in counter.finish():
+        total.update(dict(zip(((lg, p.decode()) for p in phrases.to_pylist()), counts.tolist())))
+    want = counted(rows)
+    assert total == want[0] and dict(counter.totals) == dict(want[1]) and (spills > 3) == (entries == 40)
 
 
 def test_merged():
-    run = lambda d: (pa.array([k for k, _ in sorted(d.items())], pa.large_binary()), __import__("numpy").array([v for _, v in sorted(d.items())]))
+    run = lambda d: (pa.array([k for k, _ in sorted(d.items())], pa.large_binary()), np.array([v for _, v in sorted(d.items())]))
     a, b, c = {b"a": 1, b"b c": 2}, {b"b": 5, b"b c": 7, "é".encode(): 1}, {b"a": 3}
     phrases, counts = co.merged([run(a), run(b), run(c)])
     assert dict(zip(phrases.to_pylist(), counts.tolist())) == {b"a": 4, b"b": 5, b"b c": 9, "é".encode(): 1}

@@ -35,7 +35,8 @@ from .common import as_text, map_arrow, materialise
 from .words import Windows, Words, chunks, signed, sliding_min, window_starts
 
 CLASS = ["h1", "h2"]
-SURVIVORS = 8000       # classes per file and task at the levels above the first
+SURVIVORS = 8000       # classes and compressed bytes per file and task at the levels above the first
+SURVIVOR_BYTES = 32 << 20
 
 
 def hashed(docs: DataFrame, text: str = "text") -> DataFrame:
@@ -184,7 +185,7 @@ def extend(texts: DataFrame, keyed: DataFrame, window: int, parts: int | None =
               .where("a < b").select("m"))
     alive = (anchors.join(shared, "m").groupBy("h1", "h2", F.col("doc_id").alias("rep"))
              .agg(F.collect_list("m").alias("keys")))
-    some = texts.join(alive, CLASS).where("doc_id = rep").drop("rep")
+    some = texts.join(alive, CLASS).where("doc_id = rep").drop("rep").withColumn("size", F.octet_length("z"))
     if parts is None:      # the next level reads these instead of all texts
         some = materialise(some, "repeat-texts")
     runs = materialise(_runs(some, window), "repeat-runs", parts)
@@ -211,7 +212,7 @@ def extend(texts: DataFrame, keyed: DataFrame, window: int, parts: int | None =
         F.when(F.col("most") == F.col("least"), F.coalesce("any", none)).alias("shared"))
     spans = (whole.union(first.where("shared is null or size(shared) > 0"))
              .groupBy(*CLASS).agg(F.collect_list(F.struct("start", "windows", "repeats", "shared")).alias("spans")))
-    return some.select("doc_id", "h1", "h2", "z"), materialise(spans, f"repeats-{window}", parts)
+    return some.select("doc_id", "h1", "h2", "z", "size"), materialise(spans, f"repeats-{window}", parts)
 
 
 def _classes(texts: DataFrame, window: int, parts: int | None = None) -> DataFrame:
@@ -289,11 +290,13 @@ def substring_dedup(docs: DataFrame, window: int = 50, text: str = "text") -> Da
         # a window of twice the length needs more than `length` starts in a row
         starts = F.aggregate("spans", F.lit(0), lambda n, s: n + s["windows"])
         survivors = level.where(starts > length)
-        parts = 1 + survivors.count() // SURVIVORS
-        some = materialise(some.join(survivors, CLASS), "repeat-survivors", parts)
+        # the texts are read with the parallelism of their files; what is left is brought together behind an exchange
+        n, size = some.select(*CLASS, "size").join(survivors.select(*CLASS), CLASS).agg(F.count(F.lit(1)), F.sum("size")).first()
+        parts = 1 + max(n // SURVIVORS, (size or 0) // SURVIVOR_BYTES)
+        some = materialise(some.drop("size").join(survivors, CLASS).repartition(parts), "repeat-survivors")
         length *= 2
         _, level = extend(some, _classes(some, length, parts), length, parts)
-        some = some.drop("spans")
+        some = some.select("doc_id", "h1", "h2", "z", F.octet_length("z").alias("size"))
     found = spans.withColumn("longest", F.lit(None).cast("long"))
     if reached:
         every = reached[0]

@@ -19,8 +19,8 @@ speculative attempts are in nobody's index.  The index is a Parquet table of
 its own (``part, file, offset, length, doc_id, n_tokens, start``), from which
 records are read in file order or in any shuffled order.
 
-Texts are encoded with the ``tokenizers`` library.  The split pattern never
-crosses from other characters into white space, so a text is a sequence of
+Texts are encoded with the ``tokenizers`` library's byte-level BPE model.  The
+split pattern never crosses from other characters into white space, so a text is a sequence of
 units (white space, then the characters up to the next white space) that
 encode on their own; every distinct unit passes the library once per worker
 (``UNITS`` of them are kept, a cache only).
@@ -28,7 +28,6 @@ encode on their own; every distinct unit passes the library once per worker
 
 from __future__ import annotations
 
-import itertools
 import os
 import re
 import uuid
@@ -37,11 +36,12 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import regex
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .bpe import spread, text_runs
+from .bpe import SPLIT_PATTERN, printable_bytes, spread, text_runs
 from .common import as_text, map_arrow, materialise, shuffle_partitions
 from ..session import ensure_checkpoint_dir
 
@@ -138,7 +138,6 @@ def masked(crc: np.ndarray) -> np.ndarray:
 WHITE = "\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
 _UNIT = re.compile(f"[{WHITE}]*[^{WHITE}]+|[{WHITE}]+")
 _ODD = re.compile(f"[{WHITE}] | [{WHITE}]")
-_ENDS_WHITE = re.compile(f"[{WHITE}]$")
 
 
 #: Characters that the split pattern separates from a letter in front of them.
@@ -177,12 +176,10 @@ class UnitEncoder:
         self.library.no_padding()
         self.library.no_truncation()
         self.size = self.library.get_vocab_size(with_added_tokens=True)
-        # a vocabulary character stands for one byte; an added token for its own text
-        self.token_bytes = np.zeros(1 + max(self.library.get_vocab().values()), np.int64)
-        for token, i in self.library.get_vocab().items():
-            self.token_bytes[i] = len(token)
-        for i, token in self.library.get_added_tokens_decoder().items():
-            self.token_bytes[i] = len(token.content.encode())
+        self.tokenize = self.library.model.tokenize
+        self.special = [t.content for t in self.library.get_added_tokens_decoder().values()]
+        self.split = regex.compile(SPLIT_PATTERN).findall
+        self.as_char = {b: c for c, b in printable_bytes().items()}
         self.forget()
 
     def forget(self) -> None:
@@ -204,28 +201,22 @@ class UnitEncoder:
         return out if head else out[1:]
 
     def _encode(self, units: list[str]) -> tuple[np.ndarray, np.ndarray]:
-        """(ids one after another, ids per unit).  Units that begin with a blank
-        and end otherwise follow each other in one text: the library splits it
-        in front of every blank, and the bytes of its tokens say where."""
-        plain = np.fromiter((len(u) > 1 and u[0] == " " and not _ENDS_WHITE.search(u) for u in units), bool, len(units))
-        alone = [units[i] for i in np.flatnonzero(~plain)]
-        joined = "".join(itertools.compress(units, plain))
-        *single, run = self.library.encode_batch([*alone, joined], add_special_tokens=False)
-        run = np.array(run.ids, np.int64)
-        ends = np.cumsum(self.token_bytes[run])
-        wanted = np.cumsum(np.fromiter((len(u.encode()) for u in itertools.compress(units, plain)), np.int64, int(plain.sum())))
-        cut = np.searchsorted(ends, wanted, "right")
-        if len(wanted) and not np.array_equal(ends[cut - 1], wanted):
-            raise ValueError("the vocabulary does not split texts in front of white space")
+        """(ids one after another, ids per unit).  The pieces of a unit go
+        straight to the library's model; its pipeline for whole texts also
+        aligns every character, which takes most of its time.  A unit with a
+        special token passes the pipeline."""
+        ids: list[int] = []
         count = np.zeros(len(units), np.int64)
-        count[plain] = np.diff(np.concatenate([[0], cut]))
-        own = [e.ids for e in single]
-        count[~plain] = np.fromiter(map(len, own), np.int64, len(own))
-        ids = np.zeros(int(count.sum()), np.int32)
-        from_run = np.repeat(plain, count)
-        ids[from_run] = run
-        ids[~from_run] = np.fromiter(itertools.chain.from_iterable(own), np.int32, int((~from_run).sum()))
-        return ids, count
+        split, tokenize, as_char, before = self.split, self.tokenize, self.as_char, 0
+        for i, unit in enumerate(units):
+            if any(s in unit for s in self.special):
+                ids += self.library.encode(unit, add_special_tokens=False).ids
+            else:
+                for piece in split(unit):
+                    ids += [t.id for t in tokenize(piece.encode().decode("latin-1").translate(as_char))]
+            count[i] = len(ids) - before
+            before = len(ids)
+        return np.array(ids, np.int32), count
 
     def _store(self, number: np.ndarray, ids: np.ndarray, count: np.ndarray) -> None:
         n, m = self.known, self.used + len(ids)

@@ -137,7 +137,7 @@ def masked(crc: np.ndarray) -> np.ndarray:
 #: Fixed value: the characters with the Unicode property White_Space.
 WHITE = "\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
 _UNIT = re.compile(f"[{WHITE}]*[^{WHITE}]+|[{WHITE}]+")
-_ODD = re.compile(f"[{WHITE}] | [{WHITE}]")
+_WHITE = frozenset(["", *re.findall(f"[{WHITE}]", "".join(map(chr, range(0x3001))))])      # and the empty text
 
 
 #: Characters that the split pattern separates from a letter in front of them.
@@ -153,6 +153,9 @@ class _Numbers(dict):
 
     def __missing__(self, unit: str) -> int:
         e = self.encoder
+        if self.lead and (unit[:1] in _WHITE or unit[-1:] in _WHITE):
+            e.odd = True                     # white space next to the blank: the text has other units
+            return -1
         parts = None
         if unit[-1:] in MARKS and unit[-2:-1].isalpha():
             parts = self[unit[:-1]], e.whole[unit[-1]]
@@ -191,14 +194,17 @@ class UnitEncoder:
     def _numbers(self, text: str) -> np.ndarray:
         if not text:
             return np.zeros(0, np.int64)
-        if _ODD.search(text):
-            units = _UNIT.findall(text)
-            return np.fromiter(map(self.whole.__getitem__, units), np.int64, len(units))
         head, *rest = text.split(" ")
-        out = np.empty(len(rest) + 1, np.int64)
-        out[0] = self.whole[head] if head else -1
-        out[1:] = np.fromiter(map(self.spaced.__getitem__, rest), np.int64, len(rest))
-        return out if head else out[1:]
+        if rest and head[-1:] not in _WHITE and rest[-1][:1] not in _WHITE:
+            self.odd = False
+            *inner, last = rest
+            out = np.empty(len(rest) + 1, np.int64)
+            out[1:-1] = np.fromiter(map(self.spaced.__getitem__, inner), np.int64, len(inner))
+            if not self.odd:
+                out[0], out[-1] = self.whole[head], self.whole[" " + last]
+                return out
+        units = _UNIT.findall(text)
+        return np.fromiter(map(self.whole.__getitem__, units), np.int64, len(units))
 
     def _encode(self, units: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """(ids one after another, ids per unit).  The pieces of a unit go

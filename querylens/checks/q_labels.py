@@ -108,3 +108,20 @@ register("l11_tier_label", with_ctes(
           CASE WHEN p.db_id IS NOT NULL THEN 'per_db' ELSE 'global' END AS threshold_source
         FROM query_log l CROSS JOIN g LEFT JOIN (SELECT * FROM p WHERE n >= 20) p ON l.db_id = p.db_id""",
     "query_log", extra=[("g", _GLOB_TH), ("p", _PERDB_TH)]))(_l11)
+
+
+# Cut-offs taken from the log itself, kept where they make tiers
+def _l8(spark, sf):
+    """Which databases' quantiles give valid tiers, cut-offs as shares of the
+    largest runtime (equal or out-of-range cut-offs make none)."""
+    log = fx.query_log(spark, sf)
+    top = log.groupBy("db_id").agg(F.max("runtime_s").alias("top"))
+    q = lb.quantile_table(log, "runtime_s", [0.2, 0.4, 0.6, 0.8], ["db_id"]).join(top, "db_id")
+    shares = F.transform("quantiles", lambda x: x / F.col("top"))
+    return q.select("db_id", lb.valid_cutoffs(shares, F.lit(5)).alias("valid"), lb.valid_cutoffs(shares, F.lit(4)).alias("valid_four_labels"))
+
+
+_EDGES = [f"quantile_cont(runtime_s, {q}) / max(runtime_s)" for q in (0.2, 0.4, 0.6, 0.8)]
+_RISE = " AND ".join(f"{a} < {b}" for a, b in zip(["0", *_EDGES], [*_EDGES, "1"]))
+register("l8_valid_cutoffs", with_ctes(
+    f"SELECT db_id, {_RISE} AS valid, false AS valid_four_labels FROM query_log GROUP BY db_id", "query_log"))(_l8)

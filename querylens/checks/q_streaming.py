@@ -34,19 +34,31 @@ register("st1_stream_ingest", with_ctes(
 
 def _st2(spark, sf):
     state = hs.run_to_table(hs.running_moments(_source(spark, sf)), "moments", output_mode="update", key=["database"])
-    m = hs.metrics_from_moments(state)
-    return m.select("database", "n", r6("r2").alias("r2"), r6("r2_log").alias("r2_log"), r6("mae_ms").alias("mae_ms"))
-
-
+    whole = hs.counts_from_moments(state)
+    per = state.select("database", "total", "errors", F.col("n").alias("valid"), "trainable").join(hs.databases_from_moments(state), "database")
+    both = per.join(hs.metrics_from_moments(state), "database", "left")
+    return both.select(
+        "database", "total", "errors", "valid", "trainable", "queries", r6("avg_actual_ms").alias("avg_actual_ms"),
+        r6("avg_predicted_ms").alias("avg_predicted_ms"), r6("r2").alias("r2"), r6("r2_log").alias("r2_log"), r6("mae_ms").alias("mae_ms"),
+        *[whole.select(c).scalar().alias(f"all_{c}") for c in ("total", "errors", "valid", "trainable")])
+
+
+_VALID = "had_error = 0 AND runtime_s IS NOT NULL AND predicted_runtime_s IS NOT NULL"
+_COUNTS = (f"count(*)::BIGINT AS total, count(*) FILTER (WHERE had_error <> 0)::BIGINT AS errors, count(*) FILTER (WHERE {_VALID})::BIGINT AS valid, "
+           "count(*) FILTER (WHERE had_error = 0 AND runtime_s IS NOT NULL)::BIGINT AS trainable")
 register("st2_running_history_metrics", with_ctes(
-    "SELECT database, count(*)::BIGINT AS n, "
-    + d6("CASE WHEN count(*) >= 2 AND var_pop(y) > 0 THEN 1 - sum((y - p) * (y - p)) / (var_pop(y) * count(*)) END") + " AS r2, "
-    + d6("CASE WHEN count(*) >= 2 AND var_pop(ly) > 0 THEN 1 - sum((ly - lp) * (ly - lp)) / (var_pop(ly) * count(*)) END") + " AS r2_log, "
-    + d6("CASE WHEN count(*) >= 2 THEN avg(abs(y - p)) * 1000 END") + " AS mae_ms "
-    + """FROM (SELECT database, runtime_s AS y, predicted_runtime_s AS p, ln(1 + runtime_s) AS ly,
-              ln(1 + greatest(predicted_runtime_s, 0)) AS lp FROM history
-              WHERE had_error = 0 AND runtime_s IS NOT NULL AND predicted_runtime_s IS NOT NULL) GROUP BY database""",
-    "history"))(_st2)
+    f"""SELECT c.*, {d6('c.mean_y * 1000')} AS avg_actual_ms, {d6('c.mean_p * 1000')} AS avg_predicted_ms, m.r2, m.r2_log, m.mae_ms,
+          w.total AS all_total, w.errors AS all_errors, w.valid AS all_valid, w.trainable AS all_trainable
+        FROM c LEFT JOIN m ON m.database = c.database CROSS JOIN w""".replace("c.*", "c.database, c.total, c.errors, c.valid, c.trainable, c.queries"),
+    "history", extra=[
+        ("c", f"SELECT database, {_COUNTS}, count(id)::BIGINT AS queries, avg(runtime_s) AS mean_y, avg(predicted_runtime_s) AS mean_p FROM history GROUP BY database"),
+        ("w", f"SELECT {_COUNTS} FROM history"),
+        ("m", "SELECT database, "
+         + d6("CASE WHEN count(*) >= 2 AND var_pop(y) > 0 THEN 1 - sum((y - p) * (y - p)) / (var_pop(y) * count(*)) END") + " AS r2, "
+         + d6("CASE WHEN count(*) >= 2 AND var_pop(ly) > 0 THEN 1 - sum((ly - lp) * (ly - lp)) / (var_pop(ly) * count(*)) END") + " AS r2_log, "
+         + d6("CASE WHEN count(*) >= 2 THEN avg(abs(y - p)) * 1000 END") + f""" AS mae_ms
+         FROM (SELECT database, runtime_s AS y, predicted_runtime_s AS p, ln(1 + runtime_s) AS ly,
+               ln(1 + greatest(predicted_runtime_s, 0)) AS lp FROM history WHERE {_VALID}) GROUP BY database""")]))(_st2)
 
 
 def _st3(spark, sf):

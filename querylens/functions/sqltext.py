@@ -46,6 +46,7 @@ def strip_sql(sql) -> Column:
     return F.regexp_replace(s, r";+\z", "")
 
 
+# The dialect rewrites of Q2.
 def normalize_dialect(sql) -> Column:
     """Q2: MySQL-flavoured text to SQLite-flavoured text; non-strings become ''."""
     s = F.coalesce(_c(sql).cast("string"), F.lit(""))

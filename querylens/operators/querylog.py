@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 from ..functions.sqltext import query_key
 
 
+# The words of the error categories.
 def categorize_error(msg) -> Column:
     """Q5: timeout / missing object / syntax error / other (first match wins)."""
     m = F.lower(F.col(msg) if isinstance(msg, str) else msg)

@@ -7,8 +7,9 @@ Input tables (flat; Spark schemas cannot be recursive):
 * ``tables(table_name, table_pos, row_count)`` -- catalog of the database
 * ``columns(table_name, col_name)`` and ``indexes(table_name, index_name, index_sql)``
 
-Node-to-table matching is an equi-join on word tokens of the node text
-(no nested-loop join); reachability below the synthetic ROOT is computed on
+Names of the catalog are found in node and SQL texts by an automaton over all
+names at once (:mod:`.names`), a text at a time within the rows' own tasks, so
+no text is ever the key of a shuffle; reachability below the synthetic ROOT is computed on
 the nodes of a plan held together as one array, by pointer doubling over a
 whole Arrow batch of plans, without a recursion or its limits; the tree mean
 is 23 summed columns per query.  Every step is keyed by query id, so the work
@@ -22,6 +23,8 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions.sqltext import count_substr
+from ..session import ship
+from .names import Names, where_text
 
 # One-hot vocabularies (order matters).
 OPERATOR_TYPES = ["ROOT", "SCAN", "SEARCH", "SORT", "USE_TEMP", "COMPOUND", "SUBQUERY", "COROUTINE", "LIST", "OTHER"]
@@ -72,23 +75,25 @@ def where_part(u: Column, stops) -> Column:
 
 def table_of_node(nodes: DataFrame, tables: DataFrame) -> DataFrame:
     """First catalog table (by position) named as a whole word in the
-    node text, case-insensitively.  Matching runs once per distinct node
-    text (plan texts repeat across queries): its word tokens are exploded
-    and equi-joined with lower-cased table names; names that are not one
-    word (blanks, hyphens) go through a whole-word pattern per name, a join
-    with as many rows as the catalog has such names.  The text -> table map
-    is joined back."""
-    texts = nodes.select("detail").distinct()
-    toks = texts.select("detail", F.explode(F.array_distinct(
-        F.regexp_extract_all(F.lower("detail"), F.lit(r"\w+"), 0))).alias("_tok"))
-    named = tables.select(F.lower("table_name").alias("_tok"), "table_name", "table_pos")
-    one_word = F.rlike(F.col("_tok"), F.lit(r"^\w+$"))
-    hit = toks.join(named.where(one_word), "_tok").select("detail", "table_name", "table_pos")
-    pattern = F.concat(F.lit(r"(?i)(?<!\w)\Q"), F.col("table_name"), F.lit(r"\E(?!\w)"))
-    odd = (texts.join(named.where(~one_word), F.contains(F.lower("detail"), F.col("_tok")))
-           .where(F.rlike(F.col("detail"), pattern)).select("detail", "table_name", "table_pos"))
-    first = hit.union(odd).groupBy("detail").agg(F.min_by("table_name", "table_pos").alias("table_name"))
-    return nodes.join(first, "detail", "left")
+    node text, case-insensitively.  The rows stay where they are: every Arrow
+    batch matches its distinct texts against all names at once.  The catalog
+    of one database is the bound of what travels with the tasks."""
+    ship(nodes.sparkSession)
+    # ties of position: the smaller name
+    known = sorted((r["table_pos"], r["table_name"]) for r in tables.select("table_name", "table_pos").distinct().collect())
+    names = [n for _, n in known]
+
+    def match(batches):
+        import pyarrow as pa
+        find = Names(names)
+        for batch in batches:
+            text = batch.column("detail").dictionary_encode()
+            first = [min(find.whole_words(t), default=None) if t is not None else None for t in text.dictionary.to_pylist()]
+            found = pa.array([None if i is None else names[i] for i in first], pa.string())
+            yield pa.RecordBatch.from_arrays([*batch.columns, found.take(text.indices)], names=[*batch.schema.names, "table_name"])
+
+    schema = T.StructType([*nodes.schema.fields, T.StructField("table_name", T.StringType())])
+    return nodes.mapInArrow(match, schema).select("detail", *[c for c in nodes.columns if c != "detail"], "table_name")
 
 
 def with_depth(nodes: DataFrame) -> DataFrame:
@@ -177,23 +182,46 @@ def indexed_columns(columns: DataFrame, indexes: DataFrame) -> DataFrame:
 
 def query_table_features(pairs: DataFrame, queries: DataFrame, columns: DataFrame, indexes: DataFrame) -> DataFrame:
     """P7 + P8 per (query, table): referenced-column count (cap 20) and an
-    index on a predicate column.  Both depend only on the SQL text and the
-    table, so they are evaluated once per distinct (sql, table) pair -- query
-    logs repeat the same text many times -- and joined back by key."""
-    q = pairs.join(queries, "query_id")
-    texts = q.select("sql", "table_name").distinct()
-    qc = texts.join(columns, "table_name")
-    qual = F.concat(F.lit(r"(?i)\b\Q"), F.col("table_name"), F.lit(r"\E\s*\.\s*\Q"), F.col("col_name"), F.lit(r"\E\b"))
-    unq = F.concat(F.lit(r"[,\s\(]\Q"), F.col("col_name"), F.lit(r"\E\b"))
-    ref = F.rlike(F.col("sql"), qual) | F.rlike(F.lower("sql"), unq)
-    cref = qc.groupBy("sql", "table_name").agg(F.least(F.count_if(ref), F.lit(20)).alias("cols_ref"))
-    u = F.upper("sql")
-    wp = where_part(u, GLOBAL_PRED_STOPS)
-    ic = indexed_columns(columns, indexes)
-    qi = texts.join(ic, "table_name").where(_has(u, "WHERE") & F.contains(wp, F.upper("col_name")))
-    hidx = qi.groupBy("sql", "table_name").agg(F.lit(1.0).alias("has_idx_pred"))
-    per_text = texts.join(cref, ["sql", "table_name"], "left").join(hidx, ["sql", "table_name"], "left")
-    return q.join(per_text, ["sql", "table_name"], "left").select("query_id", "table_name", "cols_ref", "has_idx_pred")
+    index on a predicate column.  Every Arrow batch looks at a distinct SQL
+    text once; the columns of one database's catalog travel with the tasks.
+    ``cols_ref`` is null for a table without columns in the catalog,
+    ``has_idx_pred`` without such an index."""
+    ship(queries.sparkSession)
+    of_table: dict[str, list[str]] = {}
+    for r in columns.select("table_name", "col_name").collect():
+        of_table.setdefault(r["table_name"], []).append(r["col_name"])
+    indexed: dict[str, list[str]] = {}
+    for r in indexed_columns(columns, indexes).collect():
+        indexed.setdefault(r["table_name"], []).append(r["col_name"].upper())
+    names = sorted({c for some in of_table.values() for c in some})
+
+    def features(batches):
+        import pyarrow as pa
+        find = Names(names)
+        for batch in batches:
+            texts: dict = {}
+            refs, preds = [], []
+            for sql, table in zip(batch.column("sql").to_pylist(), batch.column("table_name").to_pylist()):
+                mine = of_table.get(table)
+                if sql is None or mine is None:
+                    refs.append(None if mine is None else 0)
+                    preds.append(None)
+                    continue
+                if sql not in texts:
+                    texts[sql] = find.references(sql), where_text(sql.upper(), GLOBAL_PRED_STOPS), {}
+                seen, where, known = texts[sql]
+                if table not in known:
+                    known[table] = (min(20, seen.count(table, mine)),
+                                    1.0 if where is not None and any(c in where for c in indexed.get(table, ())) else None)
+                refs.append(known[table][0])
+                preds.append(known[table][1])
+            yield pa.RecordBatch.from_arrays([batch.column("query_id"), batch.column("table_name"), pa.array(refs, pa.int64()), pa.array(preds, pa.float64())],
+                                             names=["query_id", "table_name", "cols_ref", "has_idx_pred"])
+
+    q = pairs.select("query_id", "table_name").join(queries.select("query_id", "sql"), "query_id")
+    schema = T.StructType([q.schema["query_id"], q.schema["table_name"], T.StructField("cols_ref", T.LongType()),
+                           T.StructField("has_idx_pred", T.DoubleType())])
+    return q.mapInArrow(features, schema)
 
 
 def predicate_count(sql) -> Column:

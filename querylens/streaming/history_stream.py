@@ -2,10 +2,10 @@
 
 * ST1 ingest: file source -> event-time watermark -> ``dropDuplicatesWithinWatermark(id)``
   -> ``actual_label`` and ISO timestamp.
-* ST2 running metrics per database: a streaming aggregate of moments only
-  (n, sums of y, y^2, squared error, log-scale counterparts), so the state
-  is a few numbers per database however long the history grows; R2 and MAE
-  are derived from the moments on read.
+* ST2 running history per database: one streaming aggregate of counts, means
+  and centred moments, so the state is a few numbers per database however long
+  the history grows; the counts of H4, the means of H5 and E13's R2 and MAE
+  are derived from it on read.
 * ST3 tiering: stream-static join with the cutoff table (one row per
   database: bounded, broadcast).
 * ST4 incremental training set: ``foreachBatch`` that anti-joins each batch
@@ -56,26 +56,45 @@ def ingest(stream: DataFrame, watermark: str = "1 hour") -> DataFrame:
 
 
 def running_moments(stream: DataFrame) -> DataFrame:
-    """ST2 state: per database counts, error sums and centred second moments
-    of valid rows.  The variances are merged as centred moments, so nothing
-    cancels however long the history is."""
-    valid = (F.col("had_error") == 0) & F.col("runtime_s").isNotNull() & F.col("predicted_runtime_s").isNotNull()
+    """ST2 state: one streaming aggregate per database with the counts of H4
+    (all, errors, valid for metrics, trainable), the sums behind the means of
+    H5, and for E13 error sums and centred second moments of the valid rows.
+    The variances are merged as centred moments, so nothing cancels however
+    long the history is.  A few numbers per database, whatever its rows."""
     y, p = F.col("runtime_s"), F.col("predicted_runtime_s")
+    good = F.col("had_error") == 0
+    valid = good & y.isNotNull() & p.isNotNull()
     ly, lp = F.log1p(y), F.log1p(F.greatest(p, F.lit(0.0)))
-    v = stream.where(valid)
-    return v.groupBy("database").agg(
-        F.count(F.lit(1)).alias("n"), F.var_pop(y).alias("var"), F.sum((y - p) * (y - p)).alias("sse"),
-        F.sum(F.abs(y - p)).alias("sae"), F.var_pop(ly).alias("lvar"), F.sum((ly - lp) * (ly - lp)).alias("lsse"))
+    of = lambda c: F.when(valid, c)
+    return stream.groupBy("database").agg(
+        F.count(F.lit(1)).alias("total"), F.count_if(F.col("had_error") != 0).alias("errors"),
+        F.count_if(valid).alias("n"), F.count_if(good & y.isNotNull()).alias("trainable"),
+        F.count("id").alias("queries"), F.avg(y).alias("mean_y"), F.avg(p).alias("mean_p"),
+        F.var_pop(of(y)).alias("var"), F.sum(of((y - p) * (y - p))).alias("sse"),
+        F.sum(of(F.abs(y - p))).alias("sae"), F.var_pop(of(ly)).alias("lvar"), F.sum(of((ly - lp) * (ly - lp))).alias("lsse"))
 
 
 def metrics_from_moments(m: DataFrame) -> DataFrame:
-    """E13 from the ST2 state: r2, r2_log, mae_ms (null below 2 rows or for a constant target)."""
+    """E13 from the ST2 state: r2, r2_log, mae_ms (null below 2 rows or for a
+    constant target), for databases with valid rows."""
     n = F.col("n").cast("double")
     enough = F.col("n") >= 2
-    return m.select("database", F.col("n").cast("long").alias("n"),
-                    F.when(enough & (F.col("var") > 0), 1 - F.col("sse") / (F.col("var") * n)).alias("r2"),
-                    F.when(enough & (F.col("lvar") > 0), 1 - F.col("lsse") / (F.col("lvar") * n)).alias("r2_log"),
-                    F.when(enough, F.col("sae") / n * 1000).alias("mae_ms"))
+    return m.where(F.col("n") > 0).select(
+        "database", F.col("n").cast("long").alias("n"),
+        F.when(enough & (F.col("var") > 0), 1 - F.col("sse") / (F.col("var") * n)).alias("r2"),
+        F.when(enough & (F.col("lvar") > 0), 1 - F.col("lsse") / (F.col("lvar") * n)).alias("r2_log"),
+        F.when(enough, F.col("sae") / n * 1000).alias("mae_ms"))
+
+
+def counts_from_moments(m: DataFrame) -> DataFrame:
+    """H4 over the whole history from the ST2 state (one row)."""
+    total = lambda c: F.coalesce(F.sum(c), F.lit(0))
+    return m.agg(total("total").alias("total"), total("errors").alias("errors"), total("n").alias("valid"), total("trainable").alias("trainable"))
+
+
+def databases_from_moments(m: DataFrame) -> DataFrame:
+    """H5 from the ST2 state: queries and mean actual / predicted ms per database."""
+    return m.select("database", "queries", (F.col("mean_y") * 1000).alias("avg_actual_ms"), (F.col("mean_p") * 1000).alias("avg_predicted_ms"))
 
 
 def run_to_table(df: DataFrame, name: str, output_mode: str = "update", key: list[str] | None = None,

@@ -4,9 +4,10 @@ Random permutations of the reference cannot be reproduced; rows are ordered
 by ``md5(key || '|' || seed)`` instead, which DuckDB computes identically.
 Sizes follow the reference: test size ``ceil(test_size * n)``, strata in
 proportion with largest remainders (integer arithmetic, ties by class).
-Assignment ranks rows inside each stratum with the range-partitioned
-:func:`rank_within`, so no stratum is gathered into a single task; quota
-tables have one row per stratum and are joined back by broadcast.
+A selection counts rows per leading digits of the hash and orders only the
+bucket a quota falls into (:mod:`.selection`), so no stratum is sorted or
+gathered into a single task and nothing is written; quota tables have one row
+per stratum.
 """
 
 from __future__ import annotations
@@ -16,7 +17,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .ranking import rank_within
+from .selection import first_rows, hash_rank
 
 # Fixed values (reference configuration).
 SEED = 42
@@ -57,13 +58,8 @@ def _assign(df: DataFrame, quotas: DataFrame, strata: list[str], key_col: str, s
             quota_col: str, inside: str, outside: str, out_col: str = "split") -> DataFrame:
     """Rows whose md5 rank within the stratum is below the quota get ``inside``."""
     keyed = df.withColumn("_h", shuffle_key(key_col, seed))
-    r = rank_within(keyed, strata, [F.col("_h").asc()])
-    q = quotas.select(*[F.col(s).alias(f"_q_{s}") for s in strata], F.col(quota_col).alias("_qq"))
-    cond = [F.col(s).eqNullSafe(F.col(f"_q_{s}")) for s in strata]
-    # one quota row per stratum: bounded by the number of strata
-    j = r.join(q, cond, "left")
-    val = F.when(F.col("_rn") < F.coalesce(F.col("_qq"), F.lit(0)), inside).otherwise(outside)
-    return j.select(*df.columns, val.alias(out_col))
+    marked = first_rows(keyed, strata, "_h", quotas.withColumn("_quota", F.col(quota_col)))
+    return marked.select(*df.columns, F.when(F.col("_first"), inside).otherwise(outside).alias(out_col))
 
 
 def split_random_stratified(df: DataFrame, label_col: str = "label_binary", key_col: str = "question_id",
@@ -150,13 +146,13 @@ def split_seen_pooled(df: DataFrame, group_col: str = "db_id", label_col: str =
     strat_groups = q.where(F.col("_slabel").isNotNull()).select(F.col(group_col).alias("_sg")).distinct()
     x = df.join(strat_groups, df[group_col] == strat_groups["_sg"], "left")
     x = x.withColumn("_slabel", F.when(F.col("_sg").isNotNull(), F.col(label_col))).drop("_sg")
-    keyed = x.withColumn("_h", shuffle_key(key_col, seed))
-    r = rank_within(keyed, [group_col, "_slabel"], [F.col("_h").asc()])
-    qq = q.select(F.col(group_col).alias("_qg"), F.col("_slabel").alias("_ql"), "_test_q", "_train_q")
-    j = r.join(qq, F.col(group_col).eqNullSafe(F.col("_qg")) & F.col("_slabel").eqNullSafe(F.col("_ql")), "left")
-    is_test = F.when(F.col("_train_q").isNotNull(), F.col("_rn") >= F.col("_train_q")).otherwise(
-        F.col("_rn") < F.coalesce(F.col("_test_q"), F.lit(0)))
-    return j.select(*df.columns, F.when(is_test, "test").otherwise("train").alias("split"))
+    # the first rows of a stratum are test, those of a tiny group train
+    quotas = q.select(group_col, "_slabel", F.coalesce("_train_q", "_test_q").alias("_quota"))
+    marked = first_rows(x.withColumn("_h", shuffle_key(key_col, seed)), [group_col, "_slabel"], "_h", quotas)
+    few = tiny.select(F.col(group_col).alias("_tiny"), F.lit(True).alias("_is_tiny"))
+    j = marked.join(few, F.col(group_col).eqNullSafe(F.col("_tiny")) & F.col("_slabel").isNull(), "left")
+    is_tiny = F.coalesce("_is_tiny", F.lit(False))
+    return j.select(*df.columns, F.when(F.col("_first") == is_tiny, "train").otherwise("test").alias("split"))
 
 
 def stratified_folds(df: DataFrame, k: int = 5, label_col: str = "label_binary", key_col: str = "question_id",
@@ -166,7 +162,7 @@ def stratified_folds(df: DataFrame, k: int = 5, label_col: str = "label_binary",
     counts = df.groupBy(label_col).agg(F.count(F.lit(1)).alias("_n"))
     kk = counts.select(F.least(F.lit(k), F.min("_n")).alias("_k")).select("_k").scalar()
     keyed = df.withColumn("_h", shuffle_key(key_col, seed)).withColumn("_k", kk)
-    r = rank_within(keyed, [label_col], [F.col("_h").asc()])
+    r = hash_rank(keyed, [label_col], "_h")
     fold = F.when(F.col("_k") >= 2, (F.col("_rn") % F.col("_k")).cast("int"))
     return r.select(*df.columns, fold.alias("fold"))
 
@@ -190,9 +186,8 @@ def downsample_stratified(df: DataFrame, target_rows: int, label_col: str = "lab
         q = _largest_remainder(counts, [], "_stratum", "_n", F.lit(int(target_rows)).cast("long"))
         out = _assign(sdf, q, ["_stratum"], key_col, seed, "_quota", "keep", "drop", out_col="_s")
     else:
-        keyed = sdf.withColumn("_h", shuffle_key(key_col, seed))
-        r = rank_within(keyed, [], [F.col("_h").asc()])
-        out = r.withColumn("_s", F.when(F.col("_rn") < target_rows, "keep").otherwise("drop"))
+        quotas = df.sparkSession.range(1).select(F.lit(int(target_rows)).cast("long").alias("_quota"))
+        out = _assign(sdf, quotas, [], key_col, seed, "_quota", "keep", "drop", out_col="_s")
     return out.where(F.col("_s") == "keep").select(*df.columns)
 
 

@@ -8,9 +8,9 @@
   are derived from it on read.
 * ST3 tiering: stream-static join with the cutoff table (one row per
   database: bounded, broadcast).
-* ST4 incremental training set: ``foreachBatch`` that anti-joins each batch
-  against the rows already in the training table (idempotent by key) and
-  appends the rest.
+* ST4 incremental training set: ``foreachBatch`` that extends a keyed table by
+  the rows whose key no earlier batch holds; a manifest of key ranges and Bloom
+  filters says which buckets have to be read for that.
 
 Checkpoints live under the shared folder named by ``spark.checkpoint.dir``.
 """
@@ -27,6 +27,7 @@ from pyspark.sql.types import StructType
 from ..operators.history import history_training_rows
 from ..operators.labels import threshold_label
 from ..session import ensure_checkpoint_dir
+from .keyed_table import extend, path_exists
 
 
 def stream_folder(spark: SparkSession, name: str) -> str:
@@ -35,11 +36,6 @@ def stream_folder(spark: SparkSession, name: str) -> str:
     return os.path.join(ensure_checkpoint_dir(spark), f"stream-{name}-{uuid.uuid4().hex[:8]}")
 
 
-def path_exists(spark: SparkSession, path: str) -> bool:
-    target = spark._jvm.org.apache.hadoop.fs.Path(path)
-    return target.getFileSystem(spark._jsc.hadoopConfiguration()).exists(target)
-
-
 def read_history_stream(spark: SparkSession, path: str, schema: StructType, files_per_trigger: int = 1) -> DataFrame:
     """File source over history parquet files arriving in ``path``."""
     return spark.readStream.schema(schema).option("maxFilesPerTrigger", files_per_trigger).parquet(path)
@@ -145,26 +141,32 @@ def tier_stream(stream: DataFrame, cutoffs: DataFrame, labels, db_col: str = "da
 
 def incremental_training(stream: DataFrame, stats: DataFrame, table_path: str, checkpoint: str | None = None) -> int:
     """ST4: append valid new history rows to the training table at
-    ``table_path`` (parquet, one folder per batch), skipping keys of earlier
-    batches.  A batch that is tried again, whole or after a partial write,
-    replaces its own folder, so nothing is doubled; with the same
-    ``checkpoint`` folder a restarted stream goes on where it stopped.  Read
-    errors are raised.  Returns the number of rows in the table."""
+    ``table_path`` (:mod:`.keyed_table`: Parquet, one folder per batch and
+    bucket), skipping keys of earlier batches, of which only the buckets that
+    may hold one are read.  A batch that is tried again, whole or after a
+    partial write, replaces its own folders, so nothing is doubled; with the
+    same ``checkpoint`` folder a restarted stream goes on where it stopped.
+    Read errors are raised.  Returns the number of rows in the table."""
     spark = stream.sparkSession
 
     def merge(batch: DataFrame, epoch: int) -> None:
-        rows = history_training_rows(batch, stats)
-        if path_exists(spark, table_path):
-            # key column and partition folder only, of batches before this one
-            earlier = spark.read.parquet(table_path).where(F.col("batch") < epoch).select("question_id")
-            rows = rows.join(earlier, "question_id", "left_anti")
-        rows.dropDuplicates(["question_id"]).write.mode("overwrite").parquet(os.path.join(table_path, f"batch={epoch}"))
+        rows = history_training_rows(batch, stats).withColumn("_id", F.substring_index("question_id", "_", -1).try_cast("long"))
+        extend(table_path, rows, epoch, "question_id", "_id")
 
     where = checkpoint or os.path.join(stream_folder(spark, "train"), "checkpoint")
     q = stream.writeStream.option("checkpointLocation", where).foreachBatch(merge).start()
     q.processAllAvailable()
     q.stop()
-    return spark.read.parquet(table_path).count() if path_exists(spark, table_path) else 0
+    return spark.read.parquet(table_path).count() if _has_rows(spark, table_path) else 0
+
+
+def _has_rows(spark: SparkSession, path: str) -> bool:
+    """Whether a training table holds any data file."""
+    if not path_exists(spark, path):
+        return False
+    target = spark._jvm.org.apache.hadoop.fs.Path(os.path.join(path, "batch=*", "*"))
+    found = target.getFileSystem(spark._jsc.hadoopConfiguration()).globStatus(target)
+    return any(not s.getPath().getName().startswith(("_", ".")) for s in found or [])
 
 
 def stage_history_files(history: DataFrame, path: str, n_files: int = 4) -> None:

@@ -1,8 +1,9 @@
 """File sources and sinks of the query log (IO1-IO3, IO7).
 
-* question files: JSON arrays (``multiLine``), required ``db_id``/``SQL``,
-  defaults for ``question_id`` and ``difficulty``;
-* query logs as CSV with quoted multi-line SQL (Parquet preferred);
+* question files: JSON arrays, required ``db_id``/``SQL``, defaults for
+  ``question_id`` and ``difficulty``;
+* query logs as CSV with quoted multi-line SQL (Parquet preferred); both are
+  read by all splits of a file (:mod:`.split_scan`);
 * JSON Lines history/feature files (blank lines skipped, missing path ->
   empty frame);
 * report sinks: one directory per report.
@@ -18,6 +19,8 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .split_scan import csv_records, json_objects, parsed_csv
+
 QUERY_LOG_DDL = "question_id long, db_id string, sql string, difficulty string, runtime_s double"
 
 
@@ -46,22 +49,17 @@ def read_questions(spark: SparkSession, path: str) -> DataFrame:
     difficulty).  ``db_id`` and ``SQL`` are required; a missing
     ``question_id`` becomes the row's position in its file, from 0, a missing
     difficulty 'unknown'."""
-    raw = spark.read.option("multiLine", True).json(path)
-    missing = {"db_id", "SQL"} - set(raw.columns)
+    found = json_objects(spark, path)
+    names = F.json_object_keys("text")
+    # which of the columns occur at all: one row
+    there = found.agg(*[F.max(F.array_contains(names, c).cast("int")).alias(c) for c in ("db_id", "SQL")]).first()
+    missing = [c for c in ("SQL", "db_id") if not there[c]]
     if missing:
-        raise ValueError(f"question file lacks required columns: {sorted(missing)}")
-    diff = F.col("difficulty").cast("string") if "difficulty" in raw.columns else F.lit(None).cast("string")
-    rest = [F.col("db_id").cast("string").alias("db_id"), F.col("SQL").cast("string").alias("sql"),
-            F.coalesce(diff, F.lit("unknown")).alias("difficulty")]
-    if "question_id" in raw.columns:
-        raw = raw.withColumn("_id", F.col("question_id").cast("long"))
-    else:
-        raw = raw.withColumn("_id", F.lit(None).cast("long"))
-    # a multi-line file is read by one task, so its rows are numbered without gaps
-    numbered = raw.select("_id", *rest, F.col("_metadata.file_path").alias("_file"), F.monotonically_increasing_id().alias("_row"))
-    first = numbered.groupBy("_file").agg(F.min("_row").alias("_first"))
-    return numbered.join(first, "_file").select(
-        F.coalesce("_id", F.col("_row") - F.col("_first")).alias("question_id"), "db_id", "sql", "difficulty")
+        raise ValueError(f"question file lacks required columns: {missing}")
+    row = F.from_json("text", "question_id string, db_id string, SQL string, difficulty string", {"mode": "PERMISSIVE"})
+    return found.select("number", row.alias("r")).select(
+        F.coalesce(F.col("r.question_id").try_cast("long"), F.col("number")).alias("question_id"), "r.db_id", F.col("r.SQL").alias("sql"),
+        F.coalesce("r.difficulty", F.lit("unknown")).alias("difficulty"))
 
 
 def write_query_log(df: DataFrame, path: str, fmt: str = "parquet") -> None:
@@ -77,8 +75,8 @@ def write_query_log(df: DataFrame, path: str, fmt: str = "parquet") -> None:
 def read_query_log(spark: SparkSession, path: str, fmt: str = "parquet", ddl: str = QUERY_LOG_DDL) -> DataFrame:
     """IO2 source with an explicit schema (no inference)."""
     if fmt == "csv":
-        return (spark.read.schema(ddl).option("header", True).option("multiLine", True).option("escape", '"')
-                .option("nullValue", "\\N").csv(path))
+        lines = csv_records(spark, path).where("number > 0 and text <> ''")      # record 0 is the header
+        return parsed_csv(lines, ddl, {"escape": '"', "nullValue": "\\N"})
     return spark.read.schema(ddl).parquet(path)
 
 

@@ -25,7 +25,7 @@ HEADLINE = [
     "c1_schema_stats", "c6_five_point", "h7_merge_history_into_training", "r2_runtime_histogram_30",
     "w3_join_group_top", "w5_three_way_avg_top", "w12_exists", "w13_nested_scalar",
     "p11_tree_mean", "p12_global_vector", "m3_ridge_one_feature", "m15_regress_holdout",
-    "m23_two_geometries_fixed_model", "m28_learning_curve",
+    "m17_logistic_per_db", "m23_two_geometries_fixed_model", "m9_cross_validate", "m28_learning_curve",
 ]
 
 

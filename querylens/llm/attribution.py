@@ -17,6 +17,8 @@ A token that touches none is counted under section -1.
 
 from __future__ import annotations
 
+import re
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -26,6 +28,7 @@ from .bpe import text_runs, tokenizer
 from .common import as_text, map_arrow
 
 RULES = ("overlap", "start")
+_LINE_FEED = re.compile("\n")
 CHUNK_CHARS = 1 << 19
 
 
@@ -40,7 +43,7 @@ def token_spans(bpe, data: np.ndarray, ids: np.ndarray) -> tuple[np.ndarray, np.
 
 def line_spans(text: str) -> tuple[np.ndarray, np.ndarray]:
     """Lines with their line feeds; no line for the empty text."""
-    ends = [i + 1 for i, c in enumerate(text) if c == "\n"]
+    ends = [m.end() for m in _LINE_FEED.finditer(text)]
     if text and (not ends or ends[-1] < len(text)):
         ends.append(len(text))
     ends = np.array(ends, np.int64)

@@ -96,9 +96,12 @@ def recall_at(depths, threshold: float) -> float:
 def choose_depths(pairs: dict[tuple[int, int], int], threshold: float, target: float) -> list[int]:
     """Prefix length per tree: from whole branches, shorten the tree that
     pays the fewest extra candidate pairs per gain in log miss, until the
-    target recall or the shortest prefixes are reached."""
+    target recall is reached.  A target that the shortest prefixes of all
+    trees miss is an error."""
+    if recall_at([MIN_DEPTH] * TREES, threshold) < target:
+        raise ValueError(f"{TREES} trees cannot reach a recall of {target} at a similarity of {threshold}")
     depths = [MAX_DEPTH] * TREES
-    while recall_at(depths, threshold) < target and any(d > MIN_DEPTH for d in depths):
+    while recall_at(depths, threshold) < target:
         def price(t: int) -> tuple:
             d = depths[t]
             extra = pairs.get((t, d - 1), 0) - pairs.get((t, d), 0)

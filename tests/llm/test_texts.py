@@ -1,3 +1,4 @@
+import pytest
 """Substring dedup, Jaccard join and the hashing below them."""
 
 import hashlib
@@ -191,3 +192,9 @@ def test_components(spark):
             parent[max(a, b)] = min(a, b)
     assert got == {x: find(x) for x in parent}
     assert connected_components(spark.createDataFrame([], "src long, dst long")).count() == 0
+
+
+def test_a_recall_out_of_reach_is_an_error():
+    assert jaccard.recall_at([jaccard.MIN_DEPTH] * jaccard.TREES, 0.5) < 0.9
+    with pytest.raises(ValueError, match="recall"):
+        jaccard.choose_depths({}, 0.5, 0.9)

@@ -1,4 +1,3 @@
-import pytest
 """Substring dedup, Jaccard join and the hashing below them."""
 
 import hashlib
@@ -7,6 +6,7 @@ import re
 
 import numpy as np
 import pyarrow as pa
+import pytest
 
 from querylens.llm import jaccard, substrings, words
 from querylens.llm.common import connected_components

@@ -2,9 +2,9 @@
 
 The per-database catalog arrives as tables (``catalog_tables`` with one
 row per table: db_id, table_name, row_count, n_indexes).  Statistics are
-one grouped aggregate; profiling ranks distinct values per column with the
-range-partitioned ranking, so a very large column is never sorted in one
-task.
+one grouped aggregate; value samples rank distinct values per column with the
+range-partitioned ranking and profiles count values by their digits, so a very
+large column is never sorted in one task.
 """
 
 from __future__ import annotations
@@ -104,7 +104,8 @@ def five_point(df: DataFrame, columns: Sequence[str]) -> DataFrame:
     long = df.select(F.explode(F.array(*[
         F.struct(F.lit(c).alias("col_name"), F.col(c).cast("double").alias("v")) for c in cols])).alias("_kv")
     ).select("_kv.col_name", "_kv.v")
-    picked = values_at(long, "v", lambda n: [F.least(n - 1, F.floor(F.lit(q) * (n - 1)).cast("long")) for q in qs], ["col_name"])
+    picked = values_at(long, "v", lambda n: [F.least(n - 1, F.floor(F.lit(q) * (n - 1)).cast("long")) for q in qs], ["col_name"],
+                       large_groups=None)      # one group per column of a table
     names = df.sparkSession.createDataFrame([(c,) for c in cols], "col_name string")
     labels = ["p0", "p25", "p50", "p75", "p100"]
     return names.join(picked, "col_name", "left").select(

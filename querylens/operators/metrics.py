@@ -16,6 +16,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..session import ensure_checkpoint_dir
 from .ranking import exact_quantiles, rank_within
 
 
@@ -255,7 +256,10 @@ def model_comparison(df: DataFrame, model_col="model", fold_col="fold") -> DataF
 
 def fold_box_stats(scores: DataFrame, model_col="model", value="f1") -> DataFrame:
     """Quartiles and 1.5 IQR whiskers of the per-fold scores per model.
-    Quartiles use the exact distributed quantiles (groups are models)."""
+    Quartiles use the exact distributed quantiles (groups are models).  Scores
+    are sums over a shuffle: they are written before the quantiles' passes."""
+    ensure_checkpoint_dir(scores.sparkSession)
+    scores = scores.select(model_col, value).checkpoint()
     q = exact_quantiles(scores, value, [0.25, 0.5, 0.75], [model_col]).select(
         model_col, F.col("quantiles")[0].alias("q1"), F.col("quantiles")[1].alias("median"),
         F.col("quantiles")[2].alias("q3"))

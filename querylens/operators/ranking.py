@@ -14,6 +14,9 @@ materialised once with a reliable ``checkpoint()`` into the shared folder
 named by ``spark.checkpoint.dir``; every later branch reads those rows, and
 the lineage is cut, so a lost executor cannot make the branches disagree.
 Callers pass narrow frames (keys and the columns they need).
+
+Quantiles need no order at all: :func:`values_at` counts values by the digits
+of an order-preserving key.
 """
 
 from __future__ import annotations
@@ -25,6 +28,9 @@ from pyspark.sql import functions as F
 
 from ..session import ensure_checkpoint_dir
 
+#: Right shifts of a key that leave its first 22, 43 and all bits.
+SHIFTS = (42, 21, 0)
+LARGE_GROUPS = 10_000
 
 def _cols(xs) -> list[Column]:
     return [F.col(x) if isinstance(x, str) else x for x in xs]
@@ -87,32 +93,96 @@ def rank_within(df: DataFrame, group_cols: Sequence[str], order: Sequence[Column
     return joined.select(*out)
 
 
+def _with_key(df: DataFrame) -> DataFrame:
+    """Add ``_key``, a long in the order of the double ``_v``: the exponent and
+    the fraction of its magnitude as one number, with its sign.  Zeros of both
+    signs are equal, NaN comes last.  Plain arithmetic on powers of two, so it is exact."""
+    a = F.abs("_v")
+    two = lambda e: F.pow(F.lit(2.0), e.cast("double"))
+    finite = (a >= 2.0 ** -1022) & (a < float("inf"))
+    # the logarithm may be off by one next to a power of two
+    e = F.when(finite, F.floor(F.log2(a)).cast("long"))
+    exact = F.when(a < two(F.col("_e")), F.col("_e") - 1).when(a >= two(F.col("_e") + 1), F.col("_e") + 1).otherwise(F.col("_e"))
+    fraction = ((a / two(F.col("_e")) - 1) * 2.0 ** 52).cast("long")
+    size = (F.when(F.isnan("_v"), F.lit((2047 << 52) + 1)).when(a == float("inf"), F.lit(2047 << 52))
+            .when(a < 2.0 ** -1022, (a * 2.0 ** 537 * 2.0 ** 537).cast("long"))
+            .otherwise((F.col("_e") + 1023) * (1 << 52) + fraction))
+    return (df.withColumn("_e", e).withColumn("_e", exact)
+            .withColumn("_key", F.when(F.col("_v") < 0, -size).otherwise(size)).drop("_e"))
+
+
+def _holding(counted: DataFrame, bucket: Sequence[str], order: str) -> DataFrame:
+    """Rows of ``counted`` (``_c`` values each, in ``order`` within ``bucket``)
+    that hold a position of ``_wanted``, with those positions from their start."""
+    before = Window.partitionBy(*bucket).orderBy(order).rowsBetween(Window.unboundedPreceding, -1)
+    placed = counted.withColumn("_before", F.coalesce(F.sum("_c").over(before), F.lit(0)))
+    here = F.filter("_wanted", lambda w: (w["at"] >= F.col("_before")) & (w["at"] < F.col("_before") + F.col("_c")))
+    held = placed.withColumn("_wanted", here).where(F.size("_wanted") > 0)
+    return held.withColumn("_wanted", F.transform("_wanted", lambda w: F.struct(w["i"].alias("i"), (w["at"] - F.col("_before")).alias("at"))))
+
+
+def _sized(counted: DataFrame, groups: Sequence[str], positions: Callable[[Column], Sequence[Column]]) -> DataFrame:
+    """Add the group's size ``_n`` and its positions ``_wanted`` (number, position)."""
+    n = counted.withColumn("_n", F.sum("_c").over(Window.partitionBy(*groups)).cast("long"))
+    at = F.array(*[p.cast("long") for p in positions(F.col("_n"))])
+    return n.withColumn("_wanted", F.transform(at, lambda x, i: F.struct(i.alias("i"), x.alias("at"))))
+
+
+def _by_digits(values: DataFrame, groups: list[str], positions: Callable[[Column], Sequence[Column]]) -> DataFrame:
+    """``groups, _n, _wanted, _v`` of few groups: every pass counts the values
+    per further bits of their key, only the buckets that hold a wanted position
+    go on, and a full key is one value."""
+    keyed = _with_key(values)
+    open_ = None
+    for last, shift in zip((None, *SHIFTS), SHIFTS):
+        digits = F.shiftright("_key", shift).alias("_p")
+        found = [F.count(F.lit(1)).alias("_c")] + ([F.max("_v").alias("_v")] if shift == 0 else [])
+        if open_ is None:
+            counted = _sized(keyed.groupBy(*groups, digits).agg(*found), groups, positions)
+            held = _holding(counted, groups, "_p")
+        else:
+            same = [F.col(g).eqNullSafe(F.col(f"_o{g}")) for g in groups] + [F.shiftright("_key", last) == F.col("_up")]
+            # at most one row per group and position
+            rows = keyed.join(F.broadcast(open_), same)
+            held = _holding(rows.groupBy(*groups, "_up", "_n", "_wanted", digits).agg(*found), [*groups, "_up"], "_p")
+        open_ = held.select(*[F.col(g).alias(f"_o{g}") for g in groups], F.col("_p").alias("_up"), "_n", "_wanted")
+    return held.select(*groups, "_n", "_wanted", "_v")
+
+
 def values_at(df: DataFrame, value_col: str, positions: Callable[[Column], Sequence[Column]],
-              group_cols: Sequence[str] = ()) -> DataFrame:
+              group_cols: Sequence[str] = (), large_groups: int | None = LARGE_GROUPS) -> DataFrame:
     """``group…, n, values``: the sorted non-null values of each group at the
     0-based ``positions(n)``.
 
-    Values are first aggregated to (group, value, count), so a value that
-    fills most of a group is one row from the map side on; the distinct values
-    are ranked by running counts, and only those that cover a wanted position
-    leave the ranking step.
+    Values are counted by the leading bits of an order-preserving key, 21 or 22
+    more in each of three passes, so what is shuffled are counters, at most
+    4 M of a bucket, however many different values there are.  That is done for the
+    ``large_groups`` groups with most rows, whose few open buckets are small
+    enough to broadcast; any other group has at most a ``large_groups``-th of all
+    rows, and its values are aggregated to (value, count) and brought together.
+    ``None`` is for groups that are few by their nature, such as columns.
+
+    A lazy plan that reads ``df`` in several passes: its values have to be the
+    same in each.  Sums of doubles over a shuffle are not, write those first.
     """
-    group_cols = list(group_cols)
-    counted = (df.select(*group_cols, F.col(value_col).cast("double").alias("_v")).where(F.col("_v").isNotNull())
-               .groupBy(*group_cols, "_v").agg(F.count(F.lit(1)).alias("_c")))
-    r = rank_within(counted, group_cols, [F.col("_v").asc()], sums=["_c"])
-    wanted = F.array(*[p.cast("long") for p in positions(F.col("_tot__c"))])
-    first = F.col("_cum__c") - F.col("_c")
-    keep = r.where(F.exists(wanted, lambda w: (w >= first) & (w < F.col("_cum__c"))))
-    picked = keep.groupBy(*group_cols).agg(
-        F.first("_tot__c").cast("long").alias("n"),
-        F.collect_list(F.struct(first.alias("a"), F.col("_cum__c").alias("b"), F.col("_v").alias("v"))).alias("_m"))
-
-    def covering(p: Column) -> Column:
-        return F.get(F.filter("_m", lambda m: (m["a"] <= p) & (m["b"] > p)), F.lit(0))["v"]
-
-    at = [covering(p.cast("long")) for p in positions(F.col("n"))]
-    return picked.select(*group_cols, "n", F.array(*at).alias("values"))
+    groups = [f"_g{i}" for i in range(len(group_cols))]
+    values = (df.select(*[F.col(c).alias(g) for c, g in zip(group_cols, groups)], F.col(value_col).cast("double").alias("_v"))
+              .where(F.col("_v").isNotNull()))
+    if groups and large_groups is not None:
+        large = (values.groupBy(*groups).agg(F.count(F.lit(1)).alias("_size"))
+                 .orderBy(F.col("_size").desc(), *groups).limit(large_groups)
+                 .select(*[F.col(g).alias(f"_l{g}") for g in groups]))
+        same = [F.col(g).eqNullSafe(F.col(f"_l{g}")) for g in groups]
+        # at most large_groups rows
+        counted = values.join(F.broadcast(large), same, "left_anti").groupBy(*groups, "_v").agg(F.count(F.lit(1)).alias("_c"))
+        small = _holding(_sized(counted, groups, positions), groups, "_v").select(*groups, "_n", "_wanted", "_v")
+        held = _by_digits(values.join(F.broadcast(large), same, "left_semi"), groups, positions).unionByName(small)
+    else:
+        held = _by_digits(values, groups, positions)
+    picked = (held.select(*groups, "_n", "_v", F.explode("_wanted.i").alias("_i"))
+              .groupBy(*groups).agg(F.max("_n").alias("n"), F.map_from_entries(F.collect_list(F.struct("_i", "_v"))).alias("_m")))
+    at = [F.col("_m")[F.lit(i)] for i in range(len(positions(F.lit(0))))]
+    return picked.select(*[F.col(g).alias(c) for c, g in zip(group_cols, groups)], "n", F.array(*at).alias("values"))
 
 
 def exact_quantiles(df: DataFrame, value_col: str, qs: Sequence[float],

@@ -24,17 +24,54 @@ def test_hot_value_quantiles(spark):
 
 def test_equal_values_are_counted_before_ranking(spark, monkeypatch):
     seen = []
-    ranked = rk.rank_within
+    holding = rk._holding
 
-    def look(df, *args, **kw):
-        seen.append((df.count(), df.agg(F.max("_c")).first()[0]))
-        return ranked(df, *args, **kw)
+    def look(counted, *args):
+        seen.append((counted.count(), counted.agg(F.max("_c")).first()[0]))
+        return holding(counted, *args)
 
-    monkeypatch.setattr(rk, "rank_within", look)
-    df = hot(spark)
-    rk.exact_quantiles(df, "v", [0.5]).collect()
+    monkeypatch.setattr(rk, "_holding", look)
+    rk.exact_quantiles(hot(spark), "v", [0.5]).collect()
     rows, hottest = seen[0]
-    assert rows <= 2_001 and hottest >= 18_000      # no range partition holds the copies as rows
+    assert len(seen) == 3 and rows <= 2_001 and hottest >= 18_000      # the copies are a counter
+    assert all(n <= 2 for n, _ in seen[1:])                            # both positions lie in the hot value
+
+
+def test_keys_follow_the_order_of_doubles(spark):
+    powers = np.array([2.0 ** e for e in range(-1074, 1024)])
+    drawn = np.random.default_rng(3).integers(-2 ** 63, 2 ** 63 - 1, 5_000).view(np.float64)
+    v = np.concatenate([powers, np.nextafter(powers, 0), np.nextafter(powers, np.inf), -powers, drawn[~np.isnan(drawn)],
+                        [0.0, -0.0, np.inf, -np.inf, np.finfo(float).max]])
+    rows = rk._with_key(spark.createDataFrame([(float(x),) for x in v], "_v double")).collect()
+    assert len(rows) == len(v)
+    for r in rows:
+        bits = int(np.abs(np.float64(r._v)).view(np.int64))
+        assert r._key == (-bits if r._v < 0 else bits)
+    nan = rk._with_key(spark.createDataFrame([(float("nan"),)], "_v double")).first()
+    assert nan._key > max(r._key for r in rows)
+
+
+@pytest.mark.parametrize("large_groups", [1, 2, 10, None])
+def test_large_and_small_groups(spark, large_groups):
+    rng = np.random.default_rng(5)
+    rows = [(g, float(x)) for g, n in (("a", 900), ("b", 300), (None, 40), ("c", 1)) for x in np.round(rng.normal(0, 1e3, n), 1)]
+    df = spark.createDataFrame(rows, "_v string, n double")             # clashing names
+    qs = [0.0, 0.25, 0.5, 0.9, 1.0]
+    last = lambda n: [F.floor(F.lit(q) * (n - 1)) for q in qs]          # noqa: E731
+    got = {r["_v"]: (r["n"], r["values"]) for r in rk.values_at(df, "n", last, ["_v"], large_groups).collect()}
+    assert set(got) == {"a", "b", "c", None}
+    for g, (n, at) in got.items():
+        v = sorted(x for h, x in rows if h == g)
+        assert n == len(v) and at == [v[int(q * (n - 1))] for q in qs]
+
+
+def test_building_quantiles_runs_nothing(spark):
+    tracker = spark.sparkContext.statusTracker()
+    spark.sparkContext.setJobGroup("quantiles-build", "")
+    plan = rk.exact_quantiles(hot(spark), "v", [0.5], ["g"])
+    assert list(tracker.getJobIdsForGroup("quantiles-build")) == []
+    assert "rangepartitioning(_v" not in plan._jdf.queryExecution().toString()
+    spark.sparkContext._jsc.clearJobGroup()
 
 
 def test_nulls_and_empty(spark):

@@ -75,17 +75,50 @@ def _pieces(text: Column, pattern: str) -> Column:
     return F.split(F.regexp_replace(text, pattern, f"{_SEP}$0{_SEP}"), _SEP)
 
 
+def _let(value: Column, body) -> Column:
+    """``body`` of a value that is evaluated once a row, also where ``body``
+    names it inside a function of every element."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
+def _blocks(items: Column) -> Column:
+    """An array cut into blocks of an even length near the root of its own: work
+    inside the blocks and work over the blocks stay far from its square."""
+    length = lambda xs: (F.ceil(F.sqrt(F.size(xs)) / 2) * 2).cast("int")
+
+    def cut(xs: Column, n: Column) -> Column:
+        at = F.sequence(F.lit(0), F.ceil(F.size(xs) / n).cast("int") - 1)
+        return F.when(F.size(xs) > 0, F.transform(at, lambda i: F.slice(xs, i * n + 1, n))).otherwise(F.slice(F.array(xs), 1, 0))
+
+    return _let(items, lambda xs: _let(length(xs), lambda n: cut(xs, n)))
+
+
 def _spans(pieces: Column, kind: int, accept) -> Column:
+    """Accepted matches as spans: places inside a block of pieces first, then
+    every block moved by the lengths of those before it."""
     start = F.struct(F.lit(0).alias("at"), F.lit(0).alias("i"), F.array().cast(_EMPTY).alias("out"))
 
     def step(a: Column, p: Column) -> Column:
         end = a["at"] + F.length(p)
         span = F.array(F.struct(a["at"].alias("start"), F.lit(kind).alias("kind"), end.alias("end")))
-        hit = (a["i"] % 2 == 1) & accept(p)
+        hit = (a["i"] % 2 == 1) & accept(p)        # blocks have even lengths
         return F.struct(end.alias("at"), (a["i"] + 1).alias("i"),
                         F.when(hit, F.concat(a["out"], span)).otherwise(a["out"]).cast(_EMPTY).alias("out"))
 
-    return F.when(F.size(pieces) > 1, F.aggregate(pieces, start, step, lambda a: a["out"])).otherwise(F.array().cast(_EMPTY))
+    blocks = F.transform(_blocks(pieces), lambda b: F.aggregate(b, start, step))
+
+    def move(a: Column, b: Column) -> Column:
+        out = F.transform(b["out"], lambda s: F.struct((s["start"] + a["at"]).alias("start"), s["kind"].alias("kind"),
+                                                       (s["end"] + a["at"]).alias("end")))
+        return F.struct((a["at"] + b["at"]).alias("at"), F.concat(a["out"], F.array(out.cast(_EMPTY))).alias("out"))
+
+    moved = F.aggregate(blocks, F.struct(F.lit(0).alias("at"), F.array().cast(f"array<{_EMPTY}>").alias("out")), move,
+                        lambda a: F.flatten(a["out"]))
+    return F.when(F.size(pieces) > 1, moved).otherwise(F.array().cast(_EMPTY))
+
+
+def _matches(pieces: Column) -> Column:
+    return F.filter(pieces, lambda p, i: i % 2 == 1)
 
 
 def _states(run: Column) -> Column:
@@ -93,15 +126,18 @@ def _states(run: Column) -> Column:
     return F.transform(F.filter(F.split(run, ""), lambda c: c != ""), lambda c: F.instr(F.lit(ALPHABET), c))
 
 
+def _cut(docs: DataFrame, text: str) -> DataFrame:
+    t = docs.withColumn("_t", F.translate(as_text(text), _SEP, _OTHER))
+    return t.withColumns({"_p0": _pieces(F.col("_t"), ASSIGN), "_p1": _pieces(F.col("_t"), ACCESS), "_p2": _pieces(F.col("_t"), HEX)})
+
+
 def base_spans(docs: DataFrame, text: str = "text") -> DataFrame:
     """All columns of ``docs`` and ``_t`` (text without separators, null as
     empty) and ``_base`` (array of start, kind, end, in order)."""
-    t = docs.withColumn("_t", F.translate(as_text(text), _SEP, _OTHER))
-    cut = t.withColumns({"_p0": _pieces(F.col("_t"), ASSIGN), "_p1": _pieces(F.col("_t"), ACCESS), "_p2": _pieces(F.col("_t"), HEX)})
     long_enough = lambda p: F.length(F.regexp_extract(p, ASSIGN, 2)) >= ASSIGN_LEAST
     always = lambda p: F.lit(True)
     base = F.concat(_spans(F.col("_p0"), 0, long_enough), _spans(F.col("_p1"), 1, always), _spans(F.col("_p2"), 2, always))
-    return cut.withColumn("_base", F.array_sort(base)).drop("_p0", "_p1", "_p2")
+    return _cut(docs, text).withColumn("_base", F.array_sort(base)).drop("_p0", "_p1", "_p2")
 
 
 def labelled_samples(docs: DataFrame, text: str = "text", sample_rows: int = SAMPLE_ROWS) -> DataFrame:
@@ -111,11 +147,10 @@ def labelled_samples(docs: DataFrame, text: str = "text", sample_rows: int = SAM
     smallest hash of their id."""
     ids = docs.select("doc_id").where("doc_id is not null").distinct().orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample_rows)
     # at most sample_rows ids: safe to broadcast
-    some = base_spans(docs.select("doc_id", F.col(text).alias("text")).join(F.broadcast(ids), "doc_id"))
-    found = F.explode("_base").alias("s")
-    piece = F.expr("substring(_t, s.start + 1, s.end - s.start)")
-    value = F.when(F.col("s.kind") == 0, F.regexp_extract(piece, ASSIGN, 2)).otherwise(piece)
-    random = some.where(F.size("_base") > 0).select("_t", found).select(value.alias("run"), F.lit(True).alias("random"))
+    some = _cut(docs.select("doc_id", F.col(text).alias("text")).join(F.broadcast(ids), "doc_id"), "text")
+    assigned = F.filter(F.transform(_matches(F.col("_p0")), lambda p: F.regexp_extract(p, ASSIGN, 2)), lambda v: F.length(v) >= ASSIGN_LEAST)
+    values = F.concat(assigned, _matches(F.col("_p1")), _matches(F.col("_p2")))
+    random = some.select(F.explode(values).alias("run"), F.lit(True).alias("random"))
     rest = F.regexp_replace(F.regexp_replace(F.regexp_replace("_t", ASSIGN, " "), ACCESS, " "), HEX, " ")
     ordinary = some.select(F.explode(F.regexp_extract_all(rest, F.lit(ORDINARY), F.lit(0))).alias("run"), F.lit(False).alias("random"))
     return random.union(ordinary)
@@ -174,7 +209,11 @@ def scan(docs: DataFrame, ratios: list[float], text: str = "text", threshold: fl
     table = F.array(*[F.lit(x) for x in ratios])
     found = base_spans(docs.select(*carry), text).withColumn("_runs", _pieces(F.col("_t"), RUN))
     found = found.withColumn("_more", _spans(F.col("_runs"), 3, lambda p: log_ratio(p, table) > threshold))
-    apart = F.filter("_more", lambda m: ~F.exists("_base", lambda b: (b["start"] < m["end"]) & (b["end"] > m["start"])))
+    # base spans in blocks with their reach: a run looks into the few blocks that reach it
+    reach = F.transform(_blocks(F.col("_base")), lambda b: F.struct(
+        F.array_min(F.transform(b, lambda s: s["start"])).alias("start"), F.array_max(F.transform(b, lambda s: s["end"])).alias("end"), b.alias("b")))
+    meets = lambda m: lambda s: (s["start"] < m["end"]) & (s["end"] > m["start"])
+    apart = _let(reach, lambda rs: F.filter("_more", lambda m: ~F.exists(rs, lambda r: meets(m)(r) & F.exists(r["b"], meets(m)))))
     return (found.withColumn("base_spans", F.col("_base")).withColumn("spans", F.array_sort(F.concat("_base", apart)))
             .drop("_t", "_base", "_runs", "_more"))
 
@@ -183,15 +222,35 @@ def masked(scanned: DataFrame, text: str = "text") -> DataFrame:
     """``scanned`` with every span of the text replaced by :data:`MASK`,
     overlapping spans by one."""
     t = as_text(text)
-    start = F.struct(F.lit(0).alias("at"), F.array().cast("array<string>").alias("out"))
-
-    def step(a: Column, s: Column) -> Column:
-        piece = F.array(F.substring(t, a["at"] + 1, s["start"] - a["at"]), F.lit(MASK))
-        return F.struct(F.greatest(a["at"], s["end"]).alias("at"),
-                        F.when(s["start"] >= a["at"], F.concat(a["out"], piece)).otherwise(a["out"]).alias("out"))
-
-    clean = F.aggregate("spans", start, step, lambda a: F.concat(F.array_join(a["out"], ""), F.substring(t, a["at"] + 1, F.length(t))))
-    return scanned.withColumn(text, F.when(F.size("spans") > 0, clean).otherwise(F.col(text)))
+    # spans in blocks, each with the part of the text from its first start to the
+    # next block's, and the end of all spans before it
+    def part(blocks: Column, firsts: Column, ends: Column, i: Column) -> Column:
+        first = F.get(firsts, i)
+        after = F.coalesce(F.get(firsts, i + 1), F.length(t))
+        return F.struct(first.alias("first"), after.alias("after"), F.substring(t, first + 1, after - first).alias("text"),
+                        F.greatest(first, F.coalesce(F.array_max(F.slice(ends, F.lit(1), i)), F.lit(0))).alias("at"),
+                        F.get(blocks, i).alias("b"))
+
+    def clean(r: Column) -> Column:
+        begin = F.struct(r["at"].alias("at"), F.array().cast("array<string>").alias("out"))
+
+        def step(a: Column, s: Column) -> Column:
+            before = F.substring(r["text"], a["at"] - r["first"] + 1, s["start"] - a["at"])
+            # a span that starts before the end of an earlier one is part of its mask
+            return F.struct(F.greatest(a["at"], s["end"]).alias("at"),
+                            F.when(s["start"] >= a["at"], F.concat(a["out"], F.array(before, F.lit(MASK)))).otherwise(a["out"]).alias("out"))
+
+        rest = lambda a: F.concat(F.array_join(a["out"], ""), F.when(a["at"] < r["after"], F.substring(
+            r["text"], a["at"] - r["first"] + 1, r["after"] - a["at"])).otherwise(""))
+        return F.aggregate(r["b"], begin, step, rest)
+
+    def whole(blocks: Column) -> Column:
+        firsts = F.transform(blocks, lambda b: F.get(b, F.lit(0))["start"])
+        ends = F.transform(blocks, lambda b: F.array_max(F.transform(b, lambda s: s["end"])))
+        parts = _let(firsts, lambda fs: _let(ends, lambda es: F.transform(blocks, lambda b, i: part(blocks, fs, es, i))))
+        return F.concat(F.substring(t, F.lit(1), F.get(firsts, F.lit(0))), F.array_join(F.transform(parts, clean), ""))
+
+    return scanned.withColumn(text, F.when(F.size("spans") > 0, _let(_blocks(F.col("spans")), whole)).otherwise(F.col(text)))
 
 
 def written(spans: str) -> Column:

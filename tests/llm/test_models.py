@@ -157,6 +157,40 @@ def test_masking(table):
         assert r.text == (t if not r.spans else "".join(out) + t[at:])
 
 
+def test_thousands_of_spans_in_a_text(table):
+    rnd = random.Random(11)
+    parts = ["password = abcdef12", "secret: " + "deadbeef" * 4, "AKIA" + "Z9" * 10, "é", "api_key=AKIA" + "Q7" * 9, "Qm9vR2xhc3NIb3VzZVBhcnR5MTIz"]
+    text = " ".join(rnd.choice(parts) for _ in range(6_000))
+    found = secrets.scan(table([(1, text)], "doc_id long, text string"), [1.0] * secrets.STATES ** 2, threshold=0.0)
+    r, m = found.first(), secrets.masked(found).first()
+    base = brute_base(text)
+    runs = [(x.start(), 3, x.end()) for x in re.finditer(secrets.RUN, text)]
+    taken = [any(a < e and b > s for a, _, b in base) for s, _, e in runs[:200]]
+    assert [tuple(s) for s in r.base_spans] == base and len(base) > 4_000
+    spans = [tuple(s) for s in r.spans]
+    assert [x for x, t in zip(runs, taken) if not t] == [x for x in runs[:200] if x in set(spans)]
+    out, at = [], 0
+    for a, _, b in spans:
+        if a >= at:
+            out += [text[at:a], secrets.MASK]
+        at = max(at, b)
+    assert m.text == "".join(out) + text[at:]
+
+
+def test_recall_of_planted_keys_without_assignment(spark, table):
+    """Random keys in documents, next to no name: the Markov kind alone finds them."""
+    rnd = random.Random(13)
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet").select("doc_id", "text")
+    ratios = secrets.model(docs)
+    alphabets = ["ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789", secrets.ALPHABET[:64], "abcdefghijklmnopqrstuvwxyz234567"]
+    keys = ["".join(rnd.choice(rnd.choice(alphabets[i % 3:i % 3 + 1])) for _ in range(rnd.randrange(24, 44))) for i in range(600)]
+    found = secrets.scan(table([(i, f"the words {k} go on") for i, k in enumerate(keys)], "doc_id long, text string"), ratios)
+    hit = sum(any(s.kind == 3 and s.start == 10 for s in r.spans) for r in found.collect())
+    clean = secrets.scan(docs, ratios).select(F.explode("spans").alias("s")).where("s.kind = 3").count()
+    print("recall", hit / len(keys), "spans of the kind in documents", clean, "of", docs.count())
+    assert hit / len(keys) >= 0.9
+
+
 def test_secrets_of_an_empty_table(table):
     df = table([(1, "x")], "doc_id long, text string").limit(0)
     assert secrets.secrets_digest(df).count() == 0

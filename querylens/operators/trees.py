@@ -15,6 +15,11 @@ any partitioning.
 
 Bagging draws a Poisson weight per (tree, row) and the candidate features of a
 node from hashes; nothing depends on the order of rows or tasks.
+
+A split sees only the bins, so a fit with many values of ``y`` needs them summed
+per row of bins: squared loss once for all rounds (scores are equal where bins
+are), a forest once for all trees, after the draws of its rows.  Both sums are
+exact, so trees are those of the single rows.
 """
 
 from __future__ import annotations
@@ -34,6 +39,7 @@ from ..session import ship
 from .ranking import rank_within
 
 LOCAL_ROWS = 100_000
+MERGE_ROWS = 10_000
 TREES_PER_TASK = 25
 MAX_BINS = 256
 UNIT = float(1 << 20)
@@ -468,6 +474,32 @@ def edges_of(df: DataFrame, columns: Sequence[str], bins: int = MAX_BINS) -> lis
     return edges
 
 
+def distinct_rows(x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Numbers of one of each distinct row, and for every row its place among them."""
+    if not x.shape[1] or not len(x):
+        return np.zeros(min(1, len(x)), np.int64), np.zeros(len(x), np.int64)
+    bits = x.astype(np.uint64) if x.dtype == np.uint8 else np.ascontiguousarray(x).view(np.uint64)
+    with np.errstate(over="ignore"):
+        h = mix(bits @ (mix(np.arange(x.shape[1], dtype=np.uint64)) | np.uint64(1)))
+    _, first, at = np.unique(h, return_index=True, return_inverse=True)
+    if not np.array_equal(bits[first][at], bits):          # two rows of one hash
+        _, first, at = np.unique(bits, axis=0, return_index=True, return_inverse=True)
+    return first, at.reshape(-1)
+
+
+def _chunks(batches, rows: int = 100_000):
+    """Arrow batches brought together to tables of about ``rows`` rows."""
+    held, size = [], 0
+    for batch in batches:
+        held.append(batch)
+        size += batch.num_rows
+        if size >= rows:
+            yield pa.Table.from_batches(held)
+            held, size = [], 0
+    if size:
+        yield pa.Table.from_batches(held)
+
+
 def _columns(batch: pa.RecordBatch, names: Sequence[str]) -> np.ndarray:
     return np.column_stack([batch.column(c).to_numpy(zero_copy_only=False) for c in names]) if names else np.zeros((batch.num_rows, 0))
 
@@ -515,11 +547,77 @@ def fit_trees(df: DataFrame, columns: Sequence[str], fits: Mapping, jobs: Sequen
         raise ValueError(f"no training rows for {missing}")
     numbered = [(j, names.index(f), spec) for j, (f, spec) in enumerate(jobs)]
     start = {j: start_value(spec, size[f]["t"], size[f]["w"]) for j, f, spec in numbered}
-    trees = _fit_local(rows, [x for x in numbered if size[x[1]]["n"] <= LOCAL_ROWS], p, start)
-    trees |= _fit_levels(rows, [x for x in numbered if size[x[1]]["n"] > LOCAL_ROWS], p, start)
+    rows_of = {j: size[f]["n"] for j, f, _ in numbered}
+    # fits whose values are worth summing per row of bins
+    merge = [x for x in numbered if rows_of[x[0]] > min(MERGE_ROWS, LOCAL_ROWS) and (x[2].forest or not x[2].log)]
+    trees: dict[int, list[Tree]] = {}
+    if merge:
+        summed = _summed(rows.where(F.col("_fit").isin(sorted({f for _, f, _ in merge})))).checkpoint()
+        bins = {r["_fit"]: r["n"] for r in summed.groupBy("_fit").agg(F.count(F.lit(1)).alias("n")).collect()}
+        squared = [x for x in merge if not x[2].forest]
+        trees |= _fit_local(summed, [x for x in squared if bins[x[1]] <= LOCAL_ROWS], p, start)
+        trees |= _fit_levels(summed, [x for x in squared if bins[x[1]] > LOCAL_ROWS], p, start)
+        trees |= _fit_drawn(rows, [x for x in merge if x[2].forest and bins[x[1]] <= min(LOCAL_ROWS, rows_of[x[0]] // 4)], p)
+    rest = [x for x in numbered if x[0] not in trees]
+    trees |= _fit_local(rows, [x for x in rest if rows_of[x[0]] <= LOCAL_ROWS], p, start)
+    trees |= _fit_levels(rows, [x for x in rest if rows_of[x[0]] > LOCAL_ROWS], p, start)
     return [Ensemble.compiled(trees[j], edges, spec, start[j]) for j, _, spec in numbered]
 
 
+def _summed(rows: DataFrame) -> DataFrame:
+    """``rows`` with equal bins together: their weight, and as ``_y`` the mean of
+    their values in whole units, which gives back the sum of their gradients."""
+    total = F.sum(F.rint(F.col("_w") * F.col("_y") * F.lit(UNIT))) / F.lit(UNIT)
+    return rows.groupBy("_fit", "_x").agg((total / F.sum("_w")).alias("_y"), F.sum("_w").alias("_w"))
+
+
+def _fit_drawn(rows: DataFrame, jobs: list, p: int) -> dict[int, list[Tree]]:
+    """Forests of many rows but few rows of bins: one pass draws the weights of
+    all trees and sums them per row of bins, then a task grows each tree."""
+    if not jobs:
+        return {}
+    specs = {j: spec for j, _, spec in jobs}
+
+    def draws(batches):
+        for table in _chunks(batches):
+            fit, x = table.column("_fit").to_numpy(), table.column("_x").to_pylist()
+            ys, ws = table.column("_y").to_numpy(), table.column("_w").to_numpy()
+            every = np.frombuffer(b"".join(x), np.uint8).reshape(len(x), p)
+            for j, f, spec in jobs:
+                mine = np.flatnonzero(fit == f)
+                if not len(mine):
+                    continue
+                codes, y, w = every[mine], ys[mine], ws[mine]
+                first, at = distinct_rows(codes)
+                names = [r.tobytes() for r in codes[first]]
+                keys = row_keys(codes, y)
+                for t in range(spec.trees):
+                    a, b, _ = gradients(spec, y, w, None, keys, t)
+                    sa, sb = np.bincount(at, a, len(first)), np.bincount(at, b, len(first))
+                    use = np.flatnonzero(sb > 0)
+                    yield pa.RecordBatch.from_arrays(
+                        [pa.array(np.full(len(use), j, np.int32)), pa.array(np.full(len(use), t, np.int32)),
+                         pa.array([names[i] for i in use], pa.binary()), pa.array(sa[use]), pa.array(sb[use])], names=["job", "tree", "x", "a", "b"])
+
+    def finish(key, table):
+        job, t = (x.as_py() for x in key)
+        x = table.column("x").to_pylist()
+        codes = np.frombuffer(b"".join(x), np.uint8).reshape(len(x), p)
+        a, b = table.column("a").to_numpy(), table.column("b").to_numpy()
+        tree, leaf = grow(codes, a, b, specs[job], tree_key(specs[job], t))
+        set_values(tree, leaf, a, b, specs[job])
+        return pa.table({"job": pa.array([job], pa.int32()), "tree": pa.array([t], pa.int32()),
+                         "blob": pa.array([zlib.compress(pickle.dumps(tree, protocol=5), 1)], pa.binary())})
+
+    wanted = rows.where(F.col("_fit").isin(sorted({f for _, f, _ in jobs})))
+    added = wanted.mapInArrow(draws, "job int, tree int, x binary, a double, b double").groupBy("job", "tree", "x").agg(
+        F.sum("a").alias("a"), F.sum("b").alias("b"))
+    done = added.groupBy("job", "tree").applyInArrow(finish, "job int, tree int, blob binary").collect()      # the fitted trees
+    found = {(r["job"], r["tree"]): pickle.loads(zlib.decompress(r["blob"])) for r in done}
+    # a tree whose rows were all left out is one leaf
+    return {j: [found.get((j, t)) or Tree() for t in range(spec.trees)] for j, _, spec in jobs}
+
+
 def _fit_local(rows: DataFrame, jobs: list, p: int, start: dict) -> dict[int, list[Tree]]:
     """Fits whose rows one task can hold: a task per boosted model and per
     ``TREES_PER_TASK`` trees of a forest."""

@@ -204,3 +204,27 @@ def test_compiled_ensembles(table, spark):
     got = predict_by_key(keyed, FEATURES, ["id", "key"], "key", {"k1": models[0], "k3": models[2], "k9": models[1]}).collect()
     assert {(r.id, r.raw) for r in got} == {(r.id, one[r.id, 0 if r.key == "k1" else 2]) for r in got}
     assert {r.key for r in got} == {"k1", "k3"}
+
+
+SQUARED = [("all", TreeSpec(forest=False, trees=5, depth=3, rate=0.1, log=False)), ("all", TreeSpec(forest=True, trees=6, log=False, seed=3)),
+           ("all", TreeSpec(forest=True, trees=3, depth=3, some=True, log=False, seed=4))]
+
+
+def test_many_values_on_few_bins_need_no_levels(spark, monkeypatch):
+    """Squared loss and forests over rows of many values: the trees of the single rows, without a pass per level."""
+    rng = np.random.default_rng(11)
+    x = np.column_stack([rng.integers(0, 5, 1200), rng.integers(0, 4, 1200), np.ones(1200), rng.integers(0, 2, 1200)])
+    z = x[:, 0] - 2 * x[:, 1] * x[:, 3] + rng.normal(size=1200)
+    rows = [(*map(float, r), float(v)) for r, v in zip(x, z)]
+    df = spark.createDataFrame(rows + rows[:100], "a double, b double, c double, d double, z double").repartition(5)
+    table = fit_table(df, FEATURES, "z", F.lit(0))
+    single = fit_all(table, {"all": {0}}, SQUARED)
+    monkeypatch.setattr(trees, "LOCAL_ROWS", 100)          # 1200 rows, at most 40 of bins
+    kept = trees._fit_levels
+
+    def none(rows, jobs, *args):
+        assert not jobs
+        return kept(rows, jobs, *args)
+
+    monkeypatch.setattr(trees, "_fit_levels", none)
+    assert all(equal(a, b) for a, b in zip(single, fit_all(table, {"all": {0}}, SQUARED)))

@@ -30,7 +30,7 @@ def _table(spark, sf):
 def _cv(spark, sf):
     def run():
         scores, scored = mo.cross_validate(_table(spark, sf), FEATURE_COLUMNS, _CV_MODELS)
-        return scores.checkpoint(), scored.checkpoint()
+        return scores.checkpoint(), scored      # the rows are made by the one query that returns them
     return shared(spark, sf, "cross_validation", run)
 
 

@@ -5,7 +5,9 @@ a fit is a set of cells.  So one written table serves all folds, shares, sides
 and databases, and every pass over it serves all fits.  Scoring is one Arrow
 pass too: every model scores the rows of the cells it is asked for.  Models
 travel with the pass; what exceeds ``MODEL_BYTES`` goes in further passes over
-the rows.
+the rows.  A model sees each distinct row of an Arrow batch once, and where only
+metrics are asked for, a batch gives counts instead of its rows
+(:func:`score_counts`).
 """
 
 from __future__ import annotations
@@ -20,7 +22,7 @@ from pyspark.sql import functions as F
 
 from ..session import ensure_checkpoint_dir, ship
 from .newton import Logistic, fit_logistic
-from .trees import Ensemble, TreeSpec, _columns, fit_trees
+from .trees import Ensemble, TreeSpec, _columns, distinct_rows, fit_trees
 
 MODEL_BYTES = 64 << 20
 
@@ -73,8 +75,19 @@ def score_all(rows: FitTable, wanted: Sequence[tuple], limit: int = MODEL_BYTES)
     """``keep…, _y, job, part, raw`` for every row and every wanted ``(job,
     model, {cell: part})`` that asks for its cell: ``raw`` is the probability
     of class 1 or the predicted value.  A model without rows adds none."""
-    spark = rows.df.sparkSession
-    ship(spark)
+    ship(rows.df.sparkSession)
+    return _union([_score_pass(rows, some) for some in _passes(wanted, limit)])
+
+
+def score_counts(rows: FitTable, wanted: Sequence[tuple], limit: int = MODEL_BYTES) -> DataFrame:
+    """``_y, job, part, raw, n``: how many rows :func:`score_all` has of each of
+    these values.  What metrics need, without a row per row and model."""
+    ship(rows.df.sparkSession)
+    counts = _union([_count_pass(rows, some) for some in _passes(wanted, limit)])
+    return counts.groupBy("_y", "job", "part", "raw").agg(F.sum("n").alias("n"))
+
+
+def _passes(wanted: Sequence[tuple], limit: int) -> list[list]:
     passes: list[list] = [[]]
     size = 0
     for w in wanted:
@@ -83,13 +96,34 @@ def score_all(rows: FitTable, wanted: Sequence[tuple], limit: int = MODEL_BYTES)
             passes.append([])
             size = model_bytes(w[1])
         passes[-1].append(w)
-    out = None
-    for some in passes:
-        part = _score_pass(rows, some)
-        out = part if out is None else out.unionByName(part)
+    return passes
+
+
+def _union(parts: list[DataFrame]) -> DataFrame:
+    out = parts[0]
+    for part in parts[1:]:
+        out = out.unionByName(part)
     return out
 
 
+def _scores(batch: pa.RecordBatch, columns: Sequence[str], models: Sequence[tuple]):
+    """``(job, rows that ask for it, names of parts, part of each row, distinct
+    scores, score of each row)`` of every model that a batch needs."""
+    cell = batch.column("_cell").to_numpy(zero_copy_only=False)
+    x = _columns(batch, columns)
+    first, place = distinct_rows(x)
+    for job, model, cells in models:
+        mine = np.flatnonzero(np.isin(cell, list(cells)))
+        if not len(mine):
+            continue
+        present, which = np.unique(cell[mine], return_inverse=True)
+        names = sorted(set(cells.values()))
+        part = np.array([names.index(cells[c]) for c in present.tolist()], np.int64)[which]
+        used = np.zeros(len(first), bool)
+        used[place[mine]] = True
+        yield job, mine, names, part, model.predict(x[first[used]]), (np.cumsum(used) - 1)[place[mine]]
+
+
 def _score_pass(rows: FitTable, wanted: Sequence[tuple]) -> DataFrame:
     types = {f.name: f.dataType.simpleString() for f in rows.df.schema}
     schema = "".join(f"`{k}` {types[k]}, " for k in rows.keep) + "_y double, job int, part string, raw double"
@@ -98,22 +132,41 @@ def _score_pass(rows: FitTable, wanted: Sequence[tuple]) -> DataFrame:
 
     def run(batches):
         for batch in batches:
-            cell = batch.column("_cell").to_numpy(zero_copy_only=False)
-            x = _columns(batch, columns)
-            for job, model, cells in models.value:
-                mine = np.flatnonzero(np.isin(cell, list(cells)))
-                if not len(mine):
-                    continue
+            for job, mine, parts, part, raw, at in _scores(batch, columns, models.value):
                 rows_at = pa.array(mine)
-                part = pa.array([cells[c] for c in cell[mine].tolist()], pa.string())
                 yield pa.RecordBatch.from_arrays(
                     [*(batch.column(k).take(rows_at) for k in names), batch.column("_y").take(rows_at),
-                     pa.array(np.full(len(mine), job, np.int32)), part, pa.array(model.predict(x[mine]))],
+                     pa.array(np.full(len(mine), job, np.int32)), pa.array(parts, pa.string()).take(pa.array(part)), pa.array(raw[at])],
                     names=[*names, "_y", "job", "part", "raw"])
 
     return rows.df.mapInArrow(run, schema)
 
 
+def _count_pass(rows: FitTable, wanted: Sequence[tuple]) -> DataFrame:
+    columns = rows.columns
+    models = rows.df.sparkSession.sparkContext.broadcast([(j, m, dict(cells)) for j, m, cells in wanted])
+
+    def run(batches):
+        for batch in batches:
+            # a row without label is none to a metric, but a row
+            labels = batch.column("_y").dictionary_encode()
+            label = labels.indices.fill_null(len(labels.dictionary)).to_numpy(zero_copy_only=False).astype(np.int64)
+            width = len(labels.dictionary) + 1
+            known = pa.array([*labels.dictionary.to_pylist(), None], pa.float64())
+            out: list = []
+            for job, mine, parts, part, raw, at in _scores(batch, columns, models.value):
+                key, n = np.unique((part * len(raw) + at) * width + label[mine], return_counts=True)
+                group = key // width
+                out.append(pa.RecordBatch.from_arrays(
+                    [known.take(pa.array(key % width)), pa.array(np.full(len(key), job, np.int32)),
+                     pa.array(parts, pa.string()).take(pa.array(group // len(raw))), pa.array(raw[group % len(raw)]), pa.array(n.astype(np.int64))],
+                    names=["_y", "job", "part", "raw", "n"]))
+            if out:
+                yield from pa.Table.from_batches(out).combine_chunks().to_batches()
+
+    return rows.df.select("_cell", "_y", *columns).mapInArrow(run, "_y double, job int, part string, raw double, n long")
+
+
 def predict_column(df: DataFrame, features: Sequence[str], keep: Sequence[str], model) -> DataFrame:
     """``keep…, raw``: one model over any rows (nulls in features as 0)."""
     rows = _feature_rows(df, features, keep, F.lit(0))

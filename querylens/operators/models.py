@@ -5,7 +5,8 @@ together: rows are written once with a cell (:mod:`.fits`), the logistic fits
 share the passes of :mod:`.newton`, the tree fits those of :mod:`.trees`, and one
 pass scores every row with every model that asks for it into one prediction
 table ``(model, fold/group, y_true, y_pred, y_proba)``, over which every metric
-is one grouped aggregation (:mod:`.metrics`).
+is one grouped aggregation (:mod:`.metrics`).  Metrics read the number of rows per
+value of that table (``n``); its rows are made where they are asked for.
 """
 
 from __future__ import annotations
@@ -17,7 +18,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .fits import FitTable, LogisticSpec, fit_all, fit_table, predict_column, score_all
+from .fits import FitTable, LogisticSpec, fit_all, fit_table, predict_column, score_all, score_counts
 from .metrics import binary_metrics, roc_auc
 from .ranking import rank_within
 from .splits import HOLDOUT_DATABASES, MIN_QUERIES, SEED, split_seen_pooled, split_status, split_within_group_stratified, \
@@ -47,6 +48,11 @@ def as_predictions(scored: DataFrame, *columns: Column) -> DataFrame:
                          F.col("raw").alias("y_proba"))
 
 
+def as_counts(rows: FitTable, wanted: Sequence[tuple], *columns: Column) -> DataFrame:
+    """The prediction table as counts ``n``."""
+    return as_predictions(score_counts(rows, wanted), *columns, F.col("n"))
+
+
 def _fit_folds(rows: FitTable, folds: Mapping, models: Sequence[str]):
     """``(jobs, fitted models, seconds per fit)``: every model on every fold set
     of ``folds`` (name -> cells of its training rows)."""
@@ -62,9 +68,8 @@ def compare_classifiers(train: DataFrame, test: DataFrame, features: Sequence[st
     both = train.select(label, *features).withColumn("_t", F.lit(0)).unionByName(test.select(label, *features).withColumn("_t", F.lit(1)))
     rows = fit_table(both, features, label, F.col("_t"))
     fitted = fit_all(rows, {"train": {0}}, [("train", CLASSIFIERS[m]) for m in models])
-    scored = as_predictions(score_all(rows, [(i, m, {1: "test"}) for i, m in enumerate(fitted)]), named("job", models).alias("model"))
-    scored = scored.checkpoint()
-    return binary_metrics(scored, ["model"]).join(roc_auc(scored, ["model"]), "model", "left")
+    scored = as_counts(rows, [(i, m, {1: "test"}) for i, m in enumerate(fitted)], named("job", models).alias("model")).checkpoint()
+    return binary_metrics(scored, ["model"], weight="n").join(roc_auc(scored, ["model"], weight="n"), "model", "left")
 
 
 def fit_classifier(train: DataFrame, features: Sequence[str], model_name: str, label: str = LABEL):
@@ -85,23 +90,25 @@ def cross_validate(table: DataFrame, features: Sequence[str], models: Sequence[s
     ks = sorted(r[0] for r in rows.df.select("_cell").distinct().collect() if r[0] is not None)
     jobs, fitted, seconds = _fit_folds(rows, {f: {c for c in ks if c != f} for f in ks}, list(models))
     t0 = time.perf_counter()
+    model, fold = named("job", [m for m, _ in jobs] or [""]).alias("model"), named("job", [int(f) for _, f in jobs] or [0]).alias("fold")
     if jobs:
         wanted = [(i, m, {c: "test" if c == f else "train" for c in ks}) for i, ((_, f), m) in enumerate(zip(jobs, fitted))]
-        both = as_predictions(score_all(rows, wanted), F.col("question_id"), F.col("part").alias("_part"),
-                              named("job", [m for m, _ in jobs]).alias("model"), named("job", [int(f) for _, f in jobs]).alias("fold"))
+        both = as_counts(rows, wanted, F.col("part").alias("_part"), model, fold)
+        held = [(i, m, {f: "test"}) for i, ((_, f), m) in enumerate(zip(jobs, fitted))]
+        scored = as_predictions(score_all(rows, held), F.col("question_id"), model, fold)
     else:
-        types = dict(table.dtypes)
-        both = table.sparkSession.createDataFrame(
-            [], f"question_id {types['question_id']}, _part string, model string, fold int, y_true int, y_pred int, y_proba double")
-    both = both.checkpoint()      # scored once; the metrics read these rows
+        rest = "model string, fold int, y_true int, y_pred int, y_proba double"
+        both = table.sparkSession.createDataFrame([], f"_part string, {rest}, n long")
+        scored = table.sparkSession.createDataFrame([], f"question_id {dict(table.dtypes)['question_id']}, {rest}")
+    both = both.checkpoint()      # scored once; the metrics read these counts
     scoring = (time.perf_counter() - t0) / max(1, len(jobs))
     key = ["model", "fold", "_part"]
-    per = binary_metrics(both, key).join(roc_auc(both, key), key, "left")
+    per = binary_metrics(both, key, weight="n").join(roc_auc(both, key, weight="n"), key, "left")
     names = ["f1", "accuracy", "precision", "recall", "roc_auc"]
     wide = per.groupBy("model", "fold").agg(*[F.max(F.when(F.col("_part") == p, F.col(c))).alias(f"{p}_{c}")
                                              for p in ("train", "test") for c in names])
     scores = wide.select("*", F.lit(seconds).alias("fit_time_s"), F.lit(scoring).alias("score_time_s")).orderBy("model", "fold")
-    return scores, both.where(F.col("_part") == "test").drop("_part")
+    return scores, scored
 
 
 def cv_summary(scores: DataFrame) -> DataFrame:
@@ -129,10 +136,10 @@ def logistic_per_db(table: DataFrame, features: Sequence[str], label: str = LABE
     if ok:
         numbers = spark.createDataFrame(list(enumerate(ok)), "_db int, db_id string")
         side = 2 * F.col("_db") + (F.col("split") == "test").cast("int")
-        rows = fit_table(split.join(numbers, "db_id"), features, label, side, ["db_id"])
+        rows = fit_table(split.join(numbers, "db_id"), features, label, side)
         fitted = fit_all(rows, {i: {2 * i} for i in range(len(ok))}, [(i, CLASSIFIERS["Logistic Regression"]) for i in range(len(ok))])
-        scored = as_predictions(score_all(rows, [(i, m, {2 * i + 1: "test"}) for i, m in enumerate(fitted)]), F.col("db_id")).checkpoint()
-        m = binary_metrics(scored, ["db_id"]).join(roc_auc(scored, ["db_id"]), "db_id", "left")
+        scored = as_counts(rows, [(i, m, {2 * i + 1: "test"}) for i, m in enumerate(fitted)], named("job", ok).alias("db_id")).checkpoint()
+        m = binary_metrics(scored, ["db_id"], weight="n").join(roc_auc(scored, ["db_id"], weight="n"), "db_id", "left")
         m = m.select("db_id", F.round("f1", 6).alias("f1_slow"), F.round("roc_auc", 6).alias("roc_auc"),
                      F.round("accuracy", 6).alias("accuracy"))
     else:
@@ -210,8 +217,8 @@ def two_geometries(table: DataFrame, features: Sequence[str], models: Sequence[s
         specs = {side: factory or CLASSIFIERS[chosen[side]] for side, _, _ in parts}
         fitted = fit_all(rows, {side: set(range(at + 1, at + k + 2)) for side, at, _ in parts}, [(side, specs[side]) for side, _, _ in parts])
         wanted = [(i, m, {at: "test"}) for i, ((_, at, _), m) in enumerate(zip(parts, fitted))]
-        one = as_predictions(score_all(rows, wanted), named("job", [side for side, _, _ in parts]).alias("_g")).checkpoint()
-        for m in binary_metrics(one, ["_g"]).join(roc_auc(one, ["_g"]), "_g", "left").collect():       # one row per side
+        one = as_counts(rows, wanted, named("job", [side for side, _, _ in parts]).alias("_g")).checkpoint()
+        for m in binary_metrics(one, ["_g"], weight="n").join(roc_auc(one, ["_g"], weight="n"), "_g", "left").collect():       # one row per side
             row[f"{m['_g']}_best_model"] = "Logistic Regression" if factory else chosen[m["_g"]]
             for metric in _METRICS:
                 row[f"{m['_g']}_{metric}"] = float(m[metric]) if m[metric] is not None else None
@@ -231,9 +238,8 @@ def _chosen(rows: FitTable, parts: list, models: list[str], k: int) -> dict[str,
         return {side: models[0] for side, _, _ in parts}
     jobs, fitted, _ = _fit_folds(rows, folds, models)
     wanted = [(i, m, {tests[f]: "test"}) for i, ((_, f), m) in enumerate(zip(jobs, fitted))]
-    scored = as_predictions(score_all(rows, wanted), F.col("job")).checkpoint()
     f1: dict = {}
-    for r in binary_metrics(scored, ["job"]).collect():        # one row per fit
+    for r in binary_metrics(as_counts(rows, wanted, F.col("job")), ["job"], weight="n").collect():        # one row per fit
         m, (side, _) = jobs[r["job"]]
         f1.setdefault((side, m), []).append(r["f1"])
     return {side: max(models, key=lambda m: (float(np.mean(f1[side, m])) if (side, m) in f1 else 0.0, -models.index(m)))
@@ -308,7 +314,7 @@ def learning_curve(table: DataFrame, features: Sequence[str], shares=(0.2, 0.4,
     fitted = fit_all(rows, fits, [(j, CLASSIFIERS[model_name]) for j in jobs])
     wanted = [(i, m, {c: "train" for c in fits[j]} | {c: "validation" for c in cells if c % k == j[1]})
               for i, (j, m) in enumerate(zip(jobs, fitted))]
-    scored = as_predictions(score_all(rows, wanted), F.col("job"), F.col("part"), named("job", [float(shares[s]) for s, _ in jobs]).alias("share"),
-                            named("job", [cutoffs[f][s] for s, f in jobs]).alias("train_rows"))
-    m = binary_metrics(scored, ["share", "job", "part", "train_rows"])
+    scored = as_counts(rows, wanted, F.col("job"), F.col("part"), named("job", [float(shares[s]) for s, _ in jobs]).alias("share"),
+                       named("job", [cutoffs[f][s] for s, f in jobs]).alias("train_rows"))
+    m = binary_metrics(scored, ["share", "job", "part", "train_rows"], weight="n")
     return m.groupBy("share", "part").agg(F.avg("train_rows").alias("train_rows"), F.avg("f1").alias("f1")).orderBy("share", "part")

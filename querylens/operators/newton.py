@@ -3,7 +3,8 @@ M17, M22-M28).
 
 A fit minimises the sum of the log losses of its rows plus ``penalty / 2 |w|^2``
 over features standardized with the fit's own moments; the intercept is free.
-One pass over the rows gives, for every fit that has not converged, the loss,
+Rows of a cell that are equal in all features and the label are one row with a
+weight, brought together once.  One pass over them gives, for every fit that has not converged, the loss,
 the gradient and the matrix of second derivatives: sums over Arrow batches,
 added up by a grouped aggregate.  The driver solves one small system per fit
 (p + 1 numbers each) and halves a step that does not lower the loss.  The
@@ -63,18 +64,18 @@ def pooled(parts: list, p: int) -> tuple[float, float, np.ndarray, np.ndarray]:
     return n, t, mean, sum(x[3] + x[0] * (x[2] - mean) ** 2 for x in parts)
 
 
-def _sums(x: np.ndarray, y: np.ndarray, theta: np.ndarray, mean: np.ndarray, scale: np.ndarray) -> np.ndarray:
+def _sums(x: np.ndarray, y: np.ndarray, w: np.ndarray, theta: np.ndarray, mean: np.ndarray, scale: np.ndarray) -> np.ndarray:
     """Loss, gradient and upper triangle of the second derivatives."""
     z = np.column_stack([np.ones(len(x)), (x - mean) / scale])
     eta = z @ theta
     share = 1 / (1 + np.exp(-np.clip(eta, -700, 700)))
     loss = np.logaddexp(0, eta) - y * eta
-    second = (z * (share * (1 - share))[:, None]).T @ z
-    return np.concatenate([[loss.sum()], z.T @ (share - y), second[np.triu_indices(len(theta))]])
+    second = (z * (w * share * (1 - share))[:, None]).T @ z
+    return np.concatenate([[w @ loss], z.T @ (w * (share - y)), second[np.triu_indices(len(theta))]])
 
 
 def _pass(df: DataFrame, columns: Sequence[str], states: dict) -> dict[int, np.ndarray]:
-    """Sums of every fit ``number -> (cells, theta, mean, scale)``."""
+    """Sums over weighted rows of every fit ``number -> (cells, theta, mean, scale)``."""
     names = list(columns)
 
     def run(batches):
@@ -83,18 +84,19 @@ def _pass(df: DataFrame, columns: Sequence[str], states: dict) -> dict[int, np.n
             cell = batch.column("_cell").to_numpy(zero_copy_only=False)
             x = np.column_stack([batch.column(c).to_numpy(zero_copy_only=False) for c in names])
             y = batch.column("_y").to_numpy(zero_copy_only=False)
+            w = batch.column("_w").to_numpy(zero_copy_only=False).astype(float)
             present = set(np.unique(cell).tolist())
             for k, (cells, theta, mean, scale) in states.items():
                 own = cells & present
                 if own:
                     mine = np.isin(cell, list(own))
-                    s = _sums(x[mine], y[mine], theta, mean, scale)
+                    s = _sums(x[mine], y[mine], w[mine], theta, mean, scale)
                     total[k] = total[k] + s if k in total else s
         if total:
             yield pa.RecordBatch.from_arrays([pa.array(list(total), pa.int32()), pa.array([v.tolist() for v in total.values()], pa.list_(pa.float64()))],
                                              names=["fit", "sums"])
 
-    partial = df.select("_cell", "_y", *names).mapInArrow(run, "fit int, sums array<double>")
+    partial = df.select("_cell", "_y", "_w", *names).mapInArrow(run, "fit int, sums array<double>")
     added = partial.select("fit", F.posexplode("sums").alias("i", "s")).groupBy("fit", "i").agg(F.sum("s").alias("s"))
     whole = added.groupBy("fit").agg(F.array_sort(F.collect_list(F.struct("i", "s"))).alias("sums"))
     return {r["fit"]: np.array([x["s"] for x in r["sums"]]) for r in whole.collect()}
@@ -108,6 +110,7 @@ def fit_logistic(df: DataFrame, columns: Sequence[str], fits: Mapping, names: Se
     ship(df.sparkSession)
     p = len(columns)
     by_cell = moments(df, columns)
+    rows = df.groupBy("_cell", "_y", *columns).agg(F.count(F.lit(1)).alias("_w")).checkpoint()
     state, models = {}, {}
     for k, name in enumerate(names):
         cells = frozenset(int(c) for c in fits[name])
@@ -124,7 +127,7 @@ def fit_logistic(df: DataFrame, columns: Sequence[str], fits: Mapping, names: Se
         live = {k: s for k, s in state.items() if k not in models}
         if not live:
             break
-        sums = _pass(df, columns, {k: (s["cells"], s["theta"], s["mean"], s["scale"]) for k, s in live.items()})
+        sums = _pass(rows, columns, {k: (s["cells"], s["theta"], s["mean"], s["scale"]) for k, s in live.items()})
         for k, s in live.items():
             v, theta = sums[k], s["theta"]
             value = v[0] + penalties[k] / 2 * float(theta[1:] @ theta[1:])

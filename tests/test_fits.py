@@ -4,7 +4,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from querylens.operators import newton, trees
+from querylens.operators import fits, newton, trees
 from querylens.operators.fits import LogisticSpec, fit_all, fit_table, predict_by_key, score_all
 from querylens.operators.trees import TreeSpec
 
@@ -228,3 +228,41 @@ def test_many_values_on_few_bins_need_no_levels(spark, monkeypatch):
 
     monkeypatch.setattr(trees, "_fit_levels", none)
     assert all(equal(a, b) for a, b in zip(single, fit_all(table, {"all": {0}}, SQUARED)))
+
+
+def test_distinct_rows():
+    rng = np.random.default_rng(2)
+    for x in (rng.integers(0, 3, (500, 4)).astype(float), rng.integers(0, 3, (500, 4)).astype(np.uint8), np.zeros((3, 0)), np.zeros((0, 2)),
+              np.array([[np.nan, 1.0], [np.nan, 1.0], [-0.0, 2.0]])):
+        first, at = trees.distinct_rows(x)
+        assert np.array_equal(x[first][at], x, equal_nan=x.dtype == float)
+        assert len(first) == len({r.tobytes() for r in x})
+
+
+def test_equal_rows_reach_a_model_once(table, monkeypatch):
+    rows = fit_table(table.unionByName(table), FEATURES, "y", F.col("cell"), ["id"])
+    seen = []
+    monkeypatch.setattr(newton.Logistic, "predict", lambda self, x: seen.append(len(x)) or np.zeros(len(x)))
+    import pyarrow as pa
+    batch = pa.RecordBatch.from_pandas(rows.df.toPandas(), preserve_index=False)
+    model = newton.Logistic(0.0, np.zeros(4), np.zeros(4), np.ones(4))
+    (job, mine, names, part, raw, at), = fits._scores(batch, rows.columns, [(0, model, {c: "x" for c in range(5)})])
+    assert len(mine) == len(at) == len(part) == 800 and seen == [len(np.unique(sample()[0], axis=0))] == [len(raw)]
+
+
+def test_counts_are_the_rows_of_all_scores(table):
+    rows = fit_table(table.withColumn("y", F.when(F.col("id") % 50 != 0, F.col("y"))), FEATURES, "y", F.col("cell"), ["id"])
+    models = fit_all(fit_table(table, FEATURES, "y", F.col("cell")), FITS, JOBS)
+    wanted = [(i, m, {c: "test" if c == i else "train" for c in range(4)}) for i, m in enumerate(models)]
+    want = {tuple(r) for r in score_all(rows, wanted).groupBy("_y", "job", "part", "raw").count().collect()}
+    got = [tuple(r) for r in fits.score_counts(rows, wanted).collect()]
+    assert set(got) == want and len(got) == len(want) and sum(r[-1] for r in got) == 4 * sum(sample()[2] < 4)
+
+
+def test_logistic_passes_read_weighted_rows(table, monkeypatch):
+    seen = []
+    step = newton._pass
+    monkeypatch.setattr(newton, "_pass", lambda df, *a: seen.append((df.count(), df.agg(F.sum("_w")).first()[0])) or step(df, *a))
+    many = fit_table(table.unionByName(table).unionByName(table), FEATURES, "y", F.col("cell"))
+    fit_all(many, FITS, [("all", LogisticSpec())])
+    assert set(seen) == {(table.select("cell", "y", *FEATURES).distinct().count(), 1200)}

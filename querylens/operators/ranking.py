@@ -23,10 +23,13 @@ from __future__ import annotations
 
 from collections.abc import Callable, Sequence
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from ..session import ensure_checkpoint_dir
+from ..session import ensure_checkpoint_dir, ship
 
 #: Right shifts of a key that leave its first 22, 43 and all bits.
 SHIFTS = (42, 21, 0)
@@ -96,19 +99,16 @@ def rank_within(df: DataFrame, group_cols: Sequence[str], order: Sequence[Column
 def _with_key(df: DataFrame) -> DataFrame:
     """Add ``_key``, a long in the order of the double ``_v``: the exponent and
     the fraction of its magnitude as one number, with its sign.  Zeros of both
-    signs are equal, NaN comes last.  Plain arithmetic on powers of two, so it is exact."""
-    a = F.abs("_v")
-    two = lambda e: F.pow(F.lit(2.0), e.cast("double"))
-    finite = (a >= 2.0 ** -1022) & (a < float("inf"))
-    # the logarithm may be off by one next to a power of two
-    e = F.when(finite, F.floor(F.log2(a)).cast("long"))
-    exact = F.when(a < two(F.col("_e")), F.col("_e") - 1).when(a >= two(F.col("_e") + 1), F.col("_e") + 1).otherwise(F.col("_e"))
-    fraction = ((a / two(F.col("_e")) - 1) * 2.0 ** 52).cast("long")
-    size = (F.when(F.isnan("_v"), F.lit((2047 << 52) + 1)).when(a == float("inf"), F.lit(2047 << 52))
-            .when(a < 2.0 ** -1022, (a * 2.0 ** 537 * 2.0 ** 537).cast("long"))
-            .otherwise((F.col("_e") + 1023) * (1 << 52) + fraction))
-    return (df.withColumn("_e", e).withColumn("_e", exact)
-            .withColumn("_key", F.when(F.col("_v") < 0, -size).otherwise(size)).drop("_e"))
+    signs are equal, NaN comes last.  Those are the bits of the double, read
+    from Arrow batches."""
+    def run(batches):
+        for batch in batches:
+            v = batch.column("_v").to_numpy(zero_copy_only=False)
+            size = v.view(np.int64) & np.int64((1 << 63) - 1)
+            key = np.where(np.isnan(v), np.int64((2047 << 52) + 1), np.where(np.signbit(v), -size, size))
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(key)], names=[*batch.schema.names, "_key"])
+
+    return df.mapInArrow(run, T.StructType([*df.schema.fields, T.StructField("_key", T.LongType())]))
 
 
 def _holding(counted: DataFrame, bucket: Sequence[str], order: str) -> DataFrame:
@@ -132,6 +132,7 @@ def _by_digits(values: DataFrame, groups: list[str], positions: Callable[[Column
     """``groups, _n, _wanted, _v`` of few groups: every pass counts the values
     per further bits of their key, only the buckets that hold a wanted position
     go on, and a full key is one value."""
+    ship(values.sparkSession)
     keyed = _with_key(values)
     open_ = None
     for last, shift in zip((None, *SHIFTS), SHIFTS):

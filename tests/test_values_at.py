@@ -81,3 +81,9 @@ def test_nulls_and_empty(spark):
     assert rk.exact_quantiles(df.limit(0), "v", [0.5], ["g"]).count() == 0
     five = {r.col_name: tuple(r)[1:] for r in ca.five_point(df.select("v", F.lit(None).cast("double").alias("w")), ["v", "w"]).collect()}
     assert five == {"v": (1.0,) * 5, "w": (None,) * 5}
+
+
+def test_a_key_is_worked_out_once_per_value(spark):
+    """Behind an Arrow pass the key is a column; as an expression it is repeated wherever it is used."""
+    plan = rk._with_key(spark.createDataFrame([(1.5,)], "_v double")).groupBy(F.shiftright("_key", 42)).count()._jdf.queryExecution().optimizedPlan().toString()
+    assert "MapInArrow" in plan and "LOG2" not in plan.upper() and "POW" not in plan.upper()

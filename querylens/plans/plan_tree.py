@@ -234,14 +234,17 @@ def predicate_count(sql) -> Column:
 def node_vectors(nodes: DataFrame, queries: DataFrame, tables: DataFrame, columns: DataFrame,
                  indexes: DataFrame) -> DataFrame:
     """The 23 node features as columns f0..f22 for every reachable node."""
-    nd = table_of_node(with_depth(nodes), tables)
+    # classes worked out once per node: behind an Arrow pass they are columns, not expressions
+    reached = with_depth(nodes)
+    nd = table_of_node(reached.withColumns({"_op": classify_operator("detail"), "_ac": classify_access("detail")}), tables)
     stats = catalog_table_stats(tables, columns, indexes)
-    pairs = nd.where(F.col("table_name").isNotNull()).select("query_id", "table_name").distinct()
+    named = table_of_node(reached.select("query_id", "detail"), tables)
+    pairs = named.where(F.col("table_name").isNotNull()).select("query_id", "table_name").distinct()
     qt = query_table_features(pairs, queries, columns, indexes)
     x = (nd.join(stats, "table_name", "left").join(qt, ["query_id", "table_name"], "left")
            .join(queries.select("query_id", predicate_count("sql").alias("_preds")), "query_id", "left"))
     known = F.col("row_count").isNotNull()
-    op, ac = classify_operator("detail"), classify_access("detail")
+    op, ac = F.col("_op"), F.col("_ac")
     feats = [F.when(op == i, 1.0).otherwise(0.0) for i in range(len(OPERATOR_TYPES))]
     feats += [F.when(ac == i, 1.0).otherwise(0.0) for i in range(len(ACCESS_TYPES))]
     rows = F.greatest(F.col("row_count").cast("double"), F.lit(0.0))

@@ -58,3 +58,18 @@ def test_names_of_several_words(spark):
                                    "table_name string, table_pos int, row_count int")
     got = {r.query_id: r.table_name for r in table_of_node(nodes, tables).collect()}
     assert got == {1: "Order Details", 2: "order-log", 3: None, 4: "orders", 5: None}
+
+
+def test_node_classes_are_worked_out_once(spark):
+    """The one-hot columns compare a class that is there, they do not search the node text again."""
+    from querylens.plans import plan_tree as pt
+    nodes = spark.createDataFrame([(1, 2, 0, "SCAN a")], "query_id long, node_id long, parent_id long, detail string")
+    queries = spark.createDataFrame([(1, "SELECT x FROM a")], "query_id long, sql string")
+    tables = spark.createDataFrame([("a", 0, 5)], "table_name string, table_pos int, row_count int")
+    columns = spark.createDataFrame([("a", "x")], "table_name string, col_name string")
+    indexes = spark.createDataFrame([], "table_name string, index_name string, index_sql string")
+    vectors = pt.node_vectors(nodes, queries, tables, columns, indexes)
+    plan = vectors._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("COMPOUND") == 2             # the name of the class, and one search for it
+    row = vectors.first()
+    assert (row.node_type, row.f1, row.f14) == ("SCAN", 1.0, 1.0) and sum(row[f"f{i}"] for i in range(15)) == 2.0

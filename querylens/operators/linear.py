@@ -25,9 +25,12 @@ from collections.abc import Sequence
 from dataclasses import dataclass
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..session import ship
+
 # Fixed values (reference configuration).
 LINEAR_MODELS = {"Linear": ("ols", 0.0), "Ridge(a=1)": ("ridge", 1.0), "Ridge(a=10)": ("ridge", 10.0),
                  "Lasso": ("lasso", 0.01)}
@@ -52,48 +55,61 @@ def standardize(df: DataFrame, features: Sequence[str], moments: DataFrame,
     ``moments`` has one row per group; without groups it is a single row, which
     is broadcast."""
     feats = list(features)
-    sd = [F.when(F.col(f"_sd{i}") > 0, F.col(f"_sd{i}")).otherwise(F.lit(1.0)) for i in range(len(feats))]
+    # the divisors are worked out once per group, not per row
+    sd = [F.when(F.col(f"_sd{i}") > 0, F.col(f"_sd{i}")).otherwise(F.when(F.col(f"_sd{i}").isNotNull(), F.lit(1.0))).alias(f"_sd{i}")
+          for i in range(len(feats))]
+    moments = moments.select(*group_cols, *[f"_mu{i}" for i in range(len(feats))], *sd)
     if group_cols:
         j = df.join(moments, list(group_cols), "left")
     else:
         j = df.withColumn("_k", F.lit(1)).join(F.broadcast(moments.withColumn("_k", F.lit(1))), "_k").drop("_k")
-    zs = [((_x(c) - F.col(f"_mu{i}")) / sd[i]).alias(c) for i, c in enumerate(feats)]
+    zs = [((_x(c) - F.col(f"_mu{i}")) / F.col(f"_sd{i}")).alias(c) for i, c in enumerate(feats)]
     keep = [c for c in df.columns if c not in feats]
     return j.select(*keep, *zs)
 
 
 def _partial_gram(group_cols, feats, target):
-    """mapInPandas body: one partial Gram vector per (partition, group)."""
-    p = len(feats)
-    iu = np.triu_indices(p)
+    """mapInArrow body: one partial Gram vector per (partition, group)."""
+    iu = np.triu_indices(len(feats))
 
     def run(batches):
-        import pandas as pd
         acc: dict = {}
-        for pdf in batches:
-            if pdf.empty:
+        kinds: list = []
+        for batch in batches:
+            n = batch.num_rows
+            if not n:
                 continue
-            groups = pdf.groupby(list(group_cols), dropna=False, sort=False) if group_cols else [((), pdf)]
-            for key, g in groups:
-                key = key if isinstance(key, tuple) else (key,)
-                Z = g[list(feats)].to_numpy(dtype=float)
-                y = g[target].to_numpy(dtype=float)
-                vec = np.concatenate([[len(y), y.sum(), y @ y], Z.T @ y, (Z.T @ Z)[iu]])
+            columns = [batch.column(c).to_numpy(zero_copy_only=False) for c in (*feats, target)]
+            x, y = np.column_stack(columns[:-1]) if feats else np.zeros((n, 0)), columns[-1]
+            keyed = [batch.column(g).dictionary_encode(null_encoding="encode") for g in group_cols]
+            kinds = [k.dictionary.type for k in keyed]
+            code = np.zeros(n, np.int64)
+            for k in keyed:
+                code = code * len(k.dictionary) + k.indices.to_numpy()
+            order = np.argsort(code, kind="stable")
+            cuts = np.flatnonzero(np.concatenate([[True], np.diff(code[order]) != 0, [True]]))
+            for i, j in zip(cuts, cuts[1:]):
+                rows = order[i:j]
+                key = tuple(k[int(rows[0])].as_py() for k in keyed)
+                Z, t = x[rows], y[rows]
+                vec = np.concatenate([[len(t), t.sum(), t @ t], Z.T @ t, (Z.T @ Z)[iu]])
                 acc[key] = acc[key] + vec if key in acc else vec
         if acc:
-            rows = [dict(zip(group_cols, k), _stats=v.tolist()) for k, v in acc.items()]
-            yield pd.DataFrame(rows, columns=[*group_cols, "_stats"])
+            names = [pa.array([k[i] for k in acc], kind) for i, kind in enumerate(kinds)]
+            yield pa.RecordBatch.from_arrays([*names, pa.array([v.tolist() for v in acc.values()], pa.list_(pa.float64()))],
+                                             names=[*group_cols, "_stats"])
     return run
 
 
 def gram_table(df: DataFrame, features: Sequence[str], target: str,
                group_cols: Sequence[str] = ()) -> tuple[DataFrame, DataFrame]:
     """Pass 1: moments per group.  Pass 2: standardized sums ``n, sum y,
-    sum y^2, sum z y, sum z z^T`` -- numpy per partition and group inside
-    ``mapInPandas`` (Arrow batches), then an ordinary grouped sum of the
+    sum y^2, sum z y, sum z z^T`` -- numpy per partition and group over Arrow
+    batches, then an ordinary grouped sum of the
     partial vectors by position.  Returns (moments, long sums) where the
     long table has one row per group and position (``_pos``, ``_v``) in the
     order n, sy, syy, c_0..c_{p-1}, upper triangle of G row by row."""
+    ship(df.sparkSession)
     feats = list(features)
     group_cols = list(group_cols)
     mom = feature_moments(df, feats, group_cols)
@@ -101,7 +117,7 @@ def gram_table(df: DataFrame, features: Sequence[str], target: str,
     z = z.select(*group_cols, *feats, target)
     gtypes = ", ".join(f"{g} {df.schema[g].dataType.simpleString()}" for g in group_cols)
     schema = (gtypes + ", " if gtypes else "") + "_stats array<double>"
-    partial = z.mapInPandas(_partial_gram(group_cols, feats, target), schema)
+    partial = z.mapInArrow(_partial_gram(group_cols, feats, target), schema)
     summed = (partial.select(*group_cols, F.posexplode("_stats").alias("_pos", "_v"))
                      .groupBy(*group_cols, "_pos").agg(F.sum("_v").alias("_v")))
     return mom, summed

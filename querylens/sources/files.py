@@ -19,6 +19,7 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..session import ensure_checkpoint_dir
 from .split_scan import csv_records, json_objects, parsed_csv
 
 QUERY_LOG_DDL = "question_id long, db_id string, sql string, difficulty string, runtime_s double"
@@ -49,7 +50,8 @@ def read_questions(spark: SparkSession, path: str) -> DataFrame:
     difficulty).  ``db_id`` and ``SQL`` are required; a missing
     ``question_id`` becomes the row's position in its file, from 0, a missing
     difficulty 'unknown'."""
-    found = json_objects(spark, path)
+    ensure_checkpoint_dir(spark)
+    found = json_objects(spark, path).checkpoint()      # the files are scanned once; two passes read these objects
     names = F.json_object_keys("text")
     # which of the columns occur at all: one row
     there = found.agg(*[F.max(F.array_contains(names, c).cast("int")).alias(c) for c in ("db_id", "SQL")]).first()

@@ -75,3 +75,11 @@ def test_csv_written_by_spark(spark, small_splits):
     path = os.path.join(tempfile.mkdtemp(prefix="ql-test-"), "log")
     files.write_query_log(df, path, "csv")
     assert sorted(tuple(r) for r in files.read_query_log(spark, path, "csv").collect()) == rows
+
+
+def test_questions_are_scanned_once(spark, monkeypatch):
+    """The check of the columns and the result read the same found objects, not the files again."""
+    path = write("q.json", json.dumps([{"db_id": "d", "SQL": "SELECT 1"}, {"db_id": "e", "SQL": "SELECT 2", "question_id": 9}]))
+    found = files.read_questions(spark, path)
+    assert "MapInArrow" not in found._jdf.queryExecution().optimizedPlan().toString()
+    assert sorted(map(tuple, found.collect())) == [(0, "d", "SELECT 1", "unknown"), (9, "e", "SELECT 2", "unknown")]

@@ -12,8 +12,9 @@ names at once (:mod:`.names`), a text at a time within the rows' own tasks, so
 no text is ever the key of a shuffle; reachability below the synthetic ROOT is computed on
 the nodes of a plan held together as one array, by pointer doubling over a
 whole Arrow batch of plans, without a recursion or its limits; the tree mean
-is 23 summed columns per query.  Every step is keyed by query id, so the work
-spreads over all partitions however many queries there are.
+is 23 summed columns per query.  Every step is keyed by query id; from
+``PLAN_ROWS`` queries on the number of partitions grows with them, so that the
+rows a task sorts and sums do not.
 """
 
 from __future__ import annotations
@@ -31,6 +32,7 @@ OPERATOR_TYPES = ["ROOT", "SCAN", "SEARCH", "SORT", "USE_TEMP", "COMPOUND", "SUB
 ACCESS_TYPES = ["NONE", "INDEX", "COVERING_INDEX", "INTEGER_PK", "SCAN_TABLE"]
 NODE_DIM = len(OPERATOR_TYPES) + len(ACCESS_TYPES) + 8
 GLOBAL_DIM = 16
+PLAN_ROWS = 200_000
 # Keywords ending the WHERE part for node predicates, global predicates and index checks.
 NODE_PRED_STOPS = ["GROUP BY", "ORDER BY", "LIMIT", "HAVING", "EXCEPT", "UNION"]
 GLOBAL_PRED_STOPS = ["GROUP BY", "ORDER BY", "LIMIT", "HAVING"]
@@ -73,6 +75,17 @@ def where_part(u: Column, stops) -> Column:
     return part
 
 
+def plan_partitions(queries: DataFrame) -> int:
+    """Partitions for rows keyed by query id, about ``PLAN_ROWS`` queries each;
+    0 (the session's) for tables of no more than that."""
+    n = queries.count()
+    return max(-(-n // PLAN_ROWS), queries.sparkSession.sparkContext.defaultParallelism) if n > PLAN_ROWS else 0
+
+
+def _spread(df: DataFrame, parts: int, *keys: str) -> DataFrame:
+    return df.repartition(parts, *keys) if parts else df
+
+
 def table_of_node(nodes: DataFrame, tables: DataFrame) -> DataFrame:
     """First catalog table (by position) named as a whole word in the
     node text, case-insensitively.  The rows stay where they are: every Arrow
@@ -234,14 +247,16 @@ def predicate_count(sql) -> Column:
 def node_vectors(nodes: DataFrame, queries: DataFrame, tables: DataFrame, columns: DataFrame,
                  indexes: DataFrame) -> DataFrame:
     """The 23 node features as columns f0..f22 for every reachable node."""
+    parts = plan_partitions(queries)
+    queries = _spread(queries, parts, "query_id")
     # classes worked out once per node: behind an Arrow pass they are columns, not expressions
-    reached = with_depth(nodes)
+    reached = with_depth(_spread(nodes, parts, "query_id"))
     nd = table_of_node(reached.withColumns({"_op": classify_operator("detail"), "_ac": classify_access("detail")}), tables)
     stats = catalog_table_stats(tables, columns, indexes)
-    named = table_of_node(reached.select("query_id", "detail"), tables)
-    pairs = named.where(F.col("table_name").isNotNull()).select("query_id", "table_name").distinct()
-    qt = query_table_features(pairs, queries, columns, indexes)
-    x = (nd.join(stats, "table_name", "left").join(qt, ["query_id", "table_name"], "left")
+    named = table_of_node(reached.select("query_id", "detail"), tables).where(F.col("table_name").isNotNull())
+    pairs = _spread(named.select("query_id", "table_name"), parts, "query_id").distinct()
+    qt = _spread(query_table_features(pairs, queries, columns, indexes), parts, "query_id", "table_name")
+    x = (_spread(nd, parts, "query_id", "table_name").join(stats, "table_name", "left").join(qt, ["query_id", "table_name"], "left")
            .join(queries.select("query_id", predicate_count("sql").alias("_preds")), "query_id", "left"))
     known = F.col("row_count").isNotNull()
     op, ac = F.col("_op"), F.col("_ac")
@@ -305,6 +320,7 @@ def estimated_rows(queries: DataFrame, tables: DataFrame) -> DataFrame:
 
 def global_vector(queries: DataFrame, tables: DataFrame) -> DataFrame:
     """The 16 query-level features g0..g15."""
+    queries = _spread(queries, plan_partitions(queries), "query_id")
     s = F.col("sql")
     u = F.upper(s)
     joins = count_substr(u, " JOIN ")

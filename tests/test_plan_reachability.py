@@ -73,3 +73,33 @@ def test_node_classes_are_worked_out_once(spark):
     assert plan.count("COMPOUND") == 2             # the name of the class, and one search for it
     row = vectors.first()
     assert (row.node_type, row.f1, row.f14) == ("SCAN", 1.0, 1.0) and sum(row[f"f{i}"] for i in range(15)) == 2.0
+
+
+def test_tasks_hold_a_bounded_number_of_queries(spark, monkeypatch):
+    """The rows of a task do not grow with the table, and results stay."""
+    from querylens.plans import plan_tree as pt
+    queries = spark.createDataFrame([(i, f"SELECT a FROM t JOIN u WHERE a = {i % 7} AND b > 1") for i in range(4000)], "query_id long, sql string")
+    nodes = spark.createDataFrame([(i, n, 0, d) for i in range(4000) for n, d in ((2, "SCAN t"), (3 + i % 2, "SEARCH u USING INDEX x"))],
+                                  "query_id long, node_id long, parent_id long, detail string")
+    tables = spark.createDataFrame([("t", 0, 10), ("u", 1, 20)], "table_name string, table_pos int, row_count int")
+    columns = spark.createDataFrame([("t", "a"), ("u", "b")], "table_name string, col_name string")
+    indexes = spark.createDataFrame([("u", "x", "CREATE INDEX x ON u(b)")], "table_name string, index_name string, index_sql string")
+
+    def run():
+        df = pt.plan_features(nodes, queries, tables, columns, indexes)
+        rows = df.select("*", F.spark_partition_id().alias("p")).collect()
+        size = {}
+        for r in rows:
+            size[r["p"]] = size.get(r["p"], 0) + 1
+        return {r["query_id"]: r["plan_vec"] for r in rows}, max(size.values())
+
+    plain, _ = run()
+    monkeypatch.setattr(pt, "PLAN_ROWS", 50)
+    name = "spark.sql.autoBroadcastJoinThreshold"
+    spark.conf.set(name, "5000")      # the catalog is broadcast, the queries are not, as in large tables
+    try:
+        spread, largest = run()
+    finally:
+        spark.conf.unset(name)
+    assert spread == plain and len(plain) == 4000
+    assert largest < 150

@@ -29,7 +29,7 @@ def _table(spark, sf):
 
 def _cv(spark, sf):
     def run():
-        scores, scored = mo.cross_validate(_table(spark, sf), FEATURE_COLUMNS, _CV_MODELS)
+        scores, scored = mo.cross_validation(_table(spark, sf), FEATURE_COLUMNS, _CV_MODELS)
         return scores.checkpoint(), scored      # the rows are made by the one query that returns them
     return shared(spark, sf, "cross_validation", run)
 
@@ -45,8 +45,8 @@ def _m10(spark, sf):
 
 def _m11(spark, sf):
     scores, scored = _cv(spark, sf)
-    best = mo.select_best(mo.cv_summary(scores), _CV_MODELS).select("model")
-    return scored.join(best, "model", "left_semi")
+    best = mo.select_best(mo.cv_summary(scores), _CV_MODELS).first()      # no row without folds
+    return scored([best["model"]] if best else [])
 
 
 register("m9_cross_validate")(_m9)

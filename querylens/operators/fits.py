@@ -21,7 +21,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..session import ensure_checkpoint_dir, ship
-from .newton import Logistic, fit_logistic
+from .newton import Logistic, fit_logistic, weight
 from .trees import Ensemble, TreeSpec, _columns, distinct_rows, fit_trees
 
 MODEL_BYTES = 64 << 20
@@ -36,7 +36,7 @@ class LogisticSpec:
 
 @dataclass
 class FitTable:
-    df: DataFrame              # keep columns, _cell, _y, one double column per feature
+    df: DataFrame              # keep columns, _cell, _y, one double column per feature; _w in a count_table
     keep: list[str]
     columns: list[str]
 
@@ -44,11 +44,27 @@ class FitTable:
 def fit_table(table: DataFrame, features: Sequence[str], label: str, cell: Column, keep: Sequence[str] = ()) -> FitTable:
     """The rows that fits and scoring read, written once (nulls in features
     as 0)."""
+    rows = _selected(table, features, label, cell, keep)
+    return FitTable(rows.df.checkpoint(), rows.keep, rows.columns)
+
+
+def count_table(table: DataFrame, features: Sequence[str], label: str, cell: Column) -> FitTable:
+    """:func:`fit_table` for fits and counts of scores: equal rows are written
+    as one with their number ``_w``, so that no later pass reads them again."""
+    return counted(_selected(table, features, label, cell, ()))
+
+
+def counted(rows: FitTable) -> FitTable:
+    """The rows as in :func:`count_table`."""
+    return FitTable(rows.df.groupBy("_cell", "_y", *rows.columns).agg(F.count(F.lit(1)).alias("_w")).checkpoint(), [], rows.columns)
+
+
+def _selected(table: DataFrame, features: Sequence[str], label: str, cell: Column, keep: Sequence[str]) -> FitTable:
     ensure_checkpoint_dir(table.sparkSession)
     columns = [f"_f{i}" for i in range(len(features))]
     df = table.select(*[F.col(k) for k in keep], cell.cast("int").alias("_cell"), F.col(label).cast("double").alias("_y"),
                       *[F.coalesce(F.col(f).cast("double"), F.lit(0.0)).alias(c) for f, c in zip(features, columns)])
-    return FitTable(df.checkpoint(), list(keep), columns)
+    return FitTable(df, list(keep), columns)
 
 
 def fit_all(rows: FitTable, fits: Mapping, jobs: Sequence[tuple]) -> list[Logistic | Ensemble]:
@@ -75,6 +91,8 @@ def score_all(rows: FitTable, wanted: Sequence[tuple], limit: int = MODEL_BYTES)
     """``keep…, _y, job, part, raw`` for every row and every wanted ``(job,
     model, {cell: part})`` that asks for its cell: ``raw`` is the probability
     of class 1 or the predicted value.  A model without rows adds none."""
+    if "_w" in rows.df.columns:
+        raise ValueError("the rows of a count_table are counted, not scored one by one")
     ship(rows.df.sparkSession)
     return _union([_score_pass(rows, some) for some in _passes(wanted, limit)])
 
@@ -150,12 +168,14 @@ def _count_pass(rows: FitTable, wanted: Sequence[tuple]) -> DataFrame:
         for batch in batches:
             # a row without label is none to a metric, but a row
             labels = batch.column("_y").dictionary_encode()
+            weights = batch.column("_w").to_numpy(zero_copy_only=False)
             label = labels.indices.fill_null(len(labels.dictionary)).to_numpy(zero_copy_only=False).astype(np.int64)
             width = len(labels.dictionary) + 1
             known = pa.array([*labels.dictionary.to_pylist(), None], pa.float64())
             out: list = []
             for job, mine, parts, part, raw, at in _scores(batch, columns, models.value):
-                key, n = np.unique((part * len(raw) + at) * width + label[mine], return_counts=True)
+                key, place = np.unique((part * len(raw) + at) * width + label[mine], return_inverse=True)
+                n = np.bincount(place, weights[mine])
                 group = key // width
                 out.append(pa.RecordBatch.from_arrays(
                     [known.take(pa.array(key % width)), pa.array(np.full(len(key), job, np.int32)),
@@ -164,7 +184,7 @@ def _count_pass(rows: FitTable, wanted: Sequence[tuple]) -> DataFrame:
             if out:
                 yield from pa.Table.from_batches(out).combine_chunks().to_batches()
 
-    return rows.df.select("_cell", "_y", *columns).mapInArrow(run, "_y double, job int, part string, raw double, n long")
+    return rows.df.select("_cell", "_y", weight(rows.df).alias("_w"), *columns).mapInArrow(run, "_y double, job int, part string, raw double, n long")
 
 
 def predict_column(df: DataFrame, features: Sequence[str], keep: Sequence[str], model) -> DataFrame:

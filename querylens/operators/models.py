@@ -12,13 +12,13 @@ value of that table (``n``); its rows are made where they are asked for.
 from __future__ import annotations
 
 import time
-from collections.abc import Mapping, Sequence
+from collections.abc import Callable, Mapping, Sequence
 
 import numpy as np
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .fits import FitTable, LogisticSpec, fit_all, fit_table, predict_column, score_all, score_counts
+from .fits import FitTable, LogisticSpec, count_table, counted, fit_all, fit_table, predict_column, score_all, score_counts
 from .metrics import binary_metrics, roc_auc
 from .ranking import rank_within
 from .splits import HOLDOUT_DATABASES, MIN_QUERIES, SEED, split_seen_pooled, split_status, split_within_group_stratified, \
@@ -26,6 +26,7 @@ from .splits import HOLDOUT_DATABASES, MIN_QUERIES, SEED, split_seen_pooled, spl
 from .trees import TreeSpec
 
 LABEL = "label_binary"
+_SCORED_DDL = "model string, fold int, y_true int, y_pred int, y_proba double"
 
 # The reference's classifier set and its settings.
 CLASSIFIERS: dict[str, LogisticSpec | TreeSpec] = {
@@ -66,7 +67,7 @@ def compare_classifiers(train: DataFrame, test: DataFrame, features: Sequence[st
                         label: str = LABEL) -> DataFrame:
     """M5-M8: every model fitted on ``train``, ``test`` scored: metrics per model."""
     both = train.select(label, *features).withColumn("_t", F.lit(0)).unionByName(test.select(label, *features).withColumn("_t", F.lit(1)))
-    rows = fit_table(both, features, label, F.col("_t"))
+    rows = count_table(both, features, label, F.col("_t"))
     fitted = fit_all(rows, {"train": {0}}, [("train", CLASSIFIERS[m]) for m in models])
     scored = as_counts(rows, [(i, m, {1: "test"}) for i, m in enumerate(fitted)], named("job", models).alias("model")).checkpoint()
     return binary_metrics(scored, ["model"], weight="n").join(roc_auc(scored, ["model"], weight="n"), "model", "left")
@@ -74,7 +75,7 @@ def compare_classifiers(train: DataFrame, test: DataFrame, features: Sequence[st
 
 def fit_classifier(train: DataFrame, features: Sequence[str], model_name: str, label: str = LABEL):
     """One fitted model on all rows."""
-    rows = fit_table(train, features, label, F.lit(0))
+    rows = count_table(train, features, label, F.lit(0))
     return fit_all(rows, {"all": {0}}, [("all", CLASSIFIERS[model_name])])[0]
 
 
@@ -85,21 +86,33 @@ def cross_validate(table: DataFrame, features: Sequence[str], models: Sequence[s
     train_ and test_ f1, accuracy, precision, recall, roc_auc, fit_time_s,
     score_time_s, an equal share of the joint times;  out-of-fold scored
     rows).  No rows if a class is too small for two folds."""
+    scores, scored = cross_validation(table, features, models, k, label)
+    return scores, scored(models)
+
+
+def cross_validation(table: DataFrame, features: Sequence[str], models: Sequence[str], k: int = 5,
+                     label: str = LABEL) -> tuple[DataFrame, Callable[[Sequence[str]], DataFrame]]:
+    """:func:`cross_validate` with the out-of-fold rows as a function of the
+    models that are to score them."""
     folded = stratified_folds(table.select("question_id", label, *features), k=k, label_col=label)
     rows = fit_table(folded, features, label, F.col("fold"), ["question_id"])
-    ks = sorted(r[0] for r in rows.df.select("_cell").distinct().collect() if r[0] is not None)
-    jobs, fitted, seconds = _fit_folds(rows, {f: {c for c in ks if c != f} for f in ks}, list(models))
+    counts = counted(rows)
+    ks = sorted(r[0] for r in counts.df.select("_cell").distinct().collect() if r[0] is not None)
+    jobs, fitted, seconds = _fit_folds(counts, {f: {c for c in ks if c != f} for f in ks}, list(models))
     t0 = time.perf_counter()
     model, fold = named("job", [m for m, _ in jobs] or [""]).alias("model"), named("job", [int(f) for _, f in jobs] or [0]).alias("fold")
     if jobs:
         wanted = [(i, m, {c: "test" if c == f else "train" for c in ks}) for i, ((_, f), m) in enumerate(zip(jobs, fitted))]
-        both = as_counts(rows, wanted, F.col("part").alias("_part"), model, fold)
-        held = [(i, m, {f: "test"}) for i, ((_, f), m) in enumerate(zip(jobs, fitted))]
-        scored = as_predictions(score_all(rows, held), F.col("question_id"), model, fold)
+        both = as_counts(counts, wanted, F.col("part").alias("_part"), model, fold)
     else:
-        rest = "model string, fold int, y_true int, y_pred int, y_proba double"
-        both = table.sparkSession.createDataFrame([], f"_part string, {rest}, n long")
-        scored = table.sparkSession.createDataFrame([], f"question_id {dict(table.dtypes)['question_id']}, {rest}")
+        both = table.sparkSession.createDataFrame([], f"_part string, {_SCORED_DDL}, n long")
+
+    def scored(some: Sequence[str]) -> DataFrame:
+        held = [(i, m, {f: "test"}) for i, ((name, f), m) in enumerate(zip(jobs, fitted)) if name in some]
+        if not held:
+            return table.sparkSession.createDataFrame([], f"question_id {dict(table.dtypes)['question_id']}, {_SCORED_DDL}")
+        return as_predictions(score_all(rows, held), F.col("question_id"), model, fold)
+
     both = both.checkpoint()      # scored once; the metrics read these counts
     scoring = (time.perf_counter() - t0) / max(1, len(jobs))
     key = ["model", "fold", "_part"]
@@ -136,7 +149,7 @@ def logistic_per_db(table: DataFrame, features: Sequence[str], label: str = LABE
     if ok:
         numbers = spark.createDataFrame(list(enumerate(ok)), "_db int, db_id string")
         side = 2 * F.col("_db") + (F.col("split") == "test").cast("int")
-        rows = fit_table(split.join(numbers, "db_id"), features, label, side)
+        rows = count_table(split.join(numbers, "db_id"), features, label, side)
         fitted = fit_all(rows, {i: {2 * i} for i in range(len(ok))}, [(i, CLASSIFIERS["Logistic Regression"]) for i in range(len(ok))])
         scored = as_counts(rows, [(i, m, {2 * i + 1: "test"}) for i, m in enumerate(fitted)], named("job", ok).alias("db_id")).checkpoint()
         m = binary_metrics(scored, ["db_id"], weight="n").join(roc_auc(scored, ["db_id"], weight="n"), "db_id", "left")
@@ -212,7 +225,7 @@ def two_geometries(table: DataFrame, features: Sequence[str], models: Sequence[s
         whole = parts[0][2]
         for _, _, p in parts[1:]:
             whole = whole.unionByName(p)
-        rows = fit_table(whole, features, label, F.col("_c"))
+        rows = count_table(whole, features, label, F.col("_c"))
         chosen = _chosen(rows, parts, list(models), k) if choose else {side: models[0] for side, _, _ in parts}
         specs = {side: factory or CLASSIFIERS[chosen[side]] for side, _, _ in parts}
         fitted = fit_all(rows, {side: set(range(at + 1, at + k + 2)) for side, at, _ in parts}, [(side, specs[side]) for side, _, _ in parts])
@@ -306,7 +319,7 @@ def learning_curve(table: DataFrame, features: Sequence[str], shares=(0.2, 0.4,
         for c in cutoffs[f]:
             first = first + (at >= c).cast("int")          # shares that do not hold the row yet
         cell = cell + F.when(F.col("fold") == f, 0).otherwise(first) * (k * base ** i)
-    rows = fit_table(ranked, features, label, cell)
+    rows = count_table(ranked, features, label, cell)
     cells = [r[0] for r in rows.df.select("_cell").distinct().collect()]
     jobs = [(s, f) for s in range(len(shares)) for f in ks]
     fits = {(s, f): {c for c in cells if c % k != f and c // (k * base ** i) % base <= s}

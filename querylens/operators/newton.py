@@ -19,7 +19,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..session import ship
@@ -46,13 +46,26 @@ class Logistic:
         return np.abs(self.coef)
 
 
+def weight(df: DataFrame) -> Column:
+    """How many rows a row stands for: ``_w``, or 1 without that column."""
+    return F.col("_w") if "_w" in df.columns else F.lit(1).cast("long")
+
+
 def moments(df: DataFrame, columns: Sequence[str]) -> dict[int, tuple[float, float, np.ndarray, np.ndarray]]:
-    """Per cell: rows, sum of the labels, means and sums of squared deviations
-    of the features.  One row per cell reaches the driver."""
-    aggs = [F.count(F.lit(1)).alias("n"), F.sum("_y").alias("t")]
-    aggs += [F.array(*[f(c) for c in columns]).alias(name) for name, f in (("m", F.avg), ("v", F.var_pop))]
-    return {r["_cell"]: (float(r["n"]), float(r["t"]), np.array(r["m"], float), np.array(r["v"], float) * r["n"])
-            for r in df.groupBy("_cell").agg(*aggs).collect()}
+    """Per cell of weighted rows: rows, sum of the labels, means and sums of
+    squared deviations of the features.  One row per cell reaches the driver."""
+    w = F.col("_w")
+    first = df.groupBy("_cell").agg(F.sum("_w").alias("n"), F.sum(w * F.col("_y")).alias("t"),
+                                    F.array(*[F.sum(w * F.col(c)) / F.sum("_w") for c in columns]).alias("m")).collect()
+    cells = [r for r in first if r["_cell"] is not None]
+    if not cells:
+        return {}
+    means = df.sparkSession.createDataFrame([(r["_cell"], r["m"]) for r in cells], "_cell int, m array<double>")
+    near = df.join(F.broadcast(means), "_cell")      # one row per cell
+    second = {r["_cell"]: r["v"] for r in near.groupBy("_cell").agg(F.array(
+        *[F.sum(w * (F.col(c) - F.col("m")[i]) * (F.col(c) - F.col("m")[i])) for i, c in enumerate(columns)]).alias("v")).collect()}
+    return {r["_cell"]: (float(r["n"]), float(r["t"]) if r["t"] is not None else 0.0, np.array(r["m"], float), np.array(second[r["_cell"]], float))
+            for r in cells}
 
 
 def pooled(parts: list, p: int) -> tuple[float, float, np.ndarray, np.ndarray]:
@@ -104,13 +117,13 @@ def _pass(df: DataFrame, columns: Sequence[str], states: dict) -> dict[int, np.n
 
 def fit_logistic(df: DataFrame, columns: Sequence[str], fits: Mapping, names: Sequence, penalties: Sequence[float]) -> list[Logistic]:
     """One model per name in ``names`` (keys of ``fits``, sets of cells).  ``df`` has
-    ``_cell``, ``_y`` (0 or 1) and the feature columns (doubles without nulls).  A
-    constant feature gets the coefficient 0.  Training rows of one class, or
+    ``_cell``, ``_y`` (0 or 1) and the feature columns (doubles without nulls),
+    and ``_w`` where a row stands for several.  A constant feature gets the coefficient 0.  Training rows of one class, or
     none, are an error."""
     ship(df.sparkSession)
     p = len(columns)
-    by_cell = moments(df, columns)
-    rows = df.groupBy("_cell", "_y", *columns).agg(F.count(F.lit(1)).alias("_w")).checkpoint()
+    rows = df if "_w" in df.columns else df.groupBy("_cell", "_y", *columns).agg(F.count(F.lit(1)).alias("_w")).checkpoint()
+    by_cell = moments(rows, columns)
     state, models = {}, {}
     for k, name in enumerate(names):
         cells = frozenset(int(c) for c in fits[name])

@@ -36,6 +36,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..session import ship
+from .newton import weight
 from .ranking import rank_within
 
 LOCAL_ROWS = 100_000
@@ -451,7 +452,7 @@ def edges_of(df: DataFrame, columns: Sequence[str], bins: int = MAX_BINS) -> lis
     distinct values if there are few, else exact quantiles.  At most ``bins``
     rows per column reach the driver."""
     values = F.explode(F.array(*[F.struct(F.lit(i).alias("i"), F.col(c).alias("v")) for i, c in enumerate(columns)])).alias("e")
-    counted = df.select(values).select("e.i", "e.v").groupBy("i", "v").agg(F.count(F.lit(1)).alias("c")).checkpoint()
+    counted = df.select(values, weight(df).alias("w")).select("e.i", "e.v", "w").groupBy("i", "v").agg(F.sum("w").alias("c")).checkpoint()
     kinds = {r["i"]: r["k"] for r in counted.groupBy("i").agg(F.count(F.lit(1)).alias("k")).collect()}
     few = [i for i, k in kinds.items() if k <= bins]
     edges = [np.zeros(0)] * len(columns)
@@ -512,10 +513,10 @@ def _weighted(df: DataFrame, columns: Sequence[str], edges: list) -> DataFrame:
         for batch in batches:
             codes = binned(_columns(batch, names), edges)
             x = pa.array([r.tobytes() for r in codes], pa.binary())
-            yield pa.RecordBatch.from_arrays([batch.column("_cell"), x, batch.column("_y")], names=["_cell", "_x", "_y"])
+            yield pa.RecordBatch.from_arrays([batch.column("_cell"), x, batch.column("_y"), batch.column("_w")], names=["_cell", "_x", "_y", "_w"])
 
-    coded = df.select("_cell", "_y", *names).mapInArrow(run, "_cell int, _x binary, _y double")
-    return coded.groupBy("_cell", "_x", "_y").agg(F.count(F.lit(1)).alias("_w"))
+    coded = df.select("_cell", "_y", weight(df).alias("_w"), *names).mapInArrow(run, "_cell int, _x binary, _y double, _w long")
+    return coded.groupBy("_cell", "_x", "_y").agg(F.sum("_w").alias("_w"))
 
 
 def _arrays(table, p: int):
@@ -529,7 +530,8 @@ def _arrays(table, p: int):
 
 def fit_trees(df: DataFrame, columns: Sequence[str], fits: Mapping, jobs: Sequence[tuple]) -> list[Ensemble]:
     """One ensemble per job ``(fit, TreeSpec)``.  ``df`` has ``_cell``, ``_y`` and the
-    feature ``columns`` (doubles without nulls); ``fits`` names the cells of each
+    feature ``columns`` (doubles without nulls), and ``_w`` where a row stands for
+    several; ``fits`` names the cells of each
     fit's training rows.  What reaches the driver is bounded by the number of
     bins, fits and nodes of the fitted trees.  A fit without rows is an error."""
     spark, p = df.sparkSession, len(columns)

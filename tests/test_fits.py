@@ -266,3 +266,34 @@ def test_logistic_passes_read_weighted_rows(table, monkeypatch):
     many = fit_table(table.unionByName(table).unionByName(table), FEATURES, "y", F.col("cell"))
     fit_all(many, FITS, [("all", LogisticSpec())])
     assert set(seen) == {(table.select("cell", "y", *FEATURES).distinct().count(), 1200)}
+
+
+def test_equal_rows_are_written_once(table, monkeypatch):
+    many = table.unionByName(table).unionByName(table)
+    rows = fits.count_table(many, FEATURES, "y", F.col("cell"))
+    assert rows.df.count() <= table.count() and rows.df.agg(F.sum("_w")).first()[0] == many.count()
+    plain = fit_table(many, FEATURES, "y", F.col("cell"))
+    one, other = fit_all(rows, FITS, JOBS), fit_all(plain, FITS, JOBS)
+    for a, b in zip(one, other):
+        if isinstance(a, newton.Logistic):
+            assert np.allclose(a.coef, b.coef, rtol=1e-9, atol=1e-12) and np.allclose(a.scale, b.scale, rtol=1e-12)
+        else:
+            assert equal(a, b)
+    wanted = [(i, m, {c: "part" for c in range(5)}) for i, m in enumerate(one)]
+    both = [{tuple(r) for r in fits.score_counts(x, wanted).collect()} for x in (rows, plain)]
+    assert both[0] == both[1]
+    with pytest.raises(ValueError):
+        score_all(rows, wanted)
+
+
+def test_evaluations_fit_on_rows_brought_together(spark, table, monkeypatch):
+    from querylens.operators import models
+    seen = []
+    plain = fits.fit_all
+    monkeypatch.setattr(models, "fit_all", lambda rows, *a: seen.append(rows.df) or plain(rows, *a))
+    df = table.select(F.col("id").alias("question_id"), F.col("y").alias("label_binary"), F.round("a").alias("a"))
+    scores, rows_of = models.cross_validation(df.withColumn("a", F.col("a") % 3), ["a"], ["Logistic Regression", "Gradient Boosting"], k=3)
+    assert all(d.groupBy("_cell", "_y", "_f0").count().where("count > 1").isEmpty() and d.agg(F.sum("_w")).first()[0] == df.count() for d in seen)
+    one = rows_of(["Gradient Boosting"])
+    assert {r["model"] for r in one.select("model").distinct().collect()} == {"Gradient Boosting"}
+    assert one.count() == df.count() and rows_of([]).isEmpty()

@@ -225,7 +225,8 @@ def two_geometries(table: DataFrame, features: Sequence[str], models: Sequence[s
         whole = parts[0][2]
         for _, _, p in parts[1:]:
             whole = whole.unionByName(p)
-        rows = count_table(whole, features, label, F.col("_c"))
+        # one fixed fit reads its rows as they are: moments of weighted rows round otherwise, which can part tied scores
+        rows = (fit_table if factory else count_table)(whole, features, label, F.col("_c"))
         chosen = _chosen(rows, parts, list(models), k) if choose else {side: models[0] for side, _, _ in parts}
         specs = {side: factory or CLASSIFIERS[chosen[side]] for side, _, _ in parts}
         fitted = fit_all(rows, {side: set(range(at + 1, at + k + 2)) for side, at, _ in parts}, [(side, specs[side]) for side, _, _ in parts])

@@ -52,8 +52,14 @@ def weight(df: DataFrame) -> Column:
 
 
 def moments(df: DataFrame, columns: Sequence[str]) -> dict[int, tuple[float, float, np.ndarray, np.ndarray]]:
-    """Per cell of weighted rows: rows, sum of the labels, means and sums of
-    squared deviations of the features.  One row per cell reaches the driver."""
+    """Per cell: rows, sum of the labels, means and sums of squared deviations
+    of the features; a row with ``_w`` counts as so many.  One row per cell
+    reaches the driver."""
+    if "_w" not in df.columns:
+        aggs = [F.count(F.lit(1)).alias("n"), F.sum("_y").alias("t")]
+        aggs += [F.array(*[f(c) for c in columns]).alias(name) for name, f in (("m", F.avg), ("v", F.var_pop))]
+        return {r["_cell"]: (float(r["n"]), float(r["t"]), np.array(r["m"], float), np.array(r["v"], float) * r["n"])
+                for r in df.groupBy("_cell").agg(*aggs).collect()}
     w = F.col("_w")
     first = df.groupBy("_cell").agg(F.sum("_w").alias("n"), F.sum(w * F.col("_y")).alias("t"),
                                     F.array(*[F.sum(w * F.col(c)) / F.sum("_w") for c in columns]).alias("m")).collect()
@@ -122,8 +128,8 @@ def fit_logistic(df: DataFrame, columns: Sequence[str], fits: Mapping, names: Se
     none, are an error."""
     ship(df.sparkSession)
     p = len(columns)
+    by_cell = moments(df, columns)
     rows = df if "_w" in df.columns else df.groupBy("_cell", "_y", *columns).agg(F.count(F.lit(1)).alias("_w")).checkpoint()
-    by_cell = moments(rows, columns)
     state, models = {}, {}
     for k, name in enumerate(names):
         cells = frozenset(int(c) for c in fits[name])

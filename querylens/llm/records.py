@@ -28,6 +28,7 @@ encode on their own; every distinct unit passes the library once per worker
 
 from __future__ import annotations
 
+import gc
 import os
 import re
 import uuid
@@ -36,6 +37,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import regex
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
@@ -47,7 +49,8 @@ from ..session import ensure_checkpoint_dir
 
 UNITS = 1_000_000
 UNIT_CHARS = 32 << 20
-CHUNK_CHARS = 1 << 19
+CHUNK_CHARS = 1 << 21
+PIECE_CHARS = 32
 READ_BYTES = 4 << 20
 OPEN_FILES = 32
 
@@ -140,6 +143,9 @@ _UNIT = re.compile(f"[{WHITE}]*[^{WHITE}]+|[{WHITE}]+")
 _WHITE = frozenset(["", *re.findall(f"[{WHITE}]", "".join(map(chr, range(0x3001))))])      # and the empty text
 
 
+#: Below it, Python's letters and the split pattern's are the same.
+LATIN_END = "\u0250"
+
 #: Characters that the split pattern separates from a letter in front of them.
 MARKS = frozenset(".,;:!?)")
 
@@ -154,8 +160,7 @@ class _Numbers(dict):
     def __missing__(self, unit: str) -> int:
         e = self.encoder
         if self.lead and (unit[:1] in _WHITE or unit[-1:] in _WHITE):
-            e.odd = True                     # white space next to the blank: the text has other units
-            return -1
+            return -1                        # white space next to the blank: the text has other units
         parts = None
         if unit[-1:] in MARKS and unit[-2:-1].isalpha():
             parts = self[unit[:-1]], e.whole[unit[-1]]
@@ -188,38 +193,66 @@ class UnitEncoder:
     def forget(self) -> None:
         self.known, self.chars, self.queue, self.joined = 0, 0, [], []
         self.whole, self.spaced = _Numbers(self, ""), _Numbers(self, " ")
+        self.pieces: dict[str, list[int]] = {}
         self.first, self.length = np.zeros(1024, np.int64), np.zeros(1024, np.int64)
         self.flat, self.used = np.zeros(4096, np.int32), 0
 
-    def _numbers(self, text: str) -> np.ndarray:
-        if not text:
-            return np.zeros(0, np.int64)
-        head, *rest = text.split(" ")
-        if rest and head[-1:] not in _WHITE and rest[-1][:1] not in _WHITE:
-            self.odd = False
-            *inner, last = rest
-            out = np.empty(len(rest) + 1, np.int64)
-            out[1:-1] = np.fromiter(map(self.spaced.__getitem__, inner), np.int64, len(inner))
-            if not self.odd:
-                out[0], out[-1] = self.whole[head], self.whole[" " + last]
-                return out
-        units = _UNIT.findall(text)
-        return np.fromiter(map(self.whole.__getitem__, units), np.int64, len(units))
+    def _numbers(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """(numbers of the units of all texts one after another, units per text).
+        Words between blanks are looked up once per call."""
+        words = pc.split_pattern(pa.array(texts, pa.large_string()), " ")
+        coded = words.values.dictionary_encode()
+        place, ends = coded.indices.to_numpy(), words.offsets.to_numpy()
+        first, last = ends[:-1], ends[1:] - 1
+        inner = np.ones(len(place), bool)
+        inner[first] = inner[last] = False
+        used = np.zeros(len(coded.dictionary), bool)
+        used[place[inner]] = True
+        own = np.full(len(used), -1, np.int64)
+        some = coded.dictionary.filter(pa.array(used)).to_numpy(zero_copy_only=False).tolist()
+        own[used] = np.fromiter(map(self.spaced.__getitem__, some), np.int64, len(some))
+        numbers = own[place]
+        odd = np.concatenate([[0], np.cumsum(inner & (numbers < 0))])
+        odd = odd[ends[1:]] > odd[ends[:-1]]
+        parts = []
+        for text, a, b, other in zip(texts, first.tolist(), last.tolist(), odd.tolist()):
+            if b > a and not other:
+                head, tail = text[:text.index(" ")], text[text.rindex(" "):]
+                if head[-1:] not in _WHITE and tail[1:2] not in _WHITE:
+                    numbers[a], numbers[b] = self.whole[head], self.whole[tail]
+                    parts.append(numbers[a:b + 1])
+                    continue
+            units = _UNIT.findall(text)
+            parts.append(np.fromiter(map(self.whole.__getitem__, units), np.int64, len(units)))
+        return np.concatenate([np.zeros(0, np.int64), *parts]), np.fromiter(map(len, parts), np.int64, len(parts))
 
     def _encode(self, units: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """(ids one after another, ids per unit).  The pieces of a unit go
         straight to the library's model; its pipeline for whole texts also
         aligns every character, which takes most of its time.  A unit with a
-        special token passes the pipeline."""
+        special token passes the pipeline.  Latin letters, with or without a
+        blank in front, are one piece; pieces of other units are kept."""
         ids: list[int] = []
         count = np.zeros(len(units), np.int64)
-        split, tokenize, as_char, before = self.split, self.tokenize, self.as_char, 0
+        split, tokenize, as_char, pieces, before = self.split, self.tokenize, self.as_char, self.pieces, 0
+        blank, every = as_char[32], "".join(units)
+        special = [s for s in self.special if s in every]        # most often none
         for i, unit in enumerate(units):
-            if any(s in unit for s in self.special):
+            word = unit[1:] if unit[:1] == " " else unit
+            if special and any(s in unit for s in special):
                 ids += self.library.encode(unit, add_special_tokens=False).ids
+            elif word.isalpha() and word.isascii():              # printable bytes stand for themselves
+                ids += [t.id for t in tokenize(word if len(word) == len(unit) else blank + word)]
+            elif word.isalpha() and max(word) < LATIN_END:
+                ids += [t.id for t in tokenize(unit.encode().decode("latin-1").translate(as_char))]
             else:
                 for piece in split(unit):
-                    ids += [t.id for t in tokenize(piece.encode().decode("latin-1").translate(as_char))]
+                    own = pieces.get(piece)
+                    if own is None:
+                        own = [t.id for t in tokenize(piece.encode().decode("latin-1").translate(as_char))]
+                        if len(piece) <= PIECE_CHARS:
+                            pieces[piece] = own
+                    ids += own
             count[i] = len(ids) - before
             before = len(ids)
         return np.array(ids, np.int32), count
@@ -250,10 +283,14 @@ class UnitEncoder:
         """(ids of all texts one after another, ids per text)."""
         if self.known > UNITS or self.chars > UNIT_CHARS:
             self.forget()
-        numbers = [self._numbers(t) for t in texts]
-        self._encode_queue()
-        per_text = np.fromiter(map(len, numbers), np.int64, len(numbers))
-        every = np.concatenate([np.zeros(0, np.int64), *numbers])
+        collects = gc.isenabled()
+        gc.disable()                  # many small lists, no cycles
+        try:
+            every, per_text = self._numbers(texts)
+            self._encode_queue()
+        finally:
+            if collects:
+                gc.enable()
         count = self.length[every]
         ends = np.concatenate([[0], np.cumsum(count)])
         at = np.concatenate([[0], np.cumsum(per_text)])

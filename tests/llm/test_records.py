@@ -107,3 +107,31 @@ def test_query(spark, library):
         ids = np.array([*e.ids, 2], "<u4")
         assert (got[i].start, got[i].n_tokens, got[i].ids_crc32) == (start, len(ids), zlib.crc32(ids.tobytes()))
         start += len(ids)
+
+
+def test_units_of_letters_are_not_split(library, vocabulary):
+    letters = [chr(c) for c in range(ord(records.LATIN_END))]
+    own = records.UnitEncoder(vocabulary)
+    assert all(x.isalpha() == bool(records.regex.fullmatch(r"\p{L}", x)) for x in letters)
+    split, seen = own.split, []
+    own.split = lambda unit: seen.append(unit) or split(unit)
+    texts = ["plain words, and naïve Ärger ªº only", " white\n ends  ", "a(b) c(b) d(b)"]
+    for _ in range(2):
+        ids, count = own.encode_texts(texts)
+        assert ids.tolist() == [i for t in texts for i in library.encode(t, add_special_tokens=False).ids]
+        assert count.tolist() == [len(library.encode(t, add_special_tokens=False).ids) for t in texts]
+    assert not {"plain", " and", " naïve", " Ärger", " ªº", " only"} & set(seen)
+    assert {"(", "b", ")"} <= set(own.pieces)
+
+
+def test_words_are_looked_up_once_per_call(vocabulary):
+    own, looked = records.UnitEncoder(vocabulary), []
+
+    class Counted(records._Numbers):
+        def __getitem__(self, unit):
+            looked.append(unit)
+            return super().__getitem__(unit)
+
+    own.spaced = Counted(own, " ")
+    ids, count = own.encode_texts(["x same same same y"] * 50)
+    assert looked.count("same") == 1 and count.tolist() == [len(ids) // 50] * 50

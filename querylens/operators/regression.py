@@ -118,13 +118,16 @@ def refit_all(table: DataFrame, best: DataFrame, features: Sequence[str] = FULL_
     sizes = rows.groupBy("db_id").agg(F.count(F.lit(1)).alias("n_train")).where(F.col("n_train") >= min_n)
     won = best.select("db_id", "model", "r2_log").join(sizes, "db_id").checkpoint()
     linear = won.where(F.col("model").isin(list(LINEAR_MODELS)))
-    fit = fit_linear_models(rows.join(linear.select("db_id"), "db_id", "left_semi"), features, target, ["db_id"])
+    winners = {r["db_id"]: r["model"] for r in won.collect()}      # one row per database
+    trees = {db: m for db, m in winners.items() if m in TREE_MODELS}
+    # a filter, not a join: the moments of all features stay in compiled code
+    fit = fit_linear_models(rows.where(F.col("db_id").isin([db for db, m in winners.items() if m in LINEAR_MODELS])),
+                            features, target, ["db_id"])
     coef = fit.coefficients.join(linear.select("db_id", "model"), ["db_id", "model"])
     folder = path or os.path.join(ensure_checkpoint_dir(spark), f"tree-models-{uuid.uuid4().hex[:8]}")
-    trees = {r["db_id"]: r["model"] for r in won.where(F.col("model").isin(list(TREE_MODELS))).collect()}      # one row per database
     paths = spark.createDataFrame([], "db_id string, model_path string")
     if trees:
-        dbs, numbered = _numbered(rows.join(won.where(F.col("model").isin(list(TREE_MODELS))).select("db_id"), "db_id", "left_semi"))
+        dbs, numbered = _numbered(rows.where(F.col("db_id").isin(list(trees))))
         own = fit_table(numbered, features, target, F.col("_db"))
         fitted = fit_all(own, {i: {i} for i in range(len(dbs))}, [(i, TREE_MODELS[trees[db]]) for i, db in enumerate(dbs)])
         spark.createDataFrame([(db, bytearray(m.to_bytes())) for db, m in zip(dbs, fitted)], "db_id string, ensemble binary").write.mode(

@@ -58,3 +58,22 @@ def test_learning_curve_is_the_selected_models(spark, monkeypatch):
     drawn = inspect.signature(mo.learning_curve)
     monkeypatch.setattr(mo, "learning_curve", lambda *a, **k: drawn.bind(*a, **k).arguments.get("model_name"))
     assert registry.QUERIES["m28_learning_curve"](spark, SMALL) == "Gradient Boosting"
+
+
+def _plan(df) -> str:
+    return df._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_refit_reads_rows_by_a_filter(spark, monkeypatch):
+    from pyspark.sql import functions as F
+
+    from querylens.operators import regression as rg
+    seen, fit = [], rg.fit_linear_models
+    monkeypatch.setattr(rg, "fit_linear_models", lambda train, *a: seen.append(train) or fit(train, *a))
+    rows = spark.range(120).select(F.when(F.col("id") % 4 == 3, F.lit(None)).otherwise(F.concat(F.lit("d"), (F.col("id") % 4).cast("string"))).alias("db_id"),
+                                   (F.col("id") * 0.5).alias("y"), (F.col("id") % 7).cast("double").alias("x"))
+    best = spark.createDataFrame([("d0", "Ridge(a=1)", 0.5), ("d1", "GBM", 0.4), ("d2", "Lasso", 0.3), ("d9", "Lasso", 0.1)], "db_id string, model string, r2_log double")
+    coef, manifest = rg.refit_all(rows, best, ["x"], "y")
+    assert "Join" not in _plan(seen[0]) and {r[0] for r in seen[0].select("db_id").distinct().collect()} == {"d0", "d2"}
+    assert sorted((r["db_id"], r["model"], r["n_train"]) for r in coef.coefficients.collect()) == [("d0", "Ridge(a=1)", 30), ("d2", "Lasso", 30)]
+    assert sorted((r["db_id"], r["kind"], r["n_train"]) for r in manifest.collect()) == [("d0", "linear", 30), ("d1", "tree", 30), ("d2", "linear", 30)]

@@ -15,6 +15,7 @@ from ..operators import regression as rg
 from ..operators import splits as sp
 from ..plans import plan_tree as pt
 from ..registry import register
+from ..session import ensure_checkpoint_dir
 from ..sources import fixtures as fx
 from .common import d6, r6, shared, with_ctes
 
@@ -154,7 +155,10 @@ def _m27(spark, sf):
     stats = ca.schema_stats(fx.catalog_tables(spark, sf))
     med = ql.median_runtime(fx.run_log(spark, sf)).join(log.select("question_id", "sql", "difficulty"), "question_id")
     v2 = hi.replace_subset(log, med, ["db_0", "db_1", "db_2", "db_3", "db_4", "db_5", "db_6", "db_7", "db_8", "db_9", "db_10"])
-    medians = rg.training_table(v2.select("question_id", "db_id", "difficulty", "sql", "runtime_s"), stats)
+    # the runs are brought together once, not by every pass of the quantiles
+    ensure_checkpoint_dir(spark)
+    v2 = v2.select("question_id", "db_id", "difficulty", "sql", "runtime_s").checkpoint()
+    medians = rg.training_table(v2, stats)
     versions = {"query_log": _m22(spark, sf), "run_log_median": mo.two_geometries(medians, FEATURE_COLUMNS, holdout=_HOLD)}
     return mo._union([d.withColumn("version", F.lit(v)) for v, d in versions.items()])
 

@@ -77,3 +77,18 @@ def test_refit_reads_rows_by_a_filter(spark, monkeypatch):
     assert "Join" not in _plan(seen[0]) and {r[0] for r in seen[0].select("db_id").distinct().collect()} == {"d0", "d2"}
     assert sorted((r["db_id"], r["model"], r["n_train"]) for r in coef.coefficients.collect()) == [("d0", "Ridge(a=1)", 30), ("d2", "Lasso", 30)]
     assert sorted((r["db_id"], r["kind"], r["n_train"]) for r in manifest.collect()) == [("d0", "linear", 30), ("d1", "tree", 30), ("d2", "linear", 30)]
+
+
+def test_snapshots_bring_the_runs_together_once(spark, monkeypatch):
+    from querylens.checks import q_classifiers as qc
+    seen = []
+
+    def stop(log, stats):
+        seen.append(log)
+        raise InterruptedError
+
+    monkeypatch.setattr(qc.rg, "training_table", stop)
+    with pytest.raises(InterruptedError):
+        qc._m27(spark, SMALL)
+    assert "Aggregate" not in _plan(seen[0]) and "Join" not in _plan(seen[0])
+    assert seen[0].columns == ["question_id", "db_id", "difficulty", "sql", "runtime_s"] and seen[0].count() > 0

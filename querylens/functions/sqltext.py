@@ -37,7 +37,7 @@ def count_substr(text: Column, pattern: str) -> Column:
 
 
 def has_substr(text: Column, pattern: str) -> Column:
-    return (F.instr(text, pattern) > 0).cast("int")
+    return F.contains(text, F.lit(pattern)).cast("int")
 
 
 def strip_sql(sql) -> Column:
@@ -83,21 +83,27 @@ def _where_part(u: Column) -> Column:
 
 def nesting_depth(sql) -> Column:
     """Max running balance of '(' minus ')' (never below 0 as the start value)."""
-    parens = F.regexp_extract_all(_c(sql), F.lit(r"[()]"), 0)
+    text = _c(sql)
+    parens = F.regexp_extract_all(text, F.lit(r"[()]"), 0)
     init = F.struct(F.lit(0).alias("d"), F.lit(0).alias("m"))
 
     def step(acc, ch):
         d = acc["d"] + F.when(ch == "(", 1).otherwise(-1)
         return F.struct(d.alias("d"), F.greatest(acc["m"], d).alias("m"))
 
-    return F.aggregate(parens, init, step)["m"]
+    return F.when(~F.contains(text, F.lit("(")), 0).otherwise(F.aggregate(parens, init, step)["m"])
 
 
-def _feature_exprs(s: Column, u: Column, wp: Column, n_sel: Column, has_where: Column) -> list[Column]:
+def _counts(u: Column) -> dict[str, Column]:
+    """The counts that several features use."""
+    return {"SELECT": count_substr(u, "SELECT"), " JOIN ": count_substr(u, " JOIN "), **{c: count_substr(u, c) for c in AGG_CALLS}}
+
+
+def _feature_exprs(s: Column, u: Column, wp: Column, counts: dict[str, Column], has_where: Column) -> list[Column]:
     f: dict[str, Column] = {}
     f["n_tokens"] = F.regexp_count(s, F.lit(r"(?U)\S+"))
     f["query_length"] = F.length(s)
-    f["n_joins"] = count_substr(u, " JOIN ")
+    n_sel, f["n_joins"] = counts["SELECT"], counts[" JOIN "]
     f["n_tables_approx"] = f["n_joins"] + 1
     f["n_where_predicates"] = F.when(has_where, 1 + count_substr(wp, " AND ") + count_substr(wp, " OR ")).otherwise(0)
     for name, kw in [("has_group_by", "GROUP BY"), ("has_order_by", "ORDER BY"), ("has_having", "HAVING"),
@@ -107,13 +113,13 @@ def _feature_exprs(s: Column, u: Column, wp: Column, n_sel: Column, has_where: C
     f["has_subquery"] = (n_sel > 1).cast("int")
     f["max_nesting_depth"] = nesting_depth(s)
     for call in AGG_CALLS:
-        f["n_" + call[:-1].lower()] = count_substr(u, call)
+        f["n_" + call[:-1].lower()] = counts[call]
     f["n_aggregations"] = f["n_count"] + f["n_sum"] + f["n_avg"] + f["n_max"] + f["n_min"]
     f["has_between"] = has_substr(u, "BETWEEN")
-    f["has_in_clause"] = ((F.instr(u, " IN (") > 0) | (F.instr(u, " IN(") > 0)).cast("int")
+    f["has_in_clause"] = (F.contains(u, F.lit(" IN (")) | F.contains(u, F.lit(" IN("))).cast("int")
     f["has_like"] = has_substr(u, "LIKE")
     f["has_exists"] = has_substr(u, "EXISTS")
-    f["has_correlated_subquery"] = ((n_sel > 1) & ((F.instr(u, "EXISTS") > 0) | (count_substr(u, "WHERE") > 1))).cast("int")
+    f["has_correlated_subquery"] = ((n_sel > 1) & (F.contains(u, F.lit("EXISTS")) | (count_substr(u, "WHERE") > 1))).cast("int")
     empty = s.isNull() | (s == "")
     return [F.when(empty, F.lit(None).cast("int")).otherwise(f[n].cast("int")).alias(n) for n in FEATURE_COLUMNS]
 
@@ -123,7 +129,7 @@ def sql_feature_columns(sql="sql") -> list[Column]:
     text gives nulls.  :func:`add_parsed_features` stages the shared parts."""
     s = _c(sql)
     u = F.upper(s)
-    return _feature_exprs(s, u, _where_part(u), count_substr(u, "SELECT"), F.instr(u, "WHERE") > 0)
+    return _feature_exprs(s, u, _where_part(u), _counts(u), F.contains(u, F.lit("WHERE")))
 
 
 def require_columns(df: DataFrame, cols) -> None:
@@ -134,13 +140,16 @@ def require_columns(df: DataFrame, cols) -> None:
 
 def add_parsed_features(df: DataFrame, sql: str = "sql") -> DataFrame:
     """append the 25 features (requires db_id, difficulty).  The
-    upper-cased text, its WHERE part and the SELECT count are projected once
-    and shared by all features (two narrow projections, no shuffle)."""
+    upper-cased text, its WHERE part and the counts that several features use are
+    projected once (narrow projections, no shuffle)."""
     require_columns(df, ["db_id", "difficulty", sql])
     staged = df.select("*", F.upper(F.col(sql)).alias("_u"))
-    staged = staged.select("*", _where_part(F.col("_u")).alias("_wp"), count_substr(F.col("_u"), "SELECT").alias("_nsel"),
-                           (F.instr(F.col("_u"), "WHERE") > 0).alias("_hw"))
-    feats = _feature_exprs(F.col(sql), F.col("_u"), F.col("_wp"), F.col("_nsel"), F.col("_hw"))
+    staged = staged.select("*", F.contains(F.col("_u"), F.lit("WHERE")).alias("_hw"))
+    counts = _counts(F.col("_u"))
+    staged = staged.select("*", F.when(F.col("_hw"), _where_part(F.col("_u"))).alias("_wp"),
+                           *[c.alias(f"_n{i}") for i, c in enumerate(counts.values())])
+    once = {name: F.col(f"_n{i}") for i, name in enumerate(counts)}
+    feats = _feature_exprs(F.col(sql), F.col("_u"), F.col("_wp"), once, F.col("_hw"))
     return staged.select(*df.columns, *feats)
 
 

@@ -130,6 +130,14 @@ def materialise(df: DataFrame, name: str, parts: int | None = None) -> DataFrame
     return spark.read.schema(df.schema).parquet(path)
 
 
+def not_broadcast(df: DataFrame) -> DataFrame:
+    """For a join: neither side is ever sent whole through the driver.  Spark
+    sizes an array as one element, an exploded table as what it came from and
+    a compressed file as its rows, so it would broadcast tables that are many
+    times larger than its limit."""
+    return df.hint("merge")
+
+
 def shuffle_partitions(spark: SparkSession) -> int:
     return max(1, int(spark.conf.get("spark.sql.shuffle.partitions", "200")))
 
@@ -164,7 +172,7 @@ def connected_components(edges: DataFrame, src: str = "src", dst: str = "dst") -
         before = current
         both = now.select(F.col("hi").alias("u"), F.col("lo").alias("v")).union(now.select("lo", "hi"))
         least = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
-        large = tidy(both.join(least, "u").where("v > u").select(F.col("v").alias("a"), F.col("m").alias("b")))
+        large = tidy(not_broadcast(both).join(least, "u").where("v > u").select(F.col("v").alias("a"), F.col("m").alias("b")))
         low = large.groupBy("hi").agg(F.min("lo").alias("m"))
         small = large.join(low, "hi").select(
             F.explode(F.array(F.struct(F.col("hi").alias("a"), F.col("m").alias("b")),

@@ -43,7 +43,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import connected_components, forest, grouped, in_blocks, map_arrow, materialise, sorted_groups
+from .common import connected_components, forest, grouped, in_blocks, map_arrow, materialise, not_broadcast, sorted_groups
 
 THRESHOLD = 0.95
 CODES = 5              # independent product codes, at least
@@ -295,11 +295,11 @@ def embedding_links(vectors: DataFrame, id_column: str = "vec_id", column: str =
     decoded = materialise(_decoded(classes, n, threshold), "vector-filters")
     passed = decoded.select("node", "dim", F.explode("filters").alias("filter"))
     shared = passed.groupBy("dim", "filter").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
-    units = (in_blocks(passed.join(shared, ["dim", "filter"]), "n", BLOCK, "node")
+    units = (in_blocks(not_broadcast(passed).join(shared, ["dim", "filter"]), "n", BLOCK, "node")
              .withColumn("g", F.xxhash64("dim", "filter", "bi", "bj")).drop("n"))
-    near = materialise(_near(grouped(units.join(decoded.select("node", "q", "scale", "eps"), "node"), "g", "filter"), threshold), "vector-near")
-    found = materialise(_linked(grouped(near.join(decoded.select("node", "size", "v", "filters"), "node"), "g", "filter"), threshold), "vector-links")
-    component = connected_components(found.select("node", "other"), "node", "other").join(classes.select("node", "rep"), "node")
+    near = materialise(_near(grouped(not_broadcast(units).join(decoded.select("node", "q", "scale", "eps"), "node"), "g", "filter"), threshold), "vector-near")
+    found = materialise(_linked(grouped(not_broadcast(near).join(decoded.select("node", "size", "v", "filters"), "node"), "g", "filter"), threshold), "vector-links")
+    component = not_broadcast(connected_components(found.select("node", "other"), "node", "other")).join(classes.select("node", "rep"), "node")
     smallest = component.groupBy("component").agg(F.min("rep").alias("c"))
     per_node = (component.join(smallest, "component").select("node", "c")
                 .join(found.groupBy("node").agg(F.sum("links").alias("links")), "node"))

@@ -4,7 +4,7 @@ import random
 import numpy as np
 import pytest
 
-from querylens.llm import topk, vectors
+from querylens.llm import common, topk, vectors
 
 
 def rows_with_copies(dim=24, seed=3):
@@ -60,6 +60,26 @@ def test_links_equal_brute_force(table, monkeypatch, block):
     assert [(r.n_links, r.component_id, r.kept) for r in got if r.vec_id is None] == [(0, None, True)]
 
 
+def test_exploded_and_packed_tables_are_not_broadcast(table, monkeypatch):
+    """Spark's sizes of them are too low, whatever their number of rows."""
+    plans, materialise = {}, common.materialise
+
+    def seen(df, name, parts=None):
+        plans.setdefault(name, []).append(df._jdf.queryExecution().executedPlan().toString())
+        return materialise(df, name, parts)
+
+    monkeypatch.setattr(common, "materialise", seen)
+    monkeypatch.setattr(vectors, "materialise", seen)
+    rows = rows_with_copies()
+    got = vectors.embedding_links(table(rows, "vec_id long, embedding array<double>"))
+    last = got._jdf.queryExecution().executedPlan().toString()
+    for plan in plans["vector-near"] + plans["vector-links"]:
+        assert "Join" in plan and "Broadcast" not in plan
+    assert len(plans["cc"]) > 1 and all("SortMergeJoin [u#" in plan for plan in plans["cc"][1:])      # links and each node's least
+    assert "SortMergeJoin [node#" in last      # components and the classes that name them
+    assert {r.vec_id: (r.n_links, r.component_id, r.kept) for r in got.collect() if r.vec_id is not None} == brute_links(rows, 0.95)
+
+
 @pytest.mark.parametrize("dim", [1, 2, 3, 5])
 def test_few_dimensions(table, dim):
     rnd = np.random.default_rng(dim)

@@ -14,8 +14,10 @@ A query's search of the block stops only when at most ``RESCORE`` vectors have
 an upper bound that reaches it (or all segments are done); all of those are
 scored exactly, so the result is exact.
 
-The query set meets the blocks in blocks of its own: a unit of work is one
-block of queries and one block of the index.
+The query set meets the blocks in blocks of its own.  A unit of work holds a
+few blocks of the index and streams all blocks of queries past them, so a block
+of the index is sent once, a block of queries once per unit, and nothing by way
+of the driver.
 """
 
 from __future__ import annotations
@@ -25,12 +27,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import grouped, map_arrow, materialise, sorted_groups
+from .common import grouped, map_arrow, materialise, shuffle_partitions, sorted_groups
 from .vectors import finite
 
 STEP = 4
 ROWS = 4096            # vectors per block of the index
 QUERIES = 256          # queries per block
+SPAN = 8               # blocks of the index per unit of work, at most
 PROBES = 32            # vectors scored after a round for the lower bound
 RESCORE = 256
 ROUNDS = (0.8, 0.95, 1.0)         # shares of the postings after each round
@@ -57,6 +60,16 @@ def impact_order(values: np.ndarray) -> np.ndarray:
     return np.argsort(-impact(values).ravel(), kind="stable").astype(np.int32)
 
 
+def _packed(values: np.ndarray) -> bytes:
+    """Integers in the narrowest of two, four or eight bytes that holds all."""
+    kind = next(t for t in (np.int16, np.int32, np.int64) if np.iinfo(t).min <= values.min() and values.max() <= np.iinfo(t).max)
+    return values.astype(kind).tobytes()
+
+
+def _unpacked(data: bytes, n: int, dim: int) -> np.ndarray:
+    return np.frombuffer(data, f"i{len(data) // (n * dim)}").astype(np.int64).reshape(n, dim)
+
+
 def build_index(vectors: DataFrame, dim: int, n_blocks: int) -> DataFrame:
     """``block, ids, values, postings``: one row per block of ``vectors``
     (vec_id, v): ids, components, and the numbers of the postings (vector
@@ -69,7 +82,7 @@ def build_index(vectors: DataFrame, dim: int, n_blocks: int) -> DataFrame:
             postings = impact_order(values)
             yield pa.RecordBatch.from_arrays(
                 [group.column("block").slice(0, 1), pa.array([group.column("vec_id").to_numpy().tobytes()], pa.binary()),
-                 pa.array([values.tobytes()], pa.binary()), pa.array([postings.tobytes()], pa.binary())],
+                 pa.array([_packed(values)], pa.binary()), pa.array([postings.tobytes()], pa.binary())],
                 names=["block", "ids", "values", "postings"])
 
     return materialise(map_arrow(grouped(rows, "block"), run, "block int, ids binary, values binary, postings binary"), "impact-index")
@@ -133,6 +146,21 @@ class Block:
         return ids[top], score[top]
 
 
+def _best(blocks: list[Block], asked: np.ndarray, number: np.ndarray, queries: np.ndarray, k: int) -> pa.RecordBatch:
+    """``query_id, query, vec_id, score``: of several blocks the ``k`` best of
+    each query, ties to the smaller id."""
+    names, numbers, found, scores = [], [], [], []
+    for name, query, each in zip(asked, number, zip(*[b.search(queries, asked, k) for b in blocks])):
+        ids, score = (np.concatenate(x) for x in zip(*each))
+        top = np.lexsort((ids, -score))[:k]
+        names.append(np.full(len(top), name))
+        numbers.append(np.full(len(top), query))
+        found.append(ids[top])
+        scores.append(score[top])
+    return pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in (names, numbers, found, scores)],
+                                      names=["query_id", "query", "vec_id", "score"])
+
+
 def top_k(vectors: DataFrame, queries: DataFrame, k: int = 5) -> DataFrame:
     """``query_id, rank, vec_id, score``: for every query the ``k`` vectors
     of another id with the highest inner products, all if there are fewer;
@@ -158,26 +186,28 @@ def top_k(vectors: DataFrame, queries: DataFrame, k: int = 5) -> DataFrame:
     n_asked = max(1, -(-asked.count() // QUERIES))
     packs = (asked.groupBy(F.pmod(F.xxhash64("vec_id", "v", F.lit(1)), F.lit(n_asked)).alias("pack"))
              .agg(F.collect_list(F.struct("vec_id", "query", "v")).alias("queries")))       # about QUERIES each
-    units = packs.withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(n_blocks - 1)))).join(index, "block")
+    parts = shuffle_partitions(every.sparkSession)
+    span = min(SPAN, max(1, n_blocks // (2 * parts)))      # two units a task, where there are as many blocks
+    held = index.select(F.expr(f"block div {span}").alias("unit"), F.lit(-1).cast("long").alias("pack"), "ids", "values", "postings")
+    passing = packs.withColumn("unit", F.explode(F.sequence(F.lit(0).cast("long"), F.lit((n_blocks - 1) // span).cast("long"))))
+    # the blocks of a unit come first, its packs behind them
+    units = held.unionByName(passing, allowMissingColumns=True).repartition(parts, "unit").sortWithinPartitions("unit", "pack")
 
     def run(batches):
+        unit, blocks = None, []
         for batch in batches:
-            for i in range(batch.num_rows):
-                ids = np.frombuffer(batch.column("ids")[i].as_py(), np.int64)
-                block = Block(ids, np.frombuffer(batch.column("values")[i].as_py(), np.int64).reshape(len(ids), dim),
-                              np.frombuffer(batch.column("postings")[i].as_py(), np.int32))
-                pack = batch.column("queries")[i].values
-                asked, number, names, numbers, found, scores = pack.field("vec_id").to_numpy(), pack.field("query").to_numpy(), [], [], [], []
-                for name, query, (got, score) in zip(asked, number, block.search(_padded(pack.field("v"), dim), asked, k)):
-                    names.append(np.full(len(got), name))
-                    numbers.append(np.full(len(got), query))
-                    found.append(got)
-                    scores.append(score)
-                if names:
-                    yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in (names, numbers, found, scores)],
-                                                     names=["query_id", "query", "vec_id", "score"])
-
-    best = map_arrow(units.select("queries", "ids", "values", "postings"), run, "query_id long, query long, vec_id long, score long")
+            for i, (u, number) in enumerate(zip(batch.column("unit").to_pylist(), batch.column("pack").to_pylist())):
+                if u != unit:
+                    unit, blocks = u, []
+                if number < 0:
+                    ids = np.frombuffer(batch.column("ids")[i].as_py(), np.int64)
+                    blocks.append(Block(ids, _unpacked(batch.column("values")[i].as_py(), len(ids), dim),
+                                        np.frombuffer(batch.column("postings")[i].as_py(), np.int32)))
+                elif blocks:
+                    pack = batch.column("queries")[i].values
+                    yield _best(blocks, pack.field("vec_id").to_numpy(), pack.field("query").to_numpy(), _padded(pack.field("v"), dim), k)
+
+    best = map_arrow(units.select("unit", "pack", "queries", "ids", "values", "postings"), run, "query_id long, query long, vec_id long, score long")
     order = Window.partitionBy("query").orderBy(F.desc("score"), "vec_id")
     return (best.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
             .select("query_id", "rank", "vec_id", "score"))

@@ -162,6 +162,27 @@ def test_every_vector_of_an_id_counts(table, monkeypatch, rows_per_block):
     assert sorted(tuple(r) for r in topk.top_k(df, df.where("vec_id < 5"), 5).collect()) == want
 
 
+@pytest.mark.parametrize("span", [8, 3])
+def test_units_of_several_blocks_without_broadcast(table, monkeypatch, span):
+    """Exploded query blocks look as small as the query set, whatever they come to."""
+    monkeypatch.setattr(topk, "ROWS", 4)
+    monkeypatch.setattr(topk, "QUERIES", 7)
+    monkeypatch.setattr(topk, "SPAN", span)
+    rnd = random.Random(10)
+    rows = [(i, [rnd.randrange(-6, 6) for _ in range(5)]) for i in range(300)]      # 75 blocks, many ties
+    df = table(rows, "vec_id long, v array<long>")
+    found = topk.top_k(df, df.where("vec_id % 6 = 0"), 5)
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert "Broadcast" not in plan and "Join" not in plan
+    assert sorted(tuple(r) for r in found.collect()) == brute_top(rows, [r for r in rows if r[0] % 6 == 0], 5)
+
+
+@pytest.mark.parametrize("most", [1, 2 ** 15 - 1, 2 ** 15, 2 ** 31, 2 ** 62])
+def test_components_are_packed_whole(most):
+    values = np.array([[0, 1, -1], [most, -most, 7]], np.int64)
+    assert np.array_equal(topk._unpacked(topk._packed(values), 2, 3), values)
+
+
 def test_top_k_with_few_candidates(table):
     df = table([(1, [1, 2]), (2, [3, -4])], "vec_id long, v array<long>")
     assert sorted(tuple(r) for r in topk.top_k(df, df, 5).collect()) == [(1, 1, 2, -5), (2, 1, 1, -5)]

@@ -172,7 +172,8 @@ def connected_components(edges: DataFrame, src: str = "src", dst: str = "dst") -
         before = current
         both = now.select(F.col("hi").alias("u"), F.col("lo").alias("v")).union(now.select("lo", "hi"))
         least = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
-        large = tidy(not_broadcast(both).join(least, "u").where("v > u").select(F.col("v").alias("a"), F.col("m").alias("b")))
+        # every u has its least; to the left of an outer join, ``both`` is never broadcast: its compressed file looks small
+        large = tidy(both.join(least, "u", "left").where("v > u").select(F.col("v").alias("a"), F.col("m").alias("b")))
         low = large.groupBy("hi").agg(F.min("lo").alias("m"))
         small = large.join(low, "hi").select(
             F.explode(F.array(F.struct(F.col("hi").alias("a"), F.col("m").alias("b")),

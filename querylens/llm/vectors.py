@@ -299,7 +299,8 @@ def embedding_links(vectors: DataFrame, id_column: str = "vec_id", column: str =
              .withColumn("g", F.xxhash64("dim", "filter", "bi", "bj")).drop("n"))
     near = materialise(_near(grouped(not_broadcast(units).join(decoded.select("node", "q", "scale", "eps"), "node"), "g", "filter"), threshold), "vector-near")
     found = materialise(_linked(grouped(not_broadcast(near).join(decoded.select("node", "size", "v", "filters"), "node"), "g", "filter"), threshold), "vector-links")
-    component = not_broadcast(connected_components(found.select("node", "other"), "node", "other")).join(classes.select("node", "rep"), "node")
+    # every node has its class; the components, read from a compressed file, are never broadcast to the left of an outer join
+    component = connected_components(found.select("node", "other"), "node", "other").join(classes.select("node", "rep"), "node", "left")
     smallest = component.groupBy("component").agg(F.min("rep").alias("c"))
     per_node = (component.join(smallest, "component").select("node", "c")
                 .join(found.groupBy("node").agg(F.sum("links").alias("links")), "node"))

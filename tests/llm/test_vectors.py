@@ -1,5 +1,6 @@
 import math
 import random
+import re
 
 import numpy as np
 import pytest
@@ -75,8 +76,9 @@ def test_exploded_and_packed_tables_are_not_broadcast(table, monkeypatch):
     last = got._jdf.queryExecution().executedPlan().toString()
     for plan in plans["vector-near"] + plans["vector-links"]:
         assert "Join" in plan and "Broadcast" not in plan
-    assert len(plans["cc"]) > 1 and all("SortMergeJoin [u#" in plan for plan in plans["cc"][1:])      # links and each node's least
-    assert "SortMergeJoin [node#" in last      # components and the classes that name them
+    outer = r"Join \[%s#\d+L\], \[%s#\d+L\], LeftOuter"      # its left side cannot be broadcast
+    assert len(plans["cc"]) > 1 and all(re.search(outer % ("u", "u"), plan) for plan in plans["cc"][1:])      # links and each node's least
+    assert len(re.findall(outer % ("node", "node"), last)) > 1      # components and their classes, classes and their links
     assert {r.vec_id: (r.n_links, r.component_id, r.kept) for r in got.collect() if r.vec_id is not None} == brute_links(rows, 0.95)
 
 
